@@ -1,0 +1,119 @@
+"""Nearest-point and point-in-interval lookups as bucketed equi-joins.
+
+Spark has no as-of or range join.  Both are reduced to an equi-join on
+``(keys, bucket)`` with a residual range predicate, so no nested-loop join
+appears and a hot key spreads over its time buckets:
+
+* nearest anchor: every distinct anchor time ``a`` owns the region
+  ``[prev(a), next(a)]`` (its neighbouring distinct times).  The nearest
+  anchor to ``t`` on either side always has ``t`` inside its region, so the
+  regions hit by ``t`` are a small candidate set that contains the answer.
+  Probes outside the anchor range are clamped to it for the lookup only.
+* interval hit: every interval is listed under each bucket it covers.
+
+Regions/intervals are exploded over ``floor(x / width)`` buckets; ``width``
+should be near the typical gap between anchors / interval length.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cuesheet.operators.ordered import neighbour_times
+
+
+def _bucket(c: Column, width: float) -> Column:
+    return F.floor(c / F.lit(float(width)))
+
+
+def anchor_regions(
+    anchors: DataFrame,
+    keys: Sequence[str],
+    t_col: str,
+    rank_col: str,
+    payload: Sequence[str],
+    width: float,
+) -> tuple[DataFrame, DataFrame]:
+    """Collapse anchors to one per (keys, t) keeping the lowest ``rank_col``,
+    and return (regions exploded to buckets, per-key min/max time)."""
+    keys = list(keys)
+    cols = [rank_col, *[p for p in payload if p != rank_col]]
+    best = anchors.groupBy(*keys, F.col(t_col).alias("a_t")).agg(
+        F.min(F.struct(*[F.col(c) for c in cols])).alias("a")
+    )
+    nb = neighbour_times(best, keys, "a_t", width)
+    lo = F.coalesce(F.col("prev_t"), F.col("a_t"))
+    hi = F.coalesce(F.col("next_t"), F.col("a_t"))
+    regions = nb.select(
+        *keys, "a_t", "a",
+        lo.alias("a_lo"), hi.alias("a_hi"),
+        F.explode(F.sequence(_bucket(lo, width), _bucket(hi, width))).alias("bucket"),
+    )
+    stats = best.groupBy(*keys).agg(F.min("a_t").alias("k_min"), F.max("a_t").alias("k_max"))
+    return regions, stats
+
+
+def nearest_candidates(
+    probes: DataFrame,
+    regions: DataFrame,
+    stats: DataFrame,
+    keys: Sequence[str],
+    t_expr: Column,
+    width: float,
+) -> DataFrame:
+    """Left-join probes to the anchor regions their (clamped) time falls in.
+
+    Output: probe columns + ``a_t``, ``a`` (struct of rank/payload), ``bucket``,
+    ``p_t`` (the probe time) and ``dist = |a_t - p_t|``; anchors missing for a
+    key leave one row with nulls.
+    """
+    keys = list(keys)
+    p = probes.withColumn("p_t", t_expr).join(stats, keys, "left")
+    tc = F.least(F.greatest(F.col("p_t"), F.col("k_min")), F.col("k_max"))
+    p = p.withColumn("p_tc", tc).withColumn("bucket", _bucket(F.col("p_tc"), width)).drop("k_min", "k_max")
+    r = regions.select(
+        *[F.col(k).alias(f"r__{k}") for k in keys],
+        F.col("bucket").alias("r__bucket"), "a_t", "a", "a_lo", "a_hi",
+    )
+    cond = [F.col(k) == F.col(f"r__{k}") for k in keys] + [
+        F.col("bucket") == F.col("r__bucket"),
+        F.col("a_lo") <= F.col("p_tc"),
+        F.col("p_tc") <= F.col("a_hi"),
+    ]
+    j = p.join(r, cond, "left")
+    return j.select(
+        *[c for c in p.columns if c != "p_tc"],
+        "a_t", "a",
+        F.abs(F.col("a_t") - F.col("p_t")).alias("dist"),
+    )
+
+
+def interval_candidates(
+    probes: DataFrame,
+    intervals: DataFrame,
+    keys: Sequence[str],
+    t_expr: Column,
+    start_col: str,
+    end_col: str,
+    payload: Sequence[str],
+    width: float,
+) -> DataFrame:
+    """Left-join probes to every interval with ``start <= t <= end`` (inclusive)."""
+    keys = list(keys)
+    iv = intervals.select(
+        *[F.col(k).alias(f"r__{k}") for k in keys],
+        F.col(start_col).alias("i_start"), F.col(end_col).alias("i_end"),
+        F.struct(*[F.col(c) for c in payload]).alias("i"),
+        F.explode(F.sequence(_bucket(F.col(start_col), width), _bucket(F.col(end_col), width))).alias("r__bucket"),
+    )
+    p = probes.withColumn("p_t", t_expr).withColumn("bucket", _bucket(F.col("p_t"), width))
+    cond = [F.col(k) == F.col(f"r__{k}") for k in keys] + [
+        F.col("bucket") == F.col("r__bucket"),
+        F.col("i_start") <= F.col("p_t"),
+        F.col("p_t") <= F.col("i_end"),
+    ]
+    j = p.join(iv, cond, "left")
+    return j.select(*p.columns, "i_start", "i_end", "i")
