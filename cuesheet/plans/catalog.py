@@ -56,8 +56,8 @@ ALIGNED_CTE = ("aligned_o", """
 """)
 
 
-def _v(sql: str, *views: str, extra=None) -> str:
-    return with_views(sql, *views, extra=extra)
+def _v(sql: str, *views: str, extra=None, recursive: bool = False) -> str:
+    return with_views(sql, *views, extra=extra, recursive=recursive)
 
 
 # --------------------------------------------------------------------------
@@ -78,3 +78,283 @@ def q_align_scenes(spark, sf_dir):
     from cuesheet.sources.fixtures import captions_view, scenes_view
 
     return align_scenes(speaker_turns(captions_view(spark, sf_dir)), scenes_view(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# batching and prompts
+# --------------------------------------------------------------------------
+def _tb_cte(limit: int) -> list[tuple[str, str]]:
+    rec = (f"tb_rec_{limit}", f"""
+        SELECT episode, idx, CAST(length(text) AS BIGINT) AS cur, 0 AS b FROM turns_o WHERE idx = 0
+        UNION ALL
+        SELECT t.episode, t.idx,
+               CASE WHEN r.cur + length(t.text) > {limit} THEN length(t.text) ELSE r.cur + length(t.text) END,
+               CASE WHEN r.cur + length(t.text) > {limit} THEN r.b + 1 ELSE r.b END
+        FROM tb_rec_{limit} r JOIN turns_o t ON t.episode = r.episode AND t.idx = r.idx + 1
+    """)
+    out = (f"tb_{limit}", f"""
+        SELECT t.*, CAST(r.b AS INTEGER) AS batch
+        FROM turns_o t JOIN tb_rec_{limit} r ON t.episode = r.episode AND t.idx = r.idx
+        WHERE r.b < (SELECT max(b) FROM tb_rec_{limit} r2 WHERE r2.episode = r.episode)
+    """)
+    return [TURNS_CTE, rec, out]
+
+
+def _turns(spark, sf_dir):
+    from cuesheet.operators.turns import speaker_turns
+    from cuesheet.sources.fixtures import captions_view
+
+    return speaker_turns(captions_view(spark, sf_dir))
+
+
+def _batched(spark, sf_dir, limit):
+    from cuesheet.operators.batching import turn_batches
+
+    return turn_batches(_turns(spark, sf_dir), max_text_length=limit)
+
+
+@register("turn_batches", _v("SELECT * FROM tb_5000", "captions_v", extra=_tb_cte(5000), recursive=True))
+def q_turn_batches(spark, sf_dir):
+    return _batched(spark, sf_dir, 5000)
+
+
+@register("turn_batches_1k", _v("SELECT * FROM tb_1000", "captions_v", extra=_tb_cte(1000), recursive=True))
+def q_turn_batches_1k(spark, sf_dir):
+    return _batched(spark, sf_dir, 1000)
+
+
+BATCH_COLLECT_SQL = """
+    SELECT episode, batch, CAST(count(*) AS INTEGER) AS n_turns, CAST(sum(length(text)) AS INTEGER) AS n_chars,
+           min(idx) AS first_idx, max(idx) AS last_idx,
+           arg_min(start, idx) AS start, arg_max("end", idx) AS "end",
+           string_agg(text, chr(10) ORDER BY idx) AS texts
+    FROM tb_1000 GROUP BY episode, batch
+"""
+
+
+@register("batch_collect", _v(BATCH_COLLECT_SQL, "captions_v", extra=_tb_cte(1000), recursive=True))
+def q_batch_collect(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.prompting import batch_collect
+
+    c = batch_collect(_batched(spark, sf_dir, 1000))
+    return c.select(
+        "episode", "batch", "n_turns", "n_chars", "first_idx", "last_idx", "start", "end",
+        F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("texts"),
+    )
+
+
+def _prompt_sql() -> str:
+    from cuesheet.operators.prompting import PROMPT_HEAD, PROMPT_TAIL
+    from cuesheet.plans.oracle_views import sql_str
+
+    return f"""
+    SELECT episode, batch,
+           {sql_str(PROMPT_HEAD)} || string_agg(
+               'speaker: ' || speaker || chr(10) || 'text: ' || text || chr(10)
+               || 'start_time: ' || CAST(start AS VARCHAR) || chr(10)
+               || 'end_time: ' || CAST("end" AS VARCHAR) || chr(10), chr(10) ORDER BY idx)
+           || {sql_str(PROMPT_TAIL)} AS prompt
+    FROM tb_1000 GROUP BY episode, batch
+    """
+
+
+@register("batch_prompt", _v(_prompt_sql(), "captions_v", extra=_tb_cte(1000), recursive=True))
+def q_batch_prompt(spark, sf_dir):
+    from cuesheet.operators.prompting import batch_collect, batch_prompt
+
+    return batch_prompt(batch_collect(_batched(spark, sf_dir, 1000)))
+
+
+# --------------------------------------------------------------------------
+# extractor responses: repair, retry rounds, key repair, validation
+# --------------------------------------------------------------------------
+def r1_sql(t: str) -> str:
+    """DuckDB form of the rule-based response repair, as one expression."""
+    d = (
+        f"regexp_replace(regexp_replace(regexp_replace({t}, '\\n([a-z_]+)\"?:', chr(10) || chr(9) || '\"\\1\":', 'g'),"
+        f" '\\n\"', '\"', 'g'), '(\"scene_description\": \".+)\"(.+)\"(.+\"\\n)', '\\1''\\2''\\3', 'g')"
+    )
+    lines = f"string_split({d}, chr(10))"
+    lo = f"(CASE WHEN starts_with({d}, '```json') THEN 1 ELSE 0 END)"
+    hi = f"(CASE WHEN ends_with({d}, '```') THEN len({lines}) - 1 ELSE len({lines}) END)"
+    kept = f"list_filter({lines}, lambda x, i: i > {lo} AND i <= {hi})"
+    strip_last2 = f"regexp_replace({kept}[len({kept}) - 1], '^\\s+|\\s+$', '', 'g')"
+    final = (
+        f"(CASE WHEN len({kept}) >= 2 AND {strip_last2} = '...' "
+        f"THEN list_filter({kept}, lambda y, j: j <> len({kept}) - 1) ELSE {kept} END)"
+    )
+    return f"array_to_string({final}, chr(10))"
+
+
+def status_sql(t: str) -> str:
+    v = f"(CASE WHEN json_valid({t}) THEN {t} END)"
+    return (
+        f"(CASE WHEN json_type({v}, '$.scenes') = 'ARRAY' THEN "
+        f"CASE WHEN json_array_length({v}, '$.scenes') = 0 THEN 'empty' ELSE 'ok' END ELSE 'error' END)"
+    )
+
+
+RESOLVED_CTES = [
+    ("rr", f"""
+        SELECT episode, batch, 0 AS attempt, text, {status_sql('text')} AS st FROM responses_v
+        UNION ALL
+        SELECT episode, batch, attempt + 1, {r1_sql('text')}, {status_sql(r1_sql('text'))}
+        FROM rr WHERE st = 'error' AND {r1_sql('text')} <> text AND attempt + 1 < 10
+    """),
+    ("resolved_o", """
+        SELECT episode, batch, attempt, text, CASE WHEN st = 'error' THEN 'dead' ELSE st END AS status
+        FROM (SELECT *, row_number() OVER (PARTITION BY episode, batch ORDER BY attempt DESC) AS rn FROM rr)
+        WHERE rn = 1
+    """),
+]
+
+
+def _num(s: str, path: str) -> str:
+    jt = f"json_type({s}, {path})"
+    return (
+        f"(CASE WHEN {jt} IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST({s} ->> {path} AS DOUBLE) "
+        f"WHEN {jt} = 'BOOLEAN' THEN CASE WHEN {s} ->> {path} = 'true' THEN 1.0 ELSE 0.0 END "
+        f"WHEN {jt} = 'VARCHAR' THEN TRY_CAST({s} ->> {path} AS DOUBLE) END)"
+    )
+
+
+def _int(s: str, path: str) -> str:
+    jt = f"json_type({s}, {path})"
+    dv = f"CAST({s} ->> {path} AS DOUBLE)"
+    return (
+        f"(CASE WHEN {jt} IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND {dv} = floor({dv}) THEN CAST({dv} AS INTEGER) "
+        f"WHEN {jt} = 'BOOLEAN' THEN CASE WHEN {s} ->> {path} = 'true' THEN 1 ELSE 0 END "
+        f"WHEN {jt} = 'VARCHAR' AND regexp_matches({s} ->> {path}, '^\\s*[-+]?[0-9]+\\s*$') "
+        f"THEN CAST(trim({s} ->> {path}) AS INTEGER) END)"
+    )
+
+
+def _str(s: str, path: str) -> str:
+    return f"(CASE WHEN json_type({s}, {path}) = 'VARCHAR' THEN {s} ->> {path} END)"
+
+
+SCENE_FIELDS_SQL = [
+    "character", "speaker", "in_game", "background", "action", "object", "poses",
+    "start_time", "end_time", "scene_description",
+]
+_END_KEY = "list_filter(json_keys(s), lambda k: starts_with(k, 'end') AND k <> 'end_time')"
+_END_PATH = f"(CASE WHEN len({_END_KEY}) > 0 THEN '$.\"' || {_END_KEY}[-1] || '\"' ELSE '$.end_time' END)"
+
+
+def _typed_sql() -> str:
+    cols = {}
+    for f in SCENE_FIELDS_SQL:
+        path = f"'$.{f}'"
+        if f in ("in_game",):
+            cols[f] = _int("s", path)
+        elif f == "start_time":
+            cols[f] = _num("s", path)
+        elif f == "end_time":
+            cols[f] = _num("s", _END_PATH)
+        else:
+            cols[f] = _str("s", path)
+    cols["character"] = f"(CASE WHEN list_contains(json_keys(s), 'environment') THEN 'environment' ELSE {cols['character']} END)"
+    reason = "CASE " + " ".join(f"WHEN {cols[f]} IS NULL THEN '{f}'" for f in SCENE_FIELDS_SQL) + " END"
+    sel = ",\n".join(f"{cols[f]} AS {f}" for f in SCENE_FIELDS_SQL)
+    return f"""
+        SELECT episode, batch, attempt, scene_idx, {reason} AS reason,
+               {sel}
+        FROM (SELECT episode, batch, attempt,
+                     CAST(generate_subscripts(json_extract(text, '$.scenes[*]'), 1) - 1 AS INTEGER) AS scene_idx,
+                     unnest(json_extract(text, '$.scenes[*]')) AS s
+              FROM resolved_o WHERE status = 'ok')
+    """
+
+
+SCENE_ROWS_CTES = RESOLVED_CTES + [("scene_rows_o", _typed_sql())]
+
+
+def _responses(spark, sf_dir):
+    from cuesheet.sources.fixtures import responses_view
+
+    return responses_view(spark, sf_dir)
+
+
+def _resolved(spark, sf_dir):
+    from cuesheet.operators.repair import resolve_responses
+
+    return resolve_responses(_responses(spark, sf_dir).drop("attempt"))
+
+
+def _scene_rows(spark, sf_dir):
+    from cuesheet.operators.repair import scene_rows
+
+    return scene_rows(_resolved(spark, sf_dir))
+
+
+@register("response_repair", _v(f"SELECT episode, batch, {r1_sql('text')} AS text FROM responses_v", "responses_v"))
+def q_response_repair(spark, sf_dir):
+    from cuesheet.operators.repair import repair_text
+
+    r = _responses(spark, sf_dir)
+    return r.select("episode", "batch", repair_text(r["text"]).alias("text"))
+
+
+@register("response_stats", _v("""
+    SELECT episode, batch, attempt, status,
+           CAST(CASE WHEN status = 'dead' THEN 0 ELSE json_array_length(text, '$.scenes') END AS INTEGER) AS n_scenes
+    FROM resolved_o
+""", "responses_v", extra=RESOLVED_CTES, recursive=True))
+def q_response_stats(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    r = _resolved(spark, sf_dir)
+    return r.select(
+        "episode", "batch", "attempt", "status",
+        F.when(F.col("status") == "dead", F.lit(0)).otherwise(F.size("parsed.scenes")).cast("int").alias("n_scenes"),
+    )
+
+
+@register("scene_key_repair", _v(f"""
+    SELECT episode, batch, scene_idx,
+           (CASE WHEN list_contains(json_keys(s), 'environment') THEN 'environment' ELSE {_str('s', "'$.character'")} END) AS character,
+           CAST(list_contains(json_keys(s), 'environment') AS INTEGER) AS had_environment,
+           (CASE WHEN len({_END_KEY}) > 0 THEN {_END_KEY}[-1] END) AS renamed_key,
+           {_num('s', _END_PATH)} AS end_time
+    FROM (SELECT episode, batch,
+                 CAST(generate_subscripts(json_extract(text, '$.scenes[*]'), 1) - 1 AS INTEGER) AS scene_idx,
+                 unnest(json_extract(text, '$.scenes[*]')) AS s
+          FROM resolved_o WHERE status = 'ok')
+""", "responses_v", extra=RESOLVED_CTES, recursive=True))
+def q_scene_key_repair(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.repair import scene_rows
+
+    r = _resolved(spark, sf_dir)
+    rows = scene_rows(r)
+    keys = r.where(F.col("status") == "ok").select(
+        "episode", "batch", F.posexplode("parsed.scenes").alias("scene_idx", "m")
+    ).select(
+        "episode", "batch", "scene_idx",
+        F.map_contains_key("m", "environment").cast("int").alias("had_environment"),
+        F.try_element_at(F.filter(F.map_keys("m"), lambda k: k.startswith("end") & (k != "end_time")), F.lit(-1)).alias(
+            "renamed_key"
+        ),
+    )
+    return rows.select("episode", "batch", "scene_idx", "character", "end_time").join(
+        keys, ["episode", "batch", "scene_idx"]
+    )
+
+
+@register("scene_validate", _v(f"SELECT * EXCLUDE (reason) FROM scene_rows_o WHERE reason IS NULL", "responses_v",
+                                 extra=SCENE_ROWS_CTES, recursive=True))
+def q_scene_validate(spark, sf_dir):
+    from cuesheet.operators.repair import valid_scenes
+
+    return valid_scenes(_scene_rows(spark, sf_dir))
+
+
+@register("scene_rejects", _v("SELECT episode, batch, attempt, scene_idx, reason FROM scene_rows_o WHERE reason IS NOT NULL",
+                                "responses_v", extra=SCENE_ROWS_CTES, recursive=True))
+def q_scene_rejects(spark, sf_dir):
+    from cuesheet.operators.repair import rejected_scenes
+
+    return rejected_scenes(_scene_rows(spark, sf_dir)).select("episode", "batch", "attempt", "scene_idx", "reason")

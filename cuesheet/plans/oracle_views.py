@@ -147,10 +147,18 @@ def _order(names: list[str]) -> list[str]:
     return seen
 
 
-def with_views(sql: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
+def sql_str(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def with_views(
+    sql: str, *names: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False
+) -> str:
     """Prefix ``sql`` with the CTEs for ``names`` (and their dependencies)."""
     ctes = [f"{n} AS ({VIEWS[n][1].strip()})" for n in _order(list(names))]
     ctes += [f"{n} AS ({body.strip()})" for n, body in (extra or [])]
     if not ctes:
         return sql.strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + sql.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(ctes) + "\n" + sql.strip()
