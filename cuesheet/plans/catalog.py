@@ -358,3 +358,315 @@ def q_scene_rejects(spark, sf_dir):
     from cuesheet.operators.repair import rejected_scenes
 
     return rejected_scenes(_scene_rows(spark, sf_dir)).select("episode", "batch", "attempt", "scene_idx", "reason")
+
+
+# --------------------------------------------------------------------------
+# files, scene table, viewer table
+# --------------------------------------------------------------------------
+VIEWER_CTE = ("viewer_o", """
+    SELECT episode_name, youtube_id, idx, speaker, text, start AS start_time, "end" AS end_time,
+           scene_id, character, in_game, printf('scene_%03d', scene_id) AS scene_name,
+           start + ("end" - start) / 2 AS mid_point
+    FROM aligned_o
+""")
+VIEWER_EXTRA = [TURNS_CTE, ALIGNED_CTE, VIEWER_CTE]
+DONE_STEMS_SQL = "SELECT DISTINCT printf('c2e%03d', conv_id) || '_vid' || CAST(conv_id AS VARCHAR) AS stem FROM conversations WHERE role = 'system'"
+
+
+def _aligned(spark, sf_dir):
+    return QUERIES["align_scenes"][0](spark, sf_dir)
+
+
+def _viewer(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    a = _aligned(spark, sf_dir)
+    return a.withColumnsRenamed({"start": "start_time", "end": "end_time"}).withColumns({
+        "scene_name": F.format_string("scene_%03d", F.col("scene_id")),
+        "mid_point": F.col("start_time") + (F.col("end_time") - F.col("start_time")) / 2,
+    })
+
+
+def _scenes_with_ids(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.fixtures import scenes_view
+
+    s = scenes_view(spark, sf_dir, keep_keys=True)
+    return s.withColumn("youtube_id", F.concat(F.lit("vid"), F.col("conv_id").cast("string"))).drop("turn")
+
+
+def _done_stems(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.tables import read_table
+
+    c = read_table(spark, sf_dir, "conversations").where(F.col("role") == "system")
+    return c.select(
+        F.concat(F.format_string("c2e%03d", F.col("conv_id")), F.lit("_vid"), F.col("conv_id").cast("string")).alias("stem")
+    ).distinct()
+
+
+def _caption_stems(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.fixtures import captions_view
+
+    return captions_view(spark, sf_dir).select(F.concat_ws("_", "episode", "youtube_id").alias("stem")).distinct()
+
+
+@register("caption_scan", _v("SELECT episode || '_' || youtube_id AS stem, episode, youtube_id, idx, text, start, duration FROM captions_v", "captions_v"))
+def q_caption_scan(spark, sf_dir):
+    from cuesheet.sinks.files import scratch_path, write_caption_files
+    from cuesheet.sources.files import read_caption_files
+    from cuesheet.sources.fixtures import captions_view
+
+    path = scratch_path(spark, "captions")
+    write_caption_files(captions_view(spark, sf_dir), path)
+    return read_caption_files(spark, path, glob="*")
+
+
+@register("scene_scan", _v("""
+    SELECT episode AS episode_name, 'vid' || CAST(conv_id AS VARCHAR) AS youtube_id, scene_id, character, speaker,
+           in_game, background, action, object, poses, start_time, end_time, scene_description
+    FROM scenes_k
+""", "scenes_k"))
+def q_scene_scan(spark, sf_dir):
+    from cuesheet.sinks.files import scratch_path, write_scene_files
+    from cuesheet.sources.files import read_scene_files
+
+    path = scratch_path(spark, "scenes")
+    write_scene_files(_scenes_with_ids(spark, sf_dir), path)
+    return read_scene_files(spark, path, glob="*")
+
+
+@register("scene_flatten", _v("""
+    SELECT episode AS episode_name, 'vid' || CAST(conv_id AS VARCHAR) AS youtube_id, scene_id, character, speaker,
+           in_game, start_time, end_time
+    FROM scenes_k
+""", "scenes_k"))
+def q_scene_flatten(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.files import split_stem
+
+    s = _scenes_with_ids(spark, sf_dir)
+    nested = s.groupBy("episode", "youtube_id").agg(
+        F.collect_list(F.struct("scene_id", "character", "speaker", "in_game", "start_time", "end_time")).alias("scenes")
+    ).select(F.concat_ws("_", "episode", "youtube_id").alias("name"), F.array_sort("scenes").alias("scenes"))
+    ep, yt = split_stem(F.col("name"))
+    ex = nested.select(ep.alias("episode_name"), yt.alias("youtube_id"), F.posexplode("scenes").alias("pos", "scene"))
+    return ex.select("episode_name", "youtube_id", F.col("pos").cast("int").alias("scene_id"),
+                     "scene.character", "scene.speaker", "scene.in_game", "scene.start_time", "scene.end_time")
+
+
+@register("stem_parse", _v("""
+    SELECT DISTINCT episode || '_' || youtube_id AS stem, split_part(episode || '_' || youtube_id, '_', 1) AS episode_name,
+           youtube_id
+    FROM captions_v
+""", "captions_v"))
+def q_stem_parse(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.files import split_stem
+
+    ep, yt = split_stem(F.col("stem"))
+    return _caption_stems(spark, sf_dir).select("stem", ep.alias("episode_name"), yt.alias("youtube_id"))
+
+
+@register("viewer_load", _v("SELECT * FROM viewer_o", "captions_v", "scenes_v", extra=VIEWER_EXTRA))
+def q_viewer_load(spark, sf_dir):
+    from cuesheet.sinks.files import export_aligned, scratch_path
+    from cuesheet.sources.files import read_viewer_csv
+
+    path = scratch_path(spark, "aligned")
+    export_aligned(_aligned(spark, sf_dir), path)
+    return read_viewer_csv(spark, f"{path}/all")
+
+
+@register("video_id_map", _v("""
+    SELECT episode_name, arg_min(youtube_id, idx) AS youtube_id FROM aligned_o
+    WHERE youtube_id IS NOT NULL GROUP BY episode_name
+""", "captions_v", "scenes_v", extra=[TURNS_CTE, ALIGNED_CTE]))
+def q_video_id_map(spark, sf_dir):
+    from cuesheet.operators.scenes import video_id_map
+
+    return video_id_map(_aligned(spark, sf_dir))
+
+
+@register("episode_list", _v("""
+    SELECT episode_name, CAST(row_number() OVER (ORDER BY episode_name) - 1 AS INTEGER) AS position,
+           'Campaign 2 Episode ' || split_part(episode_name, 'e', 2) AS label, youtube_id
+    FROM (SELECT episode_name, arg_min(youtube_id, idx) AS youtube_id FROM aligned_o GROUP BY episode_name)
+""", "captions_v", "scenes_v", extra=[TURNS_CTE, ALIGNED_CTE]))
+def q_episode_list(spark, sf_dir):
+    from cuesheet.operators.scenes import episode_list
+
+    return episode_list(_aligned(spark, sf_dir))
+
+
+@register("scene_bounds", _v("""
+    SELECT episode_name, min(start_time) AS min_start, max(end_time) AS max_end, count(*) AS n_rows
+    FROM viewer_o GROUP BY episode_name
+""", "captions_v", "scenes_v", extra=VIEWER_EXTRA))
+def q_scene_bounds(spark, sf_dir):
+    from cuesheet.operators.scenes import scene_bounds
+
+    return scene_bounds(_viewer(spark, sf_dir))
+
+
+@register("scene_gap", _v("""
+    SELECT episode, scene_id, start_time, end_time, prev_end_time, start_time - prev_end_time AS gap,
+           CAST(start_time < prev_end_time AS INTEGER) AS overlap
+    FROM (SELECT *, lag(end_time) OVER (PARTITION BY episode ORDER BY scene_id) AS prev_end_time FROM scenes_v)
+""", "scenes_v"))
+def q_scene_gap(spark, sf_dir):
+    from cuesheet.operators.scenes import scene_gap
+    from cuesheet.sources.fixtures import scenes_view
+
+    return scene_gap(scenes_view(spark, sf_dir))
+
+
+@register("episode_limit", _v(f"""
+    SELECT stem, ordinal FROM (
+        SELECT stem, row_number() OVER (ORDER BY stem) AS ordinal
+        FROM (SELECT DISTINCT episode || '_' || youtube_id AS stem FROM captions_v))
+    WHERE ordinal <= 50 AND stem NOT IN ({DONE_STEMS_SQL})
+""", "captions_v"))
+def q_episode_limit(spark, sf_dir):
+    from cuesheet.operators.scenes import episode_limit
+
+    return episode_limit(_caption_stems(spark, sf_dir), _done_stems(spark, sf_dir), 50)
+
+
+@register("resume_episodes", _v(f"""
+    SELECT DISTINCT episode || '_' || youtube_id AS stem FROM captions_v
+    WHERE episode || '_' || youtube_id NOT IN ({DONE_STEMS_SQL})
+""", "captions_v"))
+def q_resume_episodes(spark, sf_dir):
+    from cuesheet.operators.scenes import resume_anti
+
+    return resume_anti(_caption_stems(spark, sf_dir), _done_stems(spark, sf_dir), ["stem"])
+
+
+@register("resume_scenes", _v("""
+    SELECT episode, scene_id FROM scenes_v s
+    WHERE NOT EXISTS (SELECT 1 FROM scenes_v d WHERE d.scene_id % 3 = 0 AND d.episode = s.episode AND d.scene_id = s.scene_id)
+""", "scenes_v"))
+def q_resume_scenes(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.scenes import resume_anti
+    from cuesheet.sources.fixtures import scenes_view
+
+    s = scenes_view(spark, sf_dir).select("episode", "scene_id")
+    return resume_anti(s, s.where(F.col("scene_id") % 3 == 0), ["episode", "scene_id"])
+
+
+PAIR_SCENES_SQL = """
+    SELECT episode || '_vid' || CAST(conv_id AS VARCHAR) AS stem, count(*) AS n_scenes
+    FROM scenes_k WHERE conv_id % 4 <> 1 GROUP BY 1
+"""
+
+
+def _pair_inputs(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    s = _scenes_with_ids(spark, sf_dir).where(F.col("conv_id") % 4 != 1)
+    return _caption_stems(spark, sf_dir), s.select(F.concat_ws("_", "episode", "youtube_id").alias("stem"))
+
+
+@register("episode_pairing", _v(f"""
+    SELECT c.stem, p.n_scenes FROM (SELECT DISTINCT episode || '_' || youtube_id AS stem FROM captions_v) c
+    JOIN ({PAIR_SCENES_SQL}) p ON c.stem = p.stem WHERE p.n_scenes > 0
+""", "scenes_k", "captions_v"))
+def q_episode_pairing(spark, sf_dir):
+    from cuesheet.operators.scenes import episode_pairing
+
+    return episode_pairing(*_pair_inputs(spark, sf_dir))
+
+
+@register("episode_pairing_prefix", _v("""
+    SELECT c.stem, p.n_scenes FROM pc c JOIN pp p ON c.stem = p.stem, pg g
+    WHERE (g.gap IS NULL OR c.stem < g.gap) AND p.n_scenes > 0
+""", "scenes_k", "captions_v", extra=[
+    ("pc", "SELECT DISTINCT episode || '_' || youtube_id AS stem FROM captions_v"),
+    ("pp", PAIR_SCENES_SQL),
+    ("pg", "SELECT min(c.stem) AS gap FROM pc c LEFT JOIN pp p ON c.stem = p.stem WHERE p.stem IS NULL"),
+]))
+def q_episode_pairing_prefix(spark, sf_dir):
+    from cuesheet.operators.scenes import episode_pairing
+
+    return episode_pairing(*_pair_inputs(spark, sf_dir), stop_at_gap=True)
+
+
+@register("video_id_extract", "SELECT page_id, url, string_split(url, 'v=')[-1] AS video_id FROM pages")
+def q_video_id_extract(spark, sf_dir):
+    from cuesheet.operators.scenes import video_id_extract
+    from cuesheet.sources.tables import read_table
+
+    return video_id_extract(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+TRANSCRIPTS_SQL = """
+    SELECT 'vid' || CAST(doc_id % 97 AS VARCHAR) AS video,
+           CASE WHEN lang = 'en' THEN CASE WHEN doc_id % 3 = 0 THEN 'en-US' ELSE 'en' END ELSE lang END AS language,
+           n_chars % 4 <> 0 AS is_manual, doc_id AS transcript_id
+    FROM documents
+"""
+
+
+@register("transcript_pick", f"""
+    SELECT video, arg_min(transcript_id, (rnk, transcript_id)) AS transcript_id,
+           arg_min(language, (rnk, transcript_id)) AS language
+    FROM (SELECT *, CASE language WHEN 'en-US' THEN 1 WHEN 'en' THEN 2 END AS rnk FROM ({TRANSCRIPTS_SQL}))
+    WHERE is_manual AND rnk IS NOT NULL GROUP BY video
+""")
+def q_transcript_pick(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.scenes import transcript_pick
+    from cuesheet.sources.tables import read_table
+
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    t = d.select(
+        F.concat(F.lit("vid"), (F.col("doc_id") % 97).cast("string")).alias("video"),
+        F.when(F.col("lang") == "en", F.when(F.col("doc_id") % 3 == 0, F.lit("en-US")).otherwise(F.lit("en")))
+        .otherwise(F.col("lang")).alias("language"),
+        (F.col("n_chars") % 4 != 0).alias("is_manual"),
+        F.col("doc_id").alias("transcript_id"),
+    )
+    return transcript_pick(t)
+
+
+@register("episode_numbering", """
+    SELECT page_id, video_id, ordinal, printf('c2e%03d_%s.json', ordinal, video_id) AS file_name
+    FROM (SELECT page_id, string_split(url, 'v=')[-1] AS video_id, row_number() OVER (ORDER BY page_id) AS ordinal FROM pages)
+""")
+def q_episode_numbering(spark, sf_dir):
+    from cuesheet.operators.scenes import episode_numbering, video_id_extract
+    from cuesheet.sources.tables import read_table
+
+    v = video_id_extract(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+    return episode_numbering(v, ["page_id"]).select("page_id", "video_id", "ordinal", "file_name")
+
+
+def _speaker_map_values() -> str:
+    from cuesheet.constants import SPEAKER_MAP
+
+    return ", ".join(f"('{k}', '{v}')" for k, v in SPEAKER_MAP.items())
+
+
+@register("speaker_check", _v(f"""
+    SELECT episode_name, character_key, count(*) AS n_rows,
+           CAST(sum(CASE WHEN expected_speaker IS NULL THEN 0 WHEN upper(speaker) = expected_speaker THEN 0 ELSE 1 END) AS BIGINT) AS n_mismatch,
+           max(expected_speaker) AS expected_speaker
+    FROM (SELECT v.*, lower(trim(v.character)) AS character_key, m.expected_speaker FROM viewer_o v
+          LEFT JOIN (VALUES {_speaker_map_values()}) m(character_key, expected_speaker)
+            ON lower(trim(v.character)) = m.character_key)
+    GROUP BY episode_name, character_key
+""", "captions_v", "scenes_v", extra=VIEWER_EXTRA))
+def q_speaker_check(spark, sf_dir):
+    from cuesheet.operators.scenes import speaker_check
+
+    return speaker_check(_viewer(spark, sf_dir))
