@@ -670,3 +670,96 @@ def q_speaker_check(spark, sf_dir):
     from cuesheet.operators.scenes import speaker_check
 
     return speaker_check(_viewer(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# playback lookup
+# --------------------------------------------------------------------------
+def _meta_values() -> str:
+    from cuesheet.constants import EPISODE_META
+
+    return ", ".join(f"('{e}', {g}, {b0}, {b1})" for e, g, b0, b1 in EPISODE_META)
+
+
+LOOKUP_CTES = VIEWER_EXTRA + [
+    ("lk_b", "SELECT episode_name, min(start_time) AS mn, max(end_time) AS mx FROM viewer_o GROUP BY 1"),
+    ("lk_e", f"""
+        SELECT p.*, CASE WHEN b.mx IS NOT NULL THEN greatest(least(p.position, b.mx), b.mn) END AS t,
+               m.game_start, m.break_start, m.break_end
+        FROM positions_v p LEFT JOIN lk_b b ON p.episode = b.episode_name
+        LEFT JOIN (VALUES {_meta_values()}) m(meta_episode, game_start, break_start, break_end)
+          ON p.episode = m.meta_episode
+    """),
+    ("lk_e2", """
+        SELECT *, CASE WHEN t <= game_start THEN 'intro' WHEN t >= break_start AND t <= break_end THEN 'break'
+                       ELSE 'scene' END AS mode0 FROM lk_e
+    """),
+    ("lk_cand", """
+        SELECT e.session, e.ts, 0 AS prio, abs(v.mid_point - CASE WHEN e.mode0 = 'intro' THEN e.t ELSE 0.0 END) AS dist,
+               v.idx, v.scene_id, v.speaker, v.character, v.scene_name
+        FROM lk_e2 e JOIN viewer_o v ON v.episode_name = e.episode AND v.character = 'environment'
+        WHERE e.mode0 IN ('intro', 'break')
+        UNION ALL
+        SELECT e.session, e.ts, 0, 0.0, v.idx, v.scene_id, v.speaker, v.character, v.scene_name
+        FROM lk_e2 e JOIN viewer_o v ON v.episode_name = e.episode AND v.start_time <= e.t AND e.t <= v.end_time
+        WHERE e.mode0 = 'scene'
+        UNION ALL
+        SELECT e.session, e.ts, 1, abs(v.mid_point - e.t), v.idx, v.scene_id, v.speaker, v.character, v.scene_name
+        FROM lk_e2 e JOIN viewer_o v ON v.episode_name = e.episode
+        WHERE e.mode0 = 'scene' AND e.t IS NOT NULL
+    """),
+    ("lk_best", """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, ts ORDER BY prio, dist, idx) AS rn FROM lk_cand)
+        WHERE rn = 1
+    """),
+    ("lookup_o", """
+        SELECT e.session, e.episode, e.position, e.event_type, e.ts, e.t,
+               CASE WHEN e.mode0 <> 'scene' THEN e.mode0 WHEN b.prio = 0 THEN 'hit' WHEN b.prio IS NOT NULL THEN 'nearest' END AS mode,
+               b.scene_id, b.speaker, b.character, b.scene_name, b.idx
+        FROM lk_e2 e LEFT JOIN lk_best b ON e.session = b.session AND e.ts = b.ts
+    """),
+]
+
+
+def _lookup(spark, sf_dir):
+    from cuesheet.operators.lookup import build_lookup_index, lookup_scenes
+    from cuesheet.sources.fixtures import positions_view
+
+    index, stats = build_lookup_index(_viewer(spark, sf_dir))
+    ev = positions_view(spark, sf_dir)
+    return lookup_scenes(ev, index, stats, ["session", "ts"], event_key_map={"episode_name": "episode"})
+
+
+@register("scene_lookup", _v("SELECT * FROM lookup_o", "captions_v", "scenes_v", "positions_v", extra=LOOKUP_CTES))
+def q_scene_lookup(spark, sf_dir):
+    return _lookup(spark, sf_dir)
+
+
+@register("image_url", _v(f"""
+    SELECT session, ts, episode, scene_name,
+           CASE WHEN scene_name IS NOT NULL THEN printf('%s/%s/%s_image_%02d.png', '{__import__('cuesheet.constants', fromlist=['x']).DEFAULT_IMAGE_BASE_URL}',
+                episode, scene_name, CAST(floor(position * 16) AS BIGINT) % 12) END AS image_url
+    FROM lookup_o
+""", "captions_v", "scenes_v", "positions_v", extra=LOOKUP_CTES))
+def q_image_url(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.lookup import image_url
+
+    r = _lookup(spark, sf_dir)
+    return image_url(r, "episode", F.floor(F.col("position") * 16)).select("session", "ts", "episode", "scene_name", "image_url")
+
+
+@register("nearest_scene", _v("""
+    SELECT session, ts, episode, position, scene_id, idx, distance FROM (
+        SELECT p.session, p.ts, p.episode, p.position, v.scene_id, v.idx, abs(v.mid_point - p.position) AS distance,
+               row_number() OVER (PARTITION BY p.session, p.ts ORDER BY abs(v.mid_point - p.position), v.idx) AS rn
+        FROM positions_v p JOIN viewer_o v ON v.episode_name = p.episode)
+    WHERE rn = 1
+""", "captions_v", "scenes_v", "positions_v", extra=VIEWER_EXTRA))
+def q_nearest_scene(spark, sf_dir):
+    from cuesheet.operators.lookup import nearest_scene
+    from cuesheet.sources.fixtures import positions_view
+
+    ev = positions_view(spark, sf_dir).select("session", "ts", "episode", "position")
+    return nearest_scene(ev, _viewer(spark, sf_dir), ["session", "ts"])
