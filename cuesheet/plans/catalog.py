@@ -763,3 +763,179 @@ def q_nearest_scene(spark, sf_dir):
 
     ev = positions_view(spark, sf_dir).select("session", "ts", "episode", "position")
     return nearest_scene(ev, _viewer(spark, sf_dir), ["session", "ts"])
+
+
+# --------------------------------------------------------------------------
+# prompts and image manifests
+# --------------------------------------------------------------------------
+def _pcs_sql() -> str:
+    from cuesheet.constants import player_characters
+
+    return ", ".join(f"'{p}'" for p in player_characters())
+
+
+def _dim_values() -> str:
+    from cuesheet import constants as C
+    from cuesheet.plans.oracle_views import sql_str
+
+    names = list(dict.fromkeys([*C.CHARACTER_TOKENS, *C.ADDITIONAL_PROMPTS, *C.ADDITIONAL_NEGATIVE_PROMPTS,
+                                *C.player_characters()]))
+
+    def lit(v):
+        return "CAST(NULL AS VARCHAR)" if v is None else sql_str(v)
+
+    return ", ".join(
+        f"({sql_str(n)}, {lit(C.CHARACTER_TOKENS.get(n))}, {lit(C.ADDITIONAL_PROMPTS.get(n))}, "
+        f"{lit(C.ADDITIONAL_NEGATIVE_PROMPTS.get(n))})"
+        for n in names
+    )
+
+
+def _prompts_ctes() -> list[tuple[str, str]]:
+    from cuesheet import constants as C
+    from cuesheet.plans.oracle_views import sql_str
+
+    strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+    pcs = _pcs_sql()
+    aug = sql_str(", " + C.PROMPT_AUGMENTATION)
+    dflt = sql_str(C.DEFAULT_NEGATIVE_PROMPT)
+    return [
+        ("sp0", f"""SELECT episode AS episode_name, *, lower({strip.format('character')}) AS c0,
+                           lower({strip.format('scene_description')}) AS dsc FROM scenes_v"""),
+        ("sp1", f"""SELECT *, CASE WHEN strpos(c0, ' as ') > 0 THEN lower({strip.format("string_split(c0, ' as ')[-1]")})
+                                   ELSE c0 END AS ch FROM sp0"""),
+        ("sp2", f"""SELECT *, CASE WHEN len(string_split(ch, ' ')) > 1 AND string_split(ch, ' ')[1] IN ({pcs})
+                                        THEN string_split(ch, ' ')[1]
+                                   WHEN contains(dsc, ch) AND dsc IN ({pcs}) THEN dsc ELSE ch END AS cc0,
+                           TRY_CAST(string_split(episode_name, 'e')[-1] AS INTEGER) AS epn FROM sp1"""),
+        ("sp3", f"""SELECT *, CASE WHEN cc0 = 'veth' AND epn < {C.VETH_EPISODE} THEN 'nott'
+                                   WHEN cc0 = 'caduceus' AND epn < {C.MOLLYMAUK_EPISODE} THEN 'mollymauk'
+                                   ELSE cc0 END AS cc FROM sp2"""),
+        ("sp4", f"""SELECT sp3.*, coalesce(d.tok, cc) AS tok, coalesce(d.pr, '') AS pr, coalesce(d.ng, '') AS ng
+                    FROM sp3 LEFT JOIN (VALUES {_dim_values()}) d(nm, tok, pr, ng) ON sp3.cc = d.nm"""),
+        ("prompts_o", f"""
+            SELECT episode_name, scene_id,
+                   CASE WHEN ch = 'matt' THEN {sql_str(C.DM_CHARACTER)} ELSE cc END AS correct_char,
+                   CASE WHEN ch = 'matt' THEN {sql_str(C.DM_TOKEN)} ELSE tok END AS character_tokens,
+                   CASE WHEN ch = 'matt' THEN {sql_str(C.DM_PROMPT_PREFIX)} || dsc
+                        WHEN cc IN ({pcs}) THEN {sql_str(C.CHARACTER_DESC_PREFIX + ' ')} || tok
+                             || CASE WHEN pr <> '' THEN ', ' || pr ELSE '' END
+                             || ' ' || action || ', ' || poses || '. (' || background || ' background)++++, fantasy world'
+                             || {aug}
+                        ELSE {sql_str(C.NON_PC_PROMPT_PREFIX)} || dsc || {aug} END AS prompt,
+                   CASE WHEN ch = 'matt' THEN {dflt} WHEN ng <> '' THEN ng || ', ' || {dflt} ELSE {dflt} END AS negative_prompt
+            FROM sp4"""),
+    ]
+
+
+def _prompted(spark, sf_dir):
+    from cuesheet.operators.prompts import scene_prompts
+    from cuesheet.sources.fixtures import scenes_view
+
+    return scene_prompts(scenes_view(spark, sf_dir).withColumnRenamed("episode", "episode_name"))
+
+
+@register("scene_prompts", _v("SELECT * FROM prompts_o", "scenes_v", extra=_prompts_ctes()))
+def q_scene_prompts(spark, sf_dir):
+    return _prompted(spark, sf_dir).select(
+        "episode_name", "scene_id", "correct_char", "character_tokens", "prompt", "negative_prompt"
+    )
+
+
+RUN_METADATA = {"dataset_id": "scenes-v1", "lora_model_id": "lora-v1", "refiner_model_id": None}
+
+
+@register("scene_metadata_json", _v("""
+    SELECT p.episode_name, p.scene_id, printf('scene_%03d_metadata.json', p.scene_id) AS metadata_file,
+           'scenes-v1' AS j_dataset_id, CAST(NULL AS VARCHAR) AS j_refiner_model_id, p.correct_char AS j_correct_char,
+           p.prompt AS j_prompt, CAST(s.start_time AS VARCHAR) AS j_start_time, 19 AS j_n_keys
+    FROM prompts_o p JOIN scenes_v s ON s.episode = p.episode_name AND s.scene_id = p.scene_id
+""", "scenes_v", extra=_prompts_ctes()))
+def q_scene_metadata_json(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.manifest import scene_metadata
+
+    fields = ["episode_name", "scene_id", "speaker", "character", "in_game", "background", "action", "object", "poses",
+              "start_time", "end_time", "scene_description", "correct_char", "character_tokens", "prompt",
+              "negative_prompt"]
+    m = scene_metadata(_prompted(spark, sf_dir), RUN_METADATA, fields)
+    j = F.col("metadata_json")
+    return m.select(
+        "episode_name", "scene_id", "metadata_file",
+        F.get_json_object(j, "$.dataset_id").alias("j_dataset_id"),
+        F.get_json_object(j, "$.refiner_model_id").alias("j_refiner_model_id"),
+        F.get_json_object(j, "$.correct_char").alias("j_correct_char"),
+        F.get_json_object(j, "$.prompt").alias("j_prompt"),
+        F.get_json_object(j, "$.start_time").alias("j_start_time"),
+        F.size(F.json_object_keys(j)).alias("j_n_keys"),
+    )
+
+
+IMAGE_MANIFEST_SQL = """
+    SELECT s.episode AS episode_name, s.scene_id, CAST(n.image_num AS INTEGER) AS image_num,
+           printf('%s/scene_%03d_image_%02d.png', s.episode, s.scene_id, n.image_num) AS image_path
+    FROM scenes_v s, range(8) n(image_num)
+    WHERE s.scene_id % 3 <> 0
+"""
+
+
+def _image_manifest(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.manifest import image_manifest
+
+    p = _prompted(spark, sf_dir)
+    done = p.where(F.col("scene_id") % 3 == 0).select("episode_name", "scene_id")
+    return image_manifest(p, done)
+
+
+@register("image_manifest", _v(IMAGE_MANIFEST_SQL, "scenes_v"))
+def q_image_manifest(spark, sf_dir):
+    return _image_manifest(spark, sf_dir).select("episode_name", "scene_id", "image_num", "image_path")
+
+
+@register("episode_change", _v("""
+    SELECT ordinal, episode_name, scene_id,
+           coalesce(lag(episode_name) OVER w <> episode_name, true) AS is_first,
+           coalesce(lead(episode_name) OVER w <> episode_name, true) AS upload_after
+    FROM (SELECT *, row_number() OVER (ORDER BY episode_name, scene_id) - 1 AS ordinal
+          FROM (SELECT DISTINCT episode AS episode_name, scene_id FROM scenes_v WHERE scene_id % 3 <> 0))
+    WINDOW w AS (ORDER BY ordinal)
+""", "scenes_v"))
+def q_episode_change(spark, sf_dir):
+    from cuesheet.operators.manifest import upload_points
+
+    gen = _image_manifest(spark, sf_dir).select("episode_name", "scene_id").distinct()
+    return upload_points(gen)
+
+
+@register("content_name", _v("""
+    SELECT i.instance, i.id,
+           printf('%d-%s.jpg', row_number() OVER (PARTITION BY i.instance ORDER BY i.id) - 1 + coalesce(e.n_existing, 0),
+                  sha1(i.content)) AS file_name
+    FROM images_v i LEFT JOIN (SELECT instance, count(*) AS n_existing FROM images_v WHERE id % 5 = 0 GROUP BY 1) e
+      ON i.instance = e.instance
+""", "images_v"))
+def q_content_name(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.manifest import content_names
+    from cuesheet.sources.fixtures import images_view
+
+    im = images_view(spark, sf_dir)
+    existing = im.where(F.col("id") % 5 == 0).groupBy("instance").agg(F.count(F.lit(1)).alias("n_existing"))
+    return content_names(im, existing)
+
+
+@register("download_manifest", _v("""
+    SELECT instance_name, file_name, instance_name || '/' || file_name AS target,
+           arg_max(url, pos) AS url, max(pos) AS pos, count(*) AS n_urls
+    FROM (SELECT *, string_split(url, '/')[-1] AS file_name FROM instances_v)
+    GROUP BY instance_name, file_name
+""", "instances_v"))
+def q_download_manifest(spark, sf_dir):
+    from cuesheet.operators.manifest import download_manifest
+    from cuesheet.sources.fixtures import instances_view
+
+    return download_manifest(instances_view(spark, sf_dir))
