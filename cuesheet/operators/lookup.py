@@ -70,22 +70,19 @@ def build_lookup_index(
     return index, stats
 
 
-def lookup_scenes(
+def lookup_candidates(
     events: DataFrame,
     index: DataFrame,
     stats: DataFrame,
-    event_keys: Sequence[str],
     keys: Sequence[str] = ("episode_name",),
     event_key_map: dict[str, str] | None = None,
     position_col: str = "position",
     width: float = DEFAULT_LOOKUP_WIDTH,
     meta: DataFrame | None = None,
 ) -> DataFrame:
-    """Resolve every event to one viewer row (null columns when none exists).
-
-    ``event_key_map`` maps lookup keys to event columns (default same name).
-    Output: event columns + ``t`` (clamped time), ``mode`` and the row fields.
-    """
+    """Stateless part of the lookup (usable on a stream): every event joined to
+    its candidate rows.  Output: event columns + ``t``, ``mode0`` and ``cand``
+    (struct prio, dist, a) or null."""
     keys = list(keys)
     ekm = {k: (event_key_map or {}).get(k, k) for k in keys}
     spark = events.sparkSession
@@ -127,17 +124,39 @@ def lookup_scenes(
     prio = F.when(F.col("p_kind") == "all", F.lit(1)).otherwise(F.lit(0))
     dist = F.when(F.col("p_kind") == "hit", F.lit(0.0)).otherwise(F.abs(F.col("a_t") - F.col("p_t")))
     cand = F.when(F.col("a").isNotNull(), F.struct(prio.alias("prio"), dist.alias("dist"), F.col("a").alias("a")))
+    return j.select(*ev_cols, "t", "mode0", cand.alias("cand"))
+
+
+def _mode(best: str = "b") -> "F.Column":
+    return F.when(F.col("mode0") != "scene", F.col("mode0")).when(F.col(f"{best}.prio") == 0, F.lit("hit")).when(
+        F.col(best).isNotNull(), F.lit("nearest"))
+
+
+def lookup_scenes(
+    events: DataFrame,
+    index: DataFrame,
+    stats: DataFrame,
+    event_keys: Sequence[str],
+    keys: Sequence[str] = ("episode_name",),
+    event_key_map: dict[str, str] | None = None,
+    position_col: str = "position",
+    width: float = DEFAULT_LOOKUP_WIDTH,
+    meta: DataFrame | None = None,
+) -> DataFrame:
+    """Resolve every event to one viewer row (null columns when none exists).
+
+    ``event_key_map`` maps lookup keys to event columns (default same name).
+    Output: event columns + ``t`` (clamped time), ``mode`` and the row fields.
+    """
+    ev_cols = events.columns
+    j = lookup_candidates(events, index, stats, keys, event_key_map, position_col, width, meta)
     best = j.groupBy(*event_keys).agg(
         *[F.any_value(c).alias(c) for c in ev_cols if c not in event_keys],
         F.any_value("t").alias("t"), F.any_value("mode0").alias("mode0"),
-        F.min(cand).alias("b"),
-    )
-    mode = F.when(F.col("mode0") != "scene", F.col("mode0")).when(F.col("b.prio") == 0, F.lit("hit")).when(
-        F.col("b").isNotNull(), F.lit("nearest"))
-    return best.select(
-        *ev_cols, "t", mode.alias("mode"),
-        *[F.col(f"b.a.{c}").alias(c) for c in ["scene_id", "speaker", "character", "scene_name", "idx"]],
+        F.min("cand").alias("b"),
     )
+    fields = [c for c in ["scene_id", "speaker", "character", "scene_name", "idx"] if c not in ev_cols]
+    return best.select(*ev_cols, "t", _mode().alias("mode"), *[F.col(f"b.a.{c}").alias(c) for c in fields])
 
 
 def image_url(df: DataFrame, episode_col: str, variation: "F.Column", base: str = DEFAULT_IMAGE_BASE_URL) -> DataFrame:

@@ -939,3 +939,94 @@ def q_download_manifest(spark, sf_dir):
     from cuesheet.sources.fixtures import instances_view
 
     return download_manifest(instances_view(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# playback change detection and image updates
+# --------------------------------------------------------------------------
+_EM = ("((e.position - r.last > 5 OR e.position = 0) AND "
+       "(r.s_ch IS DISTINCT FROM e.character OR r.s_sid IS DISTINCT FROM e.scene_id))")
+PLAYBACK_CTES = LOOKUP_CTES + [
+    ("pc_ev", """SELECT session, ts, episode, position, event_type, speaker, character, scene_id,
+                        row_number() OVER (PARTITION BY session ORDER BY ts) AS rn FROM lookup_o"""),
+    ("pc_rec", f"""
+        SELECT DISTINCT session, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS episode,
+               CAST(NULL AS DOUBLE) AS position, CAST(0.0 AS DOUBLE) AS last, CAST(NULL AS VARCHAR) AS s_spk,
+               CAST(NULL AS VARCHAR) AS s_ch, CAST(NULL AS INTEGER) AS s_sid, false AS emit
+        FROM pc_ev
+        UNION ALL
+        SELECT e.session, e.rn, e.ts, e.episode, e.position,
+               CASE WHEN e.event_type = 1 THEN 0.0 WHEN e.position - r.last > 5 THEN e.position ELSE r.last END,
+               CASE WHEN {_EM} THEN e.speaker ELSE r.s_spk END,
+               CASE WHEN {_EM} THEN e.character ELSE r.s_ch END,
+               CASE WHEN {_EM} THEN e.scene_id ELSE r.s_sid END,
+               {_EM}
+        FROM pc_rec r JOIN pc_ev e ON e.session = r.session AND e.rn = r.rn + 1
+    """),
+    ("pc_out", """SELECT session, ts, episode, position, s_spk AS speaker, s_ch AS character, s_sid AS scene_id
+                  FROM pc_rec WHERE emit"""),
+]
+
+
+def _filtered_lookup_ctes() -> list[tuple[str, str]]:
+    filt = "AND v.speaker = e.speaker AND v.character = e.character"
+    return [
+        ("fl_b", f"""SELECT e.session, e.ts, min(v.start_time) AS mn, max(v.end_time) AS mx
+                     FROM pc_out e JOIN viewer_o v ON v.episode_name = e.episode {filt} GROUP BY e.session, e.ts"""),
+        ("fl_e", f"""
+            SELECT p.*, CASE WHEN b.mx IS NOT NULL THEN greatest(least(p.position, b.mx), b.mn) END AS t,
+                   m.game_start, m.break_start, m.break_end
+            FROM pc_out p LEFT JOIN fl_b b ON p.session = b.session AND p.ts = b.ts
+            LEFT JOIN (VALUES {_meta_values()}) m(meta_episode, game_start, break_start, break_end)
+              ON p.episode = m.meta_episode"""),
+        ("fl_e2", """SELECT *, CASE WHEN t <= game_start THEN 'intro' WHEN t >= break_start AND t <= break_end THEN 'break'
+                                    ELSE 'scene' END AS mode0 FROM fl_e"""),
+        ("fl_cand", f"""
+            SELECT e.session, e.ts, 0 AS prio, abs(v.mid_point - CASE WHEN e.mode0 = 'intro' THEN e.t ELSE 0.0 END) AS dist,
+                   v.idx, v.scene_name
+            FROM fl_e2 e JOIN viewer_o v ON v.episode_name = e.episode {filt} AND v.character = 'environment'
+            WHERE e.mode0 IN ('intro', 'break')
+            UNION ALL
+            SELECT e.session, e.ts, 0, 0.0, v.idx, v.scene_name
+            FROM fl_e2 e JOIN viewer_o v ON v.episode_name = e.episode {filt} AND v.start_time <= e.t AND e.t <= v.end_time
+            WHERE e.mode0 = 'scene'
+            UNION ALL
+            SELECT e.session, e.ts, 1, abs(v.mid_point - e.t), v.idx, v.scene_name
+            FROM fl_e2 e JOIN viewer_o v ON v.episode_name = e.episode {filt}
+            WHERE e.mode0 = 'scene' AND e.t IS NOT NULL"""),
+        ("fl_best", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, ts ORDER BY prio, dist, idx) AS rn
+                       FROM fl_cand) WHERE rn = 1"""),
+    ]
+
+
+def _playback(spark, sf_dir):
+    from cuesheet.streaming.playback import playback_changes
+
+    return playback_changes(_lookup(spark, sf_dir))
+
+
+@register("playback_changes", _v("SELECT * FROM pc_out", "captions_v", "scenes_v", "positions_v",
+                                   extra=PLAYBACK_CTES, recursive=True))
+def q_playback_changes(spark, sf_dir):
+    return _playback(spark, sf_dir)
+
+
+@register("image_updates", _v(f"""
+    SELECT e.session, e.ts, e.episode, e.speaker, e.character, b.scene_name,
+           CASE WHEN b.scene_name IS NOT NULL THEN printf('%s/%s/%s_image_%02d.png',
+                '{__import__('cuesheet.constants', fromlist=['x']).DEFAULT_IMAGE_BASE_URL}',
+                e.episode, b.scene_name, CAST(floor(e.position * 16) AS BIGINT) % 12) END AS image_url
+    FROM pc_out e LEFT JOIN fl_best b ON e.session = b.session AND e.ts = b.ts
+""", "captions_v", "scenes_v", "positions_v", extra=PLAYBACK_CTES + _filtered_lookup_ctes(), recursive=True))
+def q_image_updates(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.lookup import build_lookup_index, image_url, lookup_scenes
+
+    keys = ["episode_name", "speaker", "character"]
+    index, stats = build_lookup_index(_viewer(spark, sf_dir), keys)
+    em = _playback(spark, sf_dir)
+    r = lookup_scenes(em, index, stats, ["session", "ts"], keys, event_key_map={"episode_name": "episode"})
+    return image_url(r, "episode", F.floor(F.col("position") * 16)).select(
+        "session", "ts", "episode", "speaker", "character", "scene_name", "image_url"
+    )
