@@ -1030,3 +1030,350 @@ def q_image_updates(spark, sf_dir):
     return image_url(r, "episode", F.floor(F.col("position") * 16)).select(
         "session", "ts", "episode", "speaker", "character", "scene_name", "image_url"
     )
+
+
+# --------------------------------------------------------------------------
+# training-data preparation and artifacts
+# --------------------------------------------------------------------------
+def _cfg(spark, sf_dir):
+    from cuesheet.sources.fixtures import instance_config_view
+
+    return instance_config_view(spark, sf_dir)
+
+
+def _images(spark, sf_dir):
+    from cuesheet.sources.fixtures import images_view
+
+    return images_view(spark, sf_dir)
+
+
+def _inst_images(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return _images(spark, sf_dir).where(F.col("width") >= 600)
+
+
+def _class_images(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    cfg = _cfg(spark, sf_dir).where(F.col("class_data_root").isNotNull()).select(F.col("instance_name").alias("instance"))
+    return _images(spark, sf_dir).where(F.col("width") < 600).join(cfg, "instance", "left_semi")
+
+
+CAPTION_RULE_SQL = "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN NULL ELSE substr(content, 1, 24) END"
+
+
+def _caption_rule():
+    from pyspark.sql import functions as F
+
+    return (F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
+            .otherwise(F.substring("content", 1, 24)))
+
+
+@register("instance_subset", _v("""
+    SELECT instance_name, instance_prompt FROM instcfg_v WHERE instance_name IN ('inst01', 'inst04', 'inst09')
+""", "instcfg_v"))
+def q_instance_subset(spark, sf_dir):
+    from cuesheet.operators.trainprep import instance_subset
+
+    return instance_subset(_cfg(spark, sf_dir), ["inst01", "inst04", "inst09"]).select("instance_name", "instance_prompt")
+
+
+@register("instance_paths", _v("""
+    SELECT instance_name, '/data/' || instance_data_root AS instance_path,
+           CASE WHEN class_data_root IS NOT NULL THEN '/data/' || class_data_root END AS class_path
+    FROM instcfg_v
+""", "instcfg_v"))
+def q_instance_paths(spark, sf_dir):
+    from cuesheet.operators.trainprep import instance_paths
+
+    return instance_paths(_cfg(spark, sf_dir), "/data")
+
+
+@register("example_prompts", _v(f"""
+    SELECT i.id, i.instance, coalesce(nullif({CAPTION_RULE_SQL}, ''), c.instance_prompt) AS prompt
+    FROM images_v i LEFT JOIN instcfg_v c ON c.instance_name = i.instance WHERE i.width >= 600
+""", "images_v", "instcfg_v"))
+def q_example_prompts(spark, sf_dir):
+    from cuesheet.operators.trainprep import example_prompts
+
+    im = _inst_images(spark, sf_dir).withColumn("caption", _caption_rule())
+    return example_prompts(im, _cfg(spark, sf_dir)).select("id", "instance", "prompt")
+
+
+FOLDER_COUNTS_SQL = """
+    SELECT c.instance_name, coalesce(ic.n, 0) AS n_instance_images,
+           CASE WHEN c.class_data_root IS NULL THEN NULL ELSE coalesce(cc.n, 0) END AS n_class_images
+    FROM instcfg_v c
+    LEFT JOIN (SELECT instance, count(*) AS n FROM images_v WHERE width >= 600 GROUP BY 1) ic ON ic.instance = c.instance_name
+    LEFT JOIN (SELECT instance, count(*) AS n FROM images_v WHERE width < 600 GROUP BY 1) cc ON cc.instance = c.instance_name
+"""
+
+
+def _folder_counts(spark, sf_dir):
+    from cuesheet.operators.trainprep import folder_counts
+
+    return folder_counts(_cfg(spark, sf_dir), _inst_images(spark, sf_dir), _class_images(spark, sf_dir))
+
+
+@register("folder_counts", _v(FOLDER_COUNTS_SQL, "images_v", "instcfg_v"))
+def q_folder_counts(spark, sf_dir):
+    return _folder_counts(spark, sf_dir)
+
+
+@register("instance_counts", _v(f"""
+    SELECT instance_name, n_instance_images * 2 AS n_examples,
+           greatest(n_instance_images * 2, coalesce(n_class_images, 0)) AS n_examples_max
+    FROM ({FOLDER_COUNTS_SQL})
+""", "images_v", "instcfg_v"))
+def q_instance_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    c = _folder_counts(spark, sf_dir)
+    n = F.col("n_instance_images") * 2
+    return c.select("instance_name", n.alias("n_examples"),
+                    F.greatest(n, F.coalesce("n_class_images", F.lit(0))).alias("n_examples_max"))
+
+
+@register("class_pairing", _v("""
+    SELECT ii.instance, ii.id, ii.inst_idx, coalesce(nc.n_class, 0) AS n_class, ci.class_id
+    FROM (SELECT instance, id, row_number() OVER (PARTITION BY instance ORDER BY id) - 1 AS inst_idx
+          FROM images_v WHERE width >= 600) ii
+    LEFT JOIN (SELECT instance, least(count(*), 10) AS n_class FROM ci_o GROUP BY 1) nc ON nc.instance = ii.instance
+    LEFT JOIN ci_o ci ON ci.instance = ii.instance AND ci.class_idx = ii.inst_idx % nc.n_class
+""", "images_v", "instcfg_v", extra=[("ci_o", """
+    SELECT i.instance, i.id AS class_id, row_number() OVER (PARTITION BY i.instance ORDER BY i.id) - 1 AS class_idx
+    FROM images_v i JOIN instcfg_v c ON c.instance_name = i.instance AND c.class_data_root IS NOT NULL
+    WHERE i.width < 600
+""")]))
+def q_class_pairing(spark, sf_dir):
+    from cuesheet.operators.trainprep import class_pairing
+
+    return class_pairing(_inst_images(spark, sf_dir), _class_images(spark, sf_dir), 10)
+
+
+GLOBAL_INDEX_SQL = """
+    SELECT instance, id, CAST(rep AS INTEGER) AS rep,
+           row_number() OVER (ORDER BY instance, id, rep) - 1 AS global_idx,
+           row_number() OVER (PARTITION BY instance ORDER BY id, rep) - 1 AS local_idx
+    FROM images_v, range(2) r(rep) WHERE width >= 600
+"""
+
+
+@register("global_index", _v(GLOBAL_INDEX_SQL, "images_v"))
+def q_global_index(spark, sf_dir):
+    from cuesheet.operators.trainprep import global_index
+
+    return global_index(_inst_images(spark, sf_dir), repeats=2).select("instance", "id", "rep", "global_idx", "local_idx")
+
+
+@register("prompt_dir_zip", _v("""
+    SELECT instance_name, class_prompt, class_data_root AS class_dir FROM instcfg_v WHERE class_data_root IS NOT NULL
+""", "instcfg_v"))
+def q_prompt_dir_zip(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    cfg = _cfg(spark, sf_dir)
+    z = cfg.select("instance_name", F.inline(F.arrays_zip(F.array("class_prompt"), F.array("class_data_root"))))
+    z = z.toDF("instance_name", "class_prompt", "class_dir")
+    return z.where(F.col("class_dir").isNotNull())
+
+
+@register("validation_prompts", _v("""
+    SELECT row_number() OVER (ORDER BY instance_name, j) - 1 AS pos, instance_name, prompt FROM (
+        SELECT instance_name, 0 AS j, validation_prompt AS prompt FROM instcfg_v
+        UNION ALL SELECT instance_name, 1, class_prompt FROM instcfg_v) WHERE prompt IS NOT NULL
+""", "instcfg_v"))
+def q_validation_prompts(spark, sf_dir):
+    from cuesheet.operators.trainprep import validation_prompts
+
+    return validation_prompts(_cfg(spark, sf_dir))
+
+
+@register("repeat_rows", _v("SELECT id, instance, CAST(rep AS INTEGER) AS rep FROM images_v, range(3) r(rep)", "images_v"))
+def q_repeat_rows(spark, sf_dir):
+    from cuesheet.operators.trainprep import repeat_rows
+
+    return repeat_rows(_images(spark, sf_dir).select("id", "instance"), 3)
+
+
+@register("topup_rows", _v("""
+    SELECT instance_name, class_data_root, prompt, index, index + existing AS file_number FROM (
+        SELECT instance_name, class_data_root, class_prompt AS prompt, existing,
+               unnest(range(greatest(200 - existing, 0))) AS index
+        FROM (SELECT c.*, coalesce(cc.n, 0) AS existing FROM instcfg_v c
+              LEFT JOIN (SELECT instance, count(*) AS n FROM images_v WHERE width < 600 GROUP BY 1) cc
+                ON cc.instance = c.instance_name
+              WHERE c.class_data_root IS NOT NULL))
+""", "images_v", "instcfg_v"))
+def q_topup_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.trainprep import topup_rows
+
+    counts = _class_images(spark, sf_dir).groupBy(F.col("instance").alias("instance_name")).agg(
+        F.count(F.lit(1)).alias("existing"))
+    return topup_rows(_cfg(spark, sf_dir), counts, 200)
+
+
+TRAIN_BATCHES_SQL = f"""
+    SELECT CAST(floor(rn / 4) AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS n_examples,
+           array_to_string(list_concat(list(prompt ORDER BY rn),
+               coalesce(list(class_prompt ORDER BY rn) FILTER (WHERE class_prompt IS NOT NULL), [])), ' | ') AS prompts
+    FROM (SELECT g.*, coalesce(nullif({CAPTION_RULE_SQL.replace('content', 'i.content').replace('id %', 'g.id %')}, ''), c.instance_prompt) AS prompt,
+                 c.class_prompt, row_number() OVER (ORDER BY md5('42:' || CAST(g.global_idx AS VARCHAR))) - 1 AS rn
+          FROM ({GLOBAL_INDEX_SQL}) g JOIN images_v i ON i.id = g.id
+          LEFT JOIN instcfg_v c ON c.instance_name = g.instance)
+    GROUP BY 1
+"""
+
+
+def _train_batches(spark, sf_dir):
+    from cuesheet.operators.trainprep import global_index, train_batches
+
+    im = _inst_images(spark, sf_dir)
+    g = global_index(im, repeats=2)
+    cap = im.select("id", _caption_rule().alias("caption"))
+    cfg = _cfg(spark, sf_dir).select("instance_name", "instance_prompt", "class_prompt")
+    from pyspark.sql import functions as F
+
+    ex = g.join(cap, "id").join(cfg, g["instance"] == cfg["instance_name"], "left").withColumn(
+        "prompt", F.coalesce(F.nullif(F.col("caption"), F.lit("")), F.col("instance_prompt")))
+    return train_batches(ex, batch_size=4, seed=42, prior=True)
+
+
+@register("train_batches", _v(TRAIN_BATCHES_SQL, "images_v", "instcfg_v"))
+def q_train_batches(spark, sf_dir):
+    return _train_batches(spark, sf_dir)
+
+
+@register("epoch_plan", _v(f"""
+    SELECT n_batches, CAST(ceil(n_batches / 2) AS BIGINT) AS updates_per_epoch,
+           CAST(ceil(n_batches / 2) * 3 AS BIGINT) AS max_train_steps,
+           CAST(ceil(ceil(n_batches / 2) * 3 / ceil(n_batches / 2)) AS BIGINT) AS num_epochs,
+           8 AS total_batch_size
+    FROM (SELECT count(*) AS n_batches FROM ({TRAIN_BATCHES_SQL}))
+""", "images_v", "instcfg_v"))
+def q_epoch_plan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.trainprep import epoch_plan
+
+    n = _train_batches(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_batches"))
+    return epoch_plan(n, accum=2, epochs=3, max_steps=None, batch_size=4)
+
+
+CROP_SQL = """
+    SELECT id, orig_h, orig_w, new_h, new_w,
+           greatest(0, CAST(round_even((new_h - 256) / 2.0, 0) AS INTEGER)) AS center_y,
+           greatest(0, CAST(round_even((new_w - 256) / 2.0, 0) AS INTEGER)) AS center_x,
+           CAST((id * 7919) % (new_h - 256 + 1) AS INTEGER) AS rand_y,
+           CAST((id * 104729) % (new_w - 256 + 1) AS INTEGER) AS rand_x,
+           (id * 31 + 7) % 2 = 0 AS flip
+    FROM (SELECT id, height AS orig_h, width AS orig_w,
+                 CASE WHEN width <= height THEN CAST(floor(256 * height / width) AS INTEGER) ELSE 256 END AS new_h,
+                 CASE WHEN width <= height THEN 256 ELSE CAST(floor(256 * width / height) AS INTEGER) END AS new_w
+          FROM images_v)
+"""
+
+
+@register("crop_geometry", _v(CROP_SQL, "images_v"))
+def q_crop_geometry(spark, sf_dir):
+    from cuesheet.operators.trainprep import crop_geometry
+
+    return crop_geometry(_images(spark, sf_dir), 256)
+
+
+@register("time_ids", _v(f"SELECT id, [orig_h, orig_w, center_y, center_x, 256, 256] AS time_ids FROM ({CROP_SQL})", "images_v"))
+def q_time_ids(spark, sf_dir):
+    from cuesheet.operators.trainprep import crop_geometry, time_ids
+
+    return time_ids(crop_geometry(_images(spark, sf_dir), 256), 256)
+
+
+@register("scale_vectors", _v("SELECT id, list_transform(v, lambda x: (CAST(x AS DOUBLE) - 0.5) / 0.5) AS scaled FROM vectors_v", "vectors_v"))
+def q_scale_vectors(spark, sf_dir):
+    from cuesheet.operators.trainprep import scale_vectors
+    from cuesheet.sources.fixtures import vectors_view
+
+    return scale_vectors(vectors_view(spark, sf_dir))
+
+
+@register("pad_vectors", _v("""
+    SELECT r.id, list_resize(r.v, len(f.v), CAST(0.0 AS FLOAT)) AS padded, CAST(len(f.v) - len(r.v) AS INTEGER) AS n_pad
+    FROM ragged_v r JOIN vectors_v f ON f.id = r.id
+""", "vectors_v", "ragged_v"))
+def q_pad_vectors(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.trainprep import pad_pair
+    from cuesheet.sources.fixtures import vectors_view
+
+    r = vectors_view(spark, sf_dir, ragged=True).select("id", F.col("v").alias("r"))
+    f = vectors_view(spark, sf_dir).select("id", "v")
+    j = r.join(f, "id")
+    return j.select("id", pad_pair(F.col("r"), F.col("v")).alias("padded"),
+                    (F.size("v") - F.size("r")).cast("int").alias("n_pad"))
+
+
+@register("concat_vectors", _v("""
+    SELECT f.id, list_concat(f.v, r.v) AS joined, CAST(len(f.v) + len(r.v) AS INTEGER) AS n
+    FROM vectors_v f JOIN ragged_v r ON f.id = r.id
+""", "vectors_v", "ragged_v"))
+def q_concat_vectors(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.fixtures import vectors_view
+
+    r = vectors_view(spark, sf_dir, ragged=True).select("id", F.col("v").alias("r"))
+    f = vectors_view(spark, sf_dir).select("id", "v")
+    j = f.join(r, "id")
+    return j.select("id", F.concat("v", "r").alias("joined"), (F.size("v") + F.size("r")).cast("int").alias("n"))
+
+
+@register("encode_distinct", _v("""
+    SELECT episode_name, scene_id, CAST(length(prompt) AS BIGINT) AS n_chars,
+           CAST(len(regexp_split_to_array(trim(prompt), '\\s+')) AS BIGINT) AS n_words
+    FROM prompts_o
+""", "scenes_v", extra=_prompts_ctes()))
+def q_encode_distinct(spark, sf_dir):
+    from cuesheet.operators.trainprep import encode_distinct, length_encoder
+
+    p = _prompted(spark, sf_dir).select("episode_name", "scene_id", "prompt")
+    return encode_distinct(p, "prompt", length_encoder, "n_chars long, n_words long").select(
+        "episode_name", "scene_id", "n_chars", "n_words")
+
+
+@register("artifact_retention", _v("""
+    SELECT owner, path, step, CASE WHEN n >= 3 AND rnk < n - 3 + 1 THEN 'remove' ELSE 'keep' END AS action
+    FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY step, path) - 1 AS rnk,
+                 count(*) OVER (PARTITION BY owner) AS n
+          FROM (SELECT owner, path, TRY_CAST(split_part(path, '-', 2) AS BIGINT) AS step FROM artifacts_v
+                WHERE starts_with(path, 'checkpoint')))
+""", "artifacts_v"))
+def q_artifact_retention(spark, sf_dir):
+    from cuesheet.operators.artifacts import artifact_retention
+    from cuesheet.sources.fixtures import artifacts_view
+
+    return artifact_retention(artifacts_view(spark, sf_dir), 3)
+
+
+@register("latest_artifact", _v("""
+    SELECT owner, arg_max(path, step) AS path, max(step) AS global_step, CAST(floor(max(step) / 7) AS BIGINT) AS first_epoch
+    FROM (SELECT owner, path, TRY_CAST(split_part(path, '-', 2) AS BIGINT) AS step FROM artifacts_v
+          WHERE starts_with(path, 'checkpoint'))
+    GROUP BY owner
+""", "artifacts_v"))
+def q_latest_artifact(spark, sf_dir):
+    from cuesheet.operators.artifacts import latest_artifact
+    from cuesheet.sources.fixtures import artifacts_view
+
+    return latest_artifact(artifacts_view(spark, sf_dir), 7)
+
+
+@register("resolve_columns", "SELECT doc_id AS image, source AS caption FROM documents")
+def q_resolve_columns(spark, sf_dir):
+    from cuesheet.operators.trainprep import resolve_columns
+    from cuesheet.sources.tables import read_table
+
+    return resolve_columns(read_table(spark, sf_dir, "documents"), None, "source", "a photo")

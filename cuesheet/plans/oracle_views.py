@@ -117,6 +117,14 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "ragged_v": ([], """
         SELECT vec_id AS id, label, embedding[1:64 - label] AS v FROM embeddings
     """),
+    "instcfg_v": (["instances_v"], """
+        SELECT instance_name, 'instances/' || instance_name AS instance_data_root,
+               'a photo of ' || instance_name AS instance_prompt,
+               CASE WHEN CAST(substr(instance_name, 5, 2) AS INTEGER) % 2 = 0 THEN 'class/' || instance_name END AS class_data_root,
+               CASE WHEN CAST(substr(instance_name, 5, 2) AS INTEGER) % 2 = 0 THEN 'a photo of a person' END AS class_prompt,
+               CASE WHEN CAST(substr(instance_name, 5, 2) AS INTEGER) % 3 <> 0 THEN 'a picture of ' || instance_name END AS validation_prompt
+        FROM (SELECT DISTINCT instance_name FROM instances_v)
+    """),
     "artifacts_v": ([], """
         SELECT o_custkey AS owner, 'checkpoint-' || CAST(o_orderkey AS VARCHAR) AS path FROM orders
     """),

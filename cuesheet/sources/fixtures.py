@@ -220,3 +220,22 @@ def artifacts_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("owner"),
         F.concat(F.lit("checkpoint-"), F.col("o_orderkey").cast("string")).alias("path"),
     )
+
+
+def instance_config_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instance configuration rows derived from the instances of `pages`.
+
+    instance_data_root ``instances/<name>``; class folder and class prompt on
+    even-numbered instances only; no validation prompt on every third one.
+    """
+    names = instances_view(spark, sf_dir).select("instance_name").distinct()
+    n = F.substring("instance_name", 5, 2).cast("int")
+    has_class = n % 2 == 0
+    return names.select(
+        "instance_name",
+        F.concat(F.lit("instances/"), F.col("instance_name")).alias("instance_data_root"),
+        F.concat(F.lit("a photo of "), F.col("instance_name")).alias("instance_prompt"),
+        F.when(has_class, F.concat(F.lit("class/"), F.col("instance_name"))).alias("class_data_root"),
+        F.when(has_class, F.lit("a photo of a person")).alias("class_prompt"),
+        F.when(n % 3 != 0, F.concat(F.lit("a picture of "), F.col("instance_name"))).alias("validation_prompt"),
+    )
