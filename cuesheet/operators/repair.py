@@ -31,8 +31,48 @@ FLOAT_FIELDS = ["start_time", "end_time"]
 INT_PATTERN = r"^\s*[-+]?[0-9]+\s*$"
 
 
+def _repair_steps(c: Column) -> list[tuple[str, Column]]:
+    """The repair as named stages; each stage only references earlier ones, so
+    every intermediate value is computed once per row."""
+    d = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(c, r'(?d)\n([a-z_]+)"?:', '\n\t"$1":'), '\n"', '"'),
+        r'(?d)("scene_description": ".+)"(.+)"(.+"\n)', "$1'$2'$3",
+    )
+    lines = F.split(F.col("__r_d"), "\n", -1)
+    lo = F.when(F.col("__r_d").startswith("```json"), F.lit(1)).otherwise(F.lit(0))
+    hi = F.when(F.col("__r_d").endswith("```"), F.size(lines) - 1).otherwise(F.size(lines))
+    kept = F.filter(F.col("__r_lines"), lambda x, i: (i >= F.col("__r_lo")) & (i < F.col("__r_hi")))
+    m = F.col("__r_m")
+    dots = F.when(m >= 2, py_strip(F.try_element_at(F.col("__r_kept"), m - 1)) == "...").otherwise(F.lit(False))
+    final = F.when(dots, F.filter(F.col("__r_kept"), lambda x, i: i != m - 2)).otherwise(F.col("__r_kept"))
+    return [
+        ("__r_d", d),
+        ("__r_lines", lines),
+        ("__r_lo", lo),
+        ("__r_hi", hi),
+        ("__r_kept", kept),
+        ("__r_m", F.size(F.col("__r_kept"))),
+        ("__r_out", F.array_join(final, "\n")),
+    ]
+
+
+def repair_frame(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """Apply the rule-based repair to ``text_col`` as staged projections."""
+    stages = _repair_steps(F.col(text_col))
+    cur = df
+    for name, expr in stages[:2]:
+        cur = cur.withColumn(name, expr)
+    cur = cur.withColumns({"__r_lo": stages[2][1], "__r_hi": stages[3][1]})
+    for name, expr in stages[4:]:
+        cur = cur.withColumn(name, expr)
+    return cur.withColumn(out_col, F.col("__r_out")).drop(*[n for n, _ in stages])
+
+
 def repair_text(c: Column) -> Column:
-    """Rule-based repair of a model response (Python ``.`` semantics via ``(?d)``)."""
+    """Rule-based repair of a model response as one expression (Python ``.``
+    semantics via ``(?d)``): three regex rewrites, drop a leading ```json and a
+    trailing ``` line, drop a next-to-last line that strips to ``...``.
+    Prefer :func:`repair_frame` on large inputs (no repeated sub-expressions)."""
     a = F.regexp_replace(c, r'(?d)\n([a-z_]+)"?:', '\n\t"$1":')
     b = F.regexp_replace(a, '\n"', '"')
     d = F.regexp_replace(b, r'(?d)("scene_description": ".+)"(.+)"(.+"\n)', "$1'$2'$3")
@@ -59,19 +99,23 @@ def _status(parsed: Column) -> Column:
     )
 
 
-def _materialize(df: DataFrame, checkpoint: bool) -> DataFrame:
-    if not checkpoint:
-        return df
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _materialize(df: DataFrame, reliable: bool) -> DataFrame:
+    """Cut the round's lineage: a reliable checkpoint in the shared checkpoint
+    folder when rows carry paid external results, else a cache (a lost cache is
+    recomputed deterministically)."""
+    if reliable:
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    out = df.persist()
+    out.count()
+    return out
 
 
 def resolve_responses(
     responses: DataFrame,
-    repair: Callable[[Column], Column] | Callable[[pd.Series], pd.Series] = repair_text,
+    repair: Callable[[Column], Column] | Callable[[pd.Series], pd.Series] | None = None,
     max_retries: int = MAX_RETRIES,
     external: bool = False,
-    checkpoint: bool = True,
 ) -> DataFrame:
     """Parse responses with bounded repair rounds.
 
@@ -79,14 +123,17 @@ def resolve_responses(
     Output adds ``attempt`` (round that produced the final text), ``status``
     (``ok`` / ``empty`` / ``dead``) and ``parsed``.  A response whose list of
     scenes is empty is counted once as ``empty``; one that never parses within
-    ``max_retries`` parse attempts is ``dead`` (the dead-letter rows).
-    ``external=True`` treats ``repair`` as a pandas Series -> Series callable
-    (e.g. a model call) run once per row and round.
+    ``max_retries`` parse attempts is ``dead`` (the dead-letter rows).  A
+    deterministic repair that leaves a text unchanged cannot make progress, so
+    that row is dead at once.  ``repair`` defaults to the rule-based repair;
+    ``external=True`` treats it as a pandas Series -> Series callable (e.g. a
+    model call) run once per row and round, with every round checkpointed.
     """
     base = [c for c in responses.columns if c not in ("text", "attempt")]
     cur = responses.select(*base, "text", F.lit(0).alias("attempt"))
     cur = cur.withColumn("parsed", parse_response(F.col("text")))
-    cur = _materialize(cur.withColumn("status", _status(F.col("parsed"))), checkpoint)
+    cur = _materialize(cur.withColumn("status", _status(F.col("parsed"))), external)
+    held = [cur]
     finished = [cur.where(F.col("status") != "error")]
     pending = cur.where(F.col("status") == "error")
     for k in range(1, max_retries):
@@ -102,6 +149,10 @@ def resolve_responses(
 
             rep = pending.select(*base, "text", "attempt").mapInPandas(run, schema)
             rep = rep.withColumn("changed", F.lit(True))
+        elif repair is None:
+            rep = repair_frame(pending.select(*base, "text", "attempt"), "text", "__new")
+            rep = rep.select(*base, F.col("__new").alias("text"), (F.col("__new") != F.col("text")).alias("changed"),
+                             "attempt")
         else:
             new = repair(F.col("text"))
             rep = pending.select(*base, new.alias("text"), (new != F.col("text")).alias("changed"), "attempt")
@@ -111,10 +162,11 @@ def resolve_responses(
         )
         moved = rep.where(F.col("changed")).select(*base, "text", F.lit(k).alias("attempt"))
         moved = moved.withColumn("parsed", parse_response(F.col("text")))
-        moved = _materialize(moved.withColumn("status", _status(F.col("parsed"))), checkpoint)
+        moved = _materialize(moved.withColumn("status", _status(F.col("parsed"))), external)
+        held.append(moved)
         finished.append(moved.where(F.col("status") != "error"))
         pending = moved.where(F.col("status") == "error")
-        if checkpoint and pending.isEmpty():
+        if pending.isEmpty():
             break
     finished.append(pending.withColumn("status", F.lit("dead")))
     out = finished[0]

@@ -72,11 +72,15 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                        string_agg(line, ',' || chr(10) ORDER BY scene_id) AS lines
                 FROM (
                     SELECT episode, conv_id, batch, scene_id,
-                           CASE WHEN v = 3 THEN '{' || chr(10) || 'character": "'
-                                WHEN v = 5 THEN '{"environment": "yes", "character": "'
-                                ELSE '{"character": "' END
-                           || esc(character) || '", "speaker": "' || esc(speaker)
-                           || '", "in_game": ' || CAST(in_game AS VARCHAR)
+                           CASE WHEN v = 3 THEN '{' || chr(10) || 'character": '
+                                WHEN v = 5 THEN '{"environment": "yes", "character": '
+                                ELSE '{"character": ' END
+                           || CASE WHEN scene_id % 7 = 6 THEN CAST(scene_id AS VARCHAR)
+                                   ELSE '"' || esc(character) || '"' END
+                           || ', "speaker": "' || esc(speaker)
+                           || '", "in_game": ' || CASE WHEN scene_id % 5 = 2 THEN '"' || CAST(in_game AS VARCHAR) || '"'
+                                                      WHEN scene_id % 5 = 4 THEN CAST(in_game AS VARCHAR) || '.5'
+                                                      ELSE CAST(in_game AS VARCHAR) END
                            || ', "background": "' || esc(background)
                            || '", "action": "' || esc(action)
                            || '", "object": "' || esc(object)

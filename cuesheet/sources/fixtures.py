@@ -132,14 +132,22 @@ def responses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = (F.col("conv_id") + F.col("batch")) % RESPONSE_VARIANTS
     end_key = F.when(v == 4, F.lit('"endtime"')).otherwise(F.lit('"end_time"'))
     head = (
-        F.when(v == 3, F.lit('{\ncharacter": "'))
-        .when(v == 5, F.lit('{"environment": "yes", "character": "'))
-        .otherwise(F.lit('{"character": "'))
+        F.when(v == 3, F.lit('{\ncharacter": '))
+        .when(v == 5, F.lit('{"environment": "yes", "character": '))
+        .otherwise(F.lit('{"character": '))
+    )
+    # typed-value cases: in_game as text (coerced), 1.5 (rejected); numeric character (rejected)
+    sid = F.col("scene_id")
+    char_txt = F.when(sid % 7 == 6, sid.cast("string")).otherwise(F.concat(F.lit('"'), _esc(F.col("character")), F.lit('"')))
+    in_game_txt = (
+        F.when(sid % 5 == 2, F.concat(F.lit('"'), F.col("in_game").cast("string"), F.lit('"')))
+        .when(sid % 5 == 4, F.concat(F.col("in_game").cast("string"), F.lit(".5")))
+        .otherwise(F.col("in_game").cast("string"))
     )
     line = F.concat(
-        head, _esc(F.col("character")),
-        F.lit('", "speaker": "'), _esc(F.col("speaker")),
-        F.lit('", "in_game": '), F.col("in_game").cast("string"),
+        head, char_txt,
+        F.lit(', "speaker": "'), _esc(F.col("speaker")),
+        F.lit('", "in_game": '), in_game_txt,
         F.lit(', "background": "'), _esc(F.col("background")),
         F.lit('", "action": "'), _esc(F.col("action")),
         F.lit('", "object": "'), _esc(F.col("object")),
