@@ -378,9 +378,13 @@ def _aligned(spark, sf_dir):
 
 
 def _viewer(spark, sf_dir):
+    """The aligned table as the viewer reads it: published once (materialized
+    in the shared checkpoint folder) and reused by every lookup branch."""
     from pyspark.sql import functions as F
 
-    a = _aligned(spark, sf_dir)
+    from cuesheet.sinks.files import materialize
+
+    a = materialize(_aligned(spark, sf_dir), "aligned", key=f"aligned:{sf_dir}")
     return a.withColumnsRenamed({"start": "start_time", "end": "end_time"}).withColumns({
         "scene_name": F.format_string("scene_%03d", F.col("scene_id")),
         "mid_point": F.col("start_time") + (F.col("end_time") - F.col("start_time")) / 2,

@@ -71,3 +71,23 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
         df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def materialize(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back: cuts the lineage (a lost executor re-reads files instead of
+    recomputing upstream joins) and stops fan-out from recomputing it.
+    ``key`` memoizes the table for the session (e.g. a published table reused
+    by several queries)."""
+    spark = df.sparkSession
+    memo = (spark.sparkContext.applicationId, key) if key else None
+    if memo and memo in _MATERIALIZED:
+        return spark.read.parquet(_MATERIALIZED[memo])
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    if memo:
+        _MATERIALIZED[memo] = path
+    return spark.read.parquet(path)
