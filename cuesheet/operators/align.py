@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cuesheet.constants import ALIGN_TOLERANCE_S
 from cuesheet.operators.nearest import anchor_regions, nearest_candidates
 
-DEFAULT_ALIGN_WIDTH = 120.0
 
 
 def align_scenes(
@@ -16,7 +15,7 @@ def align_scenes(
     scenes: DataFrame,
     tolerance: float = ALIGN_TOLERANCE_S,
     keep_unaligned: bool = False,
-    width: float = DEFAULT_ALIGN_WIDTH,
+    width: float | None = None,
 ) -> DataFrame:
     """Attach a scene to every caption turn.
 
@@ -29,6 +28,8 @@ def align_scenes(
 
     ``turns``: episode, youtube_id, idx, speaker, text, start, end.
     ``scenes``: episode, scene_id, speaker, character, in_game, start_time.
+    ``width``: time-bucket width of the candidate join (default: adaptive per
+    episode and speaker, about two scenes per bucket).
     Output: episode_name, youtube_id, idx, speaker, text, start, end,
     scene_id, character, in_game.
     """

@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.constants import DEFAULT_IMAGE_BASE_URL, ENVIRONMENT, EPISODE_META, NUM_IMAGE_VARIATIONS
-from cuesheet.operators.nearest import anchor_regions
+from cuesheet.operators.nearest import adaptive_width, anchor_regions
 
-DEFAULT_LOOKUP_WIDTH = 30.0
 PAYLOAD = ["idx", "scene_id", "speaker", "character", "scene_name", "start_time", "end_time", "mid_point"]
 
 
@@ -39,34 +38,41 @@ def episode_meta(spark) -> DataFrame:
 
 
 def build_lookup_index(
-    viewer: DataFrame, keys: Sequence[str] = ("episode_name",), width: float = DEFAULT_LOOKUP_WIDTH
+    viewer: DataFrame, keys: Sequence[str] = ("episode_name",), width: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(index, stats) for :func:`lookup_scenes`.
 
     ``viewer``: keys + idx (row order), scene_id, speaker, character,
-    scene_name, start_time, end_time, mid_point.
+    scene_name, start_time, end_time, mid_point.  Bucket width ``w`` is per key:
+    fixed when ``width`` is given, else twice the average row spacing.
     """
     keys = list(keys)
     v = viewer.select(*dict.fromkeys([*keys, *PAYLOAD]))
+    env = F.col("character") == ENVIRONMENT
+    stats = v.groupBy(*keys).agg(
+        F.min("start_time").alias("mn"), F.max("end_time").alias("mx"),
+        F.min("mid_point").alias("all_min"), F.max("mid_point").alias("all_max"),
+        F.min(F.when(env, F.col("mid_point"))).alias("env_min"),
+        F.max(F.when(env, F.col("mid_point"))).alias("env_max"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    w = F.lit(float(width)) if width is not None else adaptive_width(F.col("mx") - F.col("mn"), F.col("n"))
+    stats = stats.withColumn("w", w).drop("n")
+    widths = stats.select(*keys, F.col("w").alias("k_w"))
     a = F.struct(*[F.col(c) for c in PAYLOAD]).alias("a")
-    hit = v.select(
+    # one row per key: small next to the rows; AQE broadcasts it when it is
+    hit = v.join(widths, keys).select(
         *keys, F.lit("hit").alias("kind"),
         F.col("start_time").alias("a_lo"), F.col("end_time").alias("a_hi"),
         F.lit(None).cast("double").alias("a_t"), a,
-        F.explode(F.sequence(F.floor(F.col("start_time") / width), F.floor(F.col("end_time") / width))).alias("bucket"),
+        F.explode(F.sequence(F.floor(F.col("start_time") / F.col("k_w")),
+                             F.floor(F.col("end_time") / F.col("k_w")))).alias("bucket"),
     )
     parts = [hit]
-    for kind, rows in (("all", v), ("env", v.where(F.col("character") == ENVIRONMENT))):
-        regions, _ = anchor_regions(rows, keys, "mid_point", "idx", PAYLOAD, width)
+    for kind, rows in (("all", v), ("env", v.where(env))):
+        regions, _ = anchor_regions(rows, keys, "mid_point", "idx", PAYLOAD, widths=widths)
         parts.append(regions.select(*keys, F.lit(kind).alias("kind"), "a_lo", "a_hi", "a_t", "a", "bucket"))
     index = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    env = F.col("character") == ENVIRONMENT
-    stats = v.groupBy(*keys).agg(
-        F.min("start_time").alias("mn"), F.max("end_time").alias("mx"),
-        F.min("mid_point").alias("all_min"), F.max("mid_point").alias("all_max"),
-        F.min(F.when(env, F.col("mid_point"))).alias("env_min"),
-        F.max(F.when(env, F.col("mid_point"))).alias("env_max"),
-    )
     return index, stats
 
 
@@ -77,7 +83,7 @@ def lookup_candidates(
     keys: Sequence[str] = ("episode_name",),
     event_key_map: dict[str, str] | None = None,
     position_col: str = "position",
-    width: float = DEFAULT_LOOKUP_WIDTH,
+    width: float | None = None,
     meta: DataFrame | None = None,
 ) -> DataFrame:
     """Stateless part of the lookup (usable on a stream): every event joined to
@@ -88,7 +94,8 @@ def lookup_candidates(
     spark = events.sparkSession
     meta = meta if meta is not None else episode_meta(spark)
     ev_cols = events.columns
-    st = stats.select(*[F.col(k).alias(f"s__{k}") for k in keys], "mn", "mx", "all_min", "all_max", "env_min", "env_max")
+    st = stats.select(*[F.col(k).alias(f"s__{k}") for k in keys], "mn", "mx", "all_min", "all_max", "env_min", "env_max",
+                      F.col("w").alias("s__w"))
     e = events.join(st, [F.col(ekm[k]) == F.col(f"s__{k}") for k in keys], "left")
     ep_col = ekm[keys[0]]
     # the constants table has three rows: a proven bound, so it is broadcast
@@ -105,7 +112,7 @@ def lookup_candidates(
         .otherwise(F.array(probe(F.lit("hit").alias("kind"), F.col("t").alias("pt")),
                            probe(F.lit("all").alias("kind"), F.col("t").alias("pt"))))
     p = e.select(*ev_cols, *[F.col(f"s__{k}") for k in keys], "t", "mode0", "all_min", "all_max", "env_min", "env_max",
-                 F.explode(probes).alias("pr"))
+                 "s__w", F.explode(probes).alias("pr"))
     kind, pt = F.col("pr.kind"), F.col("pr.pt")
     ptc = (
         F.when(kind == "hit", pt)
@@ -113,8 +120,8 @@ def lookup_candidates(
         .otherwise(F.least(F.greatest(pt, F.col("env_min")), F.col("env_max")))
     )
     p = p.select(*ev_cols, *[F.col(f"s__{k}") for k in keys], "t", "mode0",
-                 kind.alias("p_kind"), pt.alias("p_t"), ptc.alias("p_tc")).withColumn(
-        "p_bucket", F.floor(F.col("p_tc") / width))
+                 kind.alias("p_kind"), pt.alias("p_t"), ptc.alias("p_tc"),
+                 F.floor(F.col("p_tc") / F.col("s__w")).alias("p_bucket"))
     ix = index.select(*[F.col(k).alias(f"i__{k}") for k in keys], "kind", "bucket", "a_lo", "a_hi", "a_t", "a")
     cond = [F.col(f"s__{k}") == F.col(f"i__{k}") for k in keys] + [
         F.col("p_kind") == F.col("kind"), F.col("p_bucket") == F.col("bucket"),
@@ -140,7 +147,7 @@ def lookup_scenes(
     keys: Sequence[str] = ("episode_name",),
     event_key_map: dict[str, str] | None = None,
     position_col: str = "position",
-    width: float = DEFAULT_LOOKUP_WIDTH,
+    width: float | None = None,
     meta: DataFrame | None = None,
 ) -> DataFrame:
     """Resolve every event to one viewer row (null columns when none exists).
@@ -167,7 +174,7 @@ def image_url(df: DataFrame, episode_col: str, variation: "F.Column", base: str
 
 
 def nearest_scene(events: DataFrame, viewer: DataFrame, event_keys: Sequence[str], environment: bool = False,
-                  width: float = DEFAULT_LOOKUP_WIDTH) -> DataFrame:
+                  width: float | None = None) -> DataFrame:
     """Nearest row by midpoint (optionally among environment rows), ties -> lowest row order."""
     from cuesheet.operators.nearest import nearest_candidates
 

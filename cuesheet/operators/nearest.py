@@ -11,8 +11,10 @@ appears and a hot key spreads over its time buckets:
   Probes outside the anchor range are clamped to it for the lookup only.
 * interval hit: every interval is listed under each bucket it covers.
 
-Regions/intervals are exploded over ``floor(x / width)`` buckets; ``width``
-should be near the typical gap between anchors / interval length.
+Regions/intervals are exploded over ``floor(x / width)`` buckets.  By default
+the width is chosen per key as twice the average gap between anchors, so the
+number of bucket rows stays linear in the anchors and each probe meets a
+constant number of candidates however dense a key becomes.
 """
 
 from __future__ import annotations
@@ -25,8 +27,21 @@ from pyspark.sql import functions as F
 from cuesheet.operators.ordered import neighbour_times
 
 
-def _bucket(c: Column, width: float) -> Column:
-    return F.floor(c / F.lit(float(width)))
+MIN_WIDTH = 1e-6
+DEFAULT_FACTOR = 2.0
+# blocks of the neighbour scan span this many join buckets (~4k anchors)
+SCAN_BLOCK_SCALE = 2048.0
+
+
+def _bucket(c: Column, width: float | Column) -> Column:
+    w = width if isinstance(width, Column) else F.lit(float(width))
+    return F.floor(c / w)
+
+
+def adaptive_width(span: Column, n: Column, factor: float = DEFAULT_FACTOR) -> Column:
+    """Bucket width per key: ``factor`` x the average gap (span / count), so a
+    bucket holds about ``factor`` anchors however dense the key is."""
+    return F.greatest(span / F.greatest(n, F.lit(1)).cast("double"), F.lit(MIN_WIDTH)) * F.lit(factor)
 
 
 def anchor_regions(
@@ -35,24 +50,40 @@ def anchor_regions(
     t_col: str,
     rank_col: str,
     payload: Sequence[str],
-    width: float,
+    width: float | None = None,
+    widths: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Collapse anchors to one per (keys, t) keeping the lowest ``rank_col``,
-    and return (regions exploded to buckets, per-key min/max time)."""
+    and return (regions exploded to buckets, per-key stats k_min/k_max/k_w).
+
+    Bucket width: ``widths`` (keys + ``k_w``) when given, else the fixed
+    ``width``, else adaptive per key from the anchors themselves.
+    """
     keys = list(keys)
     cols = [rank_col, *[p for p in payload if p != rank_col]]
     best = anchors.groupBy(*keys, F.col(t_col).alias("a_t")).agg(
         F.min(F.struct(*[F.col(c) for c in cols])).alias("a")
     )
-    nb = neighbour_times(best, keys, "a_t", width)
+    stats = best.groupBy(*keys).agg(
+        F.min("a_t").alias("k_min"), F.max("a_t").alias("k_max"), F.count(F.lit(1)).alias("k_n")
+    )
+    if widths is not None:
+        stats = stats.join(widths.select(*keys, "k_w"), keys, "left")
+    elif width is not None:
+        stats = stats.withColumn("k_w", F.lit(float(width)))
+    else:
+        stats = stats.withColumn("k_w", adaptive_width(F.col("k_max") - F.col("k_min"), F.col("k_n")))
+    stats = stats.drop("k_n")
+    # one row per key: small next to the anchors; AQE broadcasts it when it is
+    b = best.join(stats.select(*keys, "k_w"), keys)
+    nb = neighbour_times(b, keys, "a_t", width_col="k_w", block_scale=SCAN_BLOCK_SCALE)
     lo = F.coalesce(F.col("prev_t"), F.col("a_t"))
     hi = F.coalesce(F.col("next_t"), F.col("a_t"))
     regions = nb.select(
         *keys, "a_t", "a",
         lo.alias("a_lo"), hi.alias("a_hi"),
-        F.explode(F.sequence(_bucket(lo, width), _bucket(hi, width))).alias("bucket"),
+        F.explode(F.sequence(_bucket(lo, F.col("k_w")), _bucket(hi, F.col("k_w")))).alias("bucket"),
     )
-    stats = best.groupBy(*keys).agg(F.min("a_t").alias("k_min"), F.max("a_t").alias("k_max"))
     return regions, stats
 
 
@@ -62,18 +93,18 @@ def nearest_candidates(
     stats: DataFrame,
     keys: Sequence[str],
     t_expr: Column,
-    width: float,
+    width: float | None = None,
 ) -> DataFrame:
     """Left-join probes to the anchor regions their (clamped) time falls in.
 
     Output: probe columns + ``a_t``, ``a`` (struct of rank/payload), ``bucket``,
     ``p_t`` (the probe time) and ``dist = |a_t - p_t|``; anchors missing for a
-    key leave one row with nulls.
+    key leave one row with nulls.  Buckets use the per-key width of ``stats``.
     """
     keys = list(keys)
     p = probes.withColumn("p_t", t_expr).join(stats, keys, "left")
     tc = F.least(F.greatest(F.col("p_t"), F.col("k_min")), F.col("k_max"))
-    p = p.withColumn("p_tc", tc).withColumn("bucket", _bucket(F.col("p_tc"), width)).drop("k_min", "k_max")
+    p = p.withColumn("p_tc", tc).withColumn("bucket", _bucket(F.col("p_tc"), F.col("k_w"))).drop("k_min", "k_max", "k_w")
     r = regions.select(
         *[F.col(k).alias(f"r__{k}") for k in keys],
         F.col("bucket").alias("r__bucket"), "a_t", "a", "a_lo", "a_hi",

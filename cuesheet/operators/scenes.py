@@ -77,10 +77,10 @@ def episode_pairing(captions: DataFrame, scenes: DataFrame, stop_at_gap: bool =
     sc = scenes.groupBy("stem").agg(F.count(F.lit(1)).alias("n_scenes"))
     paired = cap.join(sc, "stem", "left")
     if stop_at_gap:
-        gap = paired.where(F.col("n_scenes").isNull()).agg(F.min("stem").alias("gap"))
-        paired = paired.join(F.broadcast(gap), F.col("gap").isNull() | (F.col("stem") < F.col("gap")), "inner").drop(
-            "gap"
-        )
+        # one scalar (the first stem without a scene file) comes to the driver
+        gap = paired.where(F.col("n_scenes").isNull()).agg(F.min("stem")).first()[0]
+        if gap is not None:
+            paired = paired.where(F.col("stem") < F.lit(gap))
     return paired.where(F.col("n_scenes") > 0)
 
 
