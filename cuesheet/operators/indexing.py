@@ -15,18 +15,24 @@ def global_ordinal(
     start: int = 0,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Number all rows by ``order`` (ties broken by the full order given).
+    """Number all rows by ``order`` (which must be a total order).
 
     Range-partitions by the order, numbers rows inside each partition with
     ``monotonically_increasing_id`` and adds each partition's offset, taken
     from a per-partition count table (one row per partition, so its size is
-    bounded by the partition count and it is broadcast).
+    bounded by the partition count and it is broadcast).  Range bounds come
+    from sampling, which depends on the input's row order, so the numbered
+    rows are written once to the shared checkpoint folder: counts, offsets and
+    every consumer (and any task retry) see the same numbering.
     """
+    from cuesheet.sinks.files import materialize
+
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = list(order)
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    s = materialize(s, "ordinal")
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
