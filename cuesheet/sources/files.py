@@ -51,10 +51,9 @@ def read_caption_files(spark: SparkSession, path: str, glob: str = "*.json") ->
     its rows are spread by ``posexplode`` right away.
     """
     raw = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
+        spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("value"), F.col("_metadata.file_path").alias("file_path"))
     )
     stem = stem_of(F.col("file_path"))
