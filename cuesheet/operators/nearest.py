@@ -64,6 +64,10 @@ def anchor_regions(
     best = anchors.groupBy(*keys, F.col(t_col).alias("a_t")).agg(
         F.min(F.struct(*[F.col(c) for c in cols])).alias("a")
     )
+    # the collapsed anchors feed the stats, the width join and both levels of
+    # the neighbour scan: cache them so the grouping shuffle runs once (the
+    # collapse is deterministic, so a lost cached block recomputes identically)
+    best = best.persist()
     stats = best.groupBy(*keys).agg(
         F.min("a_t").alias("k_min"), F.max("a_t").alias("k_max"), F.count(F.lit(1)).alias("k_n")
     )
