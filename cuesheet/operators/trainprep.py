@@ -60,19 +60,48 @@ def folder_counts(config: DataFrame, instance_images: DataFrame, class_images: D
     )
 
 
-def class_pairing(instance_images: DataFrame, class_images: DataFrame, class_num: int | None) -> DataFrame:
-    """Instance image ``i`` of an instance gets class image ``i % n_class`` with
-    ``n_class = min(count, class_num)``; no partner when the folder is empty."""
+def class_pairing(instance_images: DataFrame, class_images: DataFrame, class_num: int | None,
+                  length: str = "instance") -> DataFrame:
+    """Pair examples with class images.
+
+    ``n_class = min(count, class_num)`` per instance (no partner when 0).
+    ``length="instance"``: one example per instance image ``i`` with class image
+    ``i % n_class``.  ``length="max"``: ``max(n_instance, n_class)`` examples,
+    example ``k`` taking instance image ``k % n_instance`` and class image
+    ``k % n_class``; the larger side drives, so no per-instance explode.
+    Output: instance, k, id (instance image), inst_idx, n_class, class_id.
+    """
+    if length not in ("instance", "max"):
+        raise ValueError("length must be 'instance' or 'max'")
     inst = rank_within(instance_images.select("instance", "id"), ["instance"], ["id"], "inst_idx")
     cls = rank_within(class_images.select("instance", F.col("id").alias("class_id")), ["instance"], ["class_id"], "class_idx")
     n = cls.groupBy("instance").agg(F.count(F.lit(1)).alias("n_class"))
     if class_num is not None:
         n = n.withColumn("n_class", F.least(F.col("n_class"), F.lit(class_num)))
-    inst = inst.join(n, "instance", "left")
-    inst = inst.withColumn("__slot", F.when(F.col("n_class") > 0, F.pmod(F.col("inst_idx"), F.col("n_class"))))
+    cls = cls.join(n, "instance").where(F.col("class_idx") < F.col("n_class"))
+    ni = inst.groupBy("instance").agg(F.count(F.lit(1)).alias("n_inst"))
+    sizes = ni.join(n, "instance", "full").select(
+        "instance", F.coalesce("n_inst", F.lit(0)).alias("n_inst"), F.coalesce("n_class", F.lit(0)).alias("n_class")
+    )
+    # instance side drives: k = inst_idx, class = k % n_class
+    a = inst.join(sizes, "instance")
+    if length == "max":
+        a = a.where(F.col("n_inst") >= F.col("n_class"))
+    a = a.withColumn("k", F.col("inst_idx")).withColumn(
+        "__slot", F.when(F.col("n_class") > 0, F.pmod(F.col("inst_idx"), F.col("n_class"))))
     c = cls.select(F.col("instance").alias("c_instance"), "class_id", F.col("class_idx").alias("__slot_c"))
-    j = inst.join(c, (F.col("instance") == F.col("c_instance")) & (F.col("__slot") == F.col("__slot_c")), "left")
-    return j.select("instance", "id", "inst_idx", F.coalesce("n_class", F.lit(0)).alias("n_class"), "class_id")
+    out = a.join(c, (F.col("instance") == F.col("c_instance")) & (F.col("__slot") == F.col("__slot_c")), "left").select(
+        "instance", "k", "id", "inst_idx", "n_class", "class_id")
+    if length == "max":
+        # class side drives where it is larger: k = class_idx, instance image = k % n_inst
+        b = cls.select("instance", "class_id", "class_idx").join(sizes, "instance").where(
+            (F.col("n_class") > F.col("n_inst")) & (F.col("n_inst") > 0))
+        b = b.withColumn("k", F.col("class_idx")).withColumn("__slot", F.pmod(F.col("class_idx"), F.col("n_inst")))
+        i2 = inst.select(F.col("instance").alias("i_instance"), "id", F.col("inst_idx").alias("__slot_i"))
+        b = b.join(i2, (F.col("instance") == F.col("i_instance")) & (F.col("__slot") == F.col("__slot_i"))).select(
+            "instance", "k", "id", F.col("__slot").alias("inst_idx"), "n_class", "class_id")
+        out = out.unionByName(b)
+    return out
 
 
 def repeat_rows(df: DataFrame, repeats: int, rep_col: str = "rep") -> DataFrame:

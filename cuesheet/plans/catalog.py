@@ -1153,7 +1153,34 @@ def q_instance_counts(spark, sf_dir):
 def q_class_pairing(spark, sf_dir):
     from cuesheet.operators.trainprep import class_pairing
 
-    return class_pairing(_inst_images(spark, sf_dir), _class_images(spark, sf_dir), 10)
+    return class_pairing(_inst_images(spark, sf_dir), _class_images(spark, sf_dir), 10).drop("k")
+
+
+CLASS_MAX_SQL = """
+    SELECT s.instance, CAST(k AS BIGINT) AS k, ii.id, CAST(k % s.n_inst AS BIGINT) AS inst_idx, s.n_class, ci.class_id
+    FROM (SELECT instance, n_inst, n_class, unnest(range(greatest(n_inst, n_class))) AS k FROM cm_sizes WHERE n_inst > 0) s
+    JOIN cm_ii ii ON ii.instance = s.instance AND ii.inst_idx = s.k % s.n_inst
+    LEFT JOIN cm_ci ci ON ci.instance = s.instance AND ci.class_idx = CASE WHEN s.n_class > 0 THEN s.k % s.n_class END
+"""
+CLASS_MAX_CTES = [
+    ("cm_ii", """SELECT instance, id, row_number() OVER (PARTITION BY instance ORDER BY id) - 1 AS inst_idx
+                 FROM images_v WHERE width >= 600"""),
+    ("cm_ci", """SELECT i.instance, i.id AS class_id, row_number() OVER (PARTITION BY i.instance ORDER BY i.id) - 1 AS class_idx
+                 FROM images_v i JOIN instcfg_v c ON c.instance_name = i.instance AND c.class_data_root IS NOT NULL
+                 WHERE i.width < 600"""),
+    ("cm_sizes", """SELECT coalesce(a.instance, b.instance) AS instance, coalesce(a.n, 0) AS n_inst,
+                           coalesce(b.n, 0) AS n_class
+                    FROM (SELECT instance, count(*) AS n FROM cm_ii GROUP BY 1) a
+                    FULL JOIN (SELECT instance, least(count(*), 150) AS n FROM cm_ci GROUP BY 1) b
+                      ON a.instance = b.instance"""),
+]
+
+
+@register("class_pairing_max", _v(CLASS_MAX_SQL, "images_v", "instcfg_v", extra=CLASS_MAX_CTES))
+def q_class_pairing_max(spark, sf_dir):
+    from cuesheet.operators.trainprep import class_pairing
+
+    return class_pairing(_inst_images(spark, sf_dir), _class_images(spark, sf_dir), 150, length="max")
 
 
 GLOBAL_INDEX_SQL = """

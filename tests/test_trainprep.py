@@ -50,3 +50,12 @@ def test_global_index(spark):
     rows = sorted((r.global_idx, r.instance, r.id, r.rep, r.local_idx) for r in global_index(im, 2).collect())
     assert rows == [(0, "a", 1, 0, 0), (1, "a", 1, 1, 1), (2, "a", 5, 0, 2), (3, "a", 5, 1, 3),
                     (4, "b", 2, 0, 0), (5, "b", 2, 1, 1)]
+
+
+def test_class_pairing_max_length(spark):
+    inst = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5), ("b", 6), ("b", 7)], "instance string, id long")
+    cls = spark.createDataFrame([("a", 100 + i) for i in range(5)] + [("b", 200)], "instance string, id long")
+    got = sorted((r.instance, r.k, r.id, r.class_id) for r in class_pairing(inst, cls, 4, length="max").collect())
+    # a: max(2, min(5, 4)) = 4 examples, instance k % 2, class k % 4; b: 3 examples, class k % 1
+    assert got == [("a", 0, 1, 100), ("a", 1, 2, 101), ("a", 2, 1, 102), ("a", 3, 2, 103),
+                   ("b", 0, 5, 200), ("b", 1, 6, 200), ("b", 2, 7, 200)]
