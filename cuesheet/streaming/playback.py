@@ -150,3 +150,40 @@ def playback_stream(candidates: DataFrame, duration: float = SCENE_DURATION_S, w
     return d.groupBy("session").applyInPandasWithState(
         _stateful(duration), EMIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def start_playback_stream(
+    spark,
+    source_path: str,
+    viewer: DataFrame,
+    sink_format: str = "parquet",
+    sink_path: str | None = None,
+    query_name: str | None = None,
+    watermark: str | None = None,
+    trigger: dict | None = None,
+    max_files_per_trigger: int | None = None,
+):
+    """Poll-event files -> scene lookup (stream-static join) -> throttled change
+    detection -> sink.  Events: session, ts, episode, position, event_type.
+    The checkpoint location lives under the session's shared checkpoint folder.
+    """
+    import uuid
+
+    from cuesheet.operators.lookup import build_lookup_index, lookup_candidates
+    from cuesheet.session import checkpoint_dir
+
+    schema = "session long, ts timestamp, episode string, position double, event_type int"
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = reader.parquet(source_path)
+    index, stats = build_lookup_index(viewer)
+    out = playback_stream(lookup_candidates(events, index, stats, event_key_map={"episode_name": "episode"}),
+                          watermark=watermark)
+    ck = f"{checkpoint_dir(spark).rstrip('/')}/streams/{query_name or 'playback'}-{uuid.uuid4().hex[:8]}"
+    w = out.writeStream.outputMode("append").option("checkpointLocation", ck).format(sink_format)
+    if query_name:
+        w = w.queryName(query_name)
+    if trigger:
+        w = w.trigger(**trigger)
+    return w.start(sink_path) if sink_path else w.start()
