@@ -116,6 +116,8 @@ def resolve_responses(
     repair: Callable[[Column], Column] | Callable[[pd.Series], pd.Series] | None = None,
     max_retries: int = MAX_RETRIES,
     external: bool = False,
+    max_concurrency: int | None = None,
+    interval_s: float = 0.0,
 ) -> DataFrame:
     """Parse responses with bounded repair rounds.
 
@@ -127,7 +129,9 @@ def resolve_responses(
     deterministic repair that leaves a text unchanged cannot make progress, so
     that row is dead at once.  ``repair`` defaults to the rule-based repair;
     ``external=True`` treats it as a pandas Series -> Series callable (e.g. a
-    model call) run once per row and round, with every round checkpointed.
+    model call) run once per row and round, with every round checkpointed;
+    ``max_concurrency`` bounds the parallel calls (partitions) and
+    ``interval_s`` pauses between calls inside a task.
     """
     base = [c for c in responses.columns if c not in ("text", "attempt")]
     cur = responses.select(*base, "text", F.lit(0).alias("attempt"))
@@ -138,7 +142,9 @@ def resolve_responses(
     pending = cur.where(F.col("status") == "error")
     for k in range(1, max_retries):
         if external:
-            fn = repair
+            from cuesheet.operators.extract import rate_limited
+
+            fn = rate_limited(repair, interval_s) if interval_s > 0 else repair
             schema = pending.select(*base, "text", "attempt").schema
 
             def run(it, fn=fn):
@@ -147,7 +153,10 @@ def resolve_responses(
                     pdf["text"] = fn(pdf["text"])
                     yield pdf
 
-            rep = pending.select(*base, "text", "attempt").mapInPandas(run, schema)
+            src = pending.select(*base, "text", "attempt")
+            if max_concurrency:
+                src = src.repartition(max_concurrency)
+            rep = src.mapInPandas(run, schema)
             rep = rep.withColumn("changed", F.lit(True))
         elif repair is None:
             rep = repair_frame(pending.select(*base, "text", "attempt"), "text", "__new")
