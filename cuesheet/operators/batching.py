@@ -108,7 +108,8 @@ def turn_batches(
     """
     len_col = "__len"
     d = turns.withColumn(len_col, F.length(text_col).cast("long"))
-    parts = num_partitions or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartition(parts, episode_col).sortWithinPartitions(episode_col, idx_col)
+    # key-only repartition: AQE may coalesce small partitions
+    d = d.repartition(num_partitions, episode_col) if num_partitions else d.repartition(episode_col)
+    d = d.sortWithinPartitions(episode_col, idx_col)
     schema = T.StructType([f for f in turns.schema.fields] + [T.StructField("batch", T.IntegerType())])
     return d.mapInPandas(_batcher(int(max_text_length), emit_tail, episode_col, len_col), schema)

@@ -27,10 +27,10 @@ def global_ordinal(
     """
     from cuesheet.sinks.files import materialize
 
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = list(order)
-    s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE may coalesce adjacent (still ordered) ranges
+    s = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    s = s.sortWithinPartitions(*order)
     s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
     s = materialize(s, "ordinal")
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))

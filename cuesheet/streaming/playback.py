@@ -104,9 +104,9 @@ def _scan(duration: float):
 def playback_changes(resolved: DataFrame, duration: float = SCENE_DURATION_S, num_partitions: int | None = None) -> DataFrame:
     """Batch form.  ``resolved``: session, ts, episode, position, event_type and
     the looked-up speaker, character, scene_id of every event."""
-    parts = num_partitions or int(resolved.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = resolved.select("session", "ts", "episode", "position", "event_type", "speaker", "character", "scene_id")
-    d = d.repartition(parts, "session").sortWithinPartitions("session", "ts")
+    d = d.repartition(num_partitions, "session") if num_partitions else d.repartition("session")
+    d = d.sortWithinPartitions("session", "ts")
     return d.mapInPandas(_scan(duration), EMIT_SCHEMA)
 
 
