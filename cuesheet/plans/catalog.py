@@ -123,6 +123,14 @@ def q_turn_batches_1k(spark, sf_dir):
     return _batched(spark, sf_dir, 1000)
 
 
+@register("turn_batches_blocked", _v("SELECT * FROM tb_1000", "captions_v", extra=_tb_cte(1000), recursive=True))
+def q_turn_batches_blocked(spark, sf_dir):
+    """The block-parallel batcher (the form for very large episodes)."""
+    from cuesheet.operators.batching import turn_batches
+
+    return turn_batches(_turns(spark, sf_dir), max_text_length=1000, strategy="blocked")
+
+
 BATCH_COLLECT_SQL = """
     SELECT episode, batch, CAST(count(*) AS INTEGER) AS n_turns, CAST(sum(length(text)) AS INTEGER) AS n_chars,
            min(idx) AS first_idx, max(idx) AS last_idx,

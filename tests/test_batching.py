@@ -52,3 +52,16 @@ def test_property(spark, episodes, limit):
     got = _run(spark, episodes, limit)
     exp = {(ep, i): b for ep, lens in episodes.items() for i, b in brute_batches(lens, limit).items()}
     assert got == exp
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.dictionaries(st.sampled_from(list("abc")), st.lists(st.integers(0, 15), min_size=1, max_size=40), min_size=1),
+       st.integers(1, 30), st.sampled_from([1, 2, 3, 7, 1000]), st.booleans())
+def test_blocked_equals_brute(spark, episodes, limit, block_rows, tail):
+    from cuesheet.operators.batching import turn_batches_blocked
+
+    rows = [(ep, i, "x" * n) for ep, lens in episodes.items() for i, n in enumerate(lens)]
+    df = spark.createDataFrame(rows, "episode string, idx int, text string")
+    got = {(r.episode, r.idx): r.batch for r in turn_batches_blocked(df, limit, tail, block_rows=block_rows).collect()}
+    exp = {(ep, i): b for ep, lens in episodes.items() for i, b in brute_batches(lens, limit, tail).items()}
+    assert got == exp
