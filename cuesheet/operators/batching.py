@@ -178,7 +178,7 @@ def _chain_table(lens: np.ndarray, limit: int):
 
 
 def _block_summary(limit: int):
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key, g):
         g = g.sort_values("__idx")
         lens = g["__len"].to_numpy(dtype=np.int64)
         solve, exit_cur, closes, csum = _chain_table(lens, limit)
@@ -229,7 +229,7 @@ def _block_entries(limit: int):
 
 
 def _block_assign(limit: int, cols: list[str], emit_tail: bool):
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key, g):
         g = g.sort_values("__idx")
         cnt = 1 if bool(g["in_started"].iat[0]) else 0
         ids, _, _, _ = _assign(g["__len"].to_numpy(dtype=np.int64), int(g["in_cur"].iat[0]), cnt,
