@@ -65,3 +65,13 @@ def test_blocked_equals_brute(spark, episodes, limit, block_rows, tail):
     got = {(r.episode, r.idx): r.batch for r in turn_batches_blocked(df, limit, tail, block_rows=block_rows).collect()}
     exp = {(ep, i): b for ep, lens in episodes.items() for i, b in brute_batches(lens, limit, tail).items()}
     assert got == exp
+
+
+def test_strategies_agree(spark):
+    episodes = {"a": [3, 9, 4, 12, 1, 1, 8], "b": [20, 0, 5]}
+    rows = [(ep, i, "x" * n) for ep, lens in episodes.items() for i, n in enumerate(lens)]
+    df = spark.createDataFrame(rows, "episode string, idx int, text string")
+    res = {}
+    for strat in ("scan", "blocked", "auto"):
+        res[strat] = sorted((r.episode, r.idx, r.batch) for r in turn_batches(df, 10, strategy=strat, block_rows=2).collect())
+    assert res["scan"] == res["blocked"] == res["auto"]
