@@ -1023,6 +1023,15 @@ def q_playback_changes(spark, sf_dir):
     return _playback(spark, sf_dir)
 
 
+@register("playback_changes_blocked", _v("SELECT * FROM pc_out", "captions_v", "scenes_v", "positions_v",
+                                           extra=PLAYBACK_CTES, recursive=True))
+def q_playback_changes_blocked(spark, sf_dir):
+    """The block-parallel change detector (the form for very long sessions)."""
+    from cuesheet.streaming.playback import playback_changes_blocked
+
+    return playback_changes_blocked(_lookup(spark, sf_dir))
+
+
 @register("image_updates", _v(f"""
     SELECT e.session, e.ts, e.episode, e.speaker, e.character, b.scene_name,
            CASE WHEN b.scene_name IS NOT NULL THEN printf('%s/%s/%s_image_%02d.png',

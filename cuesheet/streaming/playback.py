@@ -187,3 +187,153 @@ def start_playback_stream(
     if trigger:
         w = w.trigger(**trigger)
     return w.start(sink_path) if sink_path else w.start()
+
+
+# ---------------------------------------------------------------------------
+# Block-parallel form of the batch detector (exact; parallel inside one session).
+#
+# The state is ``last``.  Inside a block, the entry value only matters until the
+# first threshold fire or the first reset: the first fire is the first
+# record-high position above ``last + 5`` (record highs before the first reset
+# are the only candidates), and after a fire or a reset the state no longer
+# depends on the entry.  Per block we tabulate record highs -> exit ``last``
+# (memoized chain walk with a sparse table for "first position above x"), a
+# streaming pass over these tables fixes each block's entry, a parallel pass
+# marks fires, and emissions compare each fire with the previous fire.
+# ---------------------------------------------------------------------------
+
+_PB_SUMMARY = ("session long, block long, cand_pos array<double>, cand_exit array<double>, "
+               "has_reset boolean, reset_exit double")
+
+
+def _exit_table(pos: np.ndarray, et: np.ndarray, duration: float):
+    m = len(pos)
+    levels = [pos.copy()]
+    span = 1
+    while span * 2 <= m:
+        prev = levels[-1]
+        levels.append(np.maximum(prev[:-span], prev[span:]))
+        span *= 2
+
+    def first_above(s: int, x: float) -> int:
+        p = s
+        for j in range(len(levels) - 1, -1, -1):
+            w = 1 << j
+            if p + w <= m and levels[j][p] <= x:
+                p += w
+        while p < m and pos[p] <= x:  # finish the last partial step
+            p += 1
+        return p
+
+    resets = np.flatnonzero(et == 1)
+    memo: dict[tuple[int, float], float] = {}
+
+    def next_reset(s: int) -> int:
+        k = int(np.searchsorted(resets, s))
+        return int(resets[k]) if k < len(resets) else m
+
+    def exit_from(s: int, last: float) -> float:
+        path = []
+        while True:
+            key = (s, last)
+            if key in memo:
+                res = memo[key]
+                break
+            path.append(key)
+            f = first_above(s, last + duration)
+            r = next_reset(s)
+            if f >= m and r >= m:
+                res = last
+                break
+            if f < r:
+                s, last = f + 1, float(pos[f])
+            else:
+                s, last = r + 1, 0.0
+        for key in path:
+            memo[key] = res
+        return res
+
+    return exit_from
+
+
+def _pb_summary(duration: float):
+    def run(key, g):
+        g = g.sort_values("__k")
+        pos = g["position"].to_numpy(dtype=np.float64)
+        et = g["event_type"].to_numpy(dtype=np.int64)
+        exit_from = _exit_table(pos, et, duration)
+        resets = np.flatnonzero(et == 1)
+        r0 = int(resets[0]) if len(resets) else len(pos) - 1
+        cand, best = [], -np.inf
+        for i in range(r0 + 1):
+            if pos[i] > best:
+                best = pos[i]
+                cand.append(i)
+        cand_exit = [exit_from(i + 1, 0.0 if et[i] == 1 else float(pos[i])) for i in cand]
+        has_reset = len(resets) > 0
+        reset_exit = exit_from(r0 + 1, 0.0) if has_reset else 0.0
+        return pd.DataFrame([{
+            "session": int(key[0]), "block": int(key[1]), "cand_pos": [float(pos[i]) for i in cand],
+            "cand_exit": cand_exit, "has_reset": has_reset, "reset_exit": float(reset_exit),
+        }])
+    return run
+
+
+def _pb_entries(duration: float):
+    def run(it):
+        cur_s, last = None, 0.0
+        for pdf in it:
+            out = []
+            for s, b, cp, cx, hr, rx in pdf[["session", "block", "cand_pos", "cand_exit", "has_reset", "reset_exit"]].itertuples(index=False):
+                if s != cur_s:
+                    cur_s, last = s, 0.0
+                out.append((int(s), int(b), float(last)))
+                k = int(np.searchsorted(np.asarray(cp, dtype=np.float64), last + duration, side="right"))
+                if k < len(cp):
+                    last = float(cx[k])
+                elif hr:
+                    last = float(rx)
+            if out:
+                yield pd.DataFrame(out, columns=["session", "block", "in_last"])
+    return run
+
+
+def _pb_fires(duration: float, cols: list[str]):
+    def run(key, g):
+        g = g.sort_values("__k")
+        last = float(g["in_last"].iat[0])
+        fire = np.zeros(len(g), dtype=bool)
+        for i, (p, e) in enumerate(zip(g["position"].to_numpy(dtype=np.float64), g["event_type"].to_numpy())):
+            if p - last > duration:
+                fire[i], last = True, p
+            elif p == 0:
+                fire[i] = True
+            if int(e) == 1:
+                last = 0.0
+        return g.loc[fire, cols]
+    return run
+
+
+def playback_changes_blocked(resolved: DataFrame, duration: float = SCENE_DURATION_S, block_rows: int = 1 << 16) -> DataFrame:
+    """Same emissions as :func:`playback_changes`, computed block-parallel.
+
+    ``ts`` must order the events of a session (ties are not allowed).
+    """
+    from cuesheet.operators.indexing import lag_dense
+    from cuesheet.operators.trainprep import rank_within
+
+    cols = ["session", "ts", "episode", "position", "event_type", "speaker", "character", "scene_id"]
+    d = rank_within(resolved.select(*cols), ["session"], ["ts"], "__k")
+    d = d.withColumn("__blk", F.floor(F.col("__k") / F.lit(block_rows)))
+    summ = d.select("session", "__blk", "__k", "position", "event_type").groupBy("session", "__blk").applyInPandas(
+        _pb_summary(duration), _PB_SUMMARY)
+    entries = summ.repartition("session").sortWithinPartitions("session", "block").mapInPandas(
+        _pb_entries(duration), "session long, block long, in_last double")
+    rows = d.join(entries.withColumnRenamed("block", "__blk"), ["session", "__blk"])
+    fire_schema = T.StructType([f for f in resolved.select(*cols).schema.fields] + [T.StructField("__k", T.LongType())])
+    fires = rows.groupBy("session", "__blk").applyInPandas(_pb_fires(duration, [*cols, "__k"]), fire_schema)
+    fires = rank_within(fires, ["session"], ["__k"], "__f")
+    fires = lag_dense(fires, ["session"], "__f", ["character", "scene_id"])
+    changed = ~F.col("character").eqNullSafe(F.col("prev_character")) | ~F.col("scene_id").eqNullSafe(F.col("prev_scene_id"))
+    return fires.where(changed).select(
+        "session", "ts", "episode", "position", "speaker", "character", F.col("scene_id").cast("int").alias("scene_id"))
