@@ -101,9 +101,22 @@ def _scan(duration: float):
     return run
 
 
-def playback_changes(resolved: DataFrame, duration: float = SCENE_DURATION_S, num_partitions: int | None = None) -> DataFrame:
+def playback_changes(resolved: DataFrame, duration: float = SCENE_DURATION_S, num_partitions: int | None = None,
+                     strategy: str = "scan", block_rows: int = 1 << 16) -> DataFrame:
     """Batch form.  ``resolved``: session, ts, episode, position, event_type and
-    the looked-up speaker, character, scene_id of every event."""
+    the looked-up speaker, character, scene_id of every event.
+
+    ``strategy``: ``"scan"`` (one streaming task per session), ``"blocked"``
+    (:func:`playback_changes_blocked`), or ``"auto"``: checks one scalar (the
+    largest session's event count) and picks ``blocked`` above
+    ``4 * block_rows``."""
+    if strategy == "auto":
+        biggest = resolved.groupBy("session").count().agg(F.max("count")).first()[0] or 0
+        strategy = "blocked" if biggest > 4 * block_rows else "scan"
+    if strategy == "blocked":
+        return playback_changes_blocked(resolved, duration, block_rows)
+    if strategy != "scan":
+        raise ValueError("strategy must be 'scan', 'blocked' or 'auto'")
     d = resolved.select("session", "ts", "episode", "position", "event_type", "speaker", "character", "scene_id")
     d = d.repartition(num_partitions, "session") if num_partitions else d.repartition("session")
     d = d.sortWithinPartitions("session", "ts")
