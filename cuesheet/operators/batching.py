@@ -105,8 +105,9 @@ def turn_batches(
 
     ``strategy``: ``"scan"`` streams each episode through one task (cheapest
     for ordinary episodes); ``"blocked"`` is the block-parallel form for very
-    large episodes; ``"auto"`` checks one scalar (the largest episode's row
-    count) and picks ``blocked`` above ``4 * block_rows``.
+    large episodes; ``"auto"`` decides per episode: episodes with more than
+    ``4 * block_rows`` rows go the blocked way, the rest are scanned (the set
+    of such episodes is tiny, so the semi/anti joins against it are cheap).
 
     Running text length per batch; a turn that would push the batch over
     ``max_text_length`` closes the batch first (an over-budget turn alone
@@ -114,8 +115,12 @@ def turn_batches(
     batch of each episode is dropped unless ``emit_tail``.
     """
     if strategy == "auto":
-        biggest = turns.groupBy(episode_col).count().agg(F.max("count")).first()[0] or 0
-        strategy = "blocked" if biggest > 4 * block_rows else "scan"
+        big = turns.groupBy(episode_col).count().where(F.col("count") > 4 * block_rows).select(episode_col)
+        small = turn_batches(turns.join(big, episode_col, "left_anti"), max_text_length, emit_tail, episode_col,
+                             idx_col, text_col, num_partitions, "scan")
+        large = turn_batches_blocked(turns.join(big, episode_col, "left_semi"), max_text_length, emit_tail,
+                                     episode_col, idx_col, text_col, block_rows)
+        return small.unionByName(large)
     if strategy == "blocked":
         return turn_batches_blocked(turns, max_text_length, emit_tail, episode_col, idx_col, text_col, block_rows)
     if strategy != "scan":

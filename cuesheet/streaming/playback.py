@@ -107,12 +107,14 @@ def playback_changes(resolved: DataFrame, duration: float = SCENE_DURATION_S, nu
     the looked-up speaker, character, scene_id of every event.
 
     ``strategy``: ``"scan"`` (one streaming task per session), ``"blocked"``
-    (:func:`playback_changes_blocked`), or ``"auto"``: checks one scalar (the
-    largest session's event count) and picks ``blocked`` above
-    ``4 * block_rows``."""
+    (:func:`playback_changes_blocked`), or ``"auto"``: per session, sessions
+    with more than ``4 * block_rows`` events go the blocked way, the rest are
+    scanned."""
     if strategy == "auto":
-        biggest = resolved.groupBy("session").count().agg(F.max("count")).first()[0] or 0
-        strategy = "blocked" if biggest > 4 * block_rows else "scan"
+        big = resolved.groupBy("session").count().where(F.col("count") > 4 * block_rows).select("session")
+        small = playback_changes(resolved.join(big, "session", "left_anti"), duration, num_partitions, "scan")
+        large = playback_changes_blocked(resolved.join(big, "session", "left_semi"), duration, block_rows)
+        return small.unionByName(large)
     if strategy == "blocked":
         return playback_changes_blocked(resolved, duration, block_rows)
     if strategy != "scan":

@@ -68,7 +68,7 @@ def test_blocked_equals_brute(spark, episodes, limit, block_rows, tail):
 
 
 def test_strategies_agree(spark):
-    episodes = {"a": [3, 9, 4, 12, 1, 1, 8], "b": [20, 0, 5]}
+    episodes = {"a": [3, 9, 4, 12, 1, 1, 8, 2, 7, 5, 0, 6], "b": [20, 0, 5]}  # a > 4*block_rows: blocked under auto
     rows = [(ep, i, "x" * n) for ep, lens in episodes.items() for i, n in enumerate(lens)]
     df = spark.createDataFrame(rows, "episode string, idx int, text string")
     res = {}
