@@ -24,7 +24,6 @@ def episode_list(viewer: DataFrame, order_col: str = "idx") -> DataFrame:
     """Distinct episodes in first-appearance order with their dropdown label and
     video id.  The viewer table is ordered by episode then caption order."""
     first = viewer.groupBy("episode_name").agg(
-        F.min(F.struct(F.col(order_col).alias("o"), F.col("youtube_id").alias("y"))).alias("f"),
         F.min_by("youtube_id", F.when(F.col("youtube_id").isNotNull(), F.col(order_col))).alias("youtube_id"),
     )
     ranked = global_ordinal(first, ["episode_name"], out_col="position", start=0)
