@@ -9,7 +9,8 @@ appears and a hot key spreads over its time buckets:
   anchor to ``t`` on either side always has ``t`` inside its region, so the
   regions hit by ``t`` are a small candidate set that contains the answer.
   Probes outside the anchor range are clamped to it for the lookup only.
-* interval hit: every interval is listed under each bucket it covers.
+* interval hit: every interval is listed under each bucket it covers (see
+  :mod:`cuesheet.operators.lookup`, which keeps both kinds in one index).
 
 Regions/intervals are exploded over ``floor(x / width)`` buckets.  By default
 the width is chosen per key as twice the average gap between anchors, so the
@@ -124,31 +125,3 @@ def nearest_candidates(
         "a_t", "a",
         F.abs(F.col("a_t") - F.col("p_t")).alias("dist"),
     )
-
-
-def interval_candidates(
-    probes: DataFrame,
-    intervals: DataFrame,
-    keys: Sequence[str],
-    t_expr: Column,
-    start_col: str,
-    end_col: str,
-    payload: Sequence[str],
-    width: float,
-) -> DataFrame:
-    """Left-join probes to every interval with ``start <= t <= end`` (inclusive)."""
-    keys = list(keys)
-    iv = intervals.select(
-        *[F.col(k).alias(f"r__{k}") for k in keys],
-        F.col(start_col).alias("i_start"), F.col(end_col).alias("i_end"),
-        F.struct(*[F.col(c) for c in payload]).alias("i"),
-        F.explode(F.sequence(_bucket(F.col(start_col), width), _bucket(F.col(end_col), width))).alias("r__bucket"),
-    )
-    p = probes.withColumn("p_t", t_expr).withColumn("bucket", _bucket(F.col("p_t"), width))
-    cond = [F.col(k) == F.col(f"r__{k}") for k in keys] + [
-        F.col("bucket") == F.col("r__bucket"),
-        F.col("i_start") <= F.col("p_t"),
-        F.col("p_t") <= F.col("i_end"),
-    ]
-    j = p.join(iv, cond, "left")
-    return j.select(*p.columns, "i_start", "i_end", "i")
