@@ -34,7 +34,9 @@ def forward_fill(
     blk = "__ff_blk"
     if block is None:
         block = F.floor(F.col(order_col) / F.lit(block_rows))
-    d = df.withColumn(blk, block)
+    # both levels read the input: cache it so upstream work runs once (deterministic,
+    # so a lost cached block recomputes identically)
+    d = df.withColumn(blk, block).persist()
     w_in = Window.partitionBy(*keys, blk).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumn("__ff_local", F.last(value_col, ignorenulls=True).over(w_in))
     # last non-null value of every block (null when the block has none)
