@@ -17,6 +17,9 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # bound what a Python worker holds at once, whatever the length of the texts
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # the repair step renames keys inside parsed maps; keep the last value
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
