@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import topk, warc
+from cuesheet.llm import langid, topk, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -53,7 +53,17 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
+
+def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~langid.held_out())
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
     "op8_topk_uniform_threshold": (op8_topk_uniform_threshold, OP8_SQL),
+    "op10_langid_centroids": (op10_langid_centroids, None),
 }
