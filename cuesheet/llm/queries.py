@@ -6,10 +6,11 @@ table; the SQL, where there is one, gives the same rows.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import langid, topk, warc
+from cuesheet.llm import bpe, langid, topk, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -62,8 +63,28 @@ def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+
+def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document; counts and digests of the ids and of the decoded text."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    lexicon = bpe.build_lexicon(docs, tokenizer)
+    ids = bpe.encode(docs, tokenizer, lexicon).select(
+        "doc_id",
+        "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+    )
+    text = bpe.decode(ids, tokenizer)
+    return text.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
+    "op5_bpe_transducer": (op5_bpe_transducer, None),
     "op8_topk_uniform_threshold": (op8_topk_uniform_threshold, OP8_SQL),
     "op10_langid_centroids": (op10_langid_centroids, None),
 }
