@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, langid, topk, warc
+from cuesheet.llm import bpe, langid, topk, triejoin, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -82,9 +82,35 @@ def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     return text.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+
+def op7_jaccard_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under five-word Jaccard similarity of 0.8."""
+    return triejoin.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), t AS (SELECT doc_id, unnest(s) AS t FROM s
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN s p ON p.doc_id = x JOIN s q ON q.doc_id = y WHERE 100 * c >= 80 * (len(p.s) + len(q.s) - c)
+), reach AS (
+  WITH RECURSIVE r(x, y) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.x, l.y FROM r JOIN links l ON l.x = r.y) SELECT * FROM r
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id
+FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = s.doc_id
+"""
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
     "op5_bpe_transducer": (op5_bpe_transducer, None),
+    "op7_jaccard_trie_join": (op7_jaccard_trie_join, OP7_SQL),
     "op8_topk_uniform_threshold": (op8_topk_uniform_threshold, OP8_SQL),
     "op10_langid_centroids": (op10_langid_centroids, None),
 }
