@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, langid, topk, triejoin, warc
+from cuesheet.llm import bpe, langid, sharding, topk, triejoin, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -107,8 +107,38 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id
 FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) ON x = s.doc_id
 """
 
+
+def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``documents`` as shards of at most 1 MiB of text and read them back, with each shard's totals."""
+    path = scratch_path(spark, "shards")
+    directory = sharding.write_shards(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    rows = spark.read.schema("doc_id long, text string, shard string").parquet(path)
+    rows = rows.select("doc_id", "shard", F.sha2("text", 256).alias("text_sha256"))
+    totals = directory.shards.select(
+        "shard", F.col("depth").cast("int").alias("shard_depth"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows")
+    )
+    return rows.join(totals, "shard")
+
+
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, text, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h,
+         strlen(coalesce(text, '')) AS b FROM documents
+), n AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(b) AS bytes, count(*) AS c
+  FROM d, (SELECT CAST(unnest(range(0, 31)) AS INTEGER) AS depth) GROUP BY ALL
+), s AS (
+  SELECT n.* FROM n LEFT JOIN n p ON p.depth = n.depth - 1 AND p.prefix = n.prefix >> 1
+  WHERE (n.bytes <= 1048576 OR n.c = 1) AND (n.depth = 0 OR (p.bytes > 1048576 AND p.c > 1))
+)
+SELECT doc_id, 's' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard, sha256(text) AS text_sha256,
+       depth AS shard_depth, CAST(bytes AS BIGINT) AS shard_bytes, c AS shard_rows
+FROM d JOIN s ON prefix = h >> (60 - depth)
+"""
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
+    "op3_extendible_shards": (op3_extendible_shards, OP3_SQL),
     "op5_bpe_transducer": (op5_bpe_transducer, None),
     "op7_jaccard_trie_join": (op7_jaccard_trie_join, OP7_SQL),
     "op8_topk_uniform_threshold": (op8_topk_uniform_threshold, OP8_SQL),
