@@ -146,7 +146,8 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG, k: int
     idf = np.log((1 + n) / (1 + df)) + 1
     sizes = parts.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("lang_rows"))
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(float(per_lang << 20)) / F.col("lang_rows")
-    sample = rows.join(sizes, "lang").where(share).select("lang", "text").distinct()
+    # one row per language, as in the model itself
+    sample = rows.join(F.broadcast(sizes), "lang").where(share).select("lang", "text").distinct()
 
     def centroids(pdf):
         import pandas as pd

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, langid, sharding, topk, triejoin, warc
+from cuesheet.llm import bpe, langid, linededup, sharding, topk, triejoin, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -136,10 +136,55 @@ SELECT doc_id, 's' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth,
 FROM d JOIN s ON prefix = h >> (60 - depth)
 """
 
+
+def op6_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of 50 words or more that occur earlier."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.dedup_lines(docs)
+    lines = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return found.select(
+        "doc_id", lines.alias("removed_lines"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l
+), c AS (
+  SELECT doc_id, pos, array_to_string(ws, ' ') AS line, len(ws) AS n,
+         sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w WHERE len(ws) > 0
+), win AS (
+  SELECT DISTINCT doc_id, a, b FROM (
+    SELECT x.doc_id, x.pos AS a, min(y.pos) AS b FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.upto - x.upto + x.n >= 50 AND y.pos >= x.pos GROUP BY ALL
+    UNION ALL
+    SELECT y.doc_id, max(x.pos), y.pos FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.upto - x.upto + x.n >= 50 AND y.pos >= x.pos GROUP BY ALL)
+), r AS (
+  SELECT win.doc_id, a, b, string_agg(line, chr(10) ORDER BY pos) AS run
+  FROM win JOIN c ON c.doc_id = win.doc_id AND pos BETWEEN a AND b GROUP BY ALL
+), f AS (
+  SELECT run, first(doc_id ORDER BY doc_id, a) AS fd, first(b ORDER BY doc_id, a) AS fb FROM r GROUP BY run
+), gone AS (
+  SELECT DISTINCT r.doc_id, l.pos FROM r JOIN f ON f.run = r.run AND (r.doc_id > fd OR (r.doc_id = fd AND a > fb))
+  JOIN l ON l.doc_id = r.doc_id AND l.pos BETWEEN a AND b
+), kept AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL) AS text, count(gone.pos) AS removed_lines
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.pos = l.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(removed_lines, 0) AS removed_lines,
+       CASE WHEN d.text IS NOT NULL THEN length(coalesce(kept.text, '')) END AS kept_chars,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS text_sha256
+FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
     "op3_extendible_shards": (op3_extendible_shards, OP3_SQL),
     "op5_bpe_transducer": (op5_bpe_transducer, None),
+    "op6_line_winnowing": (op6_line_winnowing, OP6_SQL),
     "op7_jaccard_trie_join": (op7_jaccard_trie_join, OP7_SQL),
     "op8_topk_uniform_threshold": (op8_topk_uniform_threshold, OP8_SQL),
     "op10_langid_centroids": (op10_langid_centroids, None),
