@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, langid, linededup, sharding, topk, triejoin, warc
+from cuesheet.llm import bpe, decontam, langid, linededup, sharding, topk, triejoin, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -180,8 +180,17 @@ SELECT d.doc_id, coalesce(removed_lines, 0) AS removed_lines,
 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+
+def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, with its place and edits."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
+    "op2_qgram_decontamination": (op2_qgram_decontamination, None),
     "op3_extendible_shards": (op3_extendible_shards, OP3_SQL),
     "op5_bpe_transducer": (op5_bpe_transducer, None),
     "op6_line_winnowing": (op6_line_winnowing, OP6_SQL),
