@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, decontam, langid, linededup, sharding, topk, triejoin, warc
+from cuesheet.llm import bpe, decontam, langid, linededup, lmscore, sharding, topk, triejoin, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -188,10 +188,47 @@ def op2_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+
+def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under models of the documents labelled as of high quality and of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1")
+    found = lmscore.score(docs, lmscore.fit(docs, good)).drop("text")
+    losses = ("target_loss", "background_loss", "difference")
+    return found.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in losses))
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM w
+), vocab AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, encode(w)) AS id FROM t GROUP BY w QUALIFY id <= 1023
+), c AS (SELECT doc_id, pos, coalesce(id, 1024) AS w FROM t LEFT JOIN vocab USING (w)
+), p AS (SELECT doc_id, pos, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), 1025) AS v FROM c
+), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
+), n AS (
+  SELECT v, w, count(*) AS b, count(good.doc_id) AS t FROM p LEFT JOIN good ON good.doc_id = p.doc_id GROUP BY v, w
+), total AS (SELECT sum(t) / sum(b) AS f, sum(t) AS nt, sum(b) AS nb, (SELECT count(*) + 1 FROM vocab) AS size FROM n
+), uni AS (
+  SELECT w, (sum(t) + 1) / (any_value(nt) + any_value(size)) AS t, (sum(b) * any_value(f) + 1) / (any_value(nb) * any_value(f) + any_value(size)) AS b
+  FROM n, total GROUP BY w
+), prev AS (SELECT v, sum(t) AS t, sum(b) * any_value(f) AS b FROM n, total GROUP BY v
+), cost AS (
+  SELECT v, w, -ln((n.t + 16 * uni.t) / (prev.t + 16)) AS t, -ln((n.b * f + 16 * uni.b) / (prev.b + 16)) AS b
+  FROM n JOIN uni USING (w) JOIN prev USING (v), total
+), s AS (
+  SELECT doc_id, count(*) AS n, avg(t) AS t, avg(b) AS b FROM p JOIN cost USING (v, w) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(t - b, 6) AS difference
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
     "op2_qgram_decontamination": (op2_qgram_decontamination, None),
     "op3_extendible_shards": (op3_extendible_shards, OP3_SQL),
+    "op4_cross_entropy_difference": (op4_cross_entropy_difference, OP4_SQL),
     "op5_bpe_transducer": (op5_bpe_transducer, None),
     "op6_line_winnowing": (op6_line_winnowing, OP6_SQL),
     "op7_jaccard_trie_join": (op7_jaccard_trie_join, OP7_SQL),
