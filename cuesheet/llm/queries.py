@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, decontam, langid, linededup, lmscore, sharding, topk, triejoin, warc
+from cuesheet.llm import bpe, decontam, langid, licenses, linededup, lmscore, sharding, topk, triejoin, warc
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -224,6 +224,12 @@ SELECT d.doc_id, coalesce(n, 0) AS n_tokens, round(t, 6) AS target_loss, round(b
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
+
+def op9_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license template found in every document."""
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
     "op2_qgram_decontamination": (op2_qgram_decontamination, None),
@@ -233,5 +239,6 @@ QUERIES = {
     "op6_line_winnowing": (op6_line_winnowing, OP6_SQL),
     "op7_jaccard_trie_join": (op7_jaccard_trie_join, OP7_SQL),
     "op8_topk_uniform_threshold": (op8_topk_uniform_threshold, OP8_SQL),
+    "op9_license_minhash": (op9_license_minhash, None),
     "op10_langid_centroids": (op10_langid_centroids, None),
 }

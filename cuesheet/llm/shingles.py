@@ -15,6 +15,7 @@ SIZE = 5
 CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_OTHER = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -37,10 +38,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _piece_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _piece_words(raw: bytes, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word: a polynomial over its bytes, from differences of one running sum."""
     b = np.frombuffer(raw, np.uint8)
-    edge = np.diff(~_SPACE[b], prepend=False, append=False)
+    edge = np.diff(~gap[b], prepend=False, append=False)
     at = np.nonzero(edge)[0]
     starts, ends = at[::2], at[1::2]
     n = 1 << max(10, (len(b) + 1).bit_length())
@@ -50,24 +51,28 @@ def _piece_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed(value + (ends - starts).astype(np.uint64)), starts
 
 
-def _cuts(raw: bytes) -> Iterator[bytes]:
-    """Pieces of about CHUNK_BYTES that end at white space."""
+def _cuts(raw: bytes, gap: np.ndarray) -> Iterator[bytes]:
+    """Pieces of about CHUNK_BYTES that end between words."""
     at = 0
     while at < len(raw):
         end = at + CHUNK_BYTES
-        while end < len(raw) and not _SPACE[raw[end]]:
+        while end < len(raw) and not gap[raw[end]]:
             end += 1
         yield raw[at:end]
         at = end
 
 
-def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """The word hashes of each text; none for a null text."""
+def word_hashes(texts: Iterable[str | None], alphanumeric: bool = False) -> Iterator[np.ndarray]:
+    """The word hashes of each text; none for a null text.
+
+    With ``alphanumeric``, words are runs of ASCII letters and digits and of non-ASCII characters.
+    """
+    gap = _OTHER if alphanumeric else _SPACE
     held: list[bytes] = []
     size = 0
 
     def flush() -> Iterator[np.ndarray]:
-        words, starts = _piece_words(b" ".join(held))
+        words, starts = _piece_words(b" ".join(held), gap)
         ends = np.cumsum([len(x) + 1 for x in held])
         yield from np.split(words, np.searchsorted(starts, ends[:-1]))
 
@@ -77,7 +82,7 @@ def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
             yield from flush()
             held, size = [], 0
         if len(raw) > CHUNK_BYTES:
-            yield np.concatenate([_piece_words(piece)[0] for piece in _cuts(raw)])
+            yield np.concatenate([_piece_words(piece, gap)[0] for piece in _cuts(raw, gap)])
             continue
         held.append(raw)
         size += len(raw) + 1
