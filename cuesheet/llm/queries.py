@@ -85,7 +85,7 @@ def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def op7_jaccard_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under five-word Jaccard similarity of 0.8."""
-    return triejoin.jaccard_components(read_table(spark, sf_dir, "documents"))
+    return triejoin.jaccard_components(read_table(spark, sf_dir, "documents")).drop("key")
 
 
 OP7_SQL = r"""

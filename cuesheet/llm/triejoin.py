@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.llm.components import components
@@ -63,20 +63,26 @@ def _distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def document_key() -> Column:
+    """One key for a document wherever it is read: rows that share doc_id and text are one document."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+
+
 def members(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, sig, bitmap`` per document: set size, 64-bit signature and parity bitmap of its set."""
+    """``doc_id, key, n, sig, bitmap`` per document: set size, 64-bit signature and parity bitmap of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sig, bits = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
+            for s in shingle_sets(batch.column(2).to_pylist()):
                 n.append(len(s))
                 sig.append(_signature(s))
                 bits.append(_bitmap(s) if len(s) else None)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "sig", "bitmap"])
+            cols = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "sig", "bitmap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig long, bitmap binary")
+    rows = docs.select("doc_id", document_key().alias("key"), "text")
+    return rows.mapInArrow(run, "doc_id long, key long, n long, sig long, bitmap binary")
 
 
 def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
@@ -271,7 +277,7 @@ def verified(docs: DataFrame, pairs: DataFrame, order: Order) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs`` (doc_id, text; others are ignored).
+    """``doc_id, key, n_shingles, component_id`` per row of ``docs`` (doc_id, text; others are ignored).
 
     Two documents link when their sets of five-word shingles are 0.8 alike;
     component_id is the smallest doc_id reachable by links.  A null or empty
@@ -322,10 +328,23 @@ def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
         roots = components(links)
 
     labels = all_.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
-    labels = labels.select("doc_id", "n", F.coalesce("root", "sig").alias("label"))
+    labels = labels.select("doc_id", "key", "n", F.coalesce("root", "sig").alias("label"))
     least = labels.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labels.join(least, "label", "left").select(
         "doc_id",
+        "key",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller doc_id; one document of each group stays.
+
+    Documents with empty sets stay.  Rows that share the kept doc_id are one
+    document and stay together; so do rows without an id unless they are
+    linked with one that has it.
+    """
+    found = jaccard_components(docs)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct()
+    return docs.join(gone, document_key() == F.col("__key"), "left_anti")
