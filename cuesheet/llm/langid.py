@@ -27,7 +27,7 @@ CENTROIDS = 4
 TRAIN_PER_LANG = 2000
 ROUNDS = 8
 LENGTH_BINS = 24
-SLACK = 0.6
+SLACK = 0.5
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 # bytes that stay: a-z and the bytes of non-ASCII characters; all else is a space
@@ -59,7 +59,7 @@ def trigram_counts(text: str) -> tuple[np.ndarray, int]:
 
 def _matrix(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit TF-IDF rows and the trigram count of each text."""
-    rows, sizes = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
+    rows, sizes = np.zeros((len(texts), DIMENSIONS)), np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         counts, sizes[i] = trigram_counts(text)
         hit = np.nonzero(counts)[0]
@@ -91,7 +91,8 @@ class Model:
         for at in range(0, len(known) if self.langs else 0, 256):
             part = known[at : at + 256]
             rows, sizes = _matrix([texts[i] for i in part], self.idf)
-            cosine = rows @ self.centroids.T
+            # rounded, as the last digits hang on which texts go through together
+            cosine = (rows @ self.centroids.T).round(9)
             best = cosine.argmax(axis=1)
             score = np.clip(cosine[np.arange(len(part)), best], 0, 1)
             scores[part] = score
@@ -113,7 +114,7 @@ def _clusters(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
         own = (rows @ centres.T).argmax(axis=1)
         sums = np.stack([rows[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return centres.astype(np.float32)
+    return centres
 
 
 def fit(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG, k: int = CENTROIDS) -> Model:
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG, k: int
         low[bins.max() + 1 :] = low[bins.max()]
         low[: bins.min()] = 0
         lang = pdf["lang"].iloc[0]
-        out = [(lang, centre.astype(float).tolist(), (SLACK * low).tolist()) for centre in centres]
+        out = [(lang, centre.tolist(), (SLACK * low).tolist()) for centre in centres]
         return pd.DataFrame(out, columns=["lang", "centre", "least"])
 
     found = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre array<double>, least array<double>").collect()
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG, k: int
     return Model(
         idf,
         [r["lang"] for r in found],
-        np.array([r["centre"] for r in found], np.float32).reshape(-1, DIMENSIONS),
+        np.array([r["centre"] for r in found]).reshape(-1, DIMENSIONS),
         np.array([r["least"] for r in found]).reshape(-1, LENGTH_BINS),
     )
 
