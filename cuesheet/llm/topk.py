@@ -186,7 +186,7 @@ def _floor_of(ranked: DataFrame, n: int, k: int) -> np.ndarray:
     """Per query of a block its k-th score, or minus infinity; a row per query comes to the driver."""
     low = np.full(n, -np.inf)
     for r in ranked.where(F.col("rank") == k).select("q", "score").collect():
-        low[r["q"]] = r["score"]
+        low[r["q"]] = float(r["score"]) if abs(r["score"]) < EXACT else np.nextafter(float(r["score"]), -np.inf)
     return low
 
 
@@ -208,7 +208,7 @@ def search_block(vectors: DataFrame, block: list, k: int, lists: int) -> DataFra
 
     # Phase 2.  Parts that a node hasn't sent are below cutoff / lists.
     seen = entries_above(vectors, queries, cutoff, lists)
-    summed = seen.groupBy("q", "vid").agg(F.sum("score").alias("part"), F.count(F.lit(1)).alias("lists_seen"))
+    summed = seen.groupBy("q", "vid").agg(F.sum(F.col("score").cast("decimal(20,0)")).alias("part"), F.count(F.lit(1)).alias("lists_seen"))
     sums = materialize(summed, "sums")
 
     # Phase 3.  A sum over all lists is an exact score, so these raise the cutoff.
