@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from cuesheet.llm.common import most_frequent
 from cuesheet.sinks.files import scratch_path
 
-LEXICON_WORDS = 1 << 17
-CHUNK_CHARS = 1 << 20
+LEXICON_WORDS = 1 << 18
+CHUNK_CHARS = 4 << 20
 COUNTER_WORDS = 1 << 18
 MERGED_WORDS = 1 << 16
 NO_RANK = 1 << 60
@@ -267,17 +268,16 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words and give every worker the file; its name.
+    """Compile the most frequent words, ``words`` at most, and give every worker the file; its name.
 
     The size bounds the automaton, not the encoding: other words are merged
     where they occur.  The file goes to the shared checkpoint folder, from
     which executors (also later ones) fetch their own copy to map.
     """
-    spark = docs.sparkSession
-    top = word_counts(docs, tokenizer).orderBy(F.col("n").desc(), "word").limit(words).select("word").collect()
+    top = most_frequent(word_counts(docs, tokenizer), words).select(F.col("word").cast("binary")).toArrow()
     m = merger(tokenizer)
-    flat = compile_words((w, m.merge(w.decode())) for w in sorted(r["word"].encode() for r in top))
-    return share_array(spark, flat)
+    flat = compile_words((w, m.merge(w.decode())) for w in sorted(top.column(0).to_pylist()))
+    return share_array(docs.sparkSession, flat)
 
 
 def share_array(spark: SparkSession, flat: np.ndarray) -> str:
