@@ -28,7 +28,6 @@ SCENE_FIELDS = [
 # ---------------------------------------------------------------------------
 # FIXED VALUES (playback viewer)
 # ---------------------------------------------------------------------------
-POLL_INTERVAL_MS = 500
 SCENE_DURATION_S = 5
 NUM_IMAGE_VARIATIONS = 12
 # episode -> (game start, break start, break end), seconds
@@ -37,7 +36,6 @@ EPISODE_META = [
     ("c2e002", 504, 7583, 8470),
     ("c2e003", 420, 7992, 8921),
 ]
-IMAGE_URL_TEMPLATE = "{base}/{episode_name}/{scene_name}_image_{image_num}.png"
 DEFAULT_IMAGE_BASE_URL = "https://example.invalid/scenes"
 ENVIRONMENT = "environment"
 
@@ -46,16 +44,7 @@ ENVIRONMENT = "environment"
 # ---------------------------------------------------------------------------
 VETH_EPISODE = 97
 MOLLYMAUK_EPISODE = 26
-SINGLE_CHARACTER_MAP = {
-    "marisha": "beau",
-    "laura": "jester",
-    "travis": "fjord",
-    "liam": "caleb",
-    "ashley": "yasha",
-    "beauregard": "beau",
-    "molly": "mollymauk",
-}
-EXTRA_PLAYER_CHARACTERS = ["nott", "veth", "mollymauk", "caduceus"]
+PLAYER_CHARACTERS = ["beau", "jester", "fjord", "caleb", "yasha", "mollymauk", "nott", "veth", "caduceus"]
 CHARACTER_DESC_PREFIX = "a picture of"
 CHARACTER_TOKENS = {
     "fjord": "[critrole-fjord]",
@@ -133,14 +122,4 @@ SPEAKER_MAP = {
 # ---------------------------------------------------------------------------
 IMAGES_PER_PROMPT = 8
 BATCHES_PER_PROMPT = 1
-INFERENCE_STEPS = 30
 TRANSCRIPT_LANGUAGES = ["en-US", "en"]
-
-
-def player_characters() -> list[str]:
-    """Values of the single-character map plus the extra names, deduplicated."""
-    out: list[str] = []
-    for name in [*SINGLE_CHARACTER_MAP.values(), *EXTRA_PLAYER_CHARACTERS]:
-        if name not in out:
-            out.append(name)
-    return out

@@ -14,12 +14,3 @@ def py_strip(c: Column) -> Column:
     """
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-
-def zero_pad(n: Column, width: int = 3) -> Column:
-    """``f"{n:0{width}}"``: pads, never truncates (``lpad`` would truncate)."""
-    return F.format_string(f"%0{width}d", n)
-
-
-def after_last(s: Column, sep: str) -> Column:
-    """Text after the last ``sep`` (the whole text when absent)."""
-    return F.substring_index(s, sep, -1)

@@ -9,8 +9,10 @@ from cuesheet.operators.trainprep import rank_within
 
 
 def _numbered(artifacts: DataFrame) -> DataFrame:
+    """Checkpoints with their step; a name without a number is none."""
     a = artifacts.where(F.col("path").startswith("checkpoint"))
-    return a.withColumn("step", F.split(F.col("path"), "-")[1].try_cast("long"))
+    step = F.get(F.split(F.col("path"), "-"), F.lit(1)).try_cast("long")
+    return a.withColumn("step", step).where(F.col("step").isNotNull())
 
 
 def artifact_retention(artifacts: DataFrame, limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from cuesheet.functions.text import py_strip
 
 def characters_dim(spark: SparkSession) -> DataFrame:
     """Fixed character dimension: name, token, extra prompt, extra negative, is_pc."""
-    pcs = C.player_characters()
+    pcs = C.PLAYER_CHARACTERS
     names = list(dict.fromkeys([*C.CHARACTER_TOKENS, *C.ADDITIONAL_PROMPTS, *C.ADDITIONAL_NEGATIVE_PROMPTS, *pcs]))
     rows = [
         (
@@ -27,7 +27,7 @@ def characters_dim(spark: SparkSession) -> DataFrame:
 
 
 def _in_pcs(c: Column) -> Column:
-    return c.isin(*C.player_characters())
+    return c.isin(*C.PLAYER_CHARACTERS)
 
 
 def scene_prompts(scenes: DataFrame, episode_col: str = "episode_name", mention_fallback: bool = False) -> DataFrame:
@@ -49,7 +49,7 @@ def scene_prompts(scenes: DataFrame, episode_col: str = "episode_name", mention_
         # first player character by position of its first mention
         hits = [
             F.when(F.instr(F.col("__desc"), p) > 0, F.struct(F.instr(F.col("__desc"), p).alias("at"), F.lit(p).alias("name")))
-            for p in C.player_characters()
+            for p in C.PLAYER_CHARACTERS
         ]
         mention = F.least(*hits)["name"]
         chained = F.col("__desc").contains(F.col("__char")) & mention.isNotNull()

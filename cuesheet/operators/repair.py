@@ -207,7 +207,7 @@ def _int_value(v: Column) -> Column:
     s = _as_string(v)
     d = F.try_variant_get(v, "$", "double")
     return (
-        F.when(_is_number(v) & (d == F.floor(d)), d.cast("int"))
+        F.when(_is_number(v) & (d == F.floor(d)), d.try_cast("int"))
         .when(_vtype(v) == "BOOLEAN", F.when(s == "true", F.lit(1)).otherwise(F.lit(0)))
         .when(_is_string(v) & s.rlike(INT_PATTERN), F.trim(s).try_cast("int"))
     )

@@ -30,7 +30,8 @@ def episode_list(viewer: DataFrame, order_col: str = "idx") -> DataFrame:
     return ranked.select(
         "episode_name",
         F.col("position").cast("int").alias("position"),
-        F.concat(F.lit("Campaign 2 Episode "), F.split("episode_name", "e")[1]).alias("label"),
+        # a name without the separator has no label
+        F.concat(F.lit("Campaign 2 Episode "), F.get(F.split("episode_name", "e"), F.lit(1))).alias("label"),
         "youtube_id",
     )
 

@@ -707,28 +707,28 @@ LOOKUP_CTES = VIEWER_EXTRA + [
                        ELSE 'scene' END AS mode0 FROM lk_e
     """),
     ("lk_cand", """
-        SELECT e.session, e.ts, 0 AS prio, abs(v.mid_point - CASE WHEN e.mode0 = 'intro' THEN e.t ELSE 0.0 END) AS dist,
+        SELECT e.event_id, 0 AS prio, abs(v.mid_point - CASE WHEN e.mode0 = 'intro' THEN e.t ELSE 0.0 END) AS dist,
                v.idx, v.scene_id, v.speaker, v.character, v.scene_name
         FROM lk_e2 e JOIN viewer_o v ON v.episode_name = e.episode AND v.character = 'environment'
         WHERE e.mode0 IN ('intro', 'break')
         UNION ALL
-        SELECT e.session, e.ts, 0, 0.0, v.idx, v.scene_id, v.speaker, v.character, v.scene_name
+        SELECT e.event_id, 0, 0.0, v.idx, v.scene_id, v.speaker, v.character, v.scene_name
         FROM lk_e2 e JOIN viewer_o v ON v.episode_name = e.episode AND v.start_time <= e.t AND e.t <= v.end_time
         WHERE e.mode0 = 'scene'
         UNION ALL
-        SELECT e.session, e.ts, 1, abs(v.mid_point - e.t), v.idx, v.scene_id, v.speaker, v.character, v.scene_name
+        SELECT e.event_id, 1, abs(v.mid_point - e.t), v.idx, v.scene_id, v.speaker, v.character, v.scene_name
         FROM lk_e2 e JOIN viewer_o v ON v.episode_name = e.episode
         WHERE e.mode0 = 'scene' AND e.t IS NOT NULL
     """),
     ("lk_best", """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, ts ORDER BY prio, dist, idx) AS rn FROM lk_cand)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prio, dist, idx) AS rn FROM lk_cand)
         WHERE rn = 1
     """),
     ("lookup_o", """
-        SELECT e.session, e.episode, e.position, e.event_type, e.ts, e.t,
+        SELECT e.event_id, e.session, e.episode, e.position, e.event_type, e.ts, e.t,
                CASE WHEN e.mode0 <> 'scene' THEN e.mode0 WHEN b.prio = 0 THEN 'hit' WHEN b.prio IS NOT NULL THEN 'nearest' END AS mode,
                b.scene_id, b.speaker, b.character, b.scene_name, b.idx
-        FROM lk_e2 e LEFT JOIN lk_best b ON e.session = b.session AND e.ts = b.ts
+        FROM lk_e2 e LEFT JOIN lk_best b ON e.event_id = b.event_id
     """),
 ]
 
@@ -739,7 +739,7 @@ def _lookup(spark, sf_dir):
 
     index, stats = build_lookup_index(_viewer(spark, sf_dir))
     ev = positions_view(spark, sf_dir)
-    return lookup_scenes(ev, index, stats, ["session", "ts"], event_key_map={"episode_name": "episode"})
+    return lookup_scenes(ev, index, stats, ["event_id"], event_key_map={"episode_name": "episode"})
 
 
 @register("scene_lookup", _v("SELECT * FROM lookup_o", "captions_v", "scenes_v", "positions_v", extra=LOOKUP_CTES))
@@ -748,7 +748,7 @@ def q_scene_lookup(spark, sf_dir):
 
 
 @register("image_url", _v(f"""
-    SELECT session, ts, episode, scene_name,
+    SELECT event_id, session, ts, episode, scene_name,
            CASE WHEN scene_name IS NOT NULL THEN printf('%s/%s/%s_image_%02d.png', '{__import__('cuesheet.constants', fromlist=['x']).DEFAULT_IMAGE_BASE_URL}',
                 episode, scene_name, CAST(floor(position * 16) AS BIGINT) % 12) END AS image_url
     FROM lookup_o
@@ -759,13 +759,13 @@ def q_image_url(spark, sf_dir):
     from cuesheet.operators.lookup import image_url
 
     r = _lookup(spark, sf_dir)
-    return image_url(r, "episode", F.floor(F.col("position") * 16)).select("session", "ts", "episode", "scene_name", "image_url")
+    return image_url(r, "episode", F.floor(F.col("position") * 16)).select("event_id", "session", "ts", "episode", "scene_name", "image_url")
 
 
 @register("nearest_scene", _v("""
-    SELECT session, ts, episode, position, scene_id, idx, distance FROM (
-        SELECT p.session, p.ts, p.episode, p.position, v.scene_id, v.idx, abs(v.mid_point - p.position) AS distance,
-               row_number() OVER (PARTITION BY p.session, p.ts ORDER BY abs(v.mid_point - p.position), v.idx) AS rn
+    SELECT event_id, episode, position, scene_id, idx, distance FROM (
+        SELECT p.event_id, p.episode, p.position, v.scene_id, v.idx, abs(v.mid_point - p.position) AS distance,
+               row_number() OVER (PARTITION BY p.event_id ORDER BY abs(v.mid_point - p.position), v.idx) AS rn
         FROM positions_v p JOIN viewer_o v ON v.episode_name = p.episode)
     WHERE rn = 1
 """, "captions_v", "scenes_v", "positions_v", extra=VIEWER_EXTRA))
@@ -773,17 +773,17 @@ def q_nearest_scene(spark, sf_dir):
     from cuesheet.operators.lookup import nearest_scene
     from cuesheet.sources.fixtures import positions_view
 
-    ev = positions_view(spark, sf_dir).select("session", "ts", "episode", "position")
-    return nearest_scene(ev, _viewer(spark, sf_dir), ["session", "ts"])
+    ev = positions_view(spark, sf_dir).select("event_id", "episode", "position")
+    return nearest_scene(ev, _viewer(spark, sf_dir), ["event_id"])
 
 
 # --------------------------------------------------------------------------
 # prompts and image manifests
 # --------------------------------------------------------------------------
 def _pcs_sql() -> str:
-    from cuesheet.constants import player_characters
+    from cuesheet.constants import PLAYER_CHARACTERS
 
-    return ", ".join(f"'{p}'" for p in player_characters())
+    return ", ".join(f"'{p}'" for p in PLAYER_CHARACTERS)
 
 
 def _dim_values() -> str:
@@ -791,7 +791,7 @@ def _dim_values() -> str:
     from cuesheet.plans.oracle_views import sql_str
 
     names = list(dict.fromkeys([*C.CHARACTER_TOKENS, *C.ADDITIONAL_PROMPTS, *C.ADDITIONAL_NEGATIVE_PROMPTS,
-                                *C.player_characters()]))
+                                *C.PLAYER_CHARACTERS]))
 
     def lit(v):
         return "CAST(NULL AS VARCHAR)" if v is None else sql_str(v)
@@ -959,15 +959,15 @@ def q_download_manifest(spark, sf_dir):
 _EM = ("((e.position - r.last > 5 OR e.position = 0) AND "
        "(r.s_ch IS DISTINCT FROM e.character OR r.s_sid IS DISTINCT FROM e.scene_id))")
 PLAYBACK_CTES = LOOKUP_CTES + [
-    ("pc_ev", """SELECT session, ts, episode, position, event_type, speaker, character, scene_id,
-                        row_number() OVER (PARTITION BY session ORDER BY ts) AS rn FROM lookup_o"""),
+    ("pc_ev", """SELECT event_id, session, ts, episode, position, event_type, speaker, character, scene_id,
+                        row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS rn FROM lookup_o"""),
     ("pc_rec", f"""
-        SELECT DISTINCT session, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS episode,
+        SELECT DISTINCT session, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS episode,
                CAST(NULL AS DOUBLE) AS position, CAST(0.0 AS DOUBLE) AS last, CAST(NULL AS VARCHAR) AS s_spk,
                CAST(NULL AS VARCHAR) AS s_ch, CAST(NULL AS INTEGER) AS s_sid, false AS emit
         FROM pc_ev
         UNION ALL
-        SELECT e.session, e.rn, e.ts, e.episode, e.position,
+        SELECT e.session, e.rn, e.event_id, e.ts, e.episode, e.position,
                CASE WHEN e.event_type = 1 THEN 0.0 WHEN e.position - r.last > 5 THEN e.position ELSE r.last END,
                CASE WHEN {_EM} THEN e.speaker ELSE r.s_spk END,
                CASE WHEN {_EM} THEN e.character ELSE r.s_ch END,
@@ -975,7 +975,7 @@ PLAYBACK_CTES = LOOKUP_CTES + [
                {_EM}
         FROM pc_rec r JOIN pc_ev e ON e.session = r.session AND e.rn = r.rn + 1
     """),
-    ("pc_out", """SELECT session, ts, episode, position, s_spk AS speaker, s_ch AS character, s_sid AS scene_id
+    ("pc_out", """SELECT event_id, session, ts, episode, position, s_spk AS speaker, s_ch AS character, s_sid AS scene_id
                   FROM pc_rec WHERE emit"""),
 ]
 
@@ -983,30 +983,30 @@ PLAYBACK_CTES = LOOKUP_CTES + [
 def _filtered_lookup_ctes() -> list[tuple[str, str]]:
     filt = "AND v.speaker = e.speaker AND v.character = e.character"
     return [
-        ("fl_b", f"""SELECT e.session, e.ts, min(v.start_time) AS mn, max(v.end_time) AS mx
-                     FROM pc_out e JOIN viewer_o v ON v.episode_name = e.episode {filt} GROUP BY e.session, e.ts"""),
+        ("fl_b", f"""SELECT e.event_id, min(v.start_time) AS mn, max(v.end_time) AS mx
+                     FROM pc_out e JOIN viewer_o v ON v.episode_name = e.episode {filt} GROUP BY e.event_id"""),
         ("fl_e", f"""
             SELECT p.*, CASE WHEN b.mx IS NOT NULL THEN greatest(least(p.position, b.mx), b.mn) END AS t,
                    m.game_start, m.break_start, m.break_end
-            FROM pc_out p LEFT JOIN fl_b b ON p.session = b.session AND p.ts = b.ts
+            FROM pc_out p LEFT JOIN fl_b b ON p.event_id = b.event_id
             LEFT JOIN (VALUES {_meta_values()}) m(meta_episode, game_start, break_start, break_end)
               ON p.episode = m.meta_episode"""),
         ("fl_e2", """SELECT *, CASE WHEN t <= game_start THEN 'intro' WHEN t >= break_start AND t <= break_end THEN 'break'
                                     ELSE 'scene' END AS mode0 FROM fl_e"""),
         ("fl_cand", f"""
-            SELECT e.session, e.ts, 0 AS prio, abs(v.mid_point - CASE WHEN e.mode0 = 'intro' THEN e.t ELSE 0.0 END) AS dist,
+            SELECT e.event_id, 0 AS prio, abs(v.mid_point - CASE WHEN e.mode0 = 'intro' THEN e.t ELSE 0.0 END) AS dist,
                    v.idx, v.scene_name
             FROM fl_e2 e JOIN viewer_o v ON v.episode_name = e.episode {filt} AND v.character = 'environment'
             WHERE e.mode0 IN ('intro', 'break')
             UNION ALL
-            SELECT e.session, e.ts, 0, 0.0, v.idx, v.scene_name
+            SELECT e.event_id, 0, 0.0, v.idx, v.scene_name
             FROM fl_e2 e JOIN viewer_o v ON v.episode_name = e.episode {filt} AND v.start_time <= e.t AND e.t <= v.end_time
             WHERE e.mode0 = 'scene'
             UNION ALL
-            SELECT e.session, e.ts, 1, abs(v.mid_point - e.t), v.idx, v.scene_name
+            SELECT e.event_id, 1, abs(v.mid_point - e.t), v.idx, v.scene_name
             FROM fl_e2 e JOIN viewer_o v ON v.episode_name = e.episode {filt}
             WHERE e.mode0 = 'scene' AND e.t IS NOT NULL"""),
-        ("fl_best", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session, ts ORDER BY prio, dist, idx) AS rn
+        ("fl_best", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prio, dist, idx) AS rn
                        FROM fl_cand) WHERE rn = 1"""),
     ]
 
@@ -1026,18 +1026,18 @@ def q_playback_changes(spark, sf_dir):
 @register("playback_changes_blocked", _v("SELECT * FROM pc_out", "captions_v", "scenes_v", "positions_v",
                                            extra=PLAYBACK_CTES, recursive=True))
 def q_playback_changes_blocked(spark, sf_dir):
-    """The block-parallel change detector (the form for very long sessions)."""
-    from cuesheet.streaming.playback import playback_changes_blocked
+    """The same with blocks so small that sessions span many of them."""
+    from cuesheet.streaming.playback import playback_changes
 
-    return playback_changes_blocked(_lookup(spark, sf_dir))
+    return playback_changes(_lookup(spark, sf_dir), block_rows=16)
 
 
 @register("image_updates", _v(f"""
-    SELECT e.session, e.ts, e.episode, e.speaker, e.character, b.scene_name,
+    SELECT e.event_id, e.session, e.ts, e.episode, e.speaker, e.character, b.scene_name,
            CASE WHEN b.scene_name IS NOT NULL THEN printf('%s/%s/%s_image_%02d.png',
                 '{__import__('cuesheet.constants', fromlist=['x']).DEFAULT_IMAGE_BASE_URL}',
                 e.episode, b.scene_name, CAST(floor(e.position * 16) AS BIGINT) % 12) END AS image_url
-    FROM pc_out e LEFT JOIN fl_best b ON e.session = b.session AND e.ts = b.ts
+    FROM pc_out e LEFT JOIN fl_best b ON e.event_id = b.event_id
 """, "captions_v", "scenes_v", "positions_v", extra=PLAYBACK_CTES + _filtered_lookup_ctes(), recursive=True))
 def q_image_updates(spark, sf_dir):
     from pyspark.sql import functions as F
@@ -1047,9 +1047,9 @@ def q_image_updates(spark, sf_dir):
     keys = ["episode_name", "speaker", "character"]
     index, stats = build_lookup_index(_viewer(spark, sf_dir), keys)
     em = _playback(spark, sf_dir)
-    r = lookup_scenes(em, index, stats, ["session", "ts"], keys, event_key_map={"episode_name": "episode"})
+    r = lookup_scenes(em, index, stats, ["event_id"], keys, event_key_map={"episode_name": "episode"})
     return image_url(r, "episode", F.floor(F.col("position") * 16)).select(
-        "session", "ts", "episode", "speaker", "character", "scene_name", "image_url"
+        "event_id", "session", "ts", "episode", "speaker", "character", "scene_name", "image_url"
     )
 
 

@@ -98,11 +98,11 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         )
     """),
     "positions_v": ([], """
-        SELECT user_id AS session,
+        SELECT event_id, user_id AS session,
                printf('c2e%03d', user_id % (SELECT count(DISTINCT conv_id) FROM conversations)) AS episode,
                value AS position,
                CAST(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS INTEGER) AS event_type,
-               ts
+               CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts
         FROM events
     """),
     "instances_v": ([], """

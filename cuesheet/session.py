@@ -47,10 +47,8 @@ def get_spark(
 
 def apply_conf(spark: SparkSession) -> None:
     for k, v in SCALE_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):  # a static setting of a shared session stays
             spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave it
-            pass
     ship_package(spark)
 
 
@@ -87,14 +85,17 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``.  Only a local session may leave it
+    unset (tests): it gets a scratch folder of this machine, which executors on
+    other machines couldn't read.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cuesheet-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

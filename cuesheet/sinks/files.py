@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.session import checkpoint_dir
+from cuesheet.sources.files import CSV_OPTIONS
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -57,20 +58,25 @@ def write_scene_files(scenes: DataFrame, path: str) -> None:
 
 
 def export_aligned(aligned: DataFrame, path: str, with_all: bool = True) -> None:
-    """CSV with header per episode (``episode_name=<ep>/``) and one ``all`` copy."""
-    opts = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    aligned.write.mode("overwrite").options(**opts).partitionBy("episode_name").csv(f"{path}/by_episode")
+    """CSV with header per episode (``episode_name=<ep>/``) and one ``all`` copy.
+
+    Quotes are doubled and texts may hold line breaks, as CSV readers expect;
+    an empty text stays apart from a null one.
+    """
+    aligned.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("episode_name").csv(f"{path}/by_episode")
     if with_all:
-        aligned.write.mode("overwrite").options(**opts).csv(f"{path}/all")
+        aligned.write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{path}/all")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Publish a table: full overwrite (dynamic per-partition overwrite when partitioned)."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    """Publish a table: what was there before goes, partitions included."""
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Replace the partitions that ``df`` has rows for; all others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 _MATERIALIZED: dict[tuple[str, str], str] = {}

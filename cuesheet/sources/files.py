@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# written and read alike: quotes doubled, line breaks inside quotes, null apart from empty
+CSV_OPTIONS = {
+    "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "multiLine": True, "quote": '"', "escape": '"', "nullValue": "\\N",
+}
 CAPTION_ARRAY = "array<struct<text:string,start:double,duration:double>>"
 TURN_TYPE = "struct<speaker:string,text:string,start:double,end:double>"
 SCENE_TYPE = (
@@ -94,7 +99,7 @@ def read_viewer_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     df = (
         spark.read.schema(VIEWER_SCHEMA)
-        .options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .options(**CSV_OPTIONS)
         .csv(path)
     )
     return df.withColumnsRenamed({"start": "start_time", "end": "end_time"}).withColumns({

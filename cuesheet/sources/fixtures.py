@@ -176,19 +176,21 @@ def responses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Playback events (session, episode, position, event_type, ts) from `events`.
+    """Playback events (event_id, session, episode, position, event_type, ts) from `events`.
 
     episode = user_id % (number of conversations); 'signup' is a seek/reset (1),
-    everything else a poll (0).
+    everything else a poll (0).  Times are cut to the day, so events of a
+    session share them.
     """
-    n_conv = read_table(spark, sf_dir, "conversations").select(F.countDistinct("conv_id")).first()[0]
+    n_conv = read_table(spark, sf_dir, "conversations").select(F.countDistinct("conv_id")).scalar()
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
     return ev.select(
+        "event_id",
         F.col("user_id").alias("session"),
-        F.format_string("c2e%03d", F.col("user_id") % F.lit(int(n_conv))).alias("episode"),
+        F.format_string("c2e%03d", F.col("user_id") % n_conv).alias("episode"),
         F.col("value").alias("position"),
         F.when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(0)).cast("int").alias("event_type"),
-        "ts",
+        F.date_trunc("day", "ts").alias("ts"),
     )
 
 

@@ -1,169 +1,221 @@
 """Throttled scene-change detection over playback positions (batch and stream).
 
-Per session, events in time order.  A poll checks for a change when
-``position - last > 5`` (then ``last = position``) or ``position == 0``; it
-emits when the character or the scene id differs from the stored ones, and
-then stores speaker, character and scene id.  A seek/reset event
-(``event_type == 1``) runs the same check and then sets ``last = 0``.
-Initial state: nothing stored, ``last = 0``.
-
-The rule is sequential per session (each check depends on the last fire
-time), so it runs as a scan: batch rows are hash-partitioned by session,
-sorted, and streamed through ``mapInPandas`` with the state carried across
-chunks; a stream keeps the same state in ``applyInPandasWithState``.
+Events of a session are taken in the order of (ts, event_id).  An event checks
+for a change when its position lies more than ``duration`` beyond the position
+of the last such event (0 at first), or when its position is 0; only the former
+moves that mark.  A seek/reset event (``event_type == 1``) takes the mark back
+to 0 after its own check.  A check emits when (character, scene id) differ from
+those of the check before (nothing at first).
+
+Between two resets the mark only rises, so the events that move it are found by
+jumps: the next one is where the running maximum of the positions first exceeds
+the mark by more than ``duration``, one binary search per jump.  In a batch the
+events of a session are cut into blocks.  Each block tells, for each running
+maximum before its first reset (the only places where the mark can first be
+moved), with which mark it would be left; a pass over these small tables gives
+every block the mark it is entered with, and then all blocks find their checks
+in parallel.  A stream keeps the mark and the last check in its state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuesheet.constants import SCENE_DURATION_S
-
-EMIT_SCHEMA = T.StructType([
-    T.StructField("session", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("episode", T.StringType()),
-    T.StructField("position", T.DoubleType()),
-    T.StructField("speaker", T.StringType()),
-    T.StructField("character", T.StringType()),
-    T.StructField("scene_id", T.IntegerType()),
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("speaker", T.StringType()),
-    T.StructField("character", T.StringType()),
-    T.StructField("scene_id", T.IntegerType()),
-    T.StructField("last", T.DoubleType()),
-    T.StructField("last_ts", T.TimestampType()),
-])
-INITIAL_STATE = (None, None, None, 0.0, None)
-
-
-def _clean(v):
-    if v is None:
-        return None
-    try:
-        if pd.isna(v):
-            return None
-    except (TypeError, ValueError):
-        pass
-    return v
-
-
-def advance(state: tuple, rows: pd.DataFrame, duration: float = SCENE_DURATION_S) -> tuple[list[tuple], tuple]:
-    """Run the change detector over time-ordered rows of one session."""
-    speaker, character, scene_id, last, last_ts = state
-    out = []
-    cols = [rows[c].tolist() for c in ("session", "ts", "episode", "position", "event_type", "speaker", "character", "scene_id")]
-    for session, ts, episode, pos, etype, new_spk, new_char, new_sid in zip(*cols):
-        new_spk, new_char, new_sid = _clean(new_spk), _clean(new_char), _clean(new_sid)
-        new_sid = None if new_sid is None else int(new_sid)
-        pos = float(pos)
-        fire = False
-        if pos - last > duration:
-            fire = True
-            last = pos
-        elif pos == 0:
-            fire = True
-        if fire and (character != new_char or scene_id != new_sid):
-            out.append((int(session), ts, episode, pos, new_spk, new_char, new_sid))
-            speaker, character, scene_id = new_spk, new_char, new_sid
-        if int(etype) == 1:
-            last = 0.0
-        last_ts = ts
-    return out, (speaker, character, scene_id, last, last_ts)
-
-
-def _scan(duration: float):
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, state = None, INITIAL_STATE
+from cuesheet.sinks.files import materialize
+
+EVENT_COLUMNS = ["session", "ts", "event_id", "episode", "position", "event_type", "speaker", "character", "scene_id"]
+OUT_COLUMNS = ["session", "ts", "event_id", "episode", "position", "speaker", "character", "scene_id"]
+EMIT_SCHEMA = (
+    "session long, ts timestamp, event_id long, episode string, position double, speaker string, character string, scene_id int"
+)
+STATE_SCHEMA = "mark double, character string, scene_id int, last_ts timestamp, last_id long"
+BLOCK_ROWS = 1 << 16
+
+
+def checks(position: np.ndarray, reset: np.ndarray, mark: float, duration: float) -> tuple[np.ndarray, float]:
+    """Which events check for a change, and the mark afterwards.  A missing position never checks."""
+    position = np.where(np.isnan(position), -np.inf, position)
+    found, start = position == 0, 0
+    for end in np.append(np.flatnonzero(reset) + 1, len(position)):
+        high = np.maximum.accumulate(position[start:end])
+        while (at := int(np.searchsorted(high, mark + duration, side="right"))) < len(high):
+            mark = float(high[at])
+            found[start + at] = True
+        if end > start and reset[end - 1]:
+            mark = 0.0
+        start = end
+    return found, mark
+
+
+def _summary(rows: pd.DataFrame, duration: float) -> dict:
+    """How a block turns the mark it is entered with into the one it is left with.
+
+    ``highs``: the running maxima up to the first reset; ``leaves``: the mark
+    in the end if it is first moved there; ``otherwise``: the mark in the end
+    if it is never moved before the first reset (null: it stays as it is).
+    """
+    position = rows["position"].to_numpy(np.float64)
+    reset = rows["event_type"].to_numpy() == 1
+    first = int(np.argmax(reset)) + 1 if reset.any() else len(rows)
+    after = checks(position[first:], reset[first:], 0.0, duration)[1] if reset.any() else None
+    head = np.where(np.isnan(position[:first]), -np.inf, position[:first])
+    running = np.maximum.accumulate(head)
+    highs = running[np.diff(running, prepend=-np.inf) > 0]
+    leaves = np.empty(len(highs))
+    for i in range(len(highs) - 1, -1, -1):  # a mark set at one high is next moved at a later one
+        j = int(np.searchsorted(highs, highs[i] + duration, side="right"))
+        leaves[i] = leaves[j] if j < len(highs) else (highs[i] if after is None else after)
+    return {"highs": highs.tolist(), "leaves": leaves.tolist(), "otherwise": after}
+
+
+def _by_block(run: Callable[[pd.DataFrame], pd.DataFrame | None]):
+    """Calls ``run`` on the rows of each (session, block) of sorted input; many small blocks share an Arrow batch."""
+
+    def stream(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for chunk in chunks:
             if chunk.empty:
                 continue
-            emitted = []
-            sessions = chunk["session"].to_numpy()
-            cuts = np.flatnonzero(sessions[1:] != sessions[:-1]) + 1
-            starts = [0, *cuts.tolist(), len(chunk)]
-            for a, b in zip(starts[:-1], starts[1:]):
-                seg = chunk.iloc[a:b]
-                if seg["session"].iat[0] != cur:
-                    cur, state = seg["session"].iat[0], INITIAL_STATE
-                rows, state = advance(state, seg, duration)
-                emitted.extend(rows)
-            if emitted:
-                yield pd.DataFrame(emitted, columns=[f.name for f in EMIT_SCHEMA.fields])
+            ids = chunk[["session", "block"]].to_numpy()
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+            out = []
+            for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True):
+                part = chunk.iloc[a:b]
+                if held and tuple(held[0][["session", "block"]].iloc[0]) != tuple(part[["session", "block"]].iloc[0]):
+                    out.append(run(pd.concat(held)))
+                    held = []
+                held.append(part)
+            if out := [rows for rows in out if len(rows)]:
+                yield pd.concat(out)
+        if held:
+            yield run(pd.concat(held))
+
+    return stream
+
+
+def _entries(duration: float):
+    """The mark that each block of a session is entered with, block by block."""
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, mark = None, 0.0
+        for chunk in chunks:
+            out = []
+            for s, block, highs, leaves, otherwise in chunk.itertuples(index=False):
+                if s != session:
+                    session, mark = s, 0.0
+                out.append((s, block, mark))
+                at = int(np.searchsorted(np.asarray(highs, np.float64), mark + duration, side="right"))
+                if at < len(highs):
+                    mark = float(leaves[at])
+                elif not pd.isna(otherwise):
+                    mark = float(otherwise)
+            yield pd.DataFrame(out, columns=["session", "block", "mark"])
+
     return run
 
 
-def playback_changes(resolved: DataFrame, duration: float = SCENE_DURATION_S, num_partitions: int | None = None,
-                     strategy: str = "scan", block_rows: int = 1 << 16) -> DataFrame:
-    """Batch form.  ``resolved``: session, ts, episode, position, event_type and
-    the looked-up speaker, character, scene_id of every event.
-
-    ``strategy``: ``"scan"`` (one streaming task per session), ``"blocked"``
-    (:func:`playback_changes_blocked`), or ``"auto"``: per session, sessions
-    with more than ``4 * block_rows`` events go the blocked way, the rest are
-    scanned."""
-    if strategy == "auto":
-        big = resolved.groupBy("session").count().where(F.col("count") > 4 * block_rows).select("session")
-        small = playback_changes(resolved.join(big, "session", "left_anti"), duration, num_partitions, "scan")
-        large = playback_changes_blocked(resolved.join(big, "session", "left_semi"), duration, block_rows)
-        return small.unionByName(large)
-    if strategy == "blocked":
-        return playback_changes_blocked(resolved, duration, block_rows)
-    if strategy != "scan":
-        raise ValueError("strategy must be 'scan', 'blocked' or 'auto'")
-    d = resolved.select("session", "ts", "episode", "position", "event_type", "speaker", "character", "scene_id")
-    d = d.repartition(num_partitions, "session") if num_partitions else d.repartition("session")
-    d = d.sortWithinPartitions("session", "ts")
-    return d.mapInPandas(_scan(duration), EMIT_SCHEMA)
-
-
-def _stateful(duration: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        st = state.get if state.exists else INITIAL_STATE
-        frames = [p for p in pdfs if not p.empty]
-        if not frames:
+def playback_changes(resolved: DataFrame, duration: float = SCENE_DURATION_S, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The emitted changes.  ``resolved``: EVENT_COLUMNS, one row per event.
+
+    Rows are range-partitioned by (session, ts, event_id) and cut into blocks
+    of ``block_rows``; a long session spans many of them.
+    """
+    d = resolved.select(*EVENT_COLUMNS).repartitionByRange("session", "ts", "event_id")
+    d = d.sortWithinPartitions("session", "ts", "event_id")
+    # the id counts the rows of a partition in order, so blocks are stretches of a session
+    block = F.floor(F.monotonically_increasing_id() / F.lit(block_rows))
+    d = materialize(d.withColumn("block", block), "playback")
+    ordered = d.repartition("session", "block").sortWithinPartitions("session", "block", "ts", "event_id")
+
+    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"session": rows["session"].iat[0], "block": rows["block"].iat[0], **_summary(rows, duration)}])
+
+    tables = ordered.select("session", "block", "ts", "event_id", "position", "event_type").mapInPandas(
+        _by_block(summarise), "session long, block long, highs array<double>, leaves array<double>, otherwise double"
+    )
+    tables = tables.repartition("session").sortWithinPartitions("session", "block")
+    marks = tables.mapInPandas(_entries(duration), "session long, block long, mark double")
+
+    def check(rows: pd.DataFrame) -> pd.DataFrame:
+        hit = checks(rows["position"].to_numpy(np.float64), rows["event_type"].to_numpy() == 1, rows["mark"].iat[0], duration)[0]
+        return rows.loc[hit, [*OUT_COLUMNS, "block"]]
+
+    entered = d.join(marks, ["session", "block"]).repartition("session", "block")
+    checked = entered.sortWithinPartitions("session", "block", "ts", "event_id").mapInPandas(
+        _by_block(check), EMIT_SCHEMA + ", block long"
+    )
+    checked = materialize(checked, "checks")
+    # the check before: in the same block, or the last one of an earlier block (one row per block)
+    values = F.struct("character", "scene_id")
+    here = Window.partitionBy("session", "block").orderBy("ts", "event_id")
+    ends = checked.groupBy("session", "block").agg(F.max_by(values, F.struct("ts", "event_id")).alias("end"))
+    earlier = ends.withColumn("before", F.lag("end").over(Window.partitionBy("session").orderBy("block"))).drop("end")
+    both = checked.withColumn("inside", F.lag(values).over(here)).join(earlier, ["session", "block"])
+    before = F.coalesce("inside", "before")
+    same = F.col("character").eqNullSafe(before["character"]) & F.col("scene_id").eqNullSafe(before["scene_id"])
+    return both.where(~same).select(*OUT_COLUMNS)
+
+
+def _stateful(duration: float, idle: int | None):
+    def fn(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        mark, character, scene_id, last_ts, last_id = state.get if state.exists else (0.0, None, None, None, None)
+        # the best candidate of each event: lowest (priority, distance, row order)
+        best = ["cand_prio", "cand_dist", "cand_idx"]
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id", *best]).drop_duplicates(["ts", "event_id"])
+        if last_ts is not None:  # events behind what the state has seen come too late
+            seen = pd.Timestamp(last_ts)
+            rows = rows[(rows["ts"] > seen) | ((rows["ts"] == seen) & (rows["event_id"] > last_id))]
+        if rows.empty:
             return
-        pdf = pd.concat(frames, ignore_index=True)
-        # best candidate per event: lowest (priority, distance, row order)
-        pdf["__p"] = pdf["cand_prio"].fillna(9)
-        pdf["__d"] = pdf["cand_dist"].fillna(float("inf"))
-        pdf["__i"] = pdf["cand_idx"].fillna(2**31)
-        pdf = pdf.sort_values(["ts", "__p", "__d", "__i"], kind="mergesort").drop_duplicates("ts", keep="first")
-        if st[4] is not None:  # late rows behind what the state has seen are dropped
-            pdf = pdf[pdf["ts"] > pd.Timestamp(st[4])]
-        rows, st = advance(st, pdf, duration)
-        state.update(st)
-        if rows:
-            yield pd.DataFrame(rows, columns=[f.name for f in EMIT_SCHEMA.fields])
+        hit, mark = checks(rows["position"].to_numpy(np.float64), rows["event_type"].to_numpy() == 1, mark, duration)
+        found = rows.loc[hit]
+        pairs = [
+            (None if pd.isna(c) else c, None if pd.isna(i) else int(i))
+            for c, i in zip(found["character"], found["scene_id"], strict=True)
+        ]
+        past = [(character, scene_id), *pairs[:-1]]
+        changed = [now != before for now, before in zip(pairs, past, strict=True)]
+        character, scene_id = pairs[-1] if pairs else (character, scene_id)
+        state.update((mark, character, scene_id, rows["ts"].iat[-1], int(rows["event_id"].iat[-1])))
+        if idle:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].iat[-1].timestamp() * 1000)) + idle * 1000)
+        yield found.loc[changed, OUT_COLUMNS]
+
     return fn
 
 
-def playback_stream(candidates: DataFrame, duration: float = SCENE_DURATION_S, watermark: str | None = None) -> DataFrame:
+def playback_stream(
+    candidates: DataFrame, duration: float = SCENE_DURATION_S, watermark: str | None = None, idle: int = 86_400
+) -> DataFrame:
     """Stream form over :func:`cuesheet.operators.lookup.lookup_candidates` output.
 
-    Rows of one micro-batch are sorted by event time inside the state function;
-    rows older than the newest one already processed for the session are dropped.
+    Events of one micro-batch are sorted inside the state function; events
+    behind the newest one already processed for the session are dropped.  With
+    a ``watermark``, a session's state goes once the watermark has moved
+    ``idle`` seconds past its last event; without one it is kept.
     """
-    d = candidates
-    if watermark:
-        d = d.withWatermark("ts", watermark)
+    d = candidates.withWatermark("ts", watermark) if watermark else candidates
     d = d.select(
-        "session", "ts", "episode", "position", "event_type",
+        "session", "ts", "event_id", "episode", "position", "event_type",
         F.col("cand.prio").alias("cand_prio"), F.col("cand.dist").alias("cand_dist"),
         F.col("cand.a.idx").alias("cand_idx"),
         F.col("cand.a.speaker").alias("speaker"), F.col("cand.a.character").alias("character"),
         F.col("cand.a.scene_id").alias("scene_id"),
-    )
+    )
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     return d.groupBy("session").applyInPandasWithState(
-        _stateful(duration), EMIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        _stateful(duration, idle if watermark else None), EMIT_SCHEMA, STATE_SCHEMA, "append", timeout
     )
 
 
@@ -171,6 +223,7 @@ def start_playback_stream(
     spark,
     source_path: str,
     viewer: DataFrame,
+    checkpoint_location: str,
     sink_format: str = "parquet",
     sink_path: str | None = None,
     query_name: str | None = None,
@@ -179,176 +232,25 @@ def start_playback_stream(
     max_files_per_trigger: int | None = None,
 ):
     """Poll-event files -> scene lookup (stream-static join) -> throttled change
-    detection -> sink.  Events: session, ts, episode, position, event_type.
-    The checkpoint location lives under the session's shared checkpoint folder.
-    """
-    import uuid
+    detection -> sink.  Events: session, ts, event_id, episode, position, event_type.
 
+    ``checkpoint_location`` is the caller's: a restart with the same one goes on
+    where the stream stopped.  The lookup index is written once and read as the
+    static side of every micro-batch.
+    """
     from cuesheet.operators.lookup import build_lookup_index, lookup_candidates
-    from cuesheet.session import checkpoint_dir
 
-    schema = "session long, ts timestamp, episode string, position double, event_type int"
+    schema = "session long, ts timestamp, event_id long, episode string, position double, event_type int"
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(source_path)
-    index, stats = build_lookup_index(viewer)
+    index, stats = (materialize(t, "lookup") for t in build_lookup_index(viewer))
     out = playback_stream(lookup_candidates(events, index, stats, event_key_map={"episode_name": "episode"}),
                           watermark=watermark)
-    ck = f"{checkpoint_dir(spark).rstrip('/')}/streams/{query_name or 'playback'}-{uuid.uuid4().hex[:8]}"
-    w = out.writeStream.outputMode("append").option("checkpointLocation", ck).format(sink_format)
+    w = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location).format(sink_format)
     if query_name:
         w = w.queryName(query_name)
     if trigger:
         w = w.trigger(**trigger)
     return w.start(sink_path) if sink_path else w.start()
-
-
-# ---------------------------------------------------------------------------
-# Block-parallel form of the batch detector (exact; parallel inside one session).
-#
-# The state is ``last``.  Inside a block, the entry value only matters until the
-# first threshold fire or the first reset: the first fire is the first
-# record-high position above ``last + 5`` (record highs before the first reset
-# are the only candidates), and after a fire or a reset the state no longer
-# depends on the entry.  Per block we tabulate record highs -> exit ``last``
-# (memoized chain walk with a sparse table for "first position above x"), a
-# streaming pass over these tables fixes each block's entry, a parallel pass
-# marks fires, and emissions compare each fire with the previous fire.
-# ---------------------------------------------------------------------------
-
-_PB_SUMMARY = ("session long, block long, cand_pos array<double>, cand_exit array<double>, "
-               "has_reset boolean, reset_exit double")
-
-
-def _exit_table(pos: np.ndarray, et: np.ndarray, duration: float):
-    m = len(pos)
-    levels = [pos.copy()]
-    span = 1
-    while span * 2 <= m:
-        prev = levels[-1]
-        levels.append(np.maximum(prev[:-span], prev[span:]))
-        span *= 2
-
-    def first_above(s: int, x: float) -> int:
-        p = s
-        for j in range(len(levels) - 1, -1, -1):
-            w = 1 << j
-            if p + w <= m and levels[j][p] <= x:
-                p += w
-        while p < m and pos[p] <= x:  # finish the last partial step
-            p += 1
-        return p
-
-    resets = np.flatnonzero(et == 1)
-    memo: dict[tuple[int, float], float] = {}
-
-    def next_reset(s: int) -> int:
-        k = int(np.searchsorted(resets, s))
-        return int(resets[k]) if k < len(resets) else m
-
-    def exit_from(s: int, last: float) -> float:
-        path = []
-        while True:
-            key = (s, last)
-            if key in memo:
-                res = memo[key]
-                break
-            path.append(key)
-            f = first_above(s, last + duration)
-            r = next_reset(s)
-            if f >= m and r >= m:
-                res = last
-                break
-            if f < r:
-                s, last = f + 1, float(pos[f])
-            else:
-                s, last = r + 1, 0.0
-        for key in path:
-            memo[key] = res
-        return res
-
-    return exit_from
-
-
-def _pb_summary(duration: float):
-    def run(key, g):
-        g = g.sort_values("__k")
-        pos = g["position"].to_numpy(dtype=np.float64)
-        et = g["event_type"].to_numpy(dtype=np.int64)
-        exit_from = _exit_table(pos, et, duration)
-        resets = np.flatnonzero(et == 1)
-        r0 = int(resets[0]) if len(resets) else len(pos) - 1
-        cand, best = [], -np.inf
-        for i in range(r0 + 1):
-            if pos[i] > best:
-                best = pos[i]
-                cand.append(i)
-        cand_exit = [exit_from(i + 1, 0.0 if et[i] == 1 else float(pos[i])) for i in cand]
-        has_reset = len(resets) > 0
-        reset_exit = exit_from(r0 + 1, 0.0) if has_reset else 0.0
-        return pd.DataFrame([{
-            "session": int(key[0]), "block": int(key[1]), "cand_pos": [float(pos[i]) for i in cand],
-            "cand_exit": cand_exit, "has_reset": has_reset, "reset_exit": float(reset_exit),
-        }])
-    return run
-
-
-def _pb_entries(duration: float):
-    def run(it):
-        cur_s, last = None, 0.0
-        for pdf in it:
-            out = []
-            for s, b, cp, cx, hr, rx in pdf[["session", "block", "cand_pos", "cand_exit", "has_reset", "reset_exit"]].itertuples(index=False):
-                if s != cur_s:
-                    cur_s, last = s, 0.0
-                out.append((int(s), int(b), float(last)))
-                k = int(np.searchsorted(np.asarray(cp, dtype=np.float64), last + duration, side="right"))
-                if k < len(cp):
-                    last = float(cx[k])
-                elif hr:
-                    last = float(rx)
-            if out:
-                yield pd.DataFrame(out, columns=["session", "block", "in_last"])
-    return run
-
-
-def _pb_fires(duration: float, cols: list[str]):
-    def run(key, g):
-        g = g.sort_values("__k")
-        last = float(g["in_last"].iat[0])
-        fire = np.zeros(len(g), dtype=bool)
-        for i, (p, e) in enumerate(zip(g["position"].to_numpy(dtype=np.float64), g["event_type"].to_numpy())):
-            if p - last > duration:
-                fire[i], last = True, p
-            elif p == 0:
-                fire[i] = True
-            if int(e) == 1:
-                last = 0.0
-        return g.loc[fire, cols]
-    return run
-
-
-def playback_changes_blocked(resolved: DataFrame, duration: float = SCENE_DURATION_S, block_rows: int = 1 << 16) -> DataFrame:
-    """Same emissions as :func:`playback_changes`, computed block-parallel.
-
-    ``ts`` must order the events of a session (ties are not allowed).
-    """
-    from cuesheet.operators.indexing import lag_dense
-    from cuesheet.operators.trainprep import rank_within
-
-    cols = ["session", "ts", "episode", "position", "event_type", "speaker", "character", "scene_id"]
-    d = rank_within(resolved.select(*cols), ["session"], ["ts"], "__k")
-    d = d.withColumn("__blk", F.floor(F.col("__k") / F.lit(block_rows)))
-    summ = d.select("session", "__blk", "__k", "position", "event_type").groupBy("session", "__blk").applyInPandas(
-        _pb_summary(duration), _PB_SUMMARY)
-    entries = summ.repartition("session").sortWithinPartitions("session", "block").mapInPandas(
-        _pb_entries(duration), "session long, block long, in_last double")
-    rows = d.join(entries.withColumnRenamed("block", "__blk"), ["session", "__blk"])
-    fire_schema = T.StructType([f for f in resolved.select(*cols).schema.fields] + [T.StructField("__k", T.LongType())])
-    fires = rows.groupBy("session", "__blk").applyInPandas(_pb_fires(duration, [*cols, "__k"]), fire_schema)
-    fires = rank_within(fires, ["session"], ["__k"], "__f")
-    fires = lag_dense(fires, ["session"], "__f", ["character", "scene_id"])
-    changed = ~F.col("character").eqNullSafe(F.col("prev_character")) | ~F.col("scene_id").eqNullSafe(F.col("prev_scene_id"))
-    return fires.where(changed).select(
-        "session", "ts", "episode", "position", "speaker", "character", F.col("scene_id").cast("int").alias("scene_id"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from cuesheet.operators.indexing import global_ordinal
 from cuesheet.operators.repair import resolve_responses, scene_rows
-from cuesheet.sinks.files import write_table
+from cuesheet.operators.artifacts import artifact_retention, latest_artifact
+from cuesheet.operators.scenes import episode_list
+from cuesheet.sinks.files import export_aligned, replace_partitions, write_table
+from cuesheet.sources.files import CSV_OPTIONS, read_viewer_csv
 from cuesheet.sources.files import read_caption_files, read_image_folder, read_instance_config, read_scene_files
 
 
@@ -51,13 +54,39 @@ def test_image_folder_and_caption_files(spark):
     assert sorted(r.scene_id for r in sc) == [0, 1] and sc[0].youtube_id == "ab_cd" and "turns" not in sc[0]
 
 
-def test_dynamic_partition_overwrite(spark):
+def test_partition_and_full_overwrite(spark):
     d = tempfile.mkdtemp(prefix="cuesheet-tbl-")
     p = os.path.join(d, "t")
+    rows = lambda: sorted((r.inst, r.v) for r in spark.read.parquet(p).collect())
     write_table(spark.createDataFrame([("a", 1), ("b", 2)], "inst string, v int"), p, ["inst"])
-    write_table(spark.createDataFrame([("a", 9)], "inst string, v int"), p, ["inst"])
-    got = sorted((r.inst, r.v) for r in spark.read.parquet(p).collect())
-    assert got == [("a", 9), ("b", 2)]
+    replace_partitions(spark.createDataFrame([("a", 9)], "inst string, v int"), p, ["inst"])
+    assert rows() == [("a", 9), ("b", 2)]
+    write_table(spark.createDataFrame([("a", 3)], "inst string, v int"), p, ["inst"])
+    assert rows() == [("a", 3)]
+    spark.createDataFrame([("c", 4)], "inst string, v int").write.mode("overwrite").partitionBy("inst").parquet(p)
+    assert rows() == [("c", 4)]  # no session setting is left behind
+
+
+def test_viewer_csv_keeps_awkward_texts(spark):
+    p = os.path.join(tempfile.mkdtemp(prefix="cuesheet-csv-"), "x")
+    texts = ["two\nlines", 'a "quoted" word', "", None, "back\\slash, comma", " padded "]
+    spec = "speaker string, text string, start double, end double, scene_id int, character string, in_game int, episode_name string, youtube_id string"
+    rows = [("s", t, float(i), i + 1.0, i, "c", 1, "c2e001", "v") for i, t in enumerate(texts)]
+    export_aligned(spark.createDataFrame(rows, spec), p)
+    got = read_viewer_csv(spark, f"{p}/all").orderBy("scene_id").collect()
+    assert [r.text for r in got] == texts
+    each = spark.read.option("basePath", f"{p}/by_episode").options(**CSV_OPTIONS).csv(f"{p}/by_episode")
+    assert sorted(each.select("text").toPandas()["text"].fillna("-").tolist()) == sorted("-" if t is None else t for t in texts)
+
+
+def test_odd_names_do_not_stop_a_job(spark):
+    rows = [("o", "checkpoint-9"), ("o", "checkpoint-10"), ("o", "checkpoint"), ("o", "checkpoint-x"), ("p", "checkpoint"), ("o", "logs")]
+    df = spark.createDataFrame(rows, "owner string, path string")
+    got = sorted((r.path, r.action) for r in artifact_retention(df, 2).collect())
+    assert got == [("checkpoint-10", "keep"), ("checkpoint-9", "remove")]
+    assert [(r.owner, r.path, r.global_step) for r in latest_artifact(df, 5).collect()] == [("o", "checkpoint-10", 10)]
+    viewer = spark.createDataFrame([("c2e001", "a", 0), ("bonus", "b", 1)], "episode_name string, youtube_id string, idx int")
+    assert {r.episode_name: r.label for r in episode_list(viewer).collect()} == {"c2e001": "Campaign 2 Episode 001", "bonus": None}
 
 
 def test_external_repair_rounds(spark):
