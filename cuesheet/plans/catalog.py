@@ -1081,14 +1081,14 @@ def _class_images(spark, sf_dir):
     return _images(spark, sf_dir).where(F.col("width") < 600).join(cfg, "instance", "left_semi")
 
 
-CAPTION_RULE_SQL = "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN NULL ELSE substr(content, 1, 24) END"
+CAPTION_RULE_SQL = "CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN NULL ELSE content END"
 
 
 def _caption_rule():
     from pyspark.sql import functions as F
 
     return (F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 3 == 1, F.lit(None).cast("string"))
-            .otherwise(F.substring("content", 1, 24)))
+            .otherwise(F.col("content")))
 
 
 @register("instance_subset", _v("""

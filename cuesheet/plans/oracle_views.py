@@ -41,16 +41,16 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                     WHEN c.turn % 3 = 1 THEN 'matt'
                     ELSE {_FREE.replace('conv_id', 'c.conv_id')} END AS character,
                CAST(CASE WHEN c.role = 'system' THEN 0 ELSE 1 END AS INTEGER) AS in_game,
-               substr(c.line, 1, 24) AS background,
-               substr(c.line, 25, 24) AS action,
-               substr(c.line, 49, 16) AS object,
-               substr(c.line, 65, 16) AS poses,
+               substr(c.line, 1, c.part) AS background,
+               substr(c.line, c.part + 1, c.part) AS action,
+               substr(c.line, 2 * c.part + 1, c.part) AS object,
+               substr(c.line, 3 * c.part + 1, c.part) AS poses,
                t.t0 + CAST((c.turn + 1) % 4 AS DOUBLE) * 40.0 AS start_time,
                t.t1 + CAST((c.turn + 1) % 4 AS DOUBLE) * 40.0 AS end_time,
                CASE WHEN c.turn % 5 = 3 THEN 'jester' WHEN c.turn % 5 = 4 THEN ' JESTER '
-                    ELSE substr(c.line, 1, 120) END AS scene_description,
+                    ELSE c.line END AS scene_description,
                c.conv_id, c.turn
-        FROM (SELECT conv_id, turn, role, split_part(text, chr(10), 1) AS line FROM conversations) c
+        FROM (SELECT conv_id, turn, role, replace(text, chr(10), ' ') AS line, (length(text) + 3) // 4 AS part FROM conversations) c
         JOIN (SELECT conv_id, turn, min(start) AS t0, max(start + duration) AS t1
               FROM captions_k GROUP BY conv_id, turn) t
           ON c.conv_id = t.conv_id AND c.turn = t.turn

@@ -75,8 +75,11 @@ def scenes_view(spark: SparkSession, sf_dir: str, keep_keys: bool = False) -> Da
         F.min("start").alias("t0"), F.max(F.col("start") + F.col("duration")).alias("t1")
     )
     conv = read_table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "role", F.substring_index("text", "\n", 1).alias("line")
+        "conv_id", "turn", "role", F.replace("text", F.lit("\n"), F.lit(" ")).alias("line")
     )
+    # the whole text, in four parts
+    part = F.floor((F.length("line") + 3) / 4).cast("int")
+    field = lambda i: F.substring(F.col("line"), i * part + 1, part)
     df = conv.join(times, ["conv_id", "turn"])
     shift = ((F.col("turn") + 1) % 4).cast("double") * SCENE_SHIFT_S
     character = (
@@ -90,7 +93,7 @@ def scenes_view(spark: SparkSession, sf_dir: str, keep_keys: bool = False) -> Da
     description = (
         F.when(F.col("turn") % 5 == 3, F.lit("jester"))
         .when(F.col("turn") % 5 == 4, F.lit(" JESTER "))
-        .otherwise(F.substring("line", 1, 120))
+        .otherwise(F.col("line"))
     )
     w = Window.partitionBy("conv_id").orderBy("turn")
     out = df.select(
@@ -99,10 +102,10 @@ def scenes_view(spark: SparkSession, sf_dir: str, keep_keys: bool = False) -> Da
         F.when(F.col("turn") % 2 == 0, F.lower("role")).otherwise(F.upper("role")).alias("speaker"),
         character.alias("character"),
         F.when(F.col("role") == "system", F.lit(0)).otherwise(F.lit(1)).cast("int").alias("in_game"),
-        F.substring("line", 1, 24).alias("background"),
-        F.substring("line", 25, 24).alias("action"),
-        F.substring("line", 49, 16).alias("object"),
-        F.substring("line", 65, 16).alias("poses"),
+        field(0).alias("background"),
+        field(1).alias("action"),
+        field(2).alias("object"),
+        field(3).alias("poses"),
         (F.col("t0") + shift).alias("start_time"),
         (F.col("t1") + shift).alias("end_time"),
         description.alias("scene_description"),
