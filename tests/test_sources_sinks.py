@@ -10,7 +10,7 @@ from cuesheet.operators.repair import resolve_responses, scene_rows
 from cuesheet.operators.artifacts import artifact_retention, latest_artifact
 from cuesheet.operators.scenes import episode_list
 from cuesheet.sinks.files import export_aligned, replace_partitions, write_table
-from cuesheet.sources.files import CSV_OPTIONS, read_viewer_csv
+from cuesheet.sources.files import CSV_OPTIONS, VIEWER_SCHEMA, read_viewer_csv
 from cuesheet.sources.files import read_caption_files, read_image_folder, read_instance_config, read_scene_files
 
 
@@ -70,8 +70,9 @@ def test_partition_and_full_overwrite(spark):
 def test_viewer_csv_keeps_awkward_texts(spark):
     p = os.path.join(tempfile.mkdtemp(prefix="cuesheet-csv-"), "x")
     texts = ["two\nlines", 'a "quoted" word', "", None, "back\\slash, comma", " padded "]
-    spec = "speaker string, text string, start double, end double, scene_id int, character string, in_game int, episode_name string, youtube_id string"
-    rows = [("s", t, float(i), i + 1.0, i, "c", 1, "c2e001", "v") for i, t in enumerate(texts)]
+    one = {"speaker": "s", "character": "c", "in_game": 1, "episode_name": "c2e001", "youtube_id": "v"}
+    rows = [one | {"text": t, "start": float(i), "end": i + 1.0, "idx": i, "scene_id": i} for i, t in enumerate(texts)]
+    rows, spec = [tuple(r[n] for n in VIEWER_SCHEMA.names) for r in rows], VIEWER_SCHEMA
     export_aligned(spark.createDataFrame(rows, spec), p)
     got = read_viewer_csv(spark, f"{p}/all").orderBy("scene_id").collect()
     assert [r.text for r in got] == texts

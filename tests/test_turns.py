@@ -3,23 +3,6 @@ from pyspark.sql import functions as F
 from cuesheet.operators.turns import speaker_turns
 
 
-def brute_turns(rows, default="MATT"):
-    import re
-
-    out, speaker = [], None
-    for i, (text, start, dur) in enumerate(rows):
-        if i == 0 or re.match("^[A-Z]+:", text):
-            parts = text.split(":", 1)
-            if len(parts) == 1:
-                speaker, t = default, parts[0]
-            else:
-                speaker, t = parts
-        else:
-            t = text
-        out.append((speaker, t, start, start + dur))
-    return out
-
-
 def _caps(spark, episodes):
     rows = []
     for ep, texts in episodes.items():
@@ -31,20 +14,19 @@ def _caps(spark, episodes):
 
 
 def test_edge_rows(spark):
+    # caption -> speaker and text of its turn
     episodes = {
-        "e1": ["no colon here", "LAURA: hi", "A AND B: hi", "SAM:", "MATT: a: b", "plain text"],
-        "e2": ["foo: bar", "continued"],
+        "e1": [
+            ("no colon here", "MATT", "no colon here"), ("LAURA: hi", "LAURA", " hi"),
+            ("A AND B: hi", "LAURA", "A AND B: hi"),  # a tag of several words is continuation
+            ("SAM:", "SAM", ""), ("MATT: a: b", "MATT", " a: b"), ("plain text", "MATT", "plain text"),
+        ],
+        "e2": [("foo: bar", "foo", " bar"), ("continued", "foo", "continued")],  # any first caption may name a speaker
     }
-    got = speaker_turns(_caps(spark, episodes)).orderBy("episode", "idx").collect()
-    for ep, texts in episodes.items():
-        exp = brute_turns([(t, float(i), 1.0) for i, t in enumerate(texts)])
-        rows = [r for r in got if r.episode == ep]
-        assert [(r.speaker, r.text, r.start, r.end) for r in rows] == exp
-    e1 = [r for r in got if r.episode == "e1"]
-    assert e1[0].speaker == "MATT" and e1[0].text == "no colon here"
-    assert e1[2].speaker == "LAURA" and e1[2].text == "A AND B: hi"  # multi-word tag is continuation
-    assert e1[3].speaker == "SAM" and e1[3].text == ""
-    assert e1[4].speaker == "MATT" and e1[4].text == " a: b"
+    got = speaker_turns(_caps(spark, {e: [c for c, _, _ in rows] for e, rows in episodes.items()})).orderBy("episode", "idx").collect()
+    for ep, rows in episodes.items():
+        want = [(speaker, text, float(i), i + 1.0) for i, (_, speaker, text) in enumerate(rows)]
+        assert [(r.speaker, r.text, r.start, r.end) for r in got if r.episode == ep] == want
 
 
 def test_forward_fill_crosses_blocks(spark):
