@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.constants import SPEAKER_MAP, TRANSCRIPT_LANGUAGES
@@ -53,6 +53,32 @@ def scene_gap(scenes: DataFrame) -> DataFrame:
     )
 
 
+def assemble_scenes(valid: DataFrame, collected: DataFrame) -> DataFrame:
+    """Valid scenes of all batches of an episode, numbered, each with the turns of its batch.
+
+    ``valid``: episode, batch, scene_idx and scene fields; ``collected``:
+    episode, batch, turns (see ``batch_collect``).  ``scene_id`` counts from 0
+    over (batch, scene_idx): the place within the batch, which is bounded, plus
+    the scenes of earlier batches, from a table with one row per batch.  A
+    batch without turns gives an empty array.
+    """
+    inside = Window.partitionBy("episode", "batch").orderBy("scene_idx")
+    sizes = valid.groupBy("episode", "batch").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("episode").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("episode", "batch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    turns = collected.select(
+        "episode", "batch", F.transform("turns", lambda t: t.dropFields("idx")).alias("turns")
+    )
+    none = F.array().cast(turns.schema["turns"].dataType)
+    numbered = valid.withColumn("place", F.row_number().over(inside) - 1).join(offsets, ["episode", "batch"])
+    return (
+        numbered.withColumn("scene_id", (F.col("before") + F.col("place")).cast("int"))
+        .drop("before", "place")
+        .join(turns, ["episode", "batch"], "left")
+        .withColumn("turns", F.coalesce("turns", none))
+    )
+
+
 def episode_limit(files: DataFrame, done: DataFrame, n_episodes: int | None) -> DataFrame:
     """Sorted files, first ``n_episodes`` (done ones count toward n), minus done.
 

@@ -360,6 +360,29 @@ def q_scene_validate(spark, sf_dir):
     return valid_scenes(_scene_rows(spark, sf_dir))
 
 
+@register("episode_pack", _v(f"""
+    SELECT s.episode, CAST(row_number() OVER (PARTITION BY s.episode ORDER BY s.batch, scene_idx) - 1 AS INTEGER) AS scene_id,
+           s.batch, character, start_time, end_time, scene_description,
+           CAST(coalesce(n_turns, 0) AS INTEGER) AS n_turns, coalesce(texts, '') AS turn_texts
+    FROM scene_rows_o s LEFT JOIN ({BATCH_COLLECT_SQL}) b ON b.episode = s.episode AND b.batch = s.batch
+    WHERE reason IS NULL
+""", "responses_v", "captions_v", extra=[*SCENE_ROWS_CTES, *_tb_cte(1000)], recursive=True))
+def q_episode_pack(spark, sf_dir):
+    """Valid scenes with the turns of their batch, as an episode file holds them."""
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.prompting import batch_collect
+    from cuesheet.operators.repair import valid_scenes
+    from cuesheet.operators.scenes import assemble_scenes
+
+    packed = assemble_scenes(valid_scenes(_scene_rows(spark, sf_dir)), batch_collect(_batched(spark, sf_dir, 1000)))
+    return packed.select(
+        "episode", "scene_id", "batch", "character", "start_time", "end_time", "scene_description",
+        F.size("turns").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("turn_texts"),
+    )
+
+
 @register("scene_rejects", _v("SELECT episode, batch, attempt, scene_idx, reason FROM scene_rows_o WHERE reason IS NOT NULL",
                                 "responses_v", extra=SCENE_ROWS_CTES, recursive=True))
 def q_scene_rejects(spark, sf_dir):

@@ -35,13 +35,20 @@ def write_caption_files(captions: DataFrame, path: str) -> None:
 
 
 def write_scene_files(scenes: DataFrame, path: str) -> None:
-    """One ``{name, scenes}`` JSON document per episode (scene order by scene_id)."""
+    """One ``{name, scenes}`` JSON document per episode (scene order by scene_id).
+
+    Scenes keep their ``turns`` (see ``assemble_scenes``); without that column
+    the arrays are empty.  An episode is one document by format.
+    """
+    kind = "array<struct<speaker:string,text:string,start:double,end:double>>"
+    if "turns" not in scenes.columns:
+        scenes = scenes.withColumn("turns", F.array().cast(kind))
     fields = [
         "character", "speaker", "in_game", "background", "action", "object", "poses",
         "start_time", "end_time", "scene_description",
     ]
     per = scenes.groupBy("episode", "youtube_id").agg(
-        F.array_sort(F.collect_list(F.struct("scene_id", *fields))).alias("s")
+        F.array_sort(F.collect_list(F.struct("scene_id", *fields, "turns"))).alias("s")
     )
     doc = per.select(
         F.concat_ws("_", "episode", "youtube_id").alias("name"),
@@ -49,7 +56,7 @@ def write_scene_files(scenes: DataFrame, path: str) -> None:
             "s",
             lambda x: F.struct(
                 *[x[f].alias(f) for f in fields],
-                F.array().cast("array<struct<speaker:string,text:string,start:double,end:double>>").alias("turns"),
+                x["turns"].cast(kind).alias("turns"),
             ),
         ).alias("scenes"),
     )
