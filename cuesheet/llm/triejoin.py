@@ -7,7 +7,8 @@ start, and nodes that are already connected aren't compared again:
 
 * twice, every node is compared with one hub among the nodes that it meets
   (a star instead of all pairs of a group);
-* then every remaining pair of nodes that meet but aren't connected.
+* then all remaining pairs of nodes that meet but aren't connected, block by
+  block.
 
 A pair first passes two bounds that never lose a link: set sizes, and the
 Hamming distance of parity bitmaps, which is at most the symmetric difference.
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuesheet.llm.common import most_frequent
 from cuesheet.llm.components import components
 from cuesheet.llm.shingles import shingle_sets
 from cuesheet.sinks.files import materialize
@@ -37,6 +39,7 @@ TREE_TOKENS = 1 << 20
 NUM, DEN = 80, 100
 LIGHT = np.uint64(1 << 63)
 BROADCAST_ROWS = 1 << 22
+GROUP = 512
 
 
 def linked(shared: int, n: int, m: int) -> bool:
@@ -116,8 +119,8 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
         yield flush()
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "token").limit(most).select("token").toPandas()["token"]
-    return top.to_numpy(np.int64).view(np.uint64)
+    top = most_frequent(counts, most).select("token", "n").toPandas().sort_values(["n", "token"], ascending=[False, True])
+    return top["token"].to_numpy(np.int64).view(np.uint64)
 
 
 class Order:
@@ -180,6 +183,71 @@ def within_bounds(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return full.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def _words(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps folded to ``size`` bytes, as rows of 64-bit words."""
+    out = np.empty((len(maps), size), np.uint8)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, np.uint8)
+        out[i] = x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+    return out.view(np.uint64)
+
+
+def close_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of ``rows`` (token, sig, n, nodes, label) that share a token, have different labels and pass the bounds.
+
+    Groups are cut into blocks of about GROUP nodes; a pair of blocks is one
+    row, and the pairs within are compared by their bitmaps without being
+    listed, so only those that pass come out.
+    """
+    small = nodes.select("sig", "rep", "bitmap")
+    blocks = F.ceil(F.col("nodes") / GROUP)
+    packed = (
+        rows.join(small, "sig")
+        .withColumn("block", F.pmod(F.xxhash64("sig"), blocks))
+        .groupBy("token", "block")
+        .agg(F.collect_list(F.struct("sig", "n", "label", "rep", "bitmap")).alias("own"), F.first("nodes").alias("nodes"))
+    )
+    one = packed.select("own", F.lit(None).cast(packed.schema["own"].dataType).alias("other"))
+    large = packed.where(F.col("nodes") > GROUP)
+    other = large.select("token", F.col("block").alias("b"), F.col("own").alias("other"))
+    two = large.join(other, "token").where("block < b").select("own", "other")
+    names = ["hub", "sig", "hub_n", "sig_n", "hub_rep", "sig_rep"]
+
+    def columns(group: pa.Array) -> tuple:
+        flat = group.flatten()
+        sig, n, label, rep, maps = (flat.field(i) for i in range(5))
+        return (*(c.to_numpy(zero_copy_only=False) for c in (sig, n, label, rep)), maps.to_pylist())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = not batch.column(1)[i].is_valid
+                left = columns(batch.column(0).slice(i, 1))
+                right = left if same else columns(batch.column(1).slice(i, 1))
+                found = []
+                # equal lengths together; a shorter bitmap folds a longer one, which keeps the bound
+                for width in sorted({len(m) for m in left[4]} | {len(m) for m in right[4]}):
+                    a = np.array([k for k, m in enumerate(left[4]) if width <= len(m) <= 2 * width], np.int64)
+                    b = np.array([k for k, m in enumerate(right[4]) if width <= len(m) <= 2 * width], np.int64)
+                    if not len(a) or not len(b):
+                        continue
+                    x, y = _words([left[4][k] for k in a], width), _words([right[4][k] for k in b], width)
+                    for k in range(len(a)):
+                        n, m = left[1][a[k]], right[1][b]
+                        keep = (right[2][b] != left[2][a[k]]) & (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m))
+                        keep &= (right[0][b] > left[0][a[k]]) if same else True
+                        at = np.nonzero(keep)[0]
+                        far = np.bitwise_count(y[at] ^ x[k]).sum(axis=1, dtype=np.int64)
+                        at = at[far * (DEN + NUM) <= (n + m[at]) * (DEN - NUM)]
+                        found += [(int(a[k]), int(b[j])) for j in at]
+                found = sorted(set(found))
+                p, q = (np.array([f[j] for f in found], np.int64) for j in (0, 1))
+                cols = [left[0][p], right[0][q], left[1][p], right[1][q], left[3][p], right[3][q]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names)
+
+    return one.unionByName(two).mapInArrow(compare, ", ".join(f"{c} long" for c in names)).distinct()
+
+
 def tree_links(hub: np.ndarray, sets: list[np.ndarray]) -> list[int]:
     """Indices of the sets that link with ``hub``, by a walk over their prefix tree.
 
@@ -232,16 +300,17 @@ def verified(docs: DataFrame, pairs: DataFrame, order: Order) -> DataFrame:
     asked = put.select("hub", "tree", F.lit(1).alias("kind"), F.col("sig").alias("node"), F.col("sig_rep").alias("rep"))
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)).alias("tree"), F.lit(0).alias("kind"), F.col("hub").alias("node"), F.col("hub_rep").alias("rep"))
     wanted = materialize(asked.unionByName(hubs), "wanted")
-    reps = wanted.select(F.col("rep").alias("doc_id"), "node").distinct()
+    reps = wanted.select(F.col("rep").alias("key"), "node").distinct()
     # a small list goes to the texts; a long one is joined by shuffling both
-    texts = docs.select("doc_id", "text").join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, "doc_id")
+    texts = docs.select(document_key().alias("key"), "text")
+    texts = texts.join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, "key")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(1).to_pylist()
             out = []
             for node, s in zip(nodes, shingle_sets(batch.column(0).to_pylist()), strict=True):
-                if _signature(s) == node:  # another row may have the same doc_id
+                if _signature(s) == node:
                     out.append({"node": node, "keys": shared.value.keys(s).tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("node", pa.int64()), ("keys", pa.binary())]))
 
@@ -288,7 +357,7 @@ def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
     all_ = materialize(members(docs.select(F.col("doc_id").cast("long"), "text")), "members")
     some = all_.where("n > 0")
     nodes = materialize(
-        some.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")),
+        some.groupBy("sig").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")),
         "nodes",
     )
     order = Order(frequent_shingles(docs))
@@ -296,6 +365,11 @@ def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
     meet = ends.groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b").select("token")
     met = materialize(ends.join(meet, "token").distinct(), "met")
 
+    # shingles that the same nodes share say the same: one of them is enough
+    who = [F.bit_xor(F.xxhash64("sig", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    alike = met.groupBy("token").agg(*who, F.count(F.lit(1)).alias("nodes")).groupBy("x0", "x1", "nodes")
+    met = materialize(met.join(alike.agg(F.min("token").alias("token")), "token").select("token", "sig", "n", "nodes"), "groups")
+
     links, roots = None, None
 
     def labelled() -> DataFrame:
@@ -318,12 +392,10 @@ def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
             hubs = rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), F.col("sig").alias("hub"), F.col("label").alias("hub_label"))).alias("h"))
             met_hub = rows.join(hubs, "token").where("label <> h.hub_label")
             pairs = met_hub.groupBy("sig").agg(F.min("h").alias("h")).select("sig", "h.hub")
+            close = within_bounds(pairs, nodes)
         else:
-            other = rows.select("token", F.col("sig").alias("hub"), F.col("n").alias("m"), F.col("label").alias("l"))
-            close = (NUM * F.greatest("n", "m") <= DEN * F.least("n", "m")) & (F.col("sig") > F.col("hub"))
-            pairs = rows.join(other, "token").where(close & (F.col("label") != F.col("l"))).select("sig", "hub").distinct()
-        close = materialize(within_bounds(pairs, nodes), "close")
-        new = materialize(verified(docs, close, order), "verified")
+            close = close_pairs(rows, nodes)
+        new = materialize(verified(docs, materialize(close, "close"), order), "verified")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
 
