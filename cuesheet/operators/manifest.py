@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.constants import BATCHES_PER_PROMPT, IMAGES_PER_PROMPT
-from cuesheet.operators.indexing import global_ordinal, lag_dense
+from cuesheet.operators.indexing import global_ordinal
 
 
 def scene_metadata(scenes: DataFrame, metadata: dict[str, str | None], fields: list[str]) -> DataFrame:
@@ -50,15 +50,12 @@ def upload_points(generated: DataFrame) -> DataFrame:
     marks where the episode changes (first row included).
     """
     g = global_ordinal(generated.select("episode_name", "scene_id"), ["episode_name", "scene_id"], out_col="ordinal")
-    g = lag_dense(g.withColumn("__k", F.lit(0)), ["__k"], "ordinal", ["episode_name"])
-    nxt = g.select(
-        F.col("__k").alias("__k2"), (F.col("ordinal") - 1).alias("__prev_of"), F.col("episode_name").alias("next_episode")
-    )
-    g = g.join(nxt, (F.col("__k") == F.col("__k2")) & (F.col("ordinal") == F.col("__prev_of")), "left")
-    return g.select(
+    # episodes are contiguous in this order
+    ends = g.groupBy("episode_name").agg(F.min("ordinal").alias("__first"), F.max("ordinal").alias("__last"))
+    return g.join(ends, "episode_name").select(
         "ordinal", "episode_name", "scene_id",
-        (F.col("prev_episode_name").isNull() | (F.col("prev_episode_name") != F.col("episode_name"))).alias("is_first"),
-        (F.col("next_episode").isNull() | (F.col("next_episode") != F.col("episode_name"))).alias("upload_after"),
+        (F.col("ordinal") == F.col("__first")).alias("is_first"),
+        (F.col("ordinal") == F.col("__last")).alias("upload_after"),
     )
 
 
@@ -68,13 +65,15 @@ def content_names(images: DataFrame, existing: DataFrame) -> DataFrame:
     ``images``: instance, id, content (index = 0-based order by id within the
     instance); ``existing``: instance, n_existing.
     """
-    g = global_ordinal(images.select("instance", "id", "content"), ["instance", "id"], out_col="__o")
+    # the digest, not the content, goes through the sort and the scratch table
+    named = images.select("instance", "id", F.sha1("content").alias("digest"))
+    g = global_ordinal(named, ["instance", "id"], out_col="__o")
     first = g.groupBy("instance").agg(F.min("__o").alias("__o0"))
     g = g.join(first, "instance").join(existing, "instance", "left")
     idx = F.col("__o") - F.col("__o0")
     return g.select(
         "instance", "id",
-        F.format_string("%d-%s.jpg", idx + F.coalesce(F.col("n_existing"), F.lit(0)), F.sha1(F.col("content"))).alias(
+        F.format_string("%d-%s.jpg", idx + F.coalesce(F.col("n_existing"), F.lit(0)), F.col("digest")).alias(
             "file_name"
         ),
     )

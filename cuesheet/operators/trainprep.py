@@ -228,12 +228,9 @@ def resolve_columns(dataset: DataFrame, image_column: str | None, caption_column
     (default: the instance prompt for every row); unknown names raise."""
     cols = dataset.columns
     img = image_column or cols[0]
-    if img not in cols:
-        raise ValueError(f"image column {img!r} not found in dataset columns. Dataset columns are: {', '.join(cols)}")
-    if caption_column is not None and caption_column not in cols:
-        raise ValueError(
-            f"caption column {caption_column!r} not found in dataset columns. Dataset columns are: {', '.join(cols)}"
-        )
+    for role, name in (("image", img), ("caption", caption_column)):
+        if name is not None and name not in cols:
+            raise ValueError(f"no {role} column named {name!r} among {cols}")
     cap = F.col(caption_column) if caption_column else F.lit(instance_prompt)
     out = dataset.select(F.col(img).alias("image"), cap.alias("caption"))
     return repeat_rows(out, repeats) if repeats > 1 else out
