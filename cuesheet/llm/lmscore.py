@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 VOCABULARY = 1023
 PRIOR = 16.0
 COUNTER_WORDS = 1 << 18
+BROADCAST_ROWS = 1 << 22
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -136,6 +137,8 @@ def fit(docs: DataFrame, targets: DataFrame, vocab_size: int = VOCABULARY) -> Mo
     target text the target model falls back on the uniform prior.
     """
     wanted = targets.select(F.col("doc_id").cast("long").alias("__id")).where("__id IS NOT NULL").distinct()
+    # a small list goes to the texts; a long one is joined by shuffling both
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").join(wanted, F.col("__doc") == F.col("__id"), "left")
     vocab = vocabulary(docs, vocab_size)
     target, background = pair_counts(rows, F.col("__id").isNotNull(), vocab)
