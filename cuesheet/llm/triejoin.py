@@ -5,8 +5,10 @@ Similar sets share a shingle among their rarest ones (the end of that order),
 so only sets that meet there are compared.  Equal sets are one node from the
 start, and nodes that are already connected aren't compared again:
 
-* twice, every node is compared with one hub among the nodes that it meets
+* first every node is compared with one hub among the nodes that it meets
   (a star instead of all pairs of a group);
+* then, twice, with the node nearest to it, by its bitmap, among those that it
+  isn't connected with;
 * then all remaining pairs of nodes that meet but aren't connected, block by
   block.
 
@@ -192,9 +194,12 @@ def _words(maps: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def close_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def close_pairs(rows: DataFrame, nodes: DataFrame, closest: bool = False) -> DataFrame:
     """All pairs of ``rows`` (token, sig, n, nodes, label) that share a token, have different labels and pass the bounds.
 
+    With ``closest``, only the pair of each node with the smallest distance of
+    bitmaps: a row per node at most.
+
     Groups are cut into blocks of about GROUP nodes; a pair of blocks is one
     row, and the pairs within are compared by their bitmaps without being
     listed, so only those that pass come out.
@@ -224,7 +229,7 @@ def close_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 same = not batch.column(1)[i].is_valid
                 left = columns(batch.column(0).slice(i, 1))
                 right = left if same else columns(batch.column(1).slice(i, 1))
-                found = []
+                found, step = {}, 0 if same else len(left[0])
                 # equal lengths together; a shorter bitmap folds a longer one, which keeps the bound
                 for width in sorted({len(m) for m in left[4]} | {len(m) for m in right[4]}):
                     a = np.array([k for k, m in enumerate(left[4]) if width <= len(m) <= 2 * width], np.int64)
@@ -238,14 +243,25 @@ def close_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                         keep &= (right[0][b] > left[0][a[k]]) if same else True
                         at = np.nonzero(keep)[0]
                         far = np.bitwise_count(y[at] ^ x[k]).sum(axis=1, dtype=np.int64)
-                        at = at[far * (DEN + NUM) <= (n + m[at]) * (DEN - NUM)]
-                        found += [(int(a[k]), int(b[j])) for j in at]
-                found = sorted(set(found))
-                p, q = (np.array([f[j] for f in found], np.int64) for j in (0, 1))
-                cols = [left[0][p], right[0][q], left[1][p], right[1][q], left[3][p], right[3][q]]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names)
-
-    return one.unionByName(two).mapInArrow(compare, ", ".join(f"{c} long" for c in names)).distinct()
+                        near = far * (DEN + NUM) <= (n + m[at]) * (DEN - NUM)
+                        found.update(((int(a[k]), int(b[j]) + step), int(f)) for j, f in zip(at[near], far[near], strict=True))
+                pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+                far = np.array([found[tuple(x)] for x in pairs.tolist()], np.int64)
+                if closest:  # of each node, as the second of a pair
+                    pairs, far = np.concatenate([pairs, pairs[:, ::-1]]), np.concatenate([far, far])
+                    order = np.lexsort((far, pairs[:, 1]))
+                    order = order[np.unique(pairs[order, 1], return_index=True)[1]]
+                    pairs, far = pairs[order], far[order]
+                both = left if same else [np.concatenate([x, y]) for x, y in zip(left[:4], right[:4], strict=True)]
+                p, q = pairs[:, 0], pairs[:, 1]
+                cols = [both[0][p], both[0][q], both[1][p], both[1][q], both[3][p], both[3][q], far]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], [*names, "far"])
+
+    found = one.unionByName(two).mapInArrow(compare, ", ".join(f"{c} long" for c in [*names, "far"]))
+    if not closest:
+        return found.select(*names).distinct()
+    best = found.groupBy("sig").agg(F.min(F.struct("far", *(c for c in names if c != "sig"))).alias("best"))
+    return best.select("sig", "best.*").select(*names)
 
 
 def tree_links(hub: np.ndarray, sets: list[np.ndarray]) -> list[int]:
@@ -345,7 +361,7 @@ def verified(docs: DataFrame, pairs: DataFrame, order: Order) -> DataFrame:
     return rows.mapInArrow(walk, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, stars: int = 1, nearest: int = 2) -> DataFrame:
     """``doc_id, key, n_shingles, component_id`` per row of ``docs`` (doc_id, text; others are ignored).
 
     Two documents link when their sets of five-word shingles are 0.8 alike;
@@ -383,10 +399,12 @@ def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
         ends = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"))
         return ends.where("a <> b").select("token")
 
-    for turn in range(stars + 1):
+    for turn in range(stars + nearest + 1):
         rows = labelled()
         if turn:
             rows = materialize(rows.join(apart(rows), "token"), "apart")
+            if rows.isEmpty():
+                break
         if turn < stars:
             draw = F.xxhash64("sig", F.lit(turn))
             hubs = rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), F.col("sig").alias("hub"), F.col("label").alias("hub_label"))).alias("h"))
@@ -394,8 +412,11 @@ def jaccard_components(docs: DataFrame, stars: int = 2) -> DataFrame:
             pairs = met_hub.groupBy("sig").agg(F.min("h").alias("h")).select("sig", "h.hub")
             close = within_bounds(pairs, nodes)
         else:
-            close = close_pairs(rows, nodes)
-        new = materialize(verified(docs, materialize(close, "close"), order), "verified")
+            close = close_pairs(rows, nodes, closest=turn < stars + nearest)
+        close = materialize(close, "close")
+        if roots is not None and close.isEmpty():
+            continue
+        new = materialize(verified(docs, close, order), "verified")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
 
