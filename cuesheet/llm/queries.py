@@ -113,10 +113,18 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "shards")
     directory = sharding.write_shards(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     rows = spark.read.schema("doc_id long, text string, shard string").parquet(path)
-    rows = rows.select("doc_id", "shard", F.sha2("text", 256).alias("text_sha256"))
-    totals = directory.shards.select(
+    # a shard that was dealt out has totals per part, from the parts' own folders
+    dealt = rows.where(F.col("shard").contains("-")).groupBy("shard").agg(
+        F.sum(sharding.text_bytes()).alias("bytes"), F.count(F.lit(1)).alias("rows")
+    )
+    depths = directory.shards.where("parts > 1").select(F.col("shard").alias("whole"), "depth")
+    dealt = dealt.join(depths, F.substring_index("shard", "-", 1) == F.col("whole"))
+    names = ["shard", "depth", "bytes", "rows"]
+    totals = directory.shards.where("parts = 1").select(*names).unionByName(dealt.select(*names))
+    totals = totals.select(
         "shard", F.col("depth").cast("int").alias("shard_depth"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows")
     )
+    rows = rows.select("doc_id", "shard", F.sha2("text", 256).alias("text_sha256"))
     return rows.join(totals, "shard")
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.sinks.files import materialize
@@ -35,12 +35,18 @@ def _prefix(bits: Column, depth: Column | int) -> Column:
     return F.call_function("shiftright", bits, (F.lit(BITS) - depth).cast("int"))
 
 
+def text_bytes() -> Column:
+    """Bytes of a row's text, none for a null."""
+    return F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
+
+
 @dataclass
 class Directory:
     """``shards``: shard, depth, prefix, bytes, rows, parts; ``levels``: (depth, cell -> shard) of each counting round."""
 
     shards: DataFrame
     levels: list[tuple[int, DataFrame]]
+    limit: int = SHARD_BYTES
 
     def depth(self) -> int:
         """Global depth: the most bits that a shard uses."""
@@ -50,12 +56,11 @@ class Directory:
 def build_directory(docs: DataFrame, limit: int = SHARD_BYTES, spare_bits: int = SPARE_BITS) -> Directory:
     """The directory for ``docs`` (doc_id, text) with at most ``limit`` text bytes a shard.
 
-    What can't be split by hash bits is split by count instead: the rows of one
-    id that exceed the limit get ``parts`` shards of the same prefix.  A single
-    longer document has a shard of its own.
+    What can't be split by hash bits is dealt out by bytes instead: the rows of
+    one id that exceed the limit get about ``parts`` shards of the same prefix.
+    A single longer document has a shard of its own.
     """
-    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")
-    rows = docs.select(hash_bits().alias("h"), size.alias("bytes"))
+    rows = docs.select(hash_bits().alias("h"), text_bytes().alias("bytes"))
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     top, depth = -1, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + spare_bits)
     shards, levels = None, []
@@ -88,7 +93,7 @@ def build_directory(docs: DataFrame, limit: int = SHARD_BYTES, spare_bits: int =
         shards = new if shards is None else shards.unionByName(new)
         left = state.where((F.col("depth") == depth) & ~F.col("done")).select(F.col("prefix").alias("cell"))
         if depth >= BITS or left.isEmpty():
-            return Directory(shards, levels)
+            return Directory(shards, levels, limit)
         rows = rows.withColumn("cell", _prefix(F.col("h"), depth)).join(left, "cell", "left_semi").drop("cell")
         top, depth = depth, min(BITS, depth + 2 * spare_bits)
 
@@ -108,17 +113,52 @@ def assign(docs: DataFrame, directory: Directory, column: str = "shard", depth_c
         found.append(F.col(names[1]))
         parts.append(F.col(names[2]))
         depths.append(F.col(names[3]))
-    # rows of one id beyond the limit are dealt out by their place in the input: any part is right for any row
-    part = F.pmod(F.monotonically_increasing_id(), F.coalesce(*parts).cast("long"))
-    name = F.when(F.coalesce(*parts) > 1, F.concat(F.coalesce(*found), F.lit("-"), part.cast("string"))).otherwise(F.coalesce(*found))
+    out = out.withColumn(column, F.coalesce(*found)).withColumn(depth_column, F.coalesce(*depths))
+    out = out.withColumn("__parts", F.coalesce(*parts))
     drop = [c for c in out.columns if c.startswith("__") and c not in docs.columns]
-    return out.withColumn(column, name).withColumn(depth_column, F.coalesce(*depths)).drop(*drop)
+    if directory.shards.where("parts > 1").isEmpty():
+        return out.drop(*drop)
+    whole = out.where(F.coalesce(F.col("__parts"), F.lit(1)) <= 1).drop(*drop)
+    return whole.unionByName(_deal(out.where("__parts > 1").drop(*drop), directory.limit, column))
+
+
+def _deal(rows: DataFrame, limit: int, column: str) -> DataFrame:
+    """``rows`` of ids beyond the limit, ``-part`` added to their shard's name.
+
+    A text over half the limit is a part of its own; the others are cut where
+    their running bytes pass a multiple of half the limit, so no part of two
+    rows exceeds it.  Sums run inside the partitions and start from the bytes
+    of the partitions before, a row per shard and partition.
+    """
+    rows = rows.withColumn("__place", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("__task", F.shiftright("__place", 33)), "oversize")  # places must not change any more
+    big = text_bytes() * 2 > limit
+    small_bytes, bigs = F.when(big, 0).otherwise(text_bytes()).cast("long"), F.when(big, 1).otherwise(0).cast("long")
+    rows = rows.withColumn("__small", small_bytes).withColumn("__big", bigs)
+    sums = rows.groupBy(column, "__task").agg(F.sum("__small").alias("__s"), F.sum("__big").alias("__b"))
+    shard = Window.partitionBy(column)
+    earlier = shard.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        column,
+        "__task",
+        F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__s0"),
+        F.coalesce(F.sum("__b").over(earlier), F.lit(0)).alias("__b0"),
+        F.floor(F.sum("__s").over(shard) * 2 / limit).alias("__last"),
+    )
+    before = Window.partitionBy(column, "__task").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    upto = [F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("__small", "__big")]
+    rows = rows.withColumn("__s1", upto[0]).withColumn("__b1", upto[1]).join(sums, [column, "__task"])
+    small = F.floor((F.col("__s0") + F.col("__s1")) * 2 / limit)
+    part = F.when(F.col("__big") == 1, F.col("__last") + 1 + F.col("__b0") + F.col("__b1")).otherwise(small)
+    named = rows.withColumn(column, F.concat(F.col(column), F.lit("-"), part.cast("string")))
+    return named.drop("__place", "__task", "__small", "__big", "__s1", "__b1", "__s0", "__b0", "__last")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> Directory:
     """Write ``docs`` (doc_id, text and any others) as one Parquet folder ``shard=<name>`` per shard.
 
-    A shard is named ``s`` and its hash bits; the whole of a shard meets in one
+    A shard is named ``s`` and its hash bits, and ``-part`` if its one id had to
+    be dealt out; the whole of a shard meets in one
     task, which is bounded by the limit.  Rows are kept as they are: null texts
     count no bytes, repeated rows stay, and an empty table has no shard.
     """

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from cuesheet.llm import sharding
+from cuesheet.llm.queries import op3_extendible_shards
 
 
 def bits(doc_id):
@@ -53,3 +54,22 @@ def test_empty_and_small_tables(spark, tmp_path):
     assert sharding.write_shards(df, str(tmp_path / "e")).shards.count() == 0
     one = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
     assert {r.shard for r in sharding.assign(one, sharding.build_directory(one)).collect()} == {"s"}
+
+
+def test_the_query_keeps_ids_that_are_dealt_out(spark, tmp_path):
+    rng = random.Random(4)
+    sizes = [rng.choice([0, 10, 1_000, 300_000, 500_000, 700_000]) for _ in range(60)]
+    rows = [(None if i % 2 else 7, chr(97 + i % 26) * n) for i, n in enumerate(sizes)] + [(7, "x" * 1_200_000), (None, None), (None, "same"), (None, "same")]
+    rows += [(100 + i, "z" * 5000) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = op3_extendible_shards(spark, str(tmp_path)).collect()
+    digest = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(((r.doc_id, r.text_sha256) for r in got), key=str) == sorted(((d, digest(t)) for d, t in rows), key=str)
+    length = {digest(t): len(t or "") for _, t in rows}
+    own = {}
+    for r in got:
+        own.setdefault((r.shard, r.shard_depth, r.shard_bytes, r.shard_rows), []).append(length[r.text_sha256])
+    assert len({k[0] for k in own}) == len(own) and sum("-" in k[0] for k in own) > 4
+    assert all(sum(v) == k[2] and len(v) == k[3] and len(k[0].split("-")[0]) == k[1] + 1 for k, v in own.items())
+    assert all(k[2] <= sharding.SHARD_BYTES or k[3] == 1 for k in own)
