@@ -201,7 +201,7 @@ def op4_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under models of the documents labelled as of high quality and of all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     good = read_table(spark, sf_dir, "labels").where("quality = 1")
-    found = lmscore.score(docs, lmscore.fit(docs, good)).drop("text")
+    found = lmscore.score_corpus(docs, good).drop("text")
     losses = ("target_loss", "background_loss", "difference")
     return found.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in losses))
 

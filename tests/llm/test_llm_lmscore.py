@@ -1,9 +1,11 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 
 from cuesheet.llm import lmscore
+from cuesheet.llm.queries import op4_cross_entropy_difference
 
 DOCS = [
     (1, "the cat sat on the mat"), (2, "The cat ate the rat"), (3, "stock prices fell on monday"), (4, "prices of stock rose"),
@@ -72,3 +74,37 @@ def test_the_score_tells_the_target_apart(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lmscore.score(df, lmscore.fit(df, df)).count() == 0
+
+
+def test_the_query_knows_every_word(spark, tmp_path):
+    rng = random.Random(6)
+    common, rare = [f"c{i}" for i in range(1023)], [f"r{i}" for i in range(1500)]
+    docs = [(i, " ".join(common)) for i in range(4)]
+    docs += [(10 + i, " ".join(rng.choices(common, k=20) + rng.choices(rare, k=rng.randint(0, 15)) + ["R7", "c3", "r7"] * (i % 3))) for i in range(60)]
+    docs += [(90, "only"), (90, "only"), (91, "r1 r1 r1 r1"), (92, None), (93, " "), (None, "r1 c1 r2"), (94, "r2 c5")]
+    targets = {i for i in range(10, 95) if i % 4 == 0}
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1) for i in targets] + [(11, 0)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda r: tuple(map(str, r[:2])) + (r[2] or 0,)
+    got = sorted((tuple(r) for r in op4_cross_entropy_difference(spark, str(tmp_path)).collect()), key=key)
+    for r, w in zip(got, sorted(brute(docs, targets, 10**9), key=key), strict=True):
+        assert r[:2] == w[:2]
+        assert r[2:] == ((None,) * 3 if w[2] is None else pytest.approx((w[2], w[3], w[2] - w[3]), abs=2e-6))
+
+
+@pytest.mark.parametrize(("frequent", "targets"), [(0, {1, 2}), (3, {4}), (1023, {77})])
+def test_every_word_at_any_number_of_frequent_ones(spark, frequent, targets):
+    df = spark.createDataFrame([(*r, 1) for r in DOCS], "doc_id long, text string, difference int")
+    ids = spark.createDataFrame([(i, "x") for i in [*targets, None]], "doc_id long, text string")
+    got = lmscore.score_corpus(df, ids, frequent=frequent)
+    assert got.columns == ["doc_id", "text", "n_tokens", "target_loss", "background_loss", "difference"]
+    key = lambda r: (str(r[0]), r[1], r[2] or 0)
+    rows = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got.collect()), key=key)
+    for r, w in zip(rows, sorted(brute(DOCS, targets, 10**9), key=key), strict=True):
+        assert r[:2] == w[:2] and r[2:] == (w[2:] if w[2] is None else pytest.approx(w[2:]))
+
+
+def test_every_word_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert lmscore.score_corpus(df, df).count() == 0
