@@ -18,9 +18,11 @@ import unicodedata
 from collections import Counter, OrderedDict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +33,10 @@ from cuesheet.llm.common import most_frequent
 from cuesheet.sinks.files import scratch_path
 
 LEXICON_WORDS = 1 << 18
-CHUNK_CHARS = 4 << 20
-COUNTER_WORDS = 1 << 18
-MERGED_WORDS = 1 << 16
-NO_RANK = 1 << 60
+LEXICON_WORD_BYTES = 128
+CHUNK_CHARS = 1 << 19
+COUNTER_WORDS = 1 << 17
+MERGED_WORDS = 1 << 15
 # Characters whose classes hang neither on the Unicode version nor on what counts as white space;
 # a text with others is split by the tokenizer library's own tables.
 RARE = re.compile("[^\u0000-\u001b\u0020-\u0084\u0086-\u0557\u2000-\u206f\u20a0-\u20bf\u3000-\u3029\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
@@ -109,22 +111,32 @@ class Merger:
             return [self.special[word]]
         raw = word.encode("utf-8", "replace")
         ids = [self.single[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-        rank = self.ranks.get
-        ranks = [rank(p, NO_RANK) for p in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) < NO_RANK:
-            i = ranks.index(best)
-            ids[i : i + 2] = [self.joined[best]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), NO_RANK)
-            if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), NO_RANK)
-        return ids
+        n, rank = len(ids), self.ranks.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            # a pair is stale once one of its ends was merged with another token
+            if ids[i] < 0 or j >= n or rank((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j], after[i] = self.joined[r], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := rank((ids[i], ids[after[i]]))) is not None:
+                    heappush(heap, (r, i))
+            if before[i] >= 0 and (r := rank((ids[before[i]], ids[i]))) is not None:
+                heappush(heap, (r, before[i]))
+        return [x for x in ids if x >= 0]
 
     def unseen(self, word: str) -> list[int]:
         """``merge`` with a bounded memory of the words met last."""
         if (ids := self.merged.get(word)) is None:
-            ids = self.merged[word] = self.merge(word)
+            ids = self.merge(word)
+            if len(word) > LEXICON_WORD_BYTES:
+                return ids
+            self.merged[word] = ids
             if len(self.merged) > MERGED_WORDS:
                 self.merged.popitem(last=False)
         return ids
@@ -135,6 +147,12 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
+def release() -> None:
+    """Let go of what a task leaves in its worker process, which the next stage may use for something else."""
+    merger.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 # --- the automaton -----------------------------------------------------------------
 
 
@@ -263,6 +281,7 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                 if len(counts) > COUNTER_WORDS:
                     yield flush()
         yield flush()
+        release()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -270,11 +289,12 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words, ``words`` at most, and give every worker the file; its name.
 
-    The size bounds the automaton, not the encoding: other words are merged
-    where they occur.  The file goes to the shared checkpoint folder, from
+    The number of words and their length (LEXICON_WORD_BYTES) bound the
+    automaton, not the encoding: other words are merged where they occur.  The file goes to the shared checkpoint folder, from
     which executors (also later ones) fetch their own copy to map.
     """
-    top = most_frequent(word_counts(docs, tokenizer), words).select(F.col("word").cast("binary")).toArrow()
+    counts = word_counts(docs, tokenizer).where(F.octet_length("word") <= LEXICON_WORD_BYTES)
+    top = most_frequent(counts, words).select(F.col("word").cast("binary")).toArrow()
     m = merger(tokenizer)
     flat = compile_words((w, m.merge(w.decode())) for w in sorted(top.column(0).to_pylist()))
     return share_array(docs.sparkSession, flat)
@@ -354,13 +374,14 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, out: str = "ids") -> D
             for part in _chunks(batch, at):
                 ids = _encode_chunk([t or "" for t in part.column(at).to_pylist()], m, known)
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
+        release()
 
     return clear.mapInArrow(run, spec)
 
 
 def _chunks(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
     """Stretches of a batch with about CHUNK_CHARS bytes of the variable-size column ``at``."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
     cut = np.cumsum(lengths) // CHUNK_CHARS
     starts = [0, *(np.nonzero(np.diff(cut))[0] + 1).tolist(), batch.num_rows]
     for a, b in zip(starts, starts[1:], strict=False):

@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import pytest
 import public_tokenizers
@@ -73,3 +75,21 @@ def test_documents_encode_and_decode_like_the_library(spark, library, words):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe_digests(df, PATH).count() == 0
+
+
+def test_long_words_merge_like_the_library(library):
+    m, rng = bpe.Merger(PATH), random.Random(9)
+    for n in (1, 2, 7, 129, 3000):
+        word = "".join(rng.choices("aaabetns", k=n))
+        assert m.merge(word) == library.encode(word, add_special_tokens=False).ids
+    assert sum(len(m.text[i].removesuffix(m.suffix)) for i in m.merge("ab" * 250_000)) == 500_000
+
+
+def test_encodes_in_an_interpreter_that_has_loaded_nothing_else():
+    code = (
+        "import pyarrow as pa\nfrom cuesheet.llm import bpe\n"
+        "b = pa.RecordBatch.from_pylist([{'text': 'x' * bpe.CHUNK_CHARS}, {'text': 'x' * bpe.CHUNK_CHARS}, {'text': None}])\n"
+        "print([p.num_rows for p in bpe._chunks(b, 0)])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert done.stdout.strip() == "[1, 2]"
