@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.llm import bpe, decontam, langid, licenses, linededup, lmscore, sharding, topk, triejoin, warc
+from cuesheet.llm import bpe, decontam, langid, licenses, linededup, lmscore, merkle, sharding, topk, toxicity, triejoin, warc, whitening
 from cuesheet.sinks.files import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -238,6 +238,94 @@ def op9_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_bitsliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of ``embeddings`` on the 16 strongest components, scaled to variance 1."""
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    found = whitening.whiten(vectors, model).withColumn("deviation", F.col("deviation").cast("long"))
+    error = F.lit(model and model.identity_error).cast("double").alias("identity_error")
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", error)
+
+
+def op12_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document and its offending sentences, learned from the labels of documents that aren't held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~langid.held_out())
+    found = toxicity.flag(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score", "predicted", "offending")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest and proof of every document, checked against a table in which a third of the texts is tampered with."""
+    docs = read_table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    text = F.when(tampered, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    leaf = merkle.leaf_digest([*columns, F.col("text")])
+    # what is found in the tampered table; null where that is the leaf itself
+    found = merkle.leaf_digest([*columns, text])
+    leaves = docs.select(F.col("lang").alias("group"), F.col("doc_id").alias("key"), leaf.alias("leaf"), F.when(tampered, found).alias("other"))
+    proved = merkle.prove(leaves)
+    folded = proved.withColumn("folded_root", merkle.fold(F.coalesce("other", "leaf"), F.col("path")))
+    return folded.select(
+        F.col("key").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+OP13_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, [CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END
+      FOR v IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text]] AS f,
+    [CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END
+      FOR v IN [translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')]] AS low,
+    -- crc32, a bit at a time over the bytes of the id
+    list_reduce(list_concat([4294967295], range(0, 8 * strlen(CAST(doc_id AS VARCHAR)))),
+      lambda c, i: CAST(xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS INTEGER), 1)) ELSE 0 END) >> 1,
+        (xor(c, CASE WHEN i % 8 = 0 THEN ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS INTEGER), 1)) ELSE 0 END) & 1) * 3988292384) AS BIGINT)) AS c
+  FROM documents
+), leaf AS (
+  SELECT doc_id, lang, sha256(array_to_string(f, '')) AS leaf,
+    CASE WHEN xor(c, 4294967295) % 3 = 0 THEN sha256(array_to_string(list_concat(f[1:4], low), '')) ELSE sha256(array_to_string(f, '')) END AS found
+  FROM f
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS tree FROM leaf
+), levels(tree, level, d) AS (
+  SELECT tree, 0, list(leaf ORDER BY pos) FROM placed GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, [sha256(array_to_string(d[8 * i + 1 : 8 * i + 8], '')) FOR i IN range(0, (len(d) + 7) // 8)] FROM levels WHERE len(d) > 1
+), tops(level, d) AS (
+  SELECT 0, list(d[1] ORDER BY tree) FROM levels WHERE len(d) = 1
+  UNION ALL
+  SELECT level + 1, [sha256(array_to_string(d[8 * i + 1 : 8 * i + 8], '')) FOR i IN range(0, (len(d) + 7) // 8)] FROM tops WHERE len(d) > 1
+), climb(doc_id, leaf, tree, top, level, pos, own, proof, subroot) AS (
+  SELECT doc_id, leaf, tree, false, 0, pos, found, '', NULL::VARCHAR FROM placed
+  UNION ALL
+  SELECT doc_id, leaf, c.tree, coalesce(top OR len(l.d) = 1, true),
+    CASE WHEN NOT top AND len(l.d) = 1 THEN 0 ELSE c.level + 1 END,
+    CASE WHEN NOT top AND len(l.d) = 1 THEN c.tree ELSE pos // 8 END,
+    CASE WHEN NOT top AND len(l.d) = 1 THEN own
+      ELSE sha256(array_to_string(x.d[8 * (pos // 8) + 1 : pos], '') || own || array_to_string(x.d[pos + 2 : 8 * (pos // 8) + 8], '')) END,
+    CASE WHEN NOT top AND len(l.d) = 1 THEN proof
+      ELSE proof || array_to_string(x.d[8 * (pos // 8) + 1 : pos], '') || array_to_string(x.d[pos + 2 : 8 * (pos // 8) + 8], '') END,
+    CASE WHEN NOT top AND len(l.d) = 1 THEN l.d[1] ELSE subroot END
+  FROM climb c LEFT JOIN levels l ON NOT c.top AND l.tree = c.tree AND l.level = c.level
+    LEFT JOIN tops t ON c.top AND t.level = c.level, LATERAL (SELECT CASE WHEN top THEN t.d ELSE l.d END AS d) x
+  WHERE NOT (top AND len(t.d) = 1)
+)
+SELECT doc_id, leaf, subroot, (SELECT d[1] FROM tops WHERE len(d) = 1) AS root, sha256(proof) AS proof_sha256, own AS folded_root,
+  own = (SELECT d[1] FROM tops WHERE len(d) = 1) AS verified
+FROM climb WHERE top AND level = (SELECT max(level) FROM tops)
+"""
+
+
 QUERIES = {
     "op1_warc_dictionary": (op1_warc_dictionary, OP1_SQL),
     "op2_qgram_decontamination": (op2_qgram_decontamination, None),
@@ -249,4 +337,7 @@ QUERIES = {
     "op8_topk_uniform_threshold": (op8_topk_uniform_threshold, OP8_SQL),
     "op9_license_minhash": (op9_license_minhash, None),
     "op10_langid_centroids": (op10_langid_centroids, None),
+    "op11_bitsliced_whitening": (op11_bitsliced_whitening, None),
+    "op12_multiple_instance_toxicity": (op12_multiple_instance_toxicity, None),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }

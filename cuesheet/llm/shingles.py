@@ -106,3 +106,16 @@ def shingle_sets(texts: Iterable[str | None], size: int = SIZE) -> Iterator[np.n
     """The sorted distinct shingle hashes of each text."""
     for words in word_hashes(texts):
         yield np.unique(shingles(words, size))
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and byte place of each word (ASCII letters and digits, non-ASCII characters) of a UTF-8 text."""
+    places = []
+    at = 0
+    for piece in _cuts(raw, _OTHER):
+        words, starts = _piece_words(piece, _OTHER)
+        places.append((words, starts + at))
+        at += len(piece)
+    if not places:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*places, strict=True))
