@@ -168,7 +168,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, per_labe
     known = materialize(known, "labelled")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     shares = {x: min(1.0, per_label / n) for x, n in sizes.items()}
-    share = F.coalesce(*(F.when(F.col("label") == x, F.lit(s)) for x, s in shares.items()), F.lit(0.0))
+    share = F.coalesce(*(F.when(F.col("label") == x, F.lit(s)) for x, s in shares.items()), F.lit(1.0))
     drawn = known.where(F.pmod(F.col("__h"), F.lit(1 << 20)) < share * (1 << 20)).withColumn("weight", 1 / share)
     # some 2 * per_label rows of numbers; the same row twice is one
     return rows.join(F.broadcast(drawn), ["doc_id", "__h"]).dropDuplicates(["__h"]).select("text", "label", "weight")
