@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.constants import ALIGN_TOLERANCE_S
-from cuesheet.operators.nearest import anchor_regions, nearest_candidates
-
+from cuesheet.operators.segments import BLOCK_ROWS, build_segments, locate, nearest, with_bounds
 
 
 def align_scenes(
@@ -15,7 +14,7 @@ def align_scenes(
     scenes: DataFrame,
     tolerance: float = ALIGN_TOLERANCE_S,
     keep_unaligned: bool = False,
-    width: float | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Attach a scene to every caption turn.
 
@@ -28,34 +27,24 @@ def align_scenes(
 
     ``turns``: episode, youtube_id, idx, speaker, text, start, end.
     ``scenes``: episode, scene_id, speaker, character, in_game, start_time.
-    ``width``: time-bucket width of the candidate join (default: adaptive per
-    episode and speaker, about two scenes per bucket).
+    ``block_rows``: scenes of a key that share a block of the join (cut at
+    quantiles of their times).
     Output: episode_name, youtube_id, idx, speaker, text, start, end,
     scene_id, character, in_game.
     """
     if tolerance < 0:
         raise ValueError("tolerance must be >= 0")
-    keys = ["episode", "_spk"]
-    anchors = scenes.select(
-        "episode", F.lower("speaker").alias("_spk"), "start_time", "scene_id", "character", "in_game"
-    )
-    regions, stats = anchor_regions(
-        anchors, keys, "start_time", "scene_id", ["scene_id", "character", "in_game"], width
+    anchors = scenes.select("episode", F.lower("speaker").alias("_spk"), "start_time", "scene_id", "character", "in_game")
+    segments = build_segments(
+        anchors, ["episode", "_spk"], "start_time", "scene_id", ["scene_id", "character", "in_game"], block_rows=block_rows
     )
+    on = {"episode": "episode", "_spk": "_spk"}
     probes = turns.select(
         "episode", "youtube_id", "idx", "speaker", "text", "start", "end", F.lower("speaker").alias("_spk")
     )
-    cands = nearest_candidates(probes, regions, stats, keys, F.col("start"), width)
-    valid = F.col("a_t") <= F.col("start") + F.lit(float(tolerance))
-    best = cands.groupBy("episode", "_spk", "bucket", "idx").agg(
-        F.any_value("youtube_id").alias("youtube_id"),
-        F.any_value("speaker").alias("speaker"),
-        F.any_value("text").alias("text"),
-        F.any_value("start").alias("start"),
-        F.any_value("end").alias("end"),
-        F.min(F.when(valid, F.struct(F.col("dist"), F.col("a")))).alias("m"),
-    )
-    out = best.select(
+    found = locate(with_bounds(probes, segments, on), segments, on, "start")
+    found = found.withColumn("m", nearest("all", F.col("start"), limit=F.col("start") + F.lit(float(tolerance))))
+    out = found.select(
         F.col("episode").alias("episode_name"),
         "youtube_id", "idx", "speaker", "text", "start", "end",
         F.coalesce(F.col("m.a.scene_id"), F.lit(-1)).cast("int").alias("scene_id"),

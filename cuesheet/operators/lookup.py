@@ -8,13 +8,12 @@ otherwise the row whose ``[start_time, end_time]`` holds the time (lowest row
 order when several do), else the nearest row by midpoint.  Ties go to the
 lowest row order.
 
-Implementation: one lookup index per key holds three kinds of entries, all
-exploded over time buckets: ``hit`` (caption intervals), ``all`` and ``env``
-(nearest-midpoint regions of all rows / environment rows).  Each event emits
-at most two probes; a single equi-join on ``(keys, kind, bucket)`` plus a
-range residual finds the candidates, and a min over (priority, distance,
-row order) per event picks the answer.  The index is a plain table, so the
-same join serves a stream (stream-static join).
+Implementation: the rows of each key become disjoint segments (see
+:mod:`cuesheet.operators.segments`), each with the interval that wins there,
+how many intervals overlap, and the rows and environment rows next to it by
+midpoint.  An event sends one probe and meets one segment, so nothing is
+aggregated and the event's columns are moved once.  The segments are a plain
+table, and the same join serves a stream (stream-static join).
 """
 
 from __future__ import annotations
@@ -25,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.constants import DEFAULT_IMAGE_BASE_URL, ENVIRONMENT, EPISODE_META, NUM_IMAGE_VARIATIONS
-from cuesheet.operators.nearest import adaptive_width, anchor_regions
+from cuesheet.operators.segments import BLOCK_ROWS, Segments, build_segments, locate, nearest, with_bounds
 
-PAYLOAD = ["idx", "scene_id", "speaker", "character", "scene_name", "start_time", "end_time", "mid_point"]
+PAYLOAD = ["idx", "scene_id", "speaker", "character", "scene_name"]
 
 
 def episode_meta(spark) -> DataFrame:
@@ -37,133 +36,49 @@ def episode_meta(spark) -> DataFrame:
     )
 
 
-def build_lookup_index(
-    viewer: DataFrame, keys: Sequence[str] = ("episode_name",), width: float | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(index, stats) for :func:`lookup_scenes`.
+def build_lookup_index(viewer: DataFrame, keys: Sequence[str] = ("episode_name",), block_rows: int = BLOCK_ROWS) -> Segments:
+    """The segments that :func:`lookup_scenes` reads.
 
     ``viewer``: keys + idx (row order), scene_id, speaker, character,
-    scene_name, start_time, end_time, mid_point.  Bucket width ``w`` is per key:
-    fixed when ``width`` is given, else twice the average row spacing.
+    scene_name, start_time, end_time, mid_point.
     """
-    keys = list(keys)
-    v = viewer.select(*dict.fromkeys([*keys, *PAYLOAD]))
-    env = F.col("character") == ENVIRONMENT
-    stats = v.groupBy(*keys).agg(
-        F.min("start_time").alias("mn"), F.max("end_time").alias("mx"),
-        F.min("mid_point").alias("all_min"), F.max("mid_point").alias("all_max"),
-        F.min(F.when(env, F.col("mid_point"))).alias("env_min"),
-        F.max(F.when(env, F.col("mid_point"))).alias("env_max"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    w = F.lit(float(width)) if width is not None else adaptive_width(F.col("mx") - F.col("mn"), F.col("n"))
-    stats = stats.withColumn("w", w).drop("n")
-    widths = stats.select(*keys, F.col("w").alias("k_w"))
-    a = F.struct(*[F.col(c) for c in PAYLOAD]).alias("a")
-    # one row per key: small next to the rows; AQE broadcasts it when it is
-    hit = v.join(widths, keys).select(
-        *keys, F.lit("hit").alias("kind"),
-        F.col("start_time").alias("a_lo"), F.col("end_time").alias("a_hi"),
-        F.lit(None).cast("double").alias("a_t"), a,
-        F.explode(F.sequence(F.floor(F.col("start_time") / F.col("k_w")),
-                             F.floor(F.col("end_time") / F.col("k_w")))).alias("bucket"),
-    )
-    parts = [hit]
-    for kind, rows in (("all", v), ("env", v.where(env))):
-        regions, _ = anchor_regions(rows, keys, "mid_point", "idx", PAYLOAD, widths=widths)
-        parts.append(regions.select(*keys, F.lit(kind).alias("kind"), "a_lo", "a_hi", "a_t", "a", "bucket"))
-    index = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return index, stats
-
-
-def lookup_candidates(
-    events: DataFrame,
-    index: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str] = ("episode_name",),
-    event_key_map: dict[str, str] | None = None,
-    position_col: str = "position",
-    width: float | None = None,
-    meta: DataFrame | None = None,
-) -> DataFrame:
-    """Stateless part of the lookup (usable on a stream): every event joined to
-    its candidate rows.  Output: event columns + ``t``, ``mode0`` and ``cand``
-    (struct prio, dist, a) or null."""
-    keys = list(keys)
-    ekm = {k: (event_key_map or {}).get(k, k) for k in keys}
-    spark = events.sparkSession
-    meta = meta if meta is not None else episode_meta(spark)
-    ev_cols = events.columns
-    st = stats.select(*[F.col(k).alias(f"s__{k}") for k in keys], "mn", "mx", "all_min", "all_max", "env_min", "env_max",
-                      F.col("w").alias("s__w"))
-    e = events.join(st, [F.col(ekm[k]) == F.col(f"s__{k}") for k in keys], "left")
-    ep_col = ekm[keys[0]]
-    # the constants table has three rows: a proven bound, so it is broadcast
-    e = e.join(F.broadcast(meta), F.col(ep_col) == F.col("meta_episode"), "left")
-    pos = F.col(position_col)
-    t = F.when(F.col("mx").isNotNull(), F.greatest(F.least(pos, F.col("mx")), F.col("mn")))
-    e = e.withColumn("t", t)
-    intro = F.coalesce(F.col("t") <= F.col("game_start"), F.lit(False))
-    brk = F.coalesce((F.col("t") >= F.col("break_start")) & (F.col("t") <= F.col("break_end")), F.lit(False))
-    e = e.withColumn("mode0", F.when(intro, F.lit("intro")).when(brk, F.lit("break")).otherwise(F.lit("scene")))
-    probe = F.struct
-    probes = F.when(F.col("mode0") == "intro", F.array(probe(F.lit("env").alias("kind"), F.col("t").alias("pt")))) \
-        .when(F.col("mode0") == "break", F.array(probe(F.lit("env").alias("kind"), F.lit(0.0).alias("pt")))) \
-        .otherwise(F.array(probe(F.lit("hit").alias("kind"), F.col("t").alias("pt")),
-                           probe(F.lit("all").alias("kind"), F.col("t").alias("pt"))))
-    p = e.select(*ev_cols, *[F.col(f"s__{k}") for k in keys], "t", "mode0", "all_min", "all_max", "env_min", "env_max",
-                 "s__w", F.explode(probes).alias("pr"))
-    kind, pt = F.col("pr.kind"), F.col("pr.pt")
-    ptc = (
-        F.when(kind == "hit", pt)
-        .when(kind == "all", F.least(F.greatest(pt, F.col("all_min")), F.col("all_max")))
-        .otherwise(F.least(F.greatest(pt, F.col("env_min")), F.col("env_max")))
-    )
-    p = p.select(*ev_cols, *[F.col(f"s__{k}") for k in keys], "t", "mode0",
-                 kind.alias("p_kind"), pt.alias("p_t"), ptc.alias("p_tc"),
-                 F.floor(F.col("p_tc") / F.col("s__w")).alias("p_bucket"))
-    ix = index.select(*[F.col(k).alias(f"i__{k}") for k in keys], "kind", "bucket", "a_lo", "a_hi", "a_t", "a")
-    cond = [F.col(f"s__{k}") == F.col(f"i__{k}") for k in keys] + [
-        F.col("p_kind") == F.col("kind"), F.col("p_bucket") == F.col("bucket"),
-        F.col("a_lo") <= F.col("p_tc"), F.col("p_tc") <= F.col("a_hi"),
-    ]
-    j = p.join(ix, cond, "left")
-    prio = F.when(F.col("p_kind") == "all", F.lit(1)).otherwise(F.lit(0))
-    dist = F.when(F.col("p_kind") == "hit", F.lit(0.0)).otherwise(F.abs(F.col("a_t") - F.col("p_t")))
-    cand = F.when(F.col("a").isNotNull(), F.struct(prio.alias("prio"), dist.alias("dist"), F.col("a").alias("a")))
-    return j.select(*ev_cols, "t", "mode0", cand.alias("cand"))
-
-
-def _mode(best: str = "b") -> "F.Column":
-    return F.when(F.col("mode0") != "scene", F.col("mode0")).when(F.col(f"{best}.prio") == 0, F.lit("hit")).when(
-        F.col(best).isNotNull(), F.lit("nearest"))
+    rows = viewer.select(*dict.fromkeys([*keys, *PAYLOAD, "start_time", "end_time", "mid_point"]))
+    kinds = {"all": F.lit(True), "env": F.coalesce(F.col("character") == ENVIRONMENT, F.lit(False))}
+    return build_segments(rows, keys, "mid_point", "idx", PAYLOAD, kinds, ("start_time", "end_time"), block_rows)
 
 
 def lookup_scenes(
     events: DataFrame,
-    index: DataFrame,
-    stats: DataFrame,
-    event_keys: Sequence[str],
-    keys: Sequence[str] = ("episode_name",),
+    segments: Segments,
     event_key_map: dict[str, str] | None = None,
     position_col: str = "position",
-    width: float | None = None,
     meta: DataFrame | None = None,
 ) -> DataFrame:
     """Resolve every event to one viewer row (null columns when none exists).
 
     ``event_key_map`` maps lookup keys to event columns (default same name).
-    Output: event columns + ``t`` (clamped time), ``mode`` and the row fields.
+    Output: event columns + ``t`` (clamped time), ``mode``, ``overlap_count``
+    (how many intervals hold the time; null in intro and break) and the row
+    fields.  ``events`` may be a stream.
     """
-    ev_cols = events.columns
-    j = lookup_candidates(events, index, stats, keys, event_key_map, position_col, width, meta)
-    best = j.groupBy(*event_keys).agg(
-        *[F.any_value(c).alias(c) for c in ev_cols if c not in event_keys],
-        F.any_value("t").alias("t"), F.any_value("mode0").alias("mode0"),
-        F.min("cand").alias("b"),
-    )
-    fields = [c for c in ["scene_id", "speaker", "character", "scene_name", "idx"] if c not in ev_cols]
-    return best.select(*ev_cols, "t", _mode().alias("mode"), *[F.col(f"b.a.{c}").alias(c) for c in fields])
+    on = {k: (event_key_map or {}).get(k, k) for k in segments.keys}
+    meta = meta if meta is not None else episode_meta(events.sparkSession)
+    # the constants table has three rows: a proven bound, so it is broadcast
+    e = with_bounds(events, segments, on).join(F.broadcast(meta), F.col(on[segments.keys[0]]) == F.col("meta_episode"), "left")
+    pos = F.col(position_col)
+    e = e.withColumn("t", F.when(F.col("last_end").isNotNull(), F.greatest(F.least(pos, F.col("last_end")), F.col("first_start"))))
+    intro = F.coalesce(F.col("t") <= F.col("game_start"), F.lit(False))
+    brk = F.coalesce((F.col("t") >= F.col("break_start")) & (F.col("t") <= F.col("break_end")), F.lit(False))
+    e = e.withColumn("mode0", F.when(intro, F.lit("intro")).when(brk, F.lit("break")).otherwise(F.lit("scene")))
+    # during the break the episode's start is what an environment is looked for at
+    e = e.withColumn("p_t", F.when(brk, F.lit(0.0)).otherwise(F.col("t")))
+    j = locate(e, segments, on, "p_t")
+    scene, hit = F.col("mode0") == "scene", F.col("hit").isNotNull()
+    best = F.when(~scene, nearest("env", F.col("p_t"))["a"]).when(hit, F.col("hit")).otherwise(nearest("all", F.col("p_t"))["a"])
+    mode = F.when(~scene, F.col("mode0")).when(hit, F.lit("hit")).when(F.col("b").isNotNull(), F.lit("nearest"))
+    fields = [c for c in ["scene_id", "speaker", "character", "scene_name", "idx"] if c not in events.columns]
+    overlap = F.when(scene, F.col("overlap_count")).alias("overlap_count")
+    return j.withColumn("b", best).select(*events.columns, "t", mode.alias("mode"), overlap, *[F.col(f"b.{c}").alias(c) for c in fields])
 
 
 def image_url(df: DataFrame, episode_col: str, variation: "F.Column", base: str = DEFAULT_IMAGE_BASE_URL) -> DataFrame:
@@ -173,18 +88,10 @@ def image_url(df: DataFrame, episode_col: str, variation: "F.Column", base: str
     return df.withColumn("image_url", F.when(F.col("scene_name").isNotNull(), url))
 
 
-def nearest_scene(events: DataFrame, viewer: DataFrame, event_keys: Sequence[str], environment: bool = False,
-                  width: float | None = None) -> DataFrame:
-    """Nearest row by midpoint (optionally among environment rows), ties -> lowest row order."""
-    from cuesheet.operators.nearest import nearest_candidates
-
+def nearest_scene(events: DataFrame, viewer: DataFrame, environment: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Nearest row by midpoint (optionally among environment rows), ties -> lowest row order.  One row per event."""
     rows = viewer.where(F.col("character") == ENVIRONMENT) if environment else viewer
-    regions, stats = anchor_regions(rows, ["episode_name"], "mid_point", "idx", PAYLOAD, width)
-    probes = events.withColumnRenamed("episode", "episode_name")
-    c = nearest_candidates(probes, regions, stats, ["episode_name"], F.col("position"), width)
-    best = c.groupBy(*event_keys).agg(
-        F.any_value("episode_name").alias("episode"), F.any_value("position").alias("position"),
-        F.min(F.when(F.col("a").isNotNull(), F.struct("dist", "a"))).alias("b"),
-    )
-    return best.select(*event_keys, "episode", "position", F.col("b.a.scene_id").alias("scene_id"),
-                       F.col("b.a.idx").alias("idx"), F.col("b.dist").alias("distance"))
+    segments = build_segments(rows, ["episode_name"], "mid_point", "idx", ["scene_id"], block_rows=block_rows)
+    on = {"episode_name": "episode"}
+    found = locate(with_bounds(events, segments, on), segments, on, "position").withColumn("b", nearest("all", F.col("position")))
+    return found.select(*events.columns, F.col("b.a.scene_id").alias("scene_id"), F.col("b.a.idx").alias("idx"), F.col("b.dist").alias("distance"))

@@ -51,42 +51,3 @@ def forward_fill(
     return out.withColumn(out_col, F.coalesce(F.col("__ff_local"), F.col("__ff_carry"))).drop(
         blk, "__ff_local", "__ff_carry"
     )
-
-
-def neighbour_times(
-    points: DataFrame,
-    keys: Sequence[str],
-    t_col: str,
-    width: float | None = None,
-    width_col: str | None = None,
-    block_scale: float = 1.0,
-) -> DataFrame:
-    """Add ``prev_t`` / ``next_t``: the neighbouring distinct times per key.
-
-    ``points`` must already hold one row per (keys, t).  Inside a time bucket
-    (``width`` or the per-row ``width_col``) a lag/lead window answers; at
-    bucket borders the previous/next non-empty bucket's max/min (from the
-    bucket summary) fills in.  ``block_scale`` widens the blocks of this scan
-    relative to the given width (coarse blocks keep the summary small).
-    """
-    keys = list(keys)
-    blk = "__nb_blk"
-    w_expr = (F.col(width_col) if width_col else F.lit(float(width))) * F.lit(float(block_scale))
-    d = points.withColumn(blk, F.floor(F.col(t_col) / w_expr))
-    w = Window.partitionBy(*keys, blk).orderBy(t_col)
-    d = d.withColumn("__lag", F.lag(t_col).over(w)).withColumn("__lead", F.lead(t_col).over(w))
-    summ = points.withColumn(blk, F.floor(F.col(t_col) / w_expr)).groupBy(*keys, blk).agg(
-        F.min(t_col).alias("__bmin"), F.max(t_col).alias("__bmax")
-    )
-    ws = Window.partitionBy(*keys).orderBy(blk)
-    summ = summ.select(
-        *keys, blk,
-        F.lag("__bmax").over(ws).alias("__prev_blk"),
-        F.lead("__bmin").over(ws).alias("__next_blk"),
-    )
-    out = d.join(summ, [*keys, blk], "left")
-    return out.select(
-        *[c for c in points.columns],
-        F.coalesce("__lag", "__prev_blk").alias("prev_t"),
-        F.coalesce("__lead", "__next_blk").alias("next_t"),
-    )

@@ -750,8 +750,10 @@ LOOKUP_CTES = VIEWER_EXTRA + [
     ("lookup_o", """
         SELECT e.event_id, e.session, e.episode, e.position, e.event_type, e.ts, e.t,
                CASE WHEN e.mode0 <> 'scene' THEN e.mode0 WHEN b.prio = 0 THEN 'hit' WHEN b.prio IS NOT NULL THEN 'nearest' END AS mode,
+               CASE WHEN e.mode0 = 'scene' AND e.t IS NOT NULL THEN coalesce(o.n, 0) END AS overlap_count,
                b.scene_id, b.speaker, b.character, b.scene_name, b.idx
         FROM lk_e2 e LEFT JOIN lk_best b ON e.event_id = b.event_id
+        LEFT JOIN (SELECT event_id, count(*) AS n FROM lk_cand WHERE prio = 0 GROUP BY event_id) o ON o.event_id = e.event_id
     """),
 ]
 
@@ -760,9 +762,8 @@ def _lookup(spark, sf_dir):
     from cuesheet.operators.lookup import build_lookup_index, lookup_scenes
     from cuesheet.sources.fixtures import positions_view
 
-    index, stats = build_lookup_index(_viewer(spark, sf_dir))
-    ev = positions_view(spark, sf_dir)
-    return lookup_scenes(ev, index, stats, ["event_id"], event_key_map={"episode_name": "episode"})
+    segments = build_lookup_index(_viewer(spark, sf_dir))
+    return lookup_scenes(positions_view(spark, sf_dir), segments, event_key_map={"episode_name": "episode"})
 
 
 @register("scene_lookup", _v("SELECT * FROM lookup_o", "captions_v", "scenes_v", "positions_v", extra=LOOKUP_CTES))
@@ -797,7 +798,7 @@ def q_nearest_scene(spark, sf_dir):
     from cuesheet.sources.fixtures import positions_view
 
     ev = positions_view(spark, sf_dir).select("event_id", "episode", "position")
-    return nearest_scene(ev, _viewer(spark, sf_dir), ["event_id"])
+    return nearest_scene(ev, _viewer(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------
@@ -1068,9 +1069,8 @@ def q_image_updates(spark, sf_dir):
     from cuesheet.operators.lookup import build_lookup_index, image_url, lookup_scenes
 
     keys = ["episode_name", "speaker", "character"]
-    index, stats = build_lookup_index(_viewer(spark, sf_dir), keys)
-    em = _playback(spark, sf_dir)
-    r = lookup_scenes(em, index, stats, ["event_id"], keys, event_key_map={"episode_name": "episode"})
+    segments = build_lookup_index(_viewer(spark, sf_dir), keys)
+    r = lookup_scenes(_playback(spark, sf_dir), segments, event_key_map={"episode_name": "episode"})
     return image_url(r, "episode", F.floor(F.col("position") * 16)).select(
         "event_id", "session", "ts", "episode", "speaker", "character", "scene_name", "image_url"
     )

@@ -20,13 +20,14 @@ in parallel.  A stream keeps the mark and the last check in its state.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuesheet.constants import SCENE_DURATION_S
 from cuesheet.sinks.files import materialize
@@ -36,7 +37,7 @@ OUT_COLUMNS = ["session", "ts", "event_id", "episode", "position", "speaker", "c
 EMIT_SCHEMA = (
     "session long, ts timestamp, event_id long, episode string, position double, speaker string, character string, scene_id int"
 )
-STATE_SCHEMA = "mark double, character string, scene_id int, last_ts timestamp, last_id long"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BLOCK_ROWS = 1 << 16
 
 
@@ -164,58 +165,75 @@ def playback_changes(resolved: DataFrame, duration: float = SCENE_DURATION_S, bl
     return both.where(~same).select(*OUT_COLUMNS)
 
 
-def _stateful(duration: float, idle: int | None):
-    def fn(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class ChangeDetector(StatefulProcessor):
+    """Per session: the mark, the last check and the newest event seen, each a state of its own; gone when a timer finds it idle."""
+
+    def __init__(self, duration: float, idle: int | None):
+        self.duration, self.idle = duration, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", "mark double")
+        self.check = handle.getValueState("check", "character string, scene_id int")
+        self.seen = handle.getValueState("seen", "ts_us long, event_id long")
+        self.timer = handle.getValueState("timer", "at_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [f for f in rows if len(f)]
+        if not frames:
             return
-        mark, character, scene_id, last_ts, last_id = state.get if state.exists else (0.0, None, None, None, None)
-        # the best candidate of each event: lowest (priority, distance, row order)
-        best = ["cand_prio", "cand_dist", "cand_idx"]
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id", *best]).drop_duplicates(["ts", "event_id"])
-        if last_ts is not None:  # events behind what the state has seen come too late
-            seen = pd.Timestamp(last_ts)
-            rows = rows[(rows["ts"] > seen) | ((rows["ts"] == seen) & (rows["event_id"] > last_id))]
+        rows = pd.concat(frames).sort_values(["ts", "event_id"])
+        rows["us"] = rows["ts"].astype("datetime64[us]").astype("int64")
+        if self.seen.exists():  # events behind what the state has seen come too late
+            us, last = self.seen.get()
+            rows = rows[(rows["us"] > us) | ((rows["us"] == us) & (rows["event_id"] > last))]
         if rows.empty:
             return
-        hit, mark = checks(rows["position"].to_numpy(np.float64), rows["event_type"].to_numpy() == 1, mark, duration)
+        mark = self.mark.get()[0] if self.mark.exists() else 0.0
+        before = tuple(self.check.get()) if self.check.exists() else (None, None)
+        hit, mark = checks(rows["position"].to_numpy(np.float64), rows["event_type"].to_numpy() == 1, mark, self.duration)
         found = rows.loc[hit]
         pairs = [
             (None if pd.isna(c) else c, None if pd.isna(i) else int(i))
             for c, i in zip(found["character"], found["scene_id"], strict=True)
         ]
-        past = [(character, scene_id), *pairs[:-1]]
-        changed = [now != before for now, before in zip(pairs, past, strict=True)]
-        character, scene_id = pairs[-1] if pairs else (character, scene_id)
-        state.update((mark, character, scene_id, rows["ts"].iat[-1], int(rows["event_id"].iat[-1])))
-        if idle:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].iat[-1].timestamp() * 1000)) + idle * 1000)
-        yield found.loc[changed, OUT_COLUMNS]
-
-    return fn
+        changed = [now != then for now, then in zip(pairs, [before, *pairs[:-1]], strict=True)]
+        self.mark.update((float(mark),))
+        if pairs:
+            self.check.update(pairs[-1])
+        self.seen.update((int(rows["us"].iat[-1]), int(rows["event_id"].iat[-1])))
+        if self.idle:
+            if self.timer.exists():
+                self.handle.deleteTimer(self.timer.get()[0])
+            at = max(timerValues.getCurrentWatermarkInMs(), int(rows["us"].iat[-1]) // 1000) + self.idle * 1000
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+        if any(changed):
+            yield found.loc[changed, OUT_COLUMNS]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.mark, self.check, self.seen, self.timer):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def playback_stream(
-    candidates: DataFrame, duration: float = SCENE_DURATION_S, watermark: str | None = None, idle: int = 86_400
+    resolved: DataFrame, duration: float = SCENE_DURATION_S, watermark: str | None = None, idle: int = 86_400
 ) -> DataFrame:
-    """Stream form over :func:`cuesheet.operators.lookup.lookup_candidates` output.
+    """Stream form over :func:`cuesheet.operators.lookup.lookup_scenes` output (EVENT_COLUMNS).
 
-    Events of one micro-batch are sorted inside the state function; events
-    behind the newest one already processed for the session are dropped.  With
-    a ``watermark``, a session's state goes once the watermark has moved
-    ``idle`` seconds past its last event; without one it is kept.
+    Events of one micro-batch are sorted per session; events behind the newest
+    one already processed for the session are dropped.  With a ``watermark``, a
+    session's state goes once the watermark has moved ``idle`` seconds past its
+    last event; without one it is kept.  Needs the RocksDB state store, which
+    ``start_playback_stream`` sets for its query.
     """
-    d = candidates.withWatermark("ts", watermark) if watermark else candidates
-    d = d.select(
-        "session", "ts", "event_id", "episode", "position", "event_type",
-        F.col("cand.prio").alias("cand_prio"), F.col("cand.dist").alias("cand_dist"),
-        F.col("cand.a.idx").alias("cand_idx"),
-        F.col("cand.a.speaker").alias("speaker"), F.col("cand.a.character").alias("character"),
-        F.col("cand.a.scene_id").alias("scene_id"),
-    )
-    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
-    return d.groupBy("session").applyInPandasWithState(
-        _stateful(duration, idle if watermark else None), EMIT_SCHEMA, STATE_SCHEMA, "append", timeout
+    d = (resolved.withWatermark("ts", watermark) if watermark else resolved).select(*EVENT_COLUMNS)
+    return d.groupBy("session").transformWithStateInPandas(
+        ChangeDetector(duration, idle if watermark else None), EMIT_SCHEMA, "append", "eventTime" if watermark else "none"
     )
 
 
@@ -228,6 +246,7 @@ def start_playback_stream(
     sink_path: str | None = None,
     query_name: str | None = None,
     watermark: str | None = None,
+    idle: int = 86_400,
     trigger: dict | None = None,
     max_files_per_trigger: int | None = None,
 ):
@@ -238,19 +257,25 @@ def start_playback_stream(
     where the stream stopped.  The lookup index is written once and read as the
     static side of every micro-batch.
     """
-    from cuesheet.operators.lookup import build_lookup_index, lookup_candidates
+    from cuesheet.operators.lookup import build_lookup_index, lookup_scenes
 
     schema = "session long, ts timestamp, event_id long, episode string, position double, event_type int"
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(source_path)
-    index, stats = (materialize(t, "lookup") for t in build_lookup_index(viewer))
-    out = playback_stream(lookup_candidates(events, index, stats, event_key_map={"episode_name": "episode"}),
-                          watermark=watermark)
+    segments = build_lookup_index(viewer)
+    segments = replace(segments, index=materialize(segments.index, "lookup"))
+    use_state_store(spark)
+    out = playback_stream(lookup_scenes(events, segments, {"episode_name": "episode"}), watermark=watermark, idle=idle)
     w = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location).format(sink_format)
     if query_name:
         w = w.queryName(query_name)
     if trigger:
         w = w.trigger(**trigger)
     return w.start(sink_path) if sink_path else w.start()
+
+
+def use_state_store(spark) -> None:
+    """``transformWithState`` keeps its fields in RocksDB; queries started later in the session use it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

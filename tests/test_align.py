@@ -18,14 +18,14 @@ def brute_align(turns, scenes, tol=60.0):
     return out
 
 
-def _run(spark, turns, scenes, width=None):
+def _run(spark, turns, scenes, block_rows=128):
     t = spark.createDataFrame(
         [(ep, "vid", idx, spk, "x", float(start), float(start) + 1) for ep, idx, spk, start in turns],
         "episode string, youtube_id string, idx int, speaker string, text string, start double, end double")
     s = spark.createDataFrame(
         [(ep, sid, spk, "c", 1, float(st_)) for ep, sid, spk, st_ in scenes],
         "episode string, scene_id int, speaker string, character string, in_game int, start_time double")
-    got = align_scenes(t, s, keep_unaligned=True, width=width).collect()
+    got = align_scenes(t, s, keep_unaligned=True, block_rows=block_rows).collect()
     return {(r.episode_name, r.idx): r.scene_id for r in got}
 
 
@@ -52,4 +52,4 @@ def test_property(spark, seed):
     spk = ["A", "b", "B"]
     scenes = [(rnd.choice("xy"), i, rnd.choice(spk), float(rnd.randint(0, 400))) for i in range(rnd.randint(0, 25))]
     turns = [(rnd.choice("xy"), i, rnd.choice(spk).upper(), rnd.randint(0, 800) / 2) for i in range(40)]
-    assert _run(spark, turns, scenes, width=rnd.choice([None, 7.0, 60.0, 500.0])) == brute_align(turns, scenes)
+    assert _run(spark, turns, scenes, block_rows=rnd.choice([1, 2, 5, 128])) == brute_align(turns, scenes)

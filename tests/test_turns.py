@@ -36,20 +36,3 @@ def test_forward_fill_crosses_blocks(spark):
     df = spark.createDataFrame(rows, "k string, o int, v string")
     out = forward_fill(df, ["k"], "o", "v", "f", block_rows=3).orderBy("o").collect()
     assert [r.f for r in out] == ["s"] * 20
-
-
-def test_neighbour_times_across_blocks(spark):
-    import random
-
-    from cuesheet.operators.ordered import neighbour_times
-
-    rnd = random.Random(5)
-    pts = {(k, float(rnd.randint(0, 300))) for k in "ab" for _ in range(60)}
-    df = spark.createDataFrame(sorted(pts), "k string, t double")
-    for width in (1.0, 7.0, 1000.0):
-        got = {(r.k, r.t): (r.prev_t, r.next_t) for r in neighbour_times(df, ["k"], "t", width=width).collect()}
-        for k in "ab":
-            ts = sorted(t for kk, t in pts if kk == k)
-            for i, t in enumerate(ts):
-                exp = (ts[i - 1] if i else None, ts[i + 1] if i + 1 < len(ts) else None)
-                assert got[(k, t)] == exp, (k, t, width)
