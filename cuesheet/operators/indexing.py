@@ -57,3 +57,16 @@ def lag_dense(
     )
     cond = [F.col(k) == F.col(f"__k_{k}") for k in keys] + [F.col(ordinal) == F.col("__next")]
     return df.join(prev, cond, "left").drop(*[f"__k_{k}" for k in keys], "__next")
+
+
+def zip_by_position(
+    left: DataFrame, left_order: Sequence[str | Column], right: DataFrame, right_order: Sequence[str | Column], longest: bool = False
+) -> DataFrame:
+    """Rows of two tables side by side: the i-th of one with the i-th of the other, each by its own total order.
+
+    Both are numbered (``position`` from 0) and joined on the number.  Of tables
+    of unequal length the surplus is dropped, or kept beside nulls if
+    ``longest``.
+    """
+    a, b = global_ordinal(left, left_order, "position"), global_ordinal(right, right_order, "position")
+    return a.join(b, "position", "full" if longest else "inner")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.constants import BATCHES_PER_PROMPT, IMAGES_PER_PROMPT
@@ -91,3 +91,19 @@ def download_manifest(instances: DataFrame) -> DataFrame:
         F.concat_ws("/", "instance_name", "file_name").alias("target"),
         F.col("w.url").alias("url"), F.col("w.pos").alias("pos"), "n_urls",
     )
+
+
+def unnest_urls(config: DataFrame) -> DataFrame:
+    """Config rows with a list ``instance_urls`` -> a row per URL with its place ``pos`` in the list (from 0).
+
+    An instance whose list is kept in several rows has their number in
+    ``part``; its parts count on.  Null and empty lists, and null URLs, give
+    no row.
+    """
+    if "part" in config.columns:
+        before = Window.partitionBy("instance_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        config = config.withColumn("__first", F.coalesce(F.sum(F.size("instance_urls")).over(before), F.lit(0)))
+    else:
+        config = config.withColumn("__first", F.lit(0))
+    urls = config.select("instance_name", "__first", F.posexplode("instance_urls").alias("i", "url"))
+    return urls.where(F.col("url").isNotNull()).select("instance_name", "url", (F.col("__first") + F.col("i")).cast("long").alias("pos"))

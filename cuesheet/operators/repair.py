@@ -1,14 +1,14 @@
 """Extractor responses -> validated scene rows, rejects and dead letters.
 
-* ``repair_text``: rule-based response repair as one native expression
+* ``repair_frame``: rule-based response repair as staged projections
   (three regex rewrites, fence removal, removal of a ``...`` next-to-last line).
 * ``resolve_responses``: staged retry rounds.  Round 0 parses every response;
   each later round only touches responses that still fail, applies the repair
-  (a Column function, or a pandas callable run through ``mapInPandas`` for an
-  external service), and re-parses.  Every round is checkpointed to the
-  shared checkpoint folder, so a task retry never repeats a paid call, and a
-  deterministic repair that no longer changes the text ends the retries for
-  that row.
+  (a Column function, or a pandas callable for an external service), and
+  re-parses.  Every round is written to the shared checkpoint folder.  Calls of
+  an external service go through a ledger that outlives the application, so
+  none is ever repeated; a deterministic repair that no longer changes the
+  text ends the retries for that row.
 * ``scene_rows``: explode parsed scenes, repair keys, validate types.
 """
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from cuesheet.constants import ENVIRONMENT, MAX_RETRIES, SCENE_FIELDS
 from cuesheet.functions.text import py_strip
-from cuesheet.session import checkpoint_dir
+from cuesheet.operators.extract import ResponseLedger
+from cuesheet.sinks.files import materialize
 
 RESPONSE_SCHEMA = "struct<scenes: array<map<string, variant>>>"
 JSON_OPTIONS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
@@ -68,25 +69,6 @@ def repair_frame(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     return cur.withColumn(out_col, F.col("__r_out")).drop(*[n for n, _ in stages])
 
 
-def repair_text(c: Column) -> Column:
-    """Rule-based repair of a model response as one expression (Python ``.``
-    semantics via ``(?d)``): three regex rewrites, drop a leading ```json and a
-    trailing ``` line, drop a next-to-last line that strips to ``...``.
-    Prefer :func:`repair_frame` on large inputs (no repeated sub-expressions)."""
-    a = F.regexp_replace(c, r'(?d)\n([a-z_]+)"?:', '\n\t"$1":')
-    b = F.regexp_replace(a, '\n"', '"')
-    d = F.regexp_replace(b, r'(?d)("scene_description": ".+)"(.+)"(.+"\n)', "$1'$2'$3")
-    lines = F.split(d, "\n", -1)
-    n = F.size(lines)
-    lo = F.when(d.startswith("```json"), F.lit(1)).otherwise(F.lit(0))
-    hi = F.when(d.endswith("```"), n - 1).otherwise(n)
-    kept = F.filter(lines, lambda x, i: (i >= lo) & (i < hi))
-    m = F.size(kept)
-    dots = F.when(m >= 2, py_strip(F.try_element_at(kept, m - 1)) == "...").otherwise(F.lit(False))
-    final = F.when(dots, F.filter(kept, lambda x, i: i != m - 2)).otherwise(kept)
-    return F.array_join(final, "\n")
-
-
 def parse_response(c: Column) -> Column:
     return F.from_json(c, RESPONSE_SCHEMA, JSON_OPTIONS)
 
@@ -99,16 +81,10 @@ def _status(parsed: Column) -> Column:
     )
 
 
-def _materialize(df: DataFrame, reliable: bool) -> DataFrame:
-    """Cut the round's lineage: a reliable checkpoint in the shared checkpoint
-    folder when rows carry paid external results, else a cache (a lost cache is
-    recomputed deterministically)."""
-    if reliable:
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    out = df.persist()
-    out.count()
-    return out
+def _parsed(df: DataFrame) -> DataFrame:
+    """``df`` with status and parsed, written so that later rounds and the result read it and don't make it again."""
+    out = materialize(df.withColumn("status", _status(parse_response(F.col("text")))), "responses")
+    return out.withColumn("parsed", F.when(F.col("status") != "error", parse_response(F.col("text"))))
 
 
 def resolve_responses(
@@ -116,8 +92,9 @@ def resolve_responses(
     repair: Callable[[Column], Column] | Callable[[pd.Series], pd.Series] | None = None,
     max_retries: int = MAX_RETRIES,
     external: bool = False,
-    max_concurrency: int | None = None,
+    max_concurrency: int = 1,
     interval_s: float = 0.0,
+    ledger: ResponseLedger | None = None,
 ) -> DataFrame:
     """Parse responses with bounded repair rounds.
 
@@ -129,34 +106,22 @@ def resolve_responses(
     deterministic repair that leaves a text unchanged cannot make progress, so
     that row is dead at once.  ``repair`` defaults to the rule-based repair;
     ``external=True`` treats it as a pandas Series -> Series callable (e.g. a
-    model call) run once per row and round, with every round checkpointed;
+    model call) run once per row and round through ``ledger``, which it needs:
+    a run that starts again repeats no call, and dead rows are kept there, too.
     ``max_concurrency`` bounds the parallel calls (partitions) and
     ``interval_s`` pauses between calls inside a task.
     """
+    if external and ledger is None:
+        raise ValueError("external repairs are paid for: name a ledger")
     base = [c for c in responses.columns if c not in ("text", "attempt")]
     cur = responses.select(*base, "text", F.lit(0).alias("attempt"))
-    cur = cur.withColumn("parsed", parse_response(F.col("text")))
-    cur = _materialize(cur.withColumn("status", _status(F.col("parsed"))), external)
-    held = [cur]
+    cur = _parsed(cur)
     finished = [cur.where(F.col("status") != "error")]
     pending = cur.where(F.col("status") == "error")
     for k in range(1, max_retries):
         if external:
-            from cuesheet.operators.extract import rate_limited
-
-            fn = rate_limited(repair, interval_s) if interval_s > 0 else repair
-            schema = pending.select(*base, "text", "attempt").schema
-
-            def run(it, fn=fn):
-                for pdf in it:
-                    pdf = pdf.copy()
-                    pdf["text"] = fn(pdf["text"])
-                    yield pdf
-
-            src = pending.select(*base, "text", "attempt")
-            if max_concurrency:
-                src = src.repartition(max_concurrency)
-            rep = src.mapInPandas(run, schema)
+            asked = pending.select(*base, F.lit(k).alias("attempt"), F.col("text").alias("prompt"))
+            rep = ledger.call(asked, repair, max_concurrency, interval_s).select(*base, "text", "attempt")
             rep = rep.withColumn("changed", F.lit(True))
         elif repair is None:
             rep = repair_frame(pending.select(*base, "text", "attempt"), "text", "__new")
@@ -170,13 +135,13 @@ def resolve_responses(
             stuck.withColumn("parsed", F.lit(None).cast(RESPONSE_SCHEMA)).withColumn("status", F.lit("dead"))
         )
         moved = rep.where(F.col("changed")).select(*base, "text", F.lit(k).alias("attempt"))
-        moved = moved.withColumn("parsed", parse_response(F.col("text")))
-        moved = _materialize(moved.withColumn("status", _status(F.col("parsed"))), external)
-        held.append(moved)
+        moved = _parsed(moved)
         finished.append(moved.where(F.col("status") != "error"))
         pending = moved.where(F.col("status") == "error")
         if pending.isEmpty():
             break
+    if external:
+        ledger.bury(pending)
     finished.append(pending.withColumn("status", F.lit("dead")))
     out = finished[0]
     for f in finished[1:]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.constants import SPEAKER_MAP, TRANSCRIPT_LANGUAGES
@@ -20,13 +20,23 @@ def video_id_map(viewer: DataFrame, order_col: str = "idx") -> DataFrame:
     )
 
 
+def distinct_in_order(rows: DataFrame, value: str, order: str | Column, more: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct values, numbered from 0 (``position``) by where each first appears in ``order``; nulls are one value.
+
+    One row a value leaves the tasks that read the rows; only these few are
+    ranked.  ``more`` names further aggregates.
+    """
+    order = F.col(order) if isinstance(order, str) else order
+    first = rows.groupBy(value).agg(F.min(order).alias("__first"), *(c.alias(n) for n, c in (more or {}).items()))
+    return global_ordinal(first, ["__first", value], out_col="position").drop("__first")
+
+
 def episode_list(viewer: DataFrame, order_col: str = "idx") -> DataFrame:
-    """Distinct episodes in first-appearance order with their dropdown label and
-    video id.  The viewer table is ordered by episode then caption order."""
-    first = viewer.groupBy("episode_name").agg(
-        F.min_by("youtube_id", F.when(F.col("youtube_id").isNotNull(), F.col(order_col))).alias("youtube_id"),
-    )
-    ranked = global_ordinal(first, ["episode_name"], out_col="position", start=0)
+    """Distinct episodes in the order in which they first appear by ``order_col`` (a total order of the viewer's rows), with
+    their dropdown label and first video id."""
+    order = F.col(order_col)
+    video = F.min_by("youtube_id", F.when(F.col("youtube_id").isNotNull(), order))
+    ranked = distinct_in_order(viewer, "episode_name", order, {"youtube_id": video})
     return ranked.select(
         "episode_name",
         F.col("position").cast("int").alias("position"),
@@ -84,9 +94,12 @@ def episode_limit(files: DataFrame, done: DataFrame, n_episodes: int | None) ->
 
     ``files``: stem; ``done``: stem.
     """
-    ranked = global_ordinal(files.select("stem").distinct(), ["stem"], out_col="ordinal", start=1)
-    if n_episodes is not None:
-        ranked = ranked.where(F.col("ordinal") <= n_episodes)
+    stems = files.select("stem").distinct()
+    if n_episodes is None:
+        ranked = global_ordinal(stems, ["stem"], out_col="ordinal", start=1)
+    else:
+        # the first n of each task are all that is compared; n rows are numbered
+        ranked = stems.orderBy("stem").limit(n_episodes).withColumn("ordinal", F.row_number().over(Window.orderBy("stem")).cast("long"))
     return ranked.join(done.select("stem").distinct(), "stem", "left_anti")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.operators.indexing import global_ordinal
@@ -120,6 +120,20 @@ def global_index(images: DataFrame, repeats: int = 1) -> DataFrame:
     return g.join(first, "instance").withColumn("local_idx", F.col("global_idx") - F.col("__g0")).drop("__g0")
 
 
+def class_of(examples: DataFrame, class_images: DataFrame, class_num: int) -> DataFrame:
+    """``examples`` (instance, local_idx) with the ``class_id`` at ``local_idx`` modulo the number of class images.
+
+    The first ``class_num`` class images (instance, id) of an instance count, so
+    an instance has that many rows at most in the join; null without any.
+    """
+    rank = F.row_number().over(Window.partitionBy("instance").orderBy("id"))
+    first = class_images.select("instance", "id", rank.alias("__r")).where(F.col("__r") <= class_num)
+    first = first.groupBy("instance").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    found = examples.join(first, "instance", "left")
+    at = F.when(F.size("ids") > 0, F.get("ids", (F.col("local_idx") % F.size("ids")).cast("int")))
+    return found.withColumn("class_id", at).drop("ids")
+
+
 def validation_prompts(config: DataFrame) -> DataFrame:
     """Flatten (validation prompt, class prompt) pairs in config order, nulls dropped."""
     ex = config.select("instance_name", F.posexplode(F.array("validation_prompt", "class_prompt")).alias("j", "prompt"))
@@ -141,18 +155,32 @@ def topup_rows(config: DataFrame, class_counts: DataFrame, target: int) -> DataF
 
 def train_batches(examples: DataFrame, batch_size: int, seed: int, prior: bool = True) -> DataFrame:
     """Deterministic shuffle (md5 of seed and global index) then fixed-size
-    batches (last partial batch kept).  With prior preservation the class
-    prompts follow the instance prompts inside each batch."""
+    batches (last partial batch kept).
+
+    ``examples``: global_idx, prompt, class_prompt, original_size (h, w),
+    crop_top_left (y, x), class_id.  A batch holds ``prompts``, and beside the
+    instance images ``original_sizes`` and ``crop_top_lefts``, as arrays in the
+    order of its examples.  With prior preservation the class prompts follow
+    the instance prompts, and ``class_ids`` names their images; an example
+    without a class image adds neither.
+    """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("global_idx").cast("string")))
-    s = global_ordinal(examples.withColumn("__key", key), ["__key"], out_col="rn")
+    fields = ["prompt", "class_prompt", "original_size", "crop_top_left", "class_id"]
+    s = global_ordinal(examples.select("global_idx", *fields).withColumn("__key", key), ["__key"], out_col="rn")
     s = s.withColumn("batch_id", F.floor(F.col("rn") / batch_size))
-    agg = s.groupBy("batch_id").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "prompt", "class_prompt"))).alias("items")
-    )
-    prompts = F.transform("items", lambda x: x["prompt"])
+    agg = s.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("rn", *fields))).alias("items"))
+    prompts, paired = F.col("items.prompt"), F.filter("items", lambda x: x["class_id"].isNotNull())
     if prior:
-        prompts = F.concat(prompts, F.filter(F.transform("items", lambda x: x["class_prompt"]), lambda p: p.isNotNull()))
-    return agg.select("batch_id", F.size("items").alias("n_examples"), F.array_join(prompts, " | ").alias("prompts"))
+        prompts = F.concat(prompts, F.transform(paired, lambda x: x["class_prompt"]))
+    ids = F.transform(paired, lambda x: x["class_id"]) if prior else F.array().cast("array<long>")
+    return agg.select(
+        "batch_id",
+        F.size("items").alias("n_examples"),
+        prompts.alias("prompts"),
+        F.col("items.original_size").alias("original_sizes"),
+        F.col("items.crop_top_left").alias("crop_top_lefts"),
+        ids.alias("class_ids"),
+    )
 
 
 def epoch_plan(n_batches: DataFrame, accum: int, epochs: int, max_steps: int | None, batch_size: int,
@@ -169,27 +197,41 @@ def epoch_plan(n_batches: DataFrame, accum: int, epochs: int, max_steps: int | N
     )
 
 
-def crop_geometry(images: DataFrame, resolution: int) -> DataFrame:
-    """Resize the shorter side to ``resolution`` (longer side truncated), then the
-    centre-crop offset (round half to even, never negative), a seeded random
-    crop offset and a seeded flip; all as plain arithmetic on the image table."""
+def draw(seed: int, key: Column, number: int) -> Column:
+    """The ``number``-th random number in [0, 1) of a row: 52 bits of a hash of (seed, key, number).
+
+    It hangs on nothing else, so it is the same in every run, partition and retry.
+    """
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(str(number)))), 1, 13), 16, 10)
+    return bits.cast("double") / F.lit(float(1 << 52))
+
+
+def crop_geometry(images: DataFrame, resolution: int, center_crop: bool = False, random_flip: bool = False, seed: int = 42) -> DataFrame:
+    """Resize the shorter side to ``resolution`` (longer side truncated), then crop a square of it.
+
+    ``center_crop`` takes the middle (offset rounded half to even, never
+    negative); otherwise the offset is drawn evenly from all places.  With
+    ``random_flip`` every second image on average is flipped.  Draws are those
+    of ``draw`` by ``id``.
+    """
     h, w, res = F.col("height"), F.col("width"), F.lit(resolution)
     new_w = F.when(w <= h, res).otherwise(F.floor(res * w / h)).cast("int")
     new_h = F.when(w <= h, F.floor(res * h / w)).otherwise(res).cast("int")
     d = images.select("id", h.alias("orig_h"), w.alias("orig_w"), new_h.alias("new_h"), new_w.alias("new_w"))
-    cy = F.greatest(F.lit(0), F.bround((F.col("new_h") - res) / 2.0).cast("int"))
-    cx = F.greatest(F.lit(0), F.bround((F.col("new_w") - res) / 2.0).cast("int"))
-    ry = F.pmod(F.col("id") * 7919, F.col("new_h") - res + 1).cast("int")
-    rx = F.pmod(F.col("id") * 104729, F.col("new_w") - res + 1).cast("int")
-    flip = (F.pmod(F.col("id") * 31 + 7, F.lit(2)) == 0)
-    return d.select("*", cy.alias("center_y"), cx.alias("center_x"), ry.alias("rand_y"), rx.alias("rand_x"),
-                    flip.alias("flip"))
+
+    def offset(side: str, number: int) -> Column:
+        room = F.col(side) - res
+        if center_crop:
+            return F.greatest(F.lit(0), F.bround(room / 2.0).cast("int"))
+        return F.floor(draw(seed, F.col("id"), number) * (room + 1)).cast("int")
+
+    flip = draw(seed, F.col("id"), 0) < 0.5 if random_flip else F.lit(False)
+    return d.select("*", offset("new_h", 1).alias("crop_y"), offset("new_w", 2).alias("crop_x"), flip.alias("flip"))
 
 
 def time_ids(geometry: DataFrame, resolution: int) -> DataFrame:
-    """``[h, w] + [y, x] + [res, res]`` per image (centre crop)."""
-    return geometry.select("id", F.array("orig_h", "orig_w", "center_y", "center_x", F.lit(resolution),
-                                         F.lit(resolution)).alias("time_ids"))
+    """``[h, w] + [y, x] + [res, res]`` per image."""
+    return geometry.select("id", F.array("orig_h", "orig_w", "crop_y", "crop_x", F.lit(resolution), F.lit(resolution)).alias("time_ids"))
 
 
 def scale_vectors(vectors: DataFrame) -> DataFrame:

@@ -299,10 +299,10 @@ def _scene_rows(spark, sf_dir):
 
 @register("response_repair", _v(f"SELECT episode, batch, {r1_sql('text')} AS text FROM responses_v", "responses_v"))
 def q_response_repair(spark, sf_dir):
-    from cuesheet.operators.repair import repair_text
+    from cuesheet.operators.repair import repair_frame
 
     r = _responses(spark, sf_dir)
-    return r.select("episode", "batch", repair_text(r["text"]).alias("text"))
+    return repair_frame(r.select("episode", "batch", "text"), "text", "text")
 
 
 @register("response_stats", _v("""
@@ -458,7 +458,7 @@ def q_caption_scan(spark, sf_dir):
 
     path = scratch_path(spark, "captions")
     write_caption_files(captions_view(spark, sf_dir), path)
-    return read_caption_files(spark, path, glob="*")
+    return read_caption_files(spark, path)
 
 
 @register("scene_scan", _v("""
@@ -472,7 +472,7 @@ def q_scene_scan(spark, sf_dir):
 
     path = scratch_path(spark, "scenes")
     write_scene_files(_scenes_with_ids(spark, sf_dir), path)
-    return read_scene_files(spark, path, glob="*")
+    return read_scene_files(spark, path)
 
 
 @register("scene_flatten", _v("""
@@ -516,7 +516,7 @@ def q_viewer_load(spark, sf_dir):
 
     path = scratch_path(spark, "aligned")
     export_aligned(_aligned(spark, sf_dir), path)
-    return read_viewer_csv(spark, f"{path}/all")
+    return read_viewer_csv(spark, f"{path}/by_episode")
 
 
 @register("video_id_map", _v("""
@@ -530,14 +530,19 @@ def q_video_id_map(spark, sf_dir):
 
 
 @register("episode_list", _v("""
-    SELECT episode_name, CAST(row_number() OVER (ORDER BY episode_name) - 1 AS INTEGER) AS position,
+    SELECT episode_name, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS position,
            'Campaign 2 Episode ' || split_part(episode_name, 'e', 2) AS label, youtube_id
-    FROM (SELECT episode_name, arg_min(youtube_id, idx) AS youtube_id FROM aligned_o GROUP BY episode_name)
+    FROM (SELECT episode_name, min(place) AS first, arg_min(youtube_id, place) AS youtube_id
+          FROM (SELECT *, md5(episode_name || ':' || CAST(idx AS VARCHAR)) AS place FROM aligned_o) GROUP BY episode_name)
 """, "captions_v", "scenes_v", extra=[TURNS_CTE, ALIGNED_CTE]))
 def q_episode_list(spark, sf_dir):
+    """The viewer's rows in an order in which episodes don't ascend by name."""
+    from pyspark.sql import functions as F
+
     from cuesheet.operators.scenes import episode_list
 
-    return episode_list(_aligned(spark, sf_dir))
+    place = F.md5(F.concat_ws(":", "episode_name", F.col("idx").cast("string")))
+    return episode_list(_aligned(spark, sf_dir).withColumn("place", place), "place")
 
 
 @register("scene_bounds", _v("""
@@ -598,17 +603,19 @@ def q_resume_scenes(spark, sf_dir):
     return resume_anti(s, s.where(F.col("scene_id") % 3 == 0), ["episode", "scene_id"])
 
 
-PAIR_SCENES_SQL = """
-    SELECT episode || '_vid' || CAST(conv_id AS VARCHAR) AS stem, count(*) AS n_scenes
-    FROM scenes_k WHERE conv_id % 4 <> 1 GROUP BY 1
+PAIR_SCENES_SQL = f"""
+    SELECT episode || '_vid' || CAST(CAST(substr(episode, 4) AS BIGINT) AS VARCHAR) AS stem, count(*) AS n_scenes
+    FROM ({QUERIES["scene_validate"][1]}) GROUP BY 1
 """
 
 
 def _pair_inputs(spark, sf_dir):
+    """All captions, and the scenes that passed validation: episodes without any are the gaps."""
     from pyspark.sql import functions as F
 
-    s = _scenes_with_ids(spark, sf_dir).where(F.col("conv_id") % 4 != 1)
-    return _caption_stems(spark, sf_dir), s.select(F.concat_ws("_", "episode", "youtube_id").alias("stem"))
+    s = QUERIES["scene_validate"][0](spark, sf_dir).select("episode")
+    number = F.substring("episode", 4, 20).cast("long").cast("string")
+    return _caption_stems(spark, sf_dir), s.select(F.concat(F.col("episode"), F.lit("_vid"), number).alias("stem"))
 
 
 @register("episode_pairing", _v(f"""
@@ -964,17 +971,39 @@ def q_content_name(spark, sf_dir):
     return content_names(im, existing)
 
 
-@register("download_manifest", _v("""
+INSTANCE_URLS_SQL = """
+    SELECT instance_name, url, row_number() OVER (PARTITION BY instance_name ORDER BY pos) - 1 AS pos FROM instances_v
+"""
+
+
+def _nested_config(spark, sf_dir):
+    """Config rows with lists of URLs, a hundred at most in a row."""
+    from pyspark.sql import functions as F
+
+    from cuesheet.sources.fixtures import instances_view
+
+    d = instances_view(spark, sf_dir).withColumn("part", F.floor(F.col("pos") / 1100))
+    lists = F.array_sort(F.collect_list(F.struct("pos", "url")))
+    return d.groupBy("instance_name", "part").agg(lists.alias("l")).select("instance_name", "part", F.col("l.url").alias("instance_urls"))
+
+
+@register("instance_urls", _v(INSTANCE_URLS_SQL, "instances_v"))
+def q_instance_urls(spark, sf_dir):
+    from cuesheet.operators.manifest import unnest_urls
+
+    return unnest_urls(_nested_config(spark, sf_dir))
+
+
+@register("download_manifest", _v(f"""
     SELECT instance_name, file_name, instance_name || '/' || file_name AS target,
            arg_max(url, pos) AS url, max(pos) AS pos, count(*) AS n_urls
-    FROM (SELECT *, string_split(url, '/')[-1] AS file_name FROM instances_v)
+    FROM (SELECT *, string_split(url, '/')[-1] AS file_name FROM ({INSTANCE_URLS_SQL}))
     GROUP BY instance_name, file_name
 """, "instances_v"))
 def q_download_manifest(spark, sf_dir):
-    from cuesheet.operators.manifest import download_manifest
-    from cuesheet.sources.fixtures import instances_view
+    from cuesheet.operators.manifest import download_manifest, unnest_urls
 
-    return download_manifest(instances_view(spark, sf_dir))
+    return download_manifest(unnest_urls(_nested_config(spark, sf_dir)))
 
 
 # --------------------------------------------------------------------------
@@ -1179,17 +1208,20 @@ def q_instance_counts(spark, sf_dir):
                     F.greatest(n, F.coalesce("n_class_images", F.lit(0))).alias("n_examples_max"))
 
 
+CLASS_IMAGES_CTE = ("ci_o", """
+    SELECT i.instance, i.id AS class_id, row_number() OVER (PARTITION BY i.instance ORDER BY i.id) - 1 AS class_idx
+    FROM images_v i JOIN instcfg_v c ON c.instance_name = i.instance AND c.class_data_root IS NOT NULL
+    WHERE i.width < 600
+""")
+
+
 @register("class_pairing", _v("""
     SELECT ii.instance, ii.id, ii.inst_idx, coalesce(nc.n_class, 0) AS n_class, ci.class_id
     FROM (SELECT instance, id, row_number() OVER (PARTITION BY instance ORDER BY id) - 1 AS inst_idx
           FROM images_v WHERE width >= 600) ii
     LEFT JOIN (SELECT instance, least(count(*), 10) AS n_class FROM ci_o GROUP BY 1) nc ON nc.instance = ii.instance
     LEFT JOIN ci_o ci ON ci.instance = ii.instance AND ci.class_idx = ii.inst_idx % nc.n_class
-""", "images_v", "instcfg_v", extra=[("ci_o", """
-    SELECT i.instance, i.id AS class_id, row_number() OVER (PARTITION BY i.instance ORDER BY i.id) - 1 AS class_idx
-    FROM images_v i JOIN instcfg_v c ON c.instance_name = i.instance AND c.class_data_root IS NOT NULL
-    WHERE i.width < 600
-""")]))
+""", "images_v", "instcfg_v", extra=[CLASS_IMAGES_CTE]))
 def q_class_pairing(spark, sf_dir):
     from cuesheet.operators.trainprep import class_pairing
 
@@ -1239,15 +1271,23 @@ def q_global_index(spark, sf_dir):
 
 
 @register("prompt_dir_zip", _v("""
-    SELECT instance_name, class_prompt, class_data_root AS class_dir FROM instcfg_v WHERE class_data_root IS NOT NULL
-""", "instcfg_v"))
+    SELECT p.position, p.id, p.instance, d.page_id, d.class_dir
+    FROM (SELECT id, instance, row_number() OVER (ORDER BY height DESC, id) - 1 AS position FROM images_v) p
+    JOIN (SELECT page_id, string_split(url, '/')[-1] AS class_dir, row_number() OVER (ORDER BY md5(url), page_id) - 1 AS position FROM pages) d
+      ON d.position = p.position
+    WHERE d.class_dir <> ''
+""", "images_v"))
 def q_prompt_dir_zip(spark, sf_dir):
+    """Prompts and folders are two lists of different length and order; a missing folder skips its pair."""
     from pyspark.sql import functions as F
 
-    cfg = _cfg(spark, sf_dir)
-    z = cfg.select("instance_name", F.inline(F.arrays_zip(F.array("class_prompt"), F.array("class_data_root"))))
-    z = z.toDF("instance_name", "class_prompt", "class_dir")
-    return z.where(F.col("class_dir").isNotNull())
+    from cuesheet.operators.indexing import zip_by_position
+    from cuesheet.sources.tables import read_table
+
+    prompts = _images(spark, sf_dir).select("id", "instance", "height")
+    dirs = read_table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", "/", -1).alias("class_dir"), F.md5("url").alias("k"))
+    z = zip_by_position(prompts, [F.desc("height"), "id"], dirs, ["k", "page_id"])
+    return z.where(F.col("class_dir") != "").select("position", "id", "instance", "page_id", "class_dir")
 
 
 @register("validation_prompts", _v("""
@@ -1287,35 +1327,67 @@ def q_topup_rows(spark, sf_dir):
     return topup_rows(_cfg(spark, sf_dir), counts, 200)
 
 
+def _draw_sql(number: int) -> str:
+    return f"CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR) || ':{number}'), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+def _crop_sql(center: bool) -> str:
+    y, x = (
+        [f"greatest(0, CAST(round_even((new_{s} - 256) / 2.0, 0) AS INTEGER))" for s in "hw"]
+        if center
+        else [f"CAST(floor({_draw_sql(n)} * (new_{s} - 256 + 1)) AS INTEGER)" for n, s in ((1, "h"), (2, "w"))]
+    )
+    flip = "false" if center else f"{_draw_sql(0)} < 0.5"
+    return f"""
+    SELECT *, {y} AS crop_y, {x} AS crop_x, {flip} AS flip
+    FROM (SELECT id, height AS orig_h, width AS orig_w,
+                 CAST(CASE WHEN width <= height THEN floor(256 * height / width) ELSE 256 END AS INTEGER) AS new_h,
+                 CAST(CASE WHEN width <= height THEN 256 ELSE floor(256 * width / height) END AS INTEGER) AS new_w
+          FROM images_v)
+"""
+
+
 TRAIN_BATCHES_SQL = f"""
     SELECT CAST(floor(rn / 4) AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS n_examples,
-           array_to_string(list_concat(list(prompt ORDER BY rn),
-               coalesce(list(class_prompt ORDER BY rn) FILTER (WHERE class_prompt IS NOT NULL), [])), ' | ') AS prompts
+           list_concat(list(prompt ORDER BY rn), coalesce(list(class_prompt ORDER BY rn) FILTER (WHERE class_id IS NOT NULL), [])) AS prompts,
+           list(orig_h ORDER BY rn) AS original_h, list(orig_w ORDER BY rn) AS original_w,
+           list(crop_y ORDER BY rn) AS crop_y, list(crop_x ORDER BY rn) AS crop_x,
+           coalesce(list(class_id ORDER BY rn) FILTER (WHERE class_id IS NOT NULL), []) AS class_ids
     FROM (SELECT g.*, coalesce(nullif({CAPTION_RULE_SQL.replace('content', 'i.content').replace('id %', 'g.id %')}, ''), c.instance_prompt) AS prompt,
-                 c.class_prompt, row_number() OVER (ORDER BY md5('42:' || CAST(g.global_idx AS VARCHAR))) - 1 AS rn
+                 c.class_prompt, k.orig_h, k.orig_w, k.crop_y, k.crop_x, ci.class_id,
+                 row_number() OVER (ORDER BY md5('42:' || CAST(g.global_idx AS VARCHAR))) - 1 AS rn
           FROM ({GLOBAL_INDEX_SQL}) g JOIN images_v i ON i.id = g.id
-          LEFT JOIN instcfg_v c ON c.instance_name = g.instance)
+          JOIN ({_crop_sql(center=False)}) k ON k.id = g.id
+          LEFT JOIN instcfg_v c ON c.instance_name = g.instance
+          LEFT JOIN (SELECT instance, least(count(*), 10) AS n_class FROM ci_o GROUP BY 1) nc ON nc.instance = g.instance
+          LEFT JOIN ci_o ci ON ci.instance = g.instance AND ci.class_idx = g.local_idx % nc.n_class)
     GROUP BY 1
 """
 
 
 def _train_batches(spark, sf_dir):
-    from cuesheet.operators.trainprep import global_index, train_batches
+    from pyspark.sql import functions as F
+
+    from cuesheet.operators.trainprep import class_of, crop_geometry, global_index, train_batches
 
     im = _inst_images(spark, sf_dir)
     g = global_index(im, repeats=2)
+    crops = crop_geometry(im, 256, random_flip=True).select(
+        "id", F.struct(F.col("orig_h").alias("h"), F.col("orig_w").alias("w")).alias("original_size"),
+        F.struct(F.col("crop_y").alias("y"), F.col("crop_x").alias("x")).alias("crop_top_left"),
+    )
     cap = im.select("id", _caption_rule().alias("caption"))
     cfg = _cfg(spark, sf_dir).select("instance_name", "instance_prompt", "class_prompt")
-    from pyspark.sql import functions as F
-
-    ex = g.join(cap, "id").join(cfg, g["instance"] == cfg["instance_name"], "left").withColumn(
+    ex = g.join(cap, "id").join(crops, "id").join(cfg, g["instance"] == cfg["instance_name"], "left").withColumn(
         "prompt", F.coalesce(F.nullif(F.col("caption"), F.lit("")), F.col("instance_prompt")))
-    return train_batches(ex, batch_size=4, seed=42, prior=True)
+    return train_batches(class_of(ex, _class_images(spark, sf_dir), 10), batch_size=4, seed=42, prior=True)
 
 
-@register("train_batches", _v(TRAIN_BATCHES_SQL, "images_v", "instcfg_v"))
+@register("train_batches", _v(TRAIN_BATCHES_SQL, "images_v", "instcfg_v", extra=[CLASS_IMAGES_CTE]))
 def q_train_batches(spark, sf_dir):
-    return _train_batches(spark, sf_dir)
+    b = _train_batches(spark, sf_dir)
+    return b.selectExpr("batch_id", "n_examples", "prompts", "original_sizes.h AS original_h", "original_sizes.w AS original_w",
+                        "crop_top_lefts.y AS crop_y", "crop_top_lefts.x AS crop_x", "class_ids")
 
 
 @register("epoch_plan", _v(f"""
@@ -1324,7 +1396,7 @@ def q_train_batches(spark, sf_dir):
            CAST(ceil(ceil(n_batches / 2) * 3 / ceil(n_batches / 2)) AS BIGINT) AS num_epochs,
            8 AS total_batch_size
     FROM (SELECT count(*) AS n_batches FROM ({TRAIN_BATCHES_SQL}))
-""", "images_v", "instcfg_v"))
+""", "images_v", "instcfg_v", extra=[CLASS_IMAGES_CTE]))
 def q_epoch_plan(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -1334,32 +1406,26 @@ def q_epoch_plan(spark, sf_dir):
     return epoch_plan(n, accum=2, epochs=3, max_steps=None, batch_size=4)
 
 
-CROP_SQL = """
-    SELECT id, orig_h, orig_w, new_h, new_w,
-           greatest(0, CAST(round_even((new_h - 256) / 2.0, 0) AS INTEGER)) AS center_y,
-           greatest(0, CAST(round_even((new_w - 256) / 2.0, 0) AS INTEGER)) AS center_x,
-           CAST((id * 7919) % (new_h - 256 + 1) AS INTEGER) AS rand_y,
-           CAST((id * 104729) % (new_w - 256 + 1) AS INTEGER) AS rand_x,
-           (id * 31 + 7) % 2 = 0 AS flip
-    FROM (SELECT id, height AS orig_h, width AS orig_w,
-                 CASE WHEN width <= height THEN CAST(floor(256 * height / width) AS INTEGER) ELSE 256 END AS new_h,
-                 CASE WHEN width <= height THEN 256 ELSE CAST(floor(256 * width / height) AS INTEGER) END AS new_w
-          FROM images_v)
-"""
+@register("crop_geometry", _v(_crop_sql(center=False), "images_v"))
+def q_crop_geometry(spark, sf_dir):
+    """Random crops and flips."""
+    from cuesheet.operators.trainprep import crop_geometry
 
+    return crop_geometry(_images(spark, sf_dir), 256, random_flip=True)
 
-@register("crop_geometry", _v(CROP_SQL, "images_v"))
-def q_crop_geometry(spark, sf_dir):
+
+@register("crop_geometry_center", _v(_crop_sql(center=True), "images_v"))
+def q_crop_geometry_center(spark, sf_dir):
     from cuesheet.operators.trainprep import crop_geometry
 
-    return crop_geometry(_images(spark, sf_dir), 256)
+    return crop_geometry(_images(spark, sf_dir), 256, center_crop=True)
 
 
-@register("time_ids", _v(f"SELECT id, [orig_h, orig_w, center_y, center_x, 256, 256] AS time_ids FROM ({CROP_SQL})", "images_v"))
+@register("time_ids", _v(f"SELECT id, [orig_h, orig_w, crop_y, crop_x, 256, 256] AS time_ids FROM ({_crop_sql(center=True)})", "images_v"))
 def q_time_ids(spark, sf_dir):
     from cuesheet.operators.trainprep import crop_geometry, time_ids
 
-    return time_ids(crop_geometry(_images(spark, sf_dir), 256), 256)
+    return time_ids(crop_geometry(_images(spark, sf_dir), 256, center_crop=True), 256)
 
 
 @register("scale_vectors", _v("SELECT id, list_transform(v, lambda x: (CAST(x AS DOUBLE) - 0.5) / 0.5) AS scaled FROM vectors_v", "vectors_v"))

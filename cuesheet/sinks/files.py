@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.session import checkpoint_dir
+from cuesheet.sinks.named import write_named
 from cuesheet.sources.files import CSV_OPTIONS
 
 
@@ -17,7 +18,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_caption_files(captions: DataFrame, path: str) -> None:
-    """One JSON array per episode under ``stem=<episode>_<youtube_id>/``.
+    """One JSON array per episode, the file ``<episode>_<youtube_id>.json``.
 
     ``captions``: episode, youtube_id, idx, text, start, duration.  An episode
     transcript is one file by format, so its captions are gathered per episode.
@@ -30,12 +31,11 @@ def write_caption_files(captions: DataFrame, path: str) -> None:
             )
         ).alias("value")
     )
-    out = per.select(F.concat_ws("_", "episode", "youtube_id").alias("stem"), "value")
-    out.repartition("stem").write.mode("overwrite").partitionBy("stem").text(path)
+    write_named(per.select(F.concat(F.concat_ws("_", "episode", "youtube_id"), F.lit(".json")).alias("name"), F.col("value").alias("text")), path)
 
 
 def write_scene_files(scenes: DataFrame, path: str) -> None:
-    """One ``{name, scenes}`` JSON document per episode (scene order by scene_id).
+    """One ``{name, scenes}`` JSON document per episode (scene order by scene_id), the file ``<name>_scenes.json``.
 
     Scenes keep their ``turns`` (see ``assemble_scenes``); without that column
     the arrays are empty.  An episode is one document by format.
@@ -60,17 +60,21 @@ def write_scene_files(scenes: DataFrame, path: str) -> None:
             ),
         ).alias("scenes"),
     )
-    out = doc.select(F.concat(F.col("name"), F.lit("_scenes")).alias("stem"), F.to_json(F.struct("name", "scenes")).alias("value"))
-    out.repartition("stem").write.mode("overwrite").partitionBy("stem").text(path)
+    write_named(doc.select(F.concat(F.col("name"), F.lit("_scenes.json")).alias("name"), F.to_json(F.struct("name", "scenes")).alias("text")), path)
 
 
 def export_aligned(aligned: DataFrame, path: str, with_all: bool = True) -> None:
-    """CSV with header per episode (``episode_name=<ep>/``) and one ``all`` copy.
+    """CSV with header: ``by_episode/<episode>.csv`` for each, in the order of idx, and one table ``all`` of them.
 
     Quotes are doubled and texts may hold line breaks, as CSV readers expect;
-    an empty text stays apart from a null one.
+    an empty text stays apart from a null one.  An episode is one file by format.
     """
-    aligned.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("episode_name").csv(f"{path}/by_episode")
+    options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items()}
+    line = F.to_csv(F.struct(*aligned.columns), options)
+    per = aligned.select("episode_name", F.struct("idx", line.alias("line")).alias("l")).groupBy("episode_name").agg(F.array_sort(F.collect_list("l")).alias("l"))
+    header = F.lit(",".join(aligned.columns))
+    text = F.concat(F.array_join(F.concat(F.array(header), F.col("l.line")), "\n"), F.lit("\n"))
+    write_named(per.select(F.concat("episode_name", F.lit(".csv")).alias("name"), text.alias("text")), f"{path}/by_episode")
     if with_all:
         aligned.write.mode("overwrite").options(**CSV_OPTIONS).csv(f"{path}/all")
 

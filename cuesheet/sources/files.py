@@ -33,13 +33,8 @@ VIEWER_SCHEMA = T.StructType([
 
 
 def stem_of(path: Column) -> Column:
-    """File stem (name without directory and last extension).
-
-    Files written by Spark under a ``stem=<value>/`` folder take the folder value.
-    """
-    name = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
-    folder = F.regexp_extract(path, r"stem=([^/]+)/[^/]*$", 1)
-    return F.when(folder != "", folder).otherwise(name)
+    """File stem (name without directory and last extension)."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
 
 def split_stem(stem: Column) -> tuple[Column, Column]:

@@ -24,7 +24,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,6 +34,7 @@ from cuesheet.sinks.files import materialize
 
 EVENT_COLUMNS = ["session", "ts", "event_id", "episode", "position", "event_type", "speaker", "character", "scene_id"]
 OUT_COLUMNS = ["session", "ts", "event_id", "episode", "position", "speaker", "character", "scene_id"]
+UPDATE_COLUMNS = ["event_id", "session", "ts", "episode", "speaker", "character", "scene_name", "image_url"]
 EMIT_SCHEMA = (
     "session long, ts timestamp, event_id long, episode string, position double, speaker string, character string, scene_id int"
 )
@@ -228,8 +229,8 @@ def playback_stream(
     Events of one micro-batch are sorted per session; events behind the newest
     one already processed for the session are dropped.  With a ``watermark``, a
     session's state goes once the watermark has moved ``idle`` seconds past its
-    last event; without one it is kept.  Needs the RocksDB state store, which
-    ``start_playback_stream`` sets for its query.
+    last event; without one it is kept.  Needs the RocksDB state store (see
+    ``use_state_store``).
     """
     d = (resolved.withWatermark("ts", watermark) if watermark else resolved).select(*EVENT_COLUMNS)
     return d.groupBy("session").transformWithStateInPandas(
@@ -237,45 +238,75 @@ def playback_stream(
     )
 
 
+def use_state_store(spark) -> None:
+    """``transformWithState`` keeps its fields in RocksDB; queries started later in the session use it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def changes_of(events: DataFrame, viewer: DataFrame, watermark: str | None = None, idle: int = 86_400) -> DataFrame:
+    """Polled events -> scene lookup (stream-static join) -> throttled change detection.
+
+    The lookup's segments are written once and read as the static side of every
+    micro-batch.  Events: session, ts, event_id, episode, position, event_type.
+    """
+    from cuesheet.operators.lookup import build_lookup_index, lookup_scenes
+
+    segments = build_lookup_index(viewer)
+    segments = replace(segments, index=materialize(segments.index, "lookup"))
+    use_state_store(events.sparkSession)
+    return playback_stream(lookup_scenes(events, segments, {"episode_name": "episode"}), watermark=watermark, idle=idle)
+
+
 def start_playback_stream(
-    spark,
-    source_path: str,
+    events: DataFrame,
     viewer: DataFrame,
     checkpoint_location: str,
-    sink_format: str = "parquet",
-    sink_path: str | None = None,
-    query_name: str | None = None,
+    sink_path: str,
     watermark: str | None = None,
     idle: int = 86_400,
     trigger: dict | None = None,
-    max_files_per_trigger: int | None = None,
+    query_name: str | None = None,
 ):
-    """Poll-event files -> scene lookup (stream-static join) -> throttled change
-    detection -> sink.  Events: session, ts, event_id, episode, position, event_type.
+    """Changes of a stream of events (see ``changes_of``), as Parquet.
 
     ``checkpoint_location`` is the caller's: a restart with the same one goes on
-    where the stream stopped.  The lookup index is written once and read as the
-    static side of every micro-batch.
+    where the stream stopped.  A batch that runs again replaces what it wrote.
     """
-    from cuesheet.operators.lookup import build_lookup_index, lookup_scenes
+    out = changes_of(events, viewer, watermark, idle)
+    return _start(out, lambda batch: batch, checkpoint_location, sink_path, trigger, query_name)
 
-    schema = "session long, ts timestamp, event_id long, episode string, position double, event_type int"
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    events = reader.parquet(source_path)
-    segments = build_lookup_index(viewer)
+
+def start_image_updates(
+    events: DataFrame,
+    viewer: DataFrame,
+    checkpoint_location: str,
+    sink_path: str,
+    variation: Column,
+    watermark: str | None = None,
+    idle: int = 86_400,
+    trigger: dict | None = None,
+    query_name: str | None = None,
+):
+    """Image updates of a stream of events: each change looks its scene up again among the rows of its speaker and
+    character, and gets the URL of the scene's image number ``variation`` (see ``image_url``)."""
+    from cuesheet.operators.lookup import build_lookup_index, image_url, lookup_scenes
+
+    segments = build_lookup_index(viewer, ["episode_name", "speaker", "character"])
     segments = replace(segments, index=materialize(segments.index, "lookup"))
-    use_state_store(spark)
-    out = playback_stream(lookup_scenes(events, segments, {"episode_name": "episode"}), watermark=watermark, idle=idle)
-    w = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location).format(sink_format)
-    if query_name:
-        w = w.queryName(query_name)
-    if trigger:
-        w = w.trigger(**trigger)
-    return w.start(sink_path) if sink_path else w.start()
 
+    def update(batch: DataFrame) -> DataFrame:
+        found = lookup_scenes(batch, segments, {"episode_name": "episode"})
+        return image_url(found, "episode", variation).select(*UPDATE_COLUMNS)
 
-def use_state_store(spark) -> None:
-    """``transformWithState`` keeps its fields in RocksDB; queries started later in the session use it."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return _start(changes_of(events, viewer, watermark, idle), update, checkpoint_location, sink_path, trigger, query_name)
+
+
+def _start(out: DataFrame, finish: Callable[[DataFrame], DataFrame], checkpoint_location: str, sink_path: str, trigger, query_name):
+    """Writes each micro-batch to a partition of its own, named by the batch id, in place of what a first try left there."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        finish(batch).write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}")
+
+    w = out.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location).foreachBatch(write)
+    w = w.queryName(query_name) if query_name else w
+    return (w.trigger(**trigger) if trigger else w).start()

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cuesheet.operators.indexing import global_ordinal
 from cuesheet.operators.repair import resolve_responses, scene_rows
 from cuesheet.operators.artifacts import artifact_retention, latest_artifact
+from cuesheet.operators.extract import ResponseLedger
 from cuesheet.operators.scenes import episode_list
-from cuesheet.sinks.files import export_aligned, replace_partitions, write_table
-from cuesheet.sources.files import CSV_OPTIONS, VIEWER_SCHEMA, read_viewer_csv
+from cuesheet.sinks.files import export_aligned, replace_partitions, write_caption_files, write_scene_files, write_table
+from cuesheet.sources.files import VIEWER_SCHEMA, read_viewer_csv
 from cuesheet.sources.files import read_caption_files, read_image_folder, read_instance_config, read_scene_files
 
 
@@ -76,8 +77,24 @@ def test_viewer_csv_keeps_awkward_texts(spark):
     export_aligned(spark.createDataFrame(rows, spec), p)
     got = read_viewer_csv(spark, f"{p}/all").orderBy("scene_id").collect()
     assert [r.text for r in got] == texts
-    each = spark.read.option("basePath", f"{p}/by_episode").options(**CSV_OPTIONS).csv(f"{p}/by_episode")
-    assert sorted(each.select("text").toPandas()["text"].fillna("-").tolist()) == sorted("-" if t is None else t for t in texts)
+    assert os.listdir(f"{p}/by_episode") == ["c2e001.csv"]
+    each = read_viewer_csv(spark, f"{p}/by_episode/c2e001.csv").orderBy("scene_id").collect()
+    assert each == got
+
+
+def test_episode_files_have_their_names(spark, tmp_path):
+    captions = spark.createDataFrame([("c2e001", "x_y", i, t, float(i), 1.0) for i, t in enumerate(["a", "é", ""])], "episode string, youtube_id string, idx int, text string, start double, duration double")
+    write_caption_files(captions.repartition(3), f"{tmp_path}/c")
+    assert os.listdir(f"{tmp_path}/c") == ["c2e001_x_y.json"]
+    got = read_caption_files(spark, f"{tmp_path}/c").orderBy("idx").collect()
+    assert [(r.episode, r.youtube_id, r.idx, r.text) for r in got] == [("c2e001", "x_y", 0, "a"), ("c2e001", "x_y", 1, "é"), ("c2e001", "x_y", 2, "")]
+    scene = dict(character="c", speaker="s", in_game=1, background="b", action="a", object="o", poses="p", start_time=0.0, end_time=1.0, scene_description="d")
+    scenes = spark.createDataFrame([dict(scene, episode=e, youtube_id="v", scene_id=i, action=f"{i}") for e in ("c2e001", "c2e002") for i in range(3)])
+    write_scene_files(scenes, f"{tmp_path}/s")
+    assert sorted(os.listdir(f"{tmp_path}/s")) == ["c2e001_v_scenes.json", "c2e002_v_scenes.json"]
+    assert sorted((r.episode_name, r.scene_id, r.action) for r in read_scene_files(spark, f"{tmp_path}/s").collect()) == [
+        (e, i, str(i)) for e in ("c2e001", "c2e002") for i in range(3)
+    ]
 
 
 def test_odd_names_do_not_stop_a_job(spark):
@@ -90,7 +107,8 @@ def test_odd_names_do_not_stop_a_job(spark):
     assert {r.episode_name: r.label for r in episode_list(viewer).collect()} == {"c2e001": "Campaign 2 Episode 001", "bonus": None}
 
 
-def test_external_repair_rounds(spark):
+def test_external_repair_rounds(spark, tmp_path):
+    ledger = ResponseLedger(spark, f"{tmp_path}/ledger")
     good = json.dumps({"scenes": [{"character": "x", "speaker": "s", "in_game": 1, "background": "b", "action": "a",
                                    "object": "o", "poses": "p", "start_time": 1.0, "end_time": 2.0,
                                    "scene_description": "d"}]})
@@ -100,9 +118,9 @@ def test_external_repair_rounds(spark):
     def fixer(s):  # stands in for a model call: fixes one text on the second try
         return s.map(lambda t: good if t == "broken {{" else (t + "{" if t.startswith("broken") else t + "!"))
 
-    res = {r.batch: (r.status, r.attempt) for r in resolve_responses(df, repair=fixer, external=True, max_retries=4).collect()}
+    res = {r.batch: (r.status, r.attempt) for r in resolve_responses(df, repair=fixer, external=True, max_retries=4, ledger=ledger).collect()}
     assert res[0] == ("ok", 2) and res[1] == ("ok", 0) and res[2] == ("dead", 3)
-    assert scene_rows(resolve_responses(df, repair=fixer, external=True)).count() == 2
+    assert scene_rows(resolve_responses(df, repair=fixer, external=True, ledger=ledger)).count() == 2
 
 
 def test_global_ordinal_over_join(spark):
