@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -88,6 +88,7 @@ class Model:
         """Language, cosine in 0 to 1 and rejection of each text."""
         langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        rejected[known] = bool(self.langs)  # without a model nothing tells against a text
         for at in range(0, len(known) if self.langs else 0, 256):
             part = known[at : at + 256]
             rows, sizes = _matrix([texts[i] for i in part], self.idf)
@@ -120,35 +121,33 @@ def _clusters(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def fit(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG, k: int = CENTROIDS) -> Model:
     """Learn a model from ``text`` and ``lang`` of the ``usable`` rows.
 
-    Document frequencies come from all usable rows.  Centroids come from a
-    sample of about ``per_lang`` documents a language (all, if fewer), drawn by
-    a hash of the text and without copies, so a language's rows fit one task.  What reaches the
-    driver is one row per centroid and one vector of frequencies.
+    Document frequencies come from all usable rows.  Centroids come from the
+    ``per_lang`` different texts of each language with the smallest hashes (all,
+    if fewer), so a language's rows fit one task and no number of copies makes
+    a language vanish.  What reaches the driver is one row per centroid and one
+    vector of frequencies.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df, by_lang = 0, np.zeros(DIMENSIONS, np.int64), {}
+        n, df = 0, np.zeros(DIMENSIONS, np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(0):
                 df += trigram_counts(text.as_py())[0] > 0
                 n += 1
-                by_lang[lang] = by_lang.get(lang, 0) + 1
-        yield pa.RecordBatch.from_pylist(
-            [{"lang": None, "n": n, "df": df.tolist()}, *({"lang": x, "n": c, "df": None} for x, c in by_lang.items())],
-            pa.schema([("lang", pa.string()), ("n", pa.int64()), ("df", pa.list_(pa.int64()))]),
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tolist()])], ["n", "df"])
 
-    parts = materialize(rows.mapInArrow(frequencies, "lang string, n long, df array<long>"), "frequencies")
+    parts = materialize(rows.select("text").mapInArrow(frequencies, "n long, df array<long>"), "frequencies")
     df = np.zeros(DIMENSIONS)
-    for r in parts.where("lang IS NULL").select(F.posexplode("df").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for r in parts.select(F.posexplode("df").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
         df[r["i"]] = r["x"]
-    n = parts.where("lang IS NULL").agg(F.sum("n")).first()[0] or 0
+    n = parts.agg(F.sum("n")).first()[0] or 0
     idf = np.log((1 + n) / (1 + df)) + 1
-    sizes = parts.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("lang_rows"))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(float(per_lang << 20)) / F.col("lang_rows")
-    # one row per language, as in the model itself
-    sample = rows.join(F.broadcast(sizes), "lang").where(share).select("lang", "text").distinct()
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # ranked within the tasks first
+    drawn = hashed.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "h")
+    # per_lang rows of a number and a name for each language of the model
+    sample = hashed.join(F.broadcast(drawn), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def centroids(pdf):
         import pandas as pd
@@ -187,7 +186,8 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """``docs`` with lang_pred, score and rejected added, each named with ``prefix``.
 
-    A text that is null or has no letter is ``und`` with score 0, rejected.
+    A text that is null or has no letter is ``und`` with score 0, rejected.  With
+    a model that learned nothing all others are ``und`` too, but not rejected.
     Repeated rows get the same answer each; only text is read.
     """
     names = [prefix + x for x in ("lang_pred", "score", "rejected")]

@@ -211,9 +211,9 @@ WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM w
-), vocab AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, encode(w)) AS id FROM t GROUP BY w QUALIFY id <= 1023
-), c AS (SELECT doc_id, pos, coalesce(id, 1024) AS w FROM t LEFT JOIN vocab USING (w)
-), p AS (SELECT doc_id, pos, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), 1025) AS v FROM c
+), vocab AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, encode(w)) AS id FROM t GROUP BY w
+), c AS (SELECT doc_id, pos, id AS w FROM t JOIN vocab USING (w)
+), p AS (SELECT doc_id, pos, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS v FROM c
 ), good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1
 ), n AS (
   SELECT v, w, count(*) AS b, count(good.doc_id) AS t FROM p LEFT JOIN good ON good.doc_id = p.doc_id GROUP BY v, w

@@ -51,7 +51,7 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def distinct_vectors(base: DataFrame, k: int) -> DataFrame:
-    """``vid, ids, v``: each distinct vector with its k + 1 smallest ids.
+    """``vid, ids, v``: each distinct vector, numbered (for good once the result is written), with its k + 1 smallest ids.
 
     Ties go to smaller ids and a query leaves out only itself, so no further id
     of the same vector can be in a result; large groups of copies shrink to
@@ -60,7 +60,7 @@ def distinct_vectors(base: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     kept = base.distinct().withColumn("rank", rank).where(F.col("rank") <= k + 1)
     ids = kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return ids.select(F.col("ids")[0].alias("vid"), "ids", "v")
+    return ids.select(F.monotonically_increasing_id().alias("vid"), "ids", "v")
 
 
 def _matrix(values: pa.Array, width: int) -> np.ndarray:
@@ -213,7 +213,9 @@ def search_block(vectors: DataFrame, block: list, k: int, lists: int) -> DataFra
 
     # Phase 3.  A sum over all lists is an exact score, so these raise the cutoff.
     order = Window.partitionBy("q").orderBy(F.col("part").desc(), "vid")
-    whole = sums.where(F.col("lists_seen") == lists).join(F.broadcast(names), "q").where("vid <> query_id")
+    # A vector under a query's own id may have no other id, so it doesn't count here.
+    own = vectors.select("vid", F.explode("ids").alias("query_id")).join(F.broadcast(names), "query_id").select("q", "vid")
+    whole = sums.where(F.col("lists_seen") == lists).join(own, ["q", "vid"], "left_anti")
     again = _floor_of(whole.withColumn("rank", F.row_number().over(order)).withColumnRenamed("part", "score"), len(block), k)
     bounds = [(i, *(None if math.isinf(x) else float(x) for x in pair)) for i, pair in enumerate(zip(cutoff, np.fmax(cutoff, again)))]
     low = spark.createDataFrame(bounds, "q int, sent double, low double")

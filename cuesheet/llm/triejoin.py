@@ -370,6 +370,11 @@ def jaccard_components(docs: DataFrame, stars: int = 1, nearest: int = 2) -> Dat
     component is its own doc_id.  Rows without a doc_id link like others but
     never name a component.  Repeated rows are linked to one another.
     """
+    return _labelled_rows(docs, stars, nearest).drop("label")
+
+
+def _labelled_rows(docs: DataFrame, stars: int = 1, nearest: int = 2) -> DataFrame:
+    """The result of ``jaccard_components`` with the ``label`` of each component, which those without an id have, too."""
     all_ = materialize(members(docs.select(F.col("doc_id").cast("long"), "text")), "members")
     some = all_.where("n > 0")
     nodes = materialize(
@@ -428,6 +433,7 @@ def jaccard_components(docs: DataFrame, stars: int = 1, nearest: int = 2) -> Dat
         "key",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        "label",
     )
 
 
@@ -435,9 +441,16 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; one document of each group stays.
 
     Documents with empty sets stay.  Rows that share the kept doc_id are one
-    document and stay together; so do rows without an id unless they are
-    linked with one that has it.
+    document and stay together.  Of a group in which no row has an id one row
+    stays: one of those with the smallest hash of their text.
     """
-    found = jaccard_components(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__key")).distinct()
-    return docs.join(gone, document_key() == F.col("__key"), "left_anti")
+    found = materialize(_labelled_rows(docs), "components")
+    nameless = found.where("n_shingles > 0 AND component_id IS NULL").groupBy("label").agg(F.min("key").alias("__one"))
+    gone = found.join(nameless, "label", "left").where(
+        F.when(F.col("__one").isNotNull(), F.col("key") != F.col("__one")).otherwise(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
+    kept = docs.withColumn("__key", document_key()).join(gone.select(F.col("key").alias("__key")).distinct(), "__key", "left_anti")
+    # copies of the row that stays for a group without ids have its key
+    kept = kept.join(nameless.select(F.col("__one").alias("__key"), F.lit(True).alias("__lone")), "__key", "left")
+    alone = kept.where("__lone").dropDuplicates(["__key"])
+    return kept.where("__lone IS NULL").unionByName(alone).select(*docs.columns)

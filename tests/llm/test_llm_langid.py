@@ -46,7 +46,8 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(empty, ~langid.held_out())
     df = spark.createDataFrame([(1, "hello there")], "doc_id long, text string")
-    assert langid.identify(df, model).first().lang_pred == "und"
+    found = langid.identify(df, model).first()
+    assert found.lang_pred == "und" and found.score == 0 and not found.rejected  # nothing is known against it
     assert langid.identify(df.limit(0), model).count() == 0
 
 
@@ -61,3 +62,13 @@ def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
 def test_foreign_letters_are_rejected(spark, model):
     df = spark.createDataFrame([(1, "日本語の文章です。" * 30), (2, "qzx jjkq xvw " * 60)], "doc_id long, text string")
     assert all(r.rejected for r in langid.identify(df, model).collect())
+
+
+def test_copies_make_no_language_vanish(spark):
+    docs = read_table(spark, SF, "documents").where("lang IN ('en', 'es') AND n_chars > 200").select("text", "lang").toPandas()
+    one = docs[docs.lang == "en"].text.iloc[0]
+    rows = [(one, "en")] * 6000 + [(t, "es") for t in docs[docs.lang == "es"].text]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(df, F.lit(True), per_lang=50)
+    assert sorted(set(model.langs)) == ["en", "es"]
+    assert langid.identify(df.where("lang = 'en'").limit(1), model).first().lang_pred == "en"

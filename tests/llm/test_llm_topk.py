@@ -51,3 +51,13 @@ def test_scores_beyond_doubles(spark):
 def test_distinct_vectors_keep_k_plus_one_ids(spark):
     df = spark.createDataFrame([(i, [1.0]) for i in range(50)], "vec_id long, v array<double>")
     assert topk.distinct_vectors(df, 3).first().ids == [0, 1, 2, 3]
+
+
+def test_one_id_with_several_vectors(spark):
+    """Vectors of one id aren't added up."""
+    rows = [(0, [1.0, 1.0]), (5, [100.0, 0.0]), (5, [0.0, 100.0]), (6, [60.0, 60.0]), (0, [3.0, 0.0]), (7, [0.0, 100.0])]
+    for k in (1, 2, 5):
+        assert run(spark, rows, k=k) == brute(rows, k, lambda i: i % 5 == 0)
+    rng = np.random.default_rng(9)
+    rows = [(i % 12, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(60)]
+    assert run(spark, rows, k=4) == brute(rows, 4, lambda i: i % 5 == 0)

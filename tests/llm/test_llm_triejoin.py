@@ -109,3 +109,16 @@ def test_words_of_long_texts_are_cut_between_words(monkeypatch):
     assert (whole == pieces).all() and len(whole) == 1500
     a, b, c = shingles.word_hashes(["ab", None, "AB ab"])
     assert len(b) == 0 and (c == a[0]).all()
+
+
+def test_one_row_stays_of_a_group_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " and one more"
+    rows = [(None, text, "a"), (None, text, "b"), (None, near, "c"), (None, "", "d"), (None, None, "e"), (None, "", "f"), (7, "quite another text of its own", "g")]
+    rows += [(None, "a second group " + text[:80], "h"), (3, "a second group " + text[:80], "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = triejoin.keep_first(df)
+    assert got.columns == df.columns
+    kept = sorted(r.source for r in got.collect())
+    assert [s for s in kept if s in "defghi"] == ["d", "e", "f", "g", "i"]
+    assert len([s for s in kept if s in "abc"]) == 1
