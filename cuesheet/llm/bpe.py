@@ -34,9 +34,10 @@ from cuesheet.sinks.files import scratch_path
 
 LEXICON_WORDS = 1 << 18
 LEXICON_WORD_BYTES = 128
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 21
 COUNTER_WORDS = 1 << 17
-MERGED_WORDS = 1 << 15
+MERGED_WORDS = 1 << 16
+SHORT_WORD = 32
 # Characters whose classes hang neither on the Unicode version nor on what counts as white space;
 # a text with others is split by the tokenizer library's own tables.
 RARE = re.compile("[^\u0000-\u001b\u0020-\u0084\u0086-\u0557\u2000-\u206f\u20a0-\u20bf\u3000-\u3029\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
@@ -112,6 +113,8 @@ class Merger:
         raw = word.encode("utf-8", "replace")
         ids = [self.single[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         n, rank = len(ids), self.ranks.get
+        if n <= SHORT_WORD:
+            return self._merge_short(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapify(heap)
@@ -130,6 +133,18 @@ class Merger:
                 heappush(heap, (r, before[i]))
         return [x for x in ids if x >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same merges by looking the few pairs over each time, which costs less than a heap."""
+        pairs = [self.ranks.get(p, len(self.ranks)) for p in zip(ids, ids[1:], strict=False)]
+        while pairs and (best := min(pairs)) < len(self.ranks):
+            i = pairs.index(best)
+            ids[i : i + 2] = [self.joined[best]]
+            del pairs[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(pairs):
+                    pairs[j] = self.ranks.get((ids[j], ids[j + 1]), len(self.ranks))
+        return ids
+
     def unseen(self, word: str) -> list[int]:
         """``merge`` with a bounded memory of the words met last."""
         if (ids := self.merged.get(word)) is None:
