@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from cuesheet.llm.common import most_frequent
+from cuesheet.llm.common import give_back, most_frequent
 from cuesheet.sinks.files import scratch_path
 
 LEXICON_WORDS = 1 << 18
@@ -165,7 +165,7 @@ def merger(path: str) -> Merger:
 def release() -> None:
     """Let go of what a task leaves in its worker process, which the next stage may use for something else."""
     merger.cache_clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 # --- the automaton -----------------------------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +31,13 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
             break
         cutoff = bar["b"]
     return counts.where(F.lit(False) if cutoff is None else bucket >= cutoff)
+
+
+def give_back() -> None:
+    """Hand what a task has freed back to the system: Spark uses its Python processes again for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass

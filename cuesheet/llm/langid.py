@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from cuesheet.llm.common import give_back
 from cuesheet.sinks.files import materialize
 
 DIMENSIONS = 4096
@@ -136,6 +137,7 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = TRAIN_PER_LANG, k: int
                 df += trigram_counts(text.as_py())[0] > 0
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tolist()])], ["n", "df"])
+        give_back()
 
     parts = materialize(rows.select("text").mapInArrow(frequencies, "n long, df array<long>"), "frequencies")
     df = np.zeros(DIMENSIONS)
@@ -202,5 +204,6 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
             langs, scores, rejected = shared.value.predict(batch.column(at).to_pylist())
             more = [pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *names])
+        give_back()
 
     return clear.mapInArrow(run, spec)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from cuesheet.llm.common import give_back
 from cuesheet.sinks.files import materialize
 
 MIN_WORDS = 50
@@ -88,6 +89,7 @@ def all_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 rows += [(doc_id, key, *w) for w in windows(text or "", min_words)]
             cols = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+        give_back()
 
     spec = "doc_id long, key long, mark long, pick int, run long, a int, b int"
     rows = docs.select(F.col("doc_id").cast("long"), document_key().alias("key"), "text").mapInArrow(run, spec)
@@ -151,5 +153,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "rem
             cols = list(batch.columns[:-1])
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(gone, kind)], names)
+        give_back()
 
     return joined.mapInArrow(cut, spec)
