@@ -135,14 +135,16 @@ class Merger:
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         """The same merges by looking the few pairs over each time, which costs less than a heap."""
-        pairs = [self.ranks.get(p, len(self.ranks)) for p in zip(ids, ids[1:], strict=False)]
-        while pairs and (best := min(pairs)) < len(self.ranks):
+        none, rank, joined = len(self.joined), self.ranks.get, self.joined
+        pairs = [rank(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
             i = pairs.index(best)
-            ids[i : i + 2] = [self.joined[best]]
+            ids[i : i + 2] = [joined[best]]
             del pairs[i]
-            for j in (i - 1, i):
-                if 0 <= j < len(pairs):
-                    pairs[j] = self.ranks.get((ids[j], ids[j + 1]), len(self.ranks))
+            if i:
+                pairs[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank((ids[i], ids[i + 1]), none)
         return ids
 
     def unseen(self, word: str) -> list[int]:
