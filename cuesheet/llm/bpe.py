@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -36,8 +36,9 @@ LEXICON_WORDS = 1 << 18
 LEXICON_WORD_BYTES = 128
 CHUNK_CHARS = 1 << 21
 COUNTER_WORDS = 1 << 17
-MERGED_WORDS = 1 << 16
 SHORT_WORD = 32
+CHUNKS_KEPT = 1 << 17
+MARKS = frozenset(",.;:!?)")
 # Characters whose classes hang neither on the Unicode version nor on what counts as white space;
 # a text with others is split by the tokenizer library's own tables.
 RARE = re.compile("[^\u0000-\u001b\u0020-\u0084\u0086-\u0557\u2000-\u206f\u20a0-\u20bf\u3000-\u3029\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
@@ -70,7 +71,10 @@ class Merger:
         character = _byte_characters()
         self.single = [self.vocab[character[b]] for b in range(256)]
         self.final = [self.vocab[character[b] + self.suffix] for b in range(256)]
-        self.merged: OrderedDict[str, list[int]] = OrderedDict()
+        self.width = max(self.vocab.values()) + 1
+        keys = np.array([a * self.width + b for a, b in self.ranks], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int64)[order]
 
     def chunks(self, text: str) -> list[str]:
         """A whole text in pieces that no word crosses; ``words_of`` gives the words of each.
@@ -87,6 +91,10 @@ class Merger:
         return out
 
     def words_of(self, chunk: str) -> list[str]:
+        if chunk.isalpha():  # letters alone are one word, and letters with one mark behind are two
+            return [chunk]
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
         return [chunk[1:]] if chunk[0] == " " else self.word.findall(chunk)
 
     def words(self, text: str) -> list[str]:
@@ -113,8 +121,6 @@ class Merger:
         raw = word.encode("utf-8", "replace")
         ids = [self.single[b] for b in raw[:-1]] + [self.final[raw[-1]]]
         n, rank = len(ids), self.ranks.get
-        if n <= SHORT_WORD:
-            return self._merge_short(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapify(heap)
@@ -133,30 +139,72 @@ class Merger:
                 heappush(heap, (r, before[i]))
         return [x for x in ids if x >= 0]
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        """The same merges by looking the few pairs over each time, which costs less than a heap."""
-        none, rank, joined = len(self.joined), self.ranks.get, self.joined
-        pairs = [rank(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while pairs and (best := min(pairs)) < none:
-            i = pairs.index(best)
-            ids[i : i + 2] = [joined[best]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = rank((ids[i - 1], ids[i]), none)
-            if i < len(pairs):
-                pairs[i] = rank((ids[i], ids[i + 1]), none)
-        return ids
-
-    def unseen(self, word: str) -> list[int]:
-        """``merge`` with a bounded memory of the words met last."""
-        if (ids := self.merged.get(word)) is None:
-            ids = self.merge(word)
-            if len(word) > LEXICON_WORD_BYTES:
-                return ids
-            self.merged[word] = ids
-            if len(self.merged) > MERGED_WORDS:
-                self.merged.popitem(last=False)
-        return ids
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many words: all token ids behind each other, and how many each word has.
+
+        Words of similar length are the rows of a table; each step merges, in
+        every row, the leftmost pair of the row's lowest rank.
+        """
+        raw = [w.encode("utf-8", "replace") for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        alone = {i: self.merge(words[i]) for i in np.nonzero(length > SHORT_WORD)[0].tolist()}
+        if self.special:
+            alone |= {i: [self.special[w]] for i, w in enumerate(words) if w in self.special}
+        size = length.copy()
+        for i, own in alone.items():
+            size[i], length[i] = len(own), 0
+        tables, low = [], 0
+        for high in (4, 8, 12, 16, 24, SHORT_WORD):
+            rows = np.nonzero((length > low) & (length <= high))[0]
+            low = high
+            if len(rows):
+                table, size[rows] = self._merge_rows(b"".join(raw[i] for i in rows.tolist()), length[rows], high)
+                tables.append((rows, table))
+        first = np.cumsum(size) - size
+        ids = np.zeros(int(size.sum()), np.int32)
+        for rows, table in tables:
+            ids[_spans(first[rows], size[rows])] = table[np.arange(table.shape[1]) < size[rows, None]]
+        for i, own in alone.items():
+            ids[first[i] : first[i] + size[i]] = own
+        return ids, size
+
+    def _merge_rows(self, raw: bytes, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ``size`` bytes, ``width`` at most, merged: a row of ids each, and how many of them count."""
+        flat, end = np.frombuffer(raw, np.uint8), np.cumsum(size)
+        ids = np.array(self.single, np.int64)[flat]
+        ids[end - 1] = np.array(self.final, np.int64)[flat[end - 1]]
+        at, out, sizes = np.arange(width), np.zeros((len(size), width), np.int64), size.copy()
+        out[at < size[:, None]] = ids
+        who, now, n = np.arange(len(size)), out.copy(), size.copy()
+        rank = self._rank(now[:, :-1], now[:, 1:])
+        none = len(self.joined)
+        rank[at[1:] >= n[:, None]] = none
+        joined = np.array(self.joined, np.int64)
+        while len(who):
+            i = rank.argmin(axis=1)
+            best = rank[np.arange(len(who)), i]
+            go = best < none
+            if not go.all():
+                out[who[~go]], sizes[who[~go]] = now[~go], n[~go]
+                who, now, n, rank, i, best = who[go], now[go], n[go], rank[go], i[go], best[go]
+            row = np.arange(len(who))
+            now[row, i] = joined[best]
+            now = np.take_along_axis(now, np.minimum(at + (at > i[:, None]), width - 1), 1)
+            rank = np.take_along_axis(rank, np.minimum(at[:-1] + (at[:-1] >= i[:, None]), width - 2), 1)
+            rank[:, -1] = none
+            n = n - 1
+            left, right = np.nonzero(i > 0)[0], np.nonzero(i + 1 < n)[0]
+            rank[left, i[left] - 1] = self._rank(now[left, i[left] - 1], now[left, i[left]])
+            rank[right, i[right]] = self._rank(now[right, i[right]], now[right, i[right] + 1])
+            ended = np.nonzero((i + 1 >= n) & (i < width - 1))[0]
+            rank[ended, i[ended]] = none
+        return out, sizes
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair; pairs that aren't merged have the rank behind the last."""
+        key = a * self.width + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.joined))
 
 
 @lru_cache(maxsize=2)
@@ -313,7 +361,10 @@ def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -
     counts = word_counts(docs, tokenizer).where(F.octet_length("word") <= LEXICON_WORD_BYTES)
     top = most_frequent(counts, words).select(F.col("word").cast("binary")).toArrow()
     m = merger(tokenizer)
-    flat = compile_words((w, m.merge(w.decode())) for w in sorted(top.column(0).to_pylist()))
+    words = sorted(top.column(0).to_pylist())
+    ids, size = m.merge_all([w.decode() for w in words])
+    cuts = np.cumsum(size)[:-1].tolist()
+    flat = compile_words(zip(words, (own.tolist() for own in np.split(ids, cuts)), strict=False))
     return share_array(docs.sparkSession, flat)
 
 
@@ -333,38 +384,74 @@ def share_array(spark: SparkSession, flat: np.ndarray) -> str:
     return path.rpartition("/")[2]
 
 
-def _encode_chunk(texts: list[str], m: Merger, lexicon: Lexicon) -> pa.ListArray:
-    split = [m.chunks(t) for t in texts]
-    flat = [c for chunks in split for c in chunks]
-    number = {c: i for i, c in enumerate(dict.fromkeys(flat))}
-    order = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-    words = [m.words_of(c) for c in number]
-    pieces = [w for own in words for w in own]
-    place = {w: i for i, w in enumerate(dict.fromkeys(pieces))}
-
-    # token ids of the distinct words side by side
-    distinct = list(place)
-    known = lexicon.numbers([w.encode("utf-8", "replace") for w in distinct])
-    size = np.where(known >= 0, lexicon.offsets[known + 1] - lexicon.offsets[known], 0).astype(np.int64)
-    merged = {i: m.unseen(distinct[i]) for i in np.nonzero(known < 0)[0].tolist()}
-    for i, own in merged.items():
-        size[i] = len(own)
-    first = np.cumsum(size) - size
-    ids = np.zeros(int(size.sum()), np.int32)
-    hit = np.nonzero(known >= 0)[0]
-    ids[_spans(first[hit], size[hit])] = lexicon.ids[_spans(lexicon.offsets[known[hit]], size[hit])]
-    for i, own in merged.items():
-        ids[first[i] : first[i] + size[i]] = own
-
-    # then of the distinct chunks, then of all chunks
-    at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-    chunk_ids = ids[_spans(first[at], size[at])]
-    ends = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(int)]
-    chunk_size = np.diff(ends)
-    out = chunk_ids[_spans(ends[:-1][order], chunk_size[order])]
-    ends = np.concatenate([[0], np.cumsum(chunk_size[order])])
-    rows = np.concatenate([[0], np.cumsum([len(c) for c in split])]).astype(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(out, pa.int32()))
+class Encoder:
+    """Encodes texts, many at once; what it worked out for a piece of text is kept for later ones, within a bound."""
+
+    def __init__(self, m: Merger, lexicon: Lexicon):
+        self.merger, self.lexicon = m, lexicon
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.first, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.ids = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the chunks met most often, half of the bound at most."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: CHUNKS_KEPT // 2])
+        keep = keep[self.met[keep] > 1]
+        names = list(self.place)
+        self.place = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.met, size = self.met[keep] // 2, self.size[keep]
+        self.ids = self.ids[_spans(self.first[keep], size)]
+        self.first, self.size = np.cumsum(size) - size, size
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        split = [self.merger.chunks(t) for t in texts]
+        flat = [c for chunks in split for c in chunks]
+        if len(self.place) > CHUNKS_KEPT:
+            self._forget()
+        place, new = self.place, []
+        for c in flat:
+            if c not in place:
+                place[c] = len(place)
+                new.append(c)
+        if new:
+            self._learn(new)
+        order = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        self.met += np.bincount(order, minlength=len(place))
+        size = self.size[order]
+        out = self.ids[_spans(self.first[order], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        rows = np.concatenate([[0], np.cumsum([len(c) for c in split])]).astype(np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends[rows], pa.int32()), pa.array(out, pa.int32()))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put the token ids of new chunks behind those at hand."""
+        m, lexicon = self.merger, self.lexicon
+        words = [[c] if c.isalpha() else m.words_of(c) for c in chunks]
+        pieces = [w for own in words for w in own]
+        place = {w: i for i, w in enumerate(dict.fromkeys(pieces))}
+
+        # token ids of the distinct words side by side
+        distinct = list(place)
+        known = lexicon.numbers([w.encode("utf-8", "replace") for w in distinct])
+        size = np.where(known >= 0, lexicon.offsets[known + 1] - lexicon.offsets[known], 0).astype(np.int64)
+        miss, hit = np.nonzero(known < 0)[0], np.nonzero(known >= 0)[0]
+        merged, size[miss] = m.merge_all([distinct[i] for i in miss.tolist()])
+        first = np.cumsum(size) - size
+        ids = np.zeros(int(size.sum()), np.int32)
+        ids[_spans(first[hit], size[hit])] = lexicon.ids[_spans(lexicon.offsets[known[hit]], size[hit])]
+        ids[_spans(first[miss], size[miss])] = merged
+
+        # then those of the chunks
+        at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
+        cuts = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(size[at])])[cuts]
+        self.first = np.concatenate([self.first, len(self.ids) + ends[:-1]])
+        self.size = np.concatenate([self.size, np.diff(ends)])
+        self.met = np.concatenate([self.met, np.zeros(len(chunks), np.int64)])
+        self.ids = np.concatenate([self.ids, ids[_spans(first[at], size[at])]])
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -375,22 +462,24 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts.astype(np.int64) - (ends - sizes), sizes)
 
 
-def encode(docs: DataFrame, tokenizer: str, lexicon: str, out: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each whole ``text`` in column ``out``.
+def encode(docs: DataFrame, tokenizer: str, lexicon: str, out: str = "ids", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the token ids of each whole ``text`` in column ``out``; without the text itself if it isn't kept.
 
     A null or empty text has no ids.  Special tokens in a text get their ids.
     Each row is encoded for itself, repeated rows alike.
     """
     clear = docs.drop(out)
     at = clear.columns.index("text")
-    spec = StructType([*clear.schema.fields, StructField(out, ArrayType(IntegerType()))])
+    stay = [i for i in range(len(clear.columns)) if keep_text or i != at]
+    spec = StructType([*(clear.schema.fields[i] for i in stay), StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = merger(tokenizer), _mapped(lexicon)
+        encoder = Encoder(merger(tokenizer), _mapped(lexicon))
         for batch in batches:
             for part in _chunks(batch, at):
-                ids = _encode_chunk([t or "" for t in part.column(at).to_pylist()], m, known)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, out])
+                ids = encoder.encode([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), ids], [*(part.schema.names[i] for i in stay), out])
+        encoder.clear()
         release()
 
     return clear.mapInArrow(run, spec)
@@ -419,18 +508,21 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = merger(tokenizer).text
-        table = np.array([text.get(i) for i in range(max(text) + 1)], object)
+        table = pa.array([text.get(i) for i in range(max(text) + 1)], pa.large_string())
+        named = np.array([i in text for i in range(len(table))])
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                col, texts = part.column(at), []
-                for row in col:
-                    if not row.is_valid:
-                        texts.append(None)
-                        continue
-                    own = row.values.to_numpy(zero_copy_only=False)
-                    own = own[(own >= 0) & (own < len(table))]
-                    texts.append(" ".join(t for t in table[own] if t is not None))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
+                col = part.column(at)
+                # the ids that have a string, and how many of them lie before each row's end
+                flat = pc.fill_null(col.flatten(), -1).to_numpy(zero_copy_only=False)
+                ok = (flat >= 0) & (flat < len(table))
+                ok[ok] = named[flat[ok]]
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
+                kept = np.concatenate([[0], np.cumsum(ok)])[np.concatenate([[0], ends])]
+                strings = pa.LargeListArray.from_arrays(pa.array(kept, pa.int64()), table.take(pa.array(flat[ok])))
+                joined = pc.binary_join(strings, " ").cast(pa.string())
+                joined = pc.if_else(col.is_valid(), joined, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, out])
 
     return clear.mapInArrow(run, spec)

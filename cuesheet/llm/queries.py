@@ -72,7 +72,7 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     lexicon = bpe.build_lexicon(docs, tokenizer)
-    ids = bpe.encode(docs, tokenizer, lexicon).select(
+    ids = bpe.encode(docs, tokenizer, lexicon, keep_text=False).select(
         "doc_id",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
