@@ -521,7 +521,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "dec
                 ends = np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
                 kept = np.concatenate([[0], np.cumsum(ok)])[np.concatenate([[0], ends])]
                 strings = pa.LargeListArray.from_arrays(pa.array(kept, pa.int64()), table.take(pa.array(flat[ok])))
-                joined = pc.binary_join(strings, " ").cast(pa.string())
+                joined = pc.binary_join(strings, pa.scalar(" ", pa.large_string())).cast(pa.string())
                 joined = pc.if_else(col.is_valid(), joined, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, out])
 
