@@ -268,7 +268,8 @@ def score_corpus(docs: DataFrame, targets: DataFrame, prefix: str = "", frequent
     lookup = F.broadcast(clear.sparkSession.createDataFrame(plain, "frequent long, word_t double, word_b double"))
     n, wanted, last = F.shiftright("packed", 2), F.shiftright("packed", 1).bitwiseAND(F.lit(1)), F.col("packed").bitwiseAND(F.lit(1))
     own = F.when(F.col("pair") >= 0, n).otherwise(0)  # of the word itself, not of one that follows it
-    # the wider groups first: the others need no dealing then
+    # dealt and sorted as they are, before the windows add columns to each row; both windows use that one order
+    spread = spread.repartition("deal").sortWithinPartitions("deal", "pair")
     same_word, same_pair = Window.partitionBy("deal"), Window.partitionBy("deal", "pair")
     sums = {"all_b": own, "all_t": own * wanted, "prev_b": own - last, "prev_t": (own - last) * wanted}
     spread = spread.select("*", *(F.sum(x).over(same_word).alias(name) for name, x in sums.items()))
