@@ -37,7 +37,8 @@ def _repair_steps(c: Column) -> list[tuple[str, Column]]:
     every intermediate value is computed once per row."""
     d = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(c, r'(?d)\n([a-z_]+)"?:', '\n\t"$1":'), '\n"', '"'),
-        r'(?d)("scene_description": ".+)"(.+)"(.+"\n)', "$1'$2'$3",
+        # only lines that end in a quote can match: the look-ahead spares others the search over all their quotes
+        r'(?d)("scene_description": "(?=.*"\n).+)"(.+)"(.+"\n)', "$1'$2'$3",
     )
     lines = F.split(F.col("__r_d"), "\n", -1)
     lo = F.when(F.col("__r_d").startswith("```json"), F.lit(1)).otherwise(F.lit(0))
@@ -82,8 +83,14 @@ def _status(parsed: Column) -> Column:
 
 
 def _parsed(df: DataFrame) -> DataFrame:
-    """``df`` with status and parsed, written so that later rounds and the result read it and don't make it again."""
-    out = materialize(df.withColumn("status", _status(parse_response(F.col("text")))), "responses")
+    """``df`` with status and parsed, written so that later rounds and the result read it and don't make it again.
+
+    Rows that a repair left as they were (``__changed`` false) aren't parsed again: their status stays ``error``.
+    """
+    status = _status(parse_response(F.col("text")))
+    if "__changed" in df.columns:
+        status = F.when(F.col("__changed"), status).otherwise(F.lit("error"))
+    out = materialize(df.withColumn("status", status), "responses")
     return out.withColumn("parsed", F.when(F.col("status") != "error", parse_response(F.col("text"))))
 
 
@@ -122,20 +129,19 @@ def resolve_responses(
         if external:
             asked = pending.select(*base, F.lit(k).alias("attempt"), F.col("text").alias("prompt"))
             rep = ledger.call(asked, repair, max_concurrency, interval_s).select(*base, "text", "attempt")
-            rep = rep.withColumn("changed", F.lit(True))
-        elif repair is None:
-            rep = repair_frame(pending.select(*base, "text", "attempt"), "text", "__new")
-            rep = rep.select(*base, F.col("__new").alias("text"), (F.col("__new") != F.col("text")).alias("changed"),
-                             "attempt")
+            rep = rep.withColumn("__changed", F.lit(True))
         else:
-            new = repair(F.col("text"))
-            rep = pending.select(*base, new.alias("text"), (new != F.col("text")).alias("changed"), "attempt")
-        stuck = rep.where(~F.col("changed")).select(*base, "text", "attempt")
-        finished.append(
-            stuck.withColumn("parsed", F.lit(None).cast(RESPONSE_SCHEMA)).withColumn("status", F.lit("dead"))
-        )
-        moved = rep.where(F.col("changed")).select(*base, "text", F.lit(k).alias("attempt"))
-        moved = _parsed(moved)
+            if repair is None:
+                rep = repair_frame(pending.select(*base, "text", "attempt"), "text", "__new")
+            else:
+                rep = pending.select(*base, "text", "attempt", repair(F.col("text")).alias("__new"))
+            changed = F.coalesce(F.col("__new") != F.col("text"), F.lit(False))
+            rep = rep.select(*base, F.col("__new").alias("text"), changed.alias("__changed"), "attempt")
+            rep = rep.withColumn("attempt", F.when(F.col("__changed"), F.lit(k)).otherwise(F.col("attempt")))
+        # one table for stuck and changed rows: a filter on the repair itself would run it once for each mention
+        now = _parsed(rep)
+        stuck, moved = now.where(~F.col("__changed")).drop("__changed"), now.where("__changed").drop("__changed")
+        finished.append(stuck.withColumn("status", F.lit("dead")))
         finished.append(moved.where(F.col("status") != "error"))
         pending = moved.where(F.col("status") == "error")
         if pending.isEmpty():
