@@ -8,9 +8,11 @@ start, and nodes that are already connected aren't compared again:
 * first every node is compared with one hub among the nodes that it meets
   (a star instead of all pairs of a group);
 * then, twice, with the node nearest to it, by its bitmap, among those that it
-  isn't connected with;
+  isn't connected with and that it meets in its largest group;
 * then all remaining pairs of nodes that meet but aren't connected, block by
-  block.
+  block, each pair in the first group that both nodes name.
+
+A group is left out if all its nodes meet in one larger group.
 
 A pair first passes two bounds that never lose a link: set sizes, and the
 Hamming distance of parity bitmaps, which is at most the symmetric difference.
@@ -42,6 +44,9 @@ NUM, DEN = 80, 100
 LIGHT = np.uint64(1 << 63)
 BROADCAST_ROWS = 1 << 22
 GROUP = 512
+WIDE_BITS = 1 << 12
+SEEN = 1 << 18
+NAMED = 8
 
 
 def linked(shared: int, n: int, m: int) -> bool:
@@ -54,8 +59,9 @@ def _signature(tokens: np.ndarray) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens by their lowest bits, about a bit per token (64 at least)."""
-    bits = 1 << max(6, (len(tokens) - 1).bit_length())
+    """Parity of the tokens by their lowest bits, about a bit per token (64 at least), up to WIDE_BITS four."""
+    power = (len(tokens) - 1).bit_length()
+    bits = max(1 << max(6, power), min(1 << power + 2, WIDE_BITS))
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -143,12 +149,18 @@ class Order:
 
 
 def rare_ends(docs: DataFrame, order: Order) -> DataFrame:
-    """``token, sig, n``: the n - ceil(0.8 n) + 1 rarest shingles of each set; sets 0.8 alike share one of them."""
+    """``token, sig``: the n - ceil(0.8 n) + 1 rarest shingles of each set; sets 0.8 alike share one of them.
+
+    A task leaves out most repetitions of a set, within a bound.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)  # FREQUENT shingles at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            seen, token, sig, n = set(), [], [], []
+            token, sig = [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if len(s) and (own := _signature(s)) not in seen:
                     seen.add(own)
@@ -156,12 +168,33 @@ def rare_ends(docs: DataFrame, order: Order) -> DataFrame:
                     end = keys[-(len(s) - -(-NUM * len(s) // DEN) + 1) :]
                     token.append(end.view(np.int64))
                     sig.append(np.full(len(end), own, np.int64))
-                    n.append(np.full(len(end), len(s), np.int64))
             if token:
-                cols = [pa.array(np.concatenate(x)) for x in (token, sig, n)]
-                yield pa.RecordBatch.from_arrays(cols, ["token", "sig", "n"])
+                cols = [pa.array(np.concatenate(x)) for x in (token, sig)]
+                yield pa.RecordBatch.from_arrays(cols, ["token", "sig"])
 
-    return docs.select("text").mapInArrow(run, "token long, sig long, n long")
+    return docs.select("text").mapInArrow(run, "token long, sig long")
+
+
+def meeting(ends: DataFrame) -> DataFrame:
+    """The distinct rows of ``ends`` whose token has two nodes or more, found in one pass over the sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, met = np.zeros((2, 0), np.int64), False  # the last row, and whether the one before has its token
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0))]
+            same = rows[0, 1:] == rows[0, :-1]
+            before, after = np.append(met, same), same
+            keep = before[:-1] | after
+            held, met = rows[:, -1:], bool(before[-1])
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, :-1][:, keep]], ["token", "sig"])
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["token", "sig"])
+
+    return ends.repartition("token").sortWithinPartitions("token", "sig").mapInArrow(run, "token long, sig long")
 
 
 def within_bounds(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,42 +227,52 @@ def _words(maps: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def close_pairs(rows: DataFrame, nodes: DataFrame, closest: bool = False) -> DataFrame:
-    """All pairs of ``rows`` (token, sig, n, nodes, label) that share a token, have different labels and pass the bounds.
+def close_pairs(rows: DataFrame, nodes: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """All pairs of ``rows`` (token, sig, nodes, label) that share a token, have different labels and pass the bounds.
 
-    With ``closest``, only the pair of each node with the smallest distance of
-    bitmaps: a row per node at most.
+    ``named`` (sig, named) holds tokens of each node in one order for all: a
+    pair that has some in common comes out at the first of them only.  Without
+    it, only the pair of each node with the smallest distance of bitmaps among
+    those of its largest group: a row per node at most.
 
     Groups are cut into blocks of about GROUP nodes; a pair of blocks is one
     row, and the pairs within are compared by their bitmaps without being
     listed, so only those that pass come out.
     """
-    small = nodes.select("sig", "rep", "bitmap")
+    closest = named is None
+    if closest:
+        asked = rows.groupBy("sig").agg(F.max(F.struct("nodes", "token"))["token"].alias("asked"))
+        rows = rows.join(asked, "sig").join(asked.select(F.col("asked").alias("token")).distinct(), "token")
+        rows = rows.withColumn("named", F.when(F.col("asked") == F.col("token"), F.array("token"))).drop("asked")
+    else:
+        rows = rows.join(named, "sig")
+    rows = rows.join(nodes.select("sig", "n", "rep", "bitmap"), "sig")
     blocks = F.ceil(F.col("nodes") / GROUP)
-    packed = (
-        rows.join(small, "sig")
-        .withColumn("block", F.pmod(F.xxhash64("sig"), blocks))
-        .groupBy("token", "block")
-        .agg(F.collect_list(F.struct("sig", "n", "label", "rep", "bitmap")).alias("own"), F.first("nodes").alias("nodes"))
-    )
-    one = packed.select("own", F.lit(None).cast(packed.schema["own"].dataType).alias("other"))
-    large = packed.where(F.col("nodes") > GROUP)
+
+    def packed(rows: DataFrame) -> DataFrame:
+        own = F.collect_list(F.struct("sig", "n", "label", "rep", "bitmap", "named")).alias("own")
+        return rows.withColumn("block", F.pmod(F.xxhash64("sig"), blocks)).groupBy("token", "block").agg(own)
+
+    one = packed(rows)
+    one = one.select("token", "own", F.lit(None).cast(one.schema["own"].dataType).alias("other"))
+    large = packed(rows.where(F.col("nodes") > GROUP))
     other = large.select("token", F.col("block").alias("b"), F.col("own").alias("other"))
-    two = large.join(other, "token").where("block < b").select("own", "other")
+    two = large.join(other, "token").where("block < b").select("token", "own", "other")
     names = ["hub", "sig", "hub_n", "sig_n", "hub_rep", "sig_rep"]
 
     def columns(group: pa.Array) -> tuple:
         flat = group.flatten()
-        sig, n, label, rep, maps = (flat.field(i) for i in range(5))
-        return (*(c.to_numpy(zero_copy_only=False) for c in (sig, n, label, rep)), maps.to_pylist())
+        sig, n, label, rep, maps, named = (flat.field(i) for i in range(6))
+        return (*(c.to_numpy(zero_copy_only=False) for c in (sig, n, label, rep)), maps.to_pylist(), named.to_pylist())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                same = not batch.column(1)[i].is_valid
-                left = columns(batch.column(0).slice(i, 1))
-                right = left if same else columns(batch.column(1).slice(i, 1))
+                token, same = batch.column(0)[i].as_py(), not batch.column(2)[i].is_valid
+                left = columns(batch.column(1).slice(i, 1))
+                right = left if same else columns(batch.column(2).slice(i, 1))
                 found, step = {}, 0 if same else len(left[0])
+                asks = [np.array([x is not None for x in side[5]], bool) for side in (left, right)]
                 # equal lengths together; a shorter bitmap folds a longer one, which keeps the bound
                 for width in sorted({len(m) for m in left[4]} | {len(m) for m in right[4]}):
                     a = np.array([k for k, m in enumerate(left[4]) if width <= len(m) <= 2 * width], np.int64)
@@ -241,18 +284,29 @@ def close_pairs(rows: DataFrame, nodes: DataFrame, closest: bool = False) -> Dat
                         n, m = left[1][a[k]], right[1][b]
                         keep = (right[2][b] != left[2][a[k]]) & (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m))
                         keep &= (right[0][b] > left[0][a[k]]) if same else True
+                        keep &= asks[0][a[k]] | asks[1][b]
                         at = np.nonzero(keep)[0]
                         far = np.bitwise_count(y[at] ^ x[k]).sum(axis=1, dtype=np.int64)
                         near = far * (DEN + NUM) <= (n + m[at]) * (DEN - NUM)
                         found.update(((int(a[k]), int(b[j]) + step), int(f)) for j, f in zip(at[near], far[near], strict=True))
+                both = left if same else [np.concatenate([x, y]) for x, y in zip(left[:4], right[:4], strict=True)]
+                who = left[5] if same else left[5] + right[5]
+                if not closest:
+                    sets = [set(x) for x in who]
+                    found = {(p, q): f for (p, q), f in found.items() if next((t for t in who[p] if t in sets[q]), token) == token}
                 pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-                far = np.array([found[tuple(x)] for x in pairs.tolist()], np.int64)
-                if closest:  # of each node, as the second of a pair
+                if closest:  # of each node that asks, as the second of a pair
+                    far = np.array([found[tuple(x)] for x in pairs.tolist()], np.int64)
                     pairs, far = np.concatenate([pairs, pairs[:, ::-1]]), np.concatenate([far, far])
+                    ask = np.array([x is not None for x in who], bool)[pairs[:, 1]]
+                    pairs, far = pairs[ask], far[ask]
                     order = np.lexsort((far, pairs[:, 1]))
                     order = order[np.unique(pairs[order, 1], return_index=True)[1]]
                     pairs, far = pairs[order], far[order]
-                both = left if same else [np.concatenate([x, y]) for x, y in zip(left[:4], right[:4], strict=True)]
+                else:  # the smaller first, whichever blocks they are in
+                    far = np.zeros(len(pairs), np.int64)
+                    turned = both[0][pairs[:, 0]] > both[0][pairs[:, 1]]
+                    pairs[turned] = pairs[turned][:, ::-1]
                 p, q = pairs[:, 0], pairs[:, 1]
                 cols = [both[0][p], both[0][q], both[1][p], both[1][q], both[3][p], both[3][q], far]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], [*names, "far"])
@@ -264,6 +318,21 @@ def close_pairs(rows: DataFrame, nodes: DataFrame, closest: bool = False) -> Dat
     return best.select("sig", "best.*").select(*names)
 
 
+def leading(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``groups`` (token, sig, nodes) without those whose nodes all meet in one larger group, and ``sig, named``.
+
+    ``named``: the NAMED largest groups of each node, largest first.  Those
+    whose nodes all have another group as their largest hold no pair that isn't
+    in that one.
+    """
+    size = F.struct((-F.col("nodes")).alias("size"), "token")
+    named = groups.groupBy("sig").agg(F.slice(F.array_sort(F.collect_list(size)), 1, NAMED)["token"].alias("named"))
+    named = materialize(named, "named")
+    first = groups.join(named.select("sig", F.col("named")[0].alias("first")), "sig")
+    ends = first.groupBy("token").agg(F.min("first").alias("a"), F.max("first").alias("b"))
+    return groups.join(ends.where("a <> b OR a = token").select("token"), "token"), named
+
+
 def tree_links(hub: np.ndarray, sets: list[np.ndarray]) -> list[int]:
     """Indices of the sets that link with ``hub``, by a walk over their prefix tree.
 
@@ -382,14 +451,14 @@ def _labelled_rows(docs: DataFrame, stars: int = 1, nearest: int = 2) -> DataFra
         "nodes",
     )
     order = Order(frequent_shingles(docs))
-    ends = rare_ends(docs, order)
-    meet = ends.groupBy("token").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b").select("token")
-    met = materialize(ends.join(meet, "token").distinct(), "met")
+    met = materialize(meeting(rare_ends(docs, order)), "met")
 
     # shingles that the same nodes share say the same: one of them is enough
     who = [F.bit_xor(F.xxhash64("sig", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
     alike = met.groupBy("token").agg(*who, F.count(F.lit(1)).alias("nodes")).groupBy("x0", "x1", "nodes")
-    met = materialize(met.join(alike.agg(F.min("token").alias("token")), "token").select("token", "sig", "n", "nodes"), "groups")
+    one = alike.agg(F.min("token").alias("token")).select("token", "nodes")
+    met, named = leading(materialize(met.join(one, "token").select("token", "sig", "nodes"), "alike"))
+    met = materialize(met, "groups")
 
     links, roots = None, None
 
@@ -417,7 +486,7 @@ def _labelled_rows(docs: DataFrame, stars: int = 1, nearest: int = 2) -> DataFra
             pairs = met_hub.groupBy("sig").agg(F.min("h").alias("h")).select("sig", "h.hub")
             close = within_bounds(pairs, nodes)
         else:
-            close = close_pairs(rows, nodes, closest=turn < stars + nearest)
+            close = close_pairs(rows, nodes, None if turn < stars + nearest else named)
         close = materialize(close, "close")
         if roots is not None and close.isEmpty():
             continue

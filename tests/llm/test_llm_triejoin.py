@@ -122,3 +122,49 @@ def test_one_row_stays_of_a_group_without_ids(spark):
     kept = sorted(r.source for r in got.collect())
     assert [s for s in kept if s in "defghi"] == ["d", "e", "f", "g", "i"]
     assert len([s for s in kept if s in "abc"]) == 1
+
+
+def test_meeting_rows_are_those_of_two_nodes_or_more(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(t), int(s)) for t, s in zip(rng.integers(-40, 40, 300), rng.integers(0, 25, 300), strict=True)]
+    rows += [(1000, 7)] * 9 + [(1001, s % 2) for s in range(9)] + [(1002 + i, 3) for i in range(12)]
+    who = {t: {s for u, s in rows if u == t} for t, _ in rows}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # groups go over batches
+    try:
+        got = sorted(map(tuple, triejoin.meeting(spark.createDataFrame(rows, "token long, sig long")).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == sorted((t, s) for t, w in who.items() if len(w) > 1 for s in w)
+
+
+@pytest.mark.parametrize("size", [3, 512])
+def test_pairs_of_leading_groups_are_all_pairs_that_meet(spark, monkeypatch, size):
+    """Groups within others go, and of the groups that a pair shares, its first one lists it: no pair is lost."""
+    monkeypatch.setattr(triejoin, "GROUP", size)
+    monkeypatch.setattr(triejoin, "NAMED", 3)
+    rng = np.random.default_rng(6)
+    who = {t: sorted({int(s) for s in rng.integers(0, 30, rng.integers(2, 14))}) for t in range(40)}
+    who |= {100: list(range(50, 70)), 101: [50, 51], 102: list(range(52, 69))}
+    who = {t: w for t, w in who.items() if len(w) > 1}
+    nodes = [(s, 5, s, bytes(8)) for s in {s for w in who.values() for s in w}]
+    nodes = spark.createDataFrame(nodes, "sig long, n long, rep long, bitmap binary")
+    groups = spark.createDataFrame([(t, s, len(w)) for t, w in who.items() for s in w], "token long, sig long, nodes long")
+    left, named = triejoin.leading(groups)
+    assert not {101, 102} & {r.token for r in left.select("token").distinct().collect()}
+    rows = left.selectExpr("*", "sig % 7 AS label")
+    got = [(r.hub, r.sig) for r in triejoin.close_pairs(rows, nodes, named).collect()]
+    want = {(a, b) for w in who.values() for a in w for b in w if a < b and a % 7 != b % 7}
+    assert {(min(p), max(p)) for p in got} == want and len(got) == len(want)
+    # the nearest rounds: a row per node at most
+    near = [r.sig for r in triejoin.close_pairs(rows, nodes).collect()]
+    assert len(near) == len(set(near)) and near
+
+
+def test_bitmaps_rule_out_sets_that_are_far_from_linked():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        x = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+        a, b = np.unique(x[:100]), np.unique(x[20:])  # 2 / 3 alike
+        far = triejoin._distance(triejoin._bitmap(a), triejoin._bitmap(b))
+        assert far * (triejoin.DEN + triejoin.NUM) > (len(a) + len(b)) * (triejoin.DEN - triejoin.NUM)
