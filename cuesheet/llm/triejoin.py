@@ -460,7 +460,7 @@ def _labelled_rows(docs: DataFrame, stars: int = 1, nearest: int = 2) -> DataFra
     met, named = leading(materialize(met.join(one, "token").select("token", "sig", "nodes"), "alike"))
     met = materialize(met, "groups")
 
-    links, roots = None, None
+    roots = None
 
     def labelled() -> DataFrame:
         if roots is None:
@@ -491,8 +491,11 @@ def _labelled_rows(docs: DataFrame, stars: int = 1, nearest: int = 2) -> DataFra
         if roots is not None and close.isEmpty():
             continue
         new = materialize(verified(docs, close, order), "verified")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+        if roots is not None:
+            if new.isEmpty():
+                continue
+            new = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)
+        roots = components(new)
 
     labels = all_.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left")
     labels = labels.select("doc_id", "key", "n", F.coalesce("root", "sig").alias("label"))
