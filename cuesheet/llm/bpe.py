@@ -17,7 +17,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -34,7 +34,7 @@ from cuesheet.sinks.files import scratch_path
 
 LEXICON_WORDS = 1 << 18
 LEXICON_WORD_BYTES = 128
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 COUNTER_WORDS = 1 << 17
 SHORT_WORD = 32
 CHUNKS_KEPT = 1 << 17
@@ -65,7 +65,6 @@ class Merger:
         self.ranks = {(self.vocab[a], self.vocab[b]): i for i, (a, b) in enumerate(pairs)}
         self.joined = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text = {i: t for t, i in (self.vocab | self.special).items()}
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         character = _byte_characters()
@@ -76,6 +75,10 @@ class Merger:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.ranks.values()), np.int64)[order]
 
+    @cached_property
+    def text(self) -> dict[int, str]:
+        return {i: t for t, i in (self.vocab | self.special).items()}
+
     def chunks(self, text: str) -> list[str]:
         """A whole text in pieces that no word crosses; ``words_of`` gives the words of each.
 
@@ -212,6 +215,18 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
+@lru_cache(maxsize=2)
+def token_strings(path: str) -> pa.Array:
+    """The string of each token id, null where there is none: all that decoding needs of the tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    strings = [None] * (max(ids.values()) + 1)
+    for t, i in ids.items():
+        strings[i] = t
+    return pa.array(strings, pa.large_string())
+
+
 def release() -> None:
     """Let go of what a task leaves in its worker process, which the next stage may use for something else."""
     merger.cache_clear()
@@ -507,9 +522,8 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "dec
     spec = StructType([*clear.schema.fields, StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = merger(tokenizer).text
-        table = pa.array([text.get(i) for i in range(max(text) + 1)], pa.large_string())
-        named = np.array([i in text for i in range(len(table))])
+        table = token_strings(tokenizer)
+        named = table.is_valid().to_numpy(zero_copy_only=False)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -524,5 +538,6 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", out: str = "dec
                 joined = pc.binary_join(strings, pa.scalar(" ", pa.large_string())).cast(pa.string())
                 joined = pc.if_else(col.is_valid(), joined, pa.scalar(None, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, joined], [*part.schema.names, out])
+        give_back()
 
     return clear.mapInArrow(run, spec)

@@ -72,6 +72,14 @@ def test_documents_encode_and_decode_like_the_library(spark, library, words):
     assert len(got) == len(rows)
 
 
+def test_decoding_takes_only_the_strings_of_the_tokens(spark):
+    df = spark.createDataFrame([([1, 300, 49_000, -1, 10**9], 1), (None, 2), ([], 3)], "ids array<int>, n long").repartition(1)
+    strings, text = bpe.token_strings(PATH), bpe.Merger(PATH).text
+    assert strings.to_pylist() == [text.get(i) for i in range(len(strings))] and max(text) == len(strings) - 1
+    got = {r.n: r.decoded for r in bpe.decode(df, PATH).collect()}
+    assert got == {1: " ".join(text[i] for i in (1, 300, 49_000)), 2: None, 3: ""}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe_digests(df, PATH).count() == 0

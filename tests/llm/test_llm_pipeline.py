@@ -74,3 +74,14 @@ def test_empty_documents(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, SF)
     assert now.count() == 0
+
+
+def test_each_stage_bounds_what_its_python_workers_get(spark, docs):
+    own = spark.newSession()  # as a caller has it that runs the stages by themselves
+    now = own.createDataFrame(docs.limit(20).collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for k, v in {"maxRecordsPerBatch": "10000", "maxBytesPerBatch": "64m"}.items():
+            own.conf.set(f"spark.sql.execution.arrow.{k}", v)
+        stage(own, now, SF)
+        assert own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "4096", name
+        assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m", name
