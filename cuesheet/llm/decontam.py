@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from cuesheet.llm.common import give_back
+
 Q = 10
 PIECE = 80
 EDITS = 0.08
@@ -192,6 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, colu
                 texts = batch.column(at)
                 found = [x + shared.value.search(t.as_py() or "") for x, t in zip(before, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], batch.schema.names)
+            give_back()
 
         out = out.mapInArrow(run, spec)
     return out

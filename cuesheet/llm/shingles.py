@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 SIZE = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _OTHER = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])

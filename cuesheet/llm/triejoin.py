@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuesheet.llm.common import most_frequent
+from cuesheet.llm.common import give_back, most_frequent
 from cuesheet.llm.components import components
 from cuesheet.llm.shingles import shingle_sets
 from cuesheet.sinks.files import materialize
@@ -85,12 +85,13 @@ def members(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sig, bits = [], [], []
-            for s in shingle_sets(batch.column(2).to_pylist()):
+            for s in shingle_sets(t.as_py() for t in batch.column(2)):
                 n.append(len(s))
                 sig.append(_signature(s))
                 bits.append(_bitmap(s) if len(s) else None)
             cols = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "sig", "bitmap"])
+        give_back()
 
     rows = docs.select("doc_id", document_key().alias("key"), "text")
     return rows.mapInArrow(run, "doc_id long, key long, n long, sig long, bitmap binary")
@@ -116,7 +117,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
             return pa.RecordBatch.from_arrays(cols, ["token", "n"])
 
         for batch in batches:
-            for s in shingle_sets(batch.column(0).to_pylist()):
+            for s in shingle_sets(t.as_py() for t in batch.column(0)):
                 if len(s) and (sig := _signature(s)) not in seen:
                     seen.add(sig)
                     held.append(s)
@@ -125,6 +126,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT) -> np.ndarray:
                     yield flush()
                     size = 0
         yield flush()
+        give_back()
 
     counts = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = most_frequent(counts, most).select("token", "n").toPandas().sort_values(["n", "token"], ascending=[False, True])
@@ -161,7 +163,7 @@ def rare_ends(docs: DataFrame, order: Order) -> DataFrame:
             token, sig = [], []
             if len(seen) > SEEN:
                 seen.clear()
-            for s in shingle_sets(batch.column(0).to_pylist()):
+            for s in shingle_sets(t.as_py() for t in batch.column(0)):
                 if len(s) and (own := _signature(s)) not in seen:
                     seen.add(own)
                     keys = shared.value.keys(s)
@@ -171,6 +173,8 @@ def rare_ends(docs: DataFrame, order: Order) -> DataFrame:
             if token:
                 cols = [pa.array(np.concatenate(x)) for x in (token, sig)]
                 yield pa.RecordBatch.from_arrays(cols, ["token", "sig"])
+        seen.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(run, "token long, sig long")
 
@@ -394,10 +398,11 @@ def verified(docs: DataFrame, pairs: DataFrame, order: Order) -> DataFrame:
         for batch in batches:
             nodes = batch.column(1).to_pylist()
             out = []
-            for node, s in zip(nodes, shingle_sets(batch.column(0).to_pylist()), strict=True):
+            for node, s in zip(nodes, shingle_sets(t.as_py() for t in batch.column(0)), strict=True):
                 if _signature(s) == node:
                     out.append({"node": node, "keys": shared.value.keys(s).tobytes()})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("node", pa.int64()), ("keys", pa.binary())]))
+        give_back()
 
     sets = texts.select("text", "node").mapInArrow(as_sets, "node long, keys binary").dropDuplicates(["node"])
     rows = (

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -168,3 +169,12 @@ def test_bitmaps_rule_out_sets_that_are_far_from_linked():
         a, b = np.unique(x[:100]), np.unique(x[20:])  # 2 / 3 alike
         far = triejoin._distance(triejoin._bitmap(a), triejoin._bitmap(b))
         assert far * (triejoin.DEN + triejoin.NUM) > (len(a) + len(b)) * (triejoin.DEN - triejoin.NUM)
+
+
+def test_shingling_holds_a_bounded_stretch_of_the_texts():
+    texts = (" ".join(f"{w}x{i}" for w in range(1500)) for i in range(400))
+    shingles._powers.cache_clear()
+    tracemalloc.start()
+    n = sum(len(s) for s in shingles.shingle_sets(texts))
+    peak, _ = tracemalloc.get_traced_memory()[1], tracemalloc.stop()
+    assert n == 400 * 1496 and peak < 20 << 20
